@@ -55,25 +55,31 @@ def next_key(df: DataFrame, key: str) -> int:
     return df.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).first()["last"] + 1
 
 
+def _whole(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``.
+    """One row per key, the first in ``order``; rows with a NULL key part are all kept.
 
     Spark keeps only the first row per key on the map side already, so a key with
     many rows does not travel whole.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") == 1).drop("_rank")
+    ranked = df.where(_whole(keys)).withColumn("_rank", F.row_number().over(window))
+    return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(df.where(~_whole(keys)))
 
 
 def absent_rows(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The incoming rows that an insert-if-absent adds: unknown keys, first row each.
 
-    The target is first reduced to the incoming keys. With a small batch this semi
-    join broadcasts the batch, so the large target is scanned but not shuffled.
+    A key with a NULL part clashes with nothing. The target is first reduced to the
+    incoming keys. With a small batch this semi join broadcasts the batch, so the
+    large target is scanned but not shuffled.
     """
-    first = first_per_key(incoming, keys, order)
-    held = target.select(*keys).join(first.select(*keys), list(keys), "left_semi")
-    return first.join(held, list(keys), "left_anti")
+    wanted = incoming.select(*keys).distinct()
+    held = target.select(*keys).join(wanted, list(keys), "left_semi")
+    return first_per_key(incoming, keys, order).join(held, list(keys), "left_anti")
 
 
 def insert_if_absent(
@@ -94,6 +100,42 @@ def insert_if_absent(
     return result
 
 
+def clashes(target: DataFrame, new: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
+    """How many new rows repeat a key of each other or of the target."""
+    counted = new.where(_whole(keys)).groupBy(*keys).agg(F.count("*").alias("_new"))
+    wanted = counted.select(*keys)
+    held = target.select(*keys).join(wanted, list(keys), "left_semi").distinct().withColumn("_held", F.lit(1))
+    surplus = F.col("_new") - F.when(F.col("_held") == 1, 0).otherwise(1)
+    total = counted.join(held, list(keys), "left").agg(F.sum(surplus).alias("surplus"))
+    return total.select(*checks.report_line(table, ", ".join(keys), "unique", F.col("surplus")))
+
+
+def insert_rows(
+    tables: Mapping[str, DataFrame], table: str, incoming: DataFrame, now: datetime, key_order: Sequence[str] = ()
+) -> DataFrame:
+    """Insert into a declared table: fill defaults and keys, check every rule, append.
+
+    Only the new rows are checked, the old ones were when they came. Raises if any
+    rule is broken; then nothing is inserted.
+    """
+    spec, target = schema.TABLES[table], tables[table]
+    numbered = spec.serial and spec.key not in incoming.columns
+    new = prepare(incoming, table, now, next_key(target, spec.key) if numbered else 1, key_order)
+    checks.require(
+        checks.union_all(
+            [
+                checks.check_rows(new, table, checks.row_rules(table)),
+                *(clashes(target, new, table, [column]) for column in (spec.key, *spec.unique)),
+                *(
+                    checks.check_reference(new, table, r.column, tables[r.parent], r.parent, r.parent_column)
+                    for r in spec.references
+                ),
+            ]
+        )
+    )
+    return target.unionByName(new)
+
+
 def insert_if_empty(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """All incoming rows if the target has none, else the target."""
     return incoming.select(*target.columns) if target.isEmpty() else target
@@ -180,32 +222,29 @@ def rows_left(child: DataFrame, column: str, deleted: DataFrame, key: str) -> Da
     return child.join(gone, F.col(column) == F.col("_deleted_key"), "left_anti")
 
 
-def blocking_counts(tables: Mapping[str, DataFrame], table: str, deleted: DataFrame) -> DataFrame:
-    """Per blocking reference, the child rows that forbid the delete.
+def count_children(child: DataFrame, column: str, deleted: DataFrame, key: str) -> DataFrame:
+    """How many child rows refer to deleted parents, as one row.
 
     Children are counted per key before the join, so a parent with very many children
     is one row there.
     """
-    reports = []
-    for child, reference in schema.children(table):
-        if reference.cascade:
-            continue
-        held = (
-            tables[child]
-            .where(F.col(reference.column).isNotNull())
-            .groupBy(reference.column)
-            .agg(F.count("*").alias("child_rows"))
-        )
-        blocked = rows_of(held, reference.column, deleted, reference.parent_column)
-        reports.append(
-            blocked.agg(F.coalesce(F.sum("child_rows"), F.lit(0)).alias("violations")).select(
-                F.lit(child).alias("table_name"),
-                F.lit(f"{reference.column} -> {table}.{reference.parent_column}").alias("rule"),
-                F.lit("blocks delete").alias("kind"),
-                F.col("violations"),
-            )
+    held = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("child_rows"))
+    total = F.coalesce(F.sum("child_rows"), F.lit(0)).alias("child_rows")
+    return rows_of(held, column, deleted, key).agg(total)
+
+
+def blocking_counts(tables: Mapping[str, DataFrame], table: str, deleted: DataFrame) -> DataFrame:
+    """Per blocking reference, the child rows that forbid the delete."""
+    return checks.union_all(
+        count_children(tables[child], r.column, deleted, r.parent_column).select(
+            F.lit(child).alias("table_name"),
+            F.lit(f"{r.column} -> {table}.{r.parent_column}").alias("rule"),
+            F.lit("blocks delete").alias("kind"),
+            F.col("child_rows").alias("violations"),
         )
-    return checks.union_all(reports)
+        for child, r in schema.children(table)
+        if not r.cascade
+    )
 
 
 def delete_rows(tables: Mapping[str, DataFrame], table: str, predicate: Column) -> dict[str, DataFrame]:

@@ -66,7 +66,7 @@ def row_rules(table: str) -> list[Rule]:
     ]
 
 
-def _report(table_name: str, rule: str, kind: str, violations: Column) -> list[Column]:
+def report_line(table_name: str, rule: str, kind: str, violations: Column) -> list[Column]:
     return [
         F.lit(table_name).alias("table_name"),
         F.lit(rule).alias("rule"),
@@ -81,7 +81,7 @@ def check_rows(df: DataFrame, table_name: str, rules: Sequence[Rule]) -> DataFra
     Each rule is one partial count; what reaches the last stage is one row per task.
     """
     counts = df.agg(*(F.count_if(rule.violated).alias(f"_{i}") for i, rule in enumerate(rules)))
-    lines = [F.struct(*_report(table_name, r.name, r.kind, F.col(f"_{i}"))) for i, r in enumerate(rules)]
+    lines = [F.struct(*report_line(table_name, r.name, r.kind, F.col(f"_{i}"))) for i, r in enumerate(rules)]
     return counts.select(F.inline(F.array(*lines)))
 
 
@@ -107,7 +107,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def check_unique(df: DataFrame, table_name: str, keys: Sequence[str], kind: str = "unique") -> DataFrame:
     """Rows beyond the first of each key."""
     surplus = duplicate_keys(df, keys).agg(F.sum(F.col("copies") - 1).alias("surplus"))
-    return surplus.select(*_report(table_name, ", ".join(keys), kind, F.col("surplus")))
+    return surplus.select(*report_line(table_name, ", ".join(keys), kind, F.col("surplus")))
 
 
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -134,7 +134,7 @@ def check_reference(
 ) -> DataFrame:
     total = orphan_keys(child, column, parent, parent_column).agg(F.sum("child_rows").alias("orphans"))
     return total.select(
-        *_report(table_name, f"{column} -> {parent_name}.{parent_column}", "reference", F.col("orphans"))
+        *report_line(table_name, f"{column} -> {parent_name}.{parent_column}", "reference", F.col("orphans"))
     )
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ordermill.functions.routes import is_logged, path_of, route_class
+from ordermill.functions.routes import is_logged, route_class
 from ordermill.operators.admission import API_LIMIT, AUTH_LIMIT, Limit, admit
 
 LIMITED_ROUTES: dict[str, Limit] = {"api": API_LIMIT, "auth": AUTH_LIMIT}
 
 
-def with_route(requests: DataFrame, target: str = "target") -> DataFrame:
-    routed = requests.withColumn("path", path_of(F.col(target)))
-    return routed.withColumn("route", route_class(F.col("path")))
+def with_route(requests: DataFrame, path: str = "path") -> DataFrame:
+    return requests.withColumn("route", route_class(F.col(path)))
 
 
 def route_counts(routed: DataFrame) -> DataFrame:

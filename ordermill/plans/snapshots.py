@@ -116,7 +116,7 @@ def restore(spark: SparkSession, base: str, name: str, target: str, now: datetim
         checks.require(checks.check_all(tables))
     for table, df in tables.items():
         publish(spark, df, target, table, now)
-    return {table: current(spark, target, table) for table in tables}
+    return {table: current(spark, target, table, df.schema) for table, df in tables.items()}
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:

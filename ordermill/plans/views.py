@@ -13,14 +13,18 @@ from ordermill.functions.expressions import not_listed
 CLOSED_STATUSES = ("delivered", "cancelled")
 
 
-def join_names(facts: DataFrame, dimension: DataFrame, fact_key: str, key: str, name: str, alias: str) -> DataFrame:
-    """Inner join that adds one column of a dimension to every fact row.
+def join_columns(
+    facts: DataFrame, dimension: DataFrame, fact_key: str, key: str, columns: Mapping[str, str]
+) -> DataFrame:
+    """Inner join that adds columns of a dimension, under new names, to every fact row.
 
     Rows without a key drop before the shuffle. No broadcast hint: Spark broadcasts
     the dimension only below its own size threshold and otherwise sort-merge joins,
     where adaptive execution splits a key that holds a large share of the facts.
     """
-    named = dimension.select(F.col(key).alias("_dimension_key"), F.col(name).alias(alias))
+    named = dimension.select(
+        F.col(key).alias("_dimension_key"), *(F.col(c).alias(alias) for c, alias in columns.items())
+    )
     return (
         facts.where(F.col(fact_key).isNotNull())
         .join(named, F.col(fact_key) == F.col("_dimension_key"), "inner")
@@ -32,8 +36,8 @@ def active_orders_unsorted(orders: DataFrame, customers: DataFrame, restaurants:
     """Open orders with both names. Callers that aggregate should use this one."""
     pinned = orders.select(*(f.name for f in schema.struct("orders").fields))
     opened = pinned.where(not_listed(F.col("order_status"), CLOSED_STATUSES))
-    with_customer = join_names(opened, customers, "customer_id", "customer_id", "name", "customer_name")
-    return join_names(with_customer, restaurants, "restaurant_id", "restaurant_id", "name", "restaurant_name")
+    named = join_columns(opened, customers, "customer_id", "customer_id", {"name": "customer_name"})
+    return join_columns(named, restaurants, "restaurant_id", "restaurant_id", {"name": "restaurant_name"})
 
 
 def newest_first(df: DataFrame, created: str, tie_break: str) -> DataFrame:

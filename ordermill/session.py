@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A JSON object with a repeated key keeps the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Stored lineage cuts go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

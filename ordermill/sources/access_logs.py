@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The two line formats and their time format. Java regular expressions.
+# A request that is not three words leaves the groups for its words empty.
+_PROXY_REQUEST = r'"(([^" ]+) (([^"? ]*)[^" ]*) ([^" ]+)|[^"]*)"'
 PROXY_LINE = (
-    r'^(\S+) - (.*?) \[([^\]]*)\] "([^"]*)" (\d{3}) (\d+|-) "([^"]*)" "([^"]*)" "([^"]*)"$'
+    r"^(\S+) - (.*?) \[([^\]]*)\] " + _PROXY_REQUEST + r' (\d{3}) (\d+|-) "([^"]*)" "([^"]*)" "([^"]*)"$'
 )
 PROXY_FIELDS = (
     "remote_addr",
     "remote_user",
     "time_local",
     "request",
+    "method",
+    "target",
+    "path",
+    "protocol",
     "status",
     "body_bytes_sent",
     "referer",
     "user_agent",
     "x_forwarded_for",
 )
-_ESCAPED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_ESCAPED = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_APP_REQUEST = r'"(([^"\\ ]+) (([^"\\? ]*)[^"\\ ]*) ([^"\\ ]+)|' + _ESCAPED + ')"'
 APP_LINE = (
-    r"^(\S+) (\S+) (.*?) \[([^\]]*)\] " + _ESCAPED + r" (\d{3}) (\d+|-) " + _ESCAPED + " " + _ESCAPED + "$"
+    r"^(\S+) (\S+) (.*?) \[([^\]]*)\] "
+    + _APP_REQUEST
+    + r" (\d{3}) (\d+|-) "
+    + f'"({_ESCAPED})" "({_ESCAPED})"$'
 )
 APP_FIELDS = (
     "remote_addr",
@@ -29,6 +39,10 @@ APP_FIELDS = (
     "remote_user",
     "time_local",
     "request",
+    "method",
+    "target",
+    "path",
+    "protocol",
     "status",
     "body_bytes_sent",
     "referer",
@@ -43,43 +57,35 @@ _MARK = "\u0001"
 _OPTIONAL = ("ident", "remote_user", "body_bytes_sent", "referer", "user_agent", "x_forwarded_for")
 
 
-def _field_types(name: str) -> str:
-    return {"time_local": "timestamp", "status": "int", "body_bytes_sent": "long"}.get(name, "string")
+# Words of the request; empty where it is not three words.
+_REQUEST_WORDS = ("method", "target", "path", "protocol")
 
 
 def parse_lines(lines: DataFrame, pattern: str, names: tuple[str, ...], column: str = "value") -> DataFrame:
     """One row per line: its fields, the line itself, and whether it was understood.
 
     The pattern runs one time per line. Its groups are joined by a mark and split
-    again, which is much cheaper than one extraction per field.
+    again, which is much cheaper than one extraction per field. Exploding the single
+    result keeps Spark from repeating that work in filters on the fields.
     """
     line = F.col(column)
     joined = F.regexp_replace(line, pattern, _MARK.join(f"${i + 1}" for i in range(len(names))))
-    parts = F.split(joined, _MARK)
-    fields = lines.select(
-        line.alias("line"),
-        F.when(~line.contains(_MARK), parts).alias("_parts"),
-    )
+    parts = F.when(~line.contains(_MARK), F.split(joined, _MARK))
+    taken = lines.select(line.alias("line"), F.explode(F.array(parts)).alias("_parts"))
     whole = F.size("_parts") == len(names)
 
     def value(i: int, name: str) -> Column:
         text = F.when(whole, F.col("_parts")[i])
         if name in _OPTIONAL:
             text = F.nullif(text, F.lit("-"))
+        if name in _REQUEST_WORDS:
+            text = F.when(whole & (F.col("_parts")[names.index("method")] != ""), F.col("_parts")[i])
         if name == "time_local":
             return F.try_to_timestamp(text, F.lit(TIME_FORMAT))
-        return text.try_cast(_field_types(name))
+        return text.try_cast({"status": "int", "body_bytes_sent": "long"}.get(name, "string"))
 
-    parsed = fields.select("line", *(value(i, name).alias(name) for i, name in enumerate(names)))
-    request = F.split("request", " ")
-    return parsed.withColumns(
-        {
-            "method": F.when(F.size(request) == 3, request[0]),
-            "target": F.when(F.size(request) == 3, request[1]),
-            "protocol": F.when(F.size(request) == 3, request[2]),
-            "understood": F.col("time_local").isNotNull() & F.col("status").isNotNull(),
-        }
-    )
+    parsed = taken.select("line", *(value(i, name).alias(name) for i, name in enumerate(names)))
+    return parsed.withColumn("understood", F.col("time_local").isNotNull() & F.col("status").isNotNull())
 
 
 def parse_proxy_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -108,7 +114,7 @@ def read_app_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_app_lines(spark.read.text(path))
 
 
-def render_proxy_lines(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def render_proxy_lines(df: DataFrame, fields: dict[str, Column], *kept: str) -> DataFrame:
     """Write rows as proxy log lines; the inverse of parsing, used to replay tables."""
 
     def text(name: str) -> Column:
@@ -119,6 +125,8 @@ def render_proxy_lines(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     quoted = {"request", "referer", "user_agent", "x_forwarded_for"}
     pieces = []
     for name in PROXY_FIELDS:
+        if name in _REQUEST_WORDS:
+            continue
         if name == "time_local":
             pieces.append(F.concat(F.lit("["), text(name), F.lit("]")))
         elif name in quoted:
@@ -126,4 +134,4 @@ def render_proxy_lines(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
         else:
             pieces.append(text(name))
     pieces.insert(1, F.lit("-"))
-    return df.select(F.concat_ws(" ", *pieces).alias("value"))
+    return df.select(F.concat_ws(" ", *pieces).alias("value"), *kept)

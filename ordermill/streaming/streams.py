@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ordermill.operators import admission as bucket
 from ordermill.operators.changes import absent_rows
+from ordermill.plans.reports import failed_logins
 from ordermill.session import remove_folder
 from ordermill.sources.access_logs import parse_proxy_lines
 
@@ -36,10 +37,18 @@ def ingest_log(parsed: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def append_available(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append what is there now and stop."""
+    return (
+        stream.writeStream.option("path", folder)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str, width: str, delay: str) -> DataFrame:
     """Closed time windows only. Watermarks need a zoned time, so the column is cast."""
-    from ordermill.plans.reports import failed_logins
-
     timed = attempts.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     return failed_logins(timed, user, time, failed, width)
 
@@ -123,7 +132,8 @@ class AdmissionStream:
 
         written = spark.read.schema(decided.schema).parquet(decisions)
         drained = F.col(bucket.LEVEL) + self.limit.micros_per_request <= horizon
-        limited = written.where(F.col(bucket.CLIENT).isNotNull() & (F.col(bucket.LEVEL) != 0))
+        placed = (time == bucket.NEVER) | F.col(bucket.ADMITTED).isNotNull()
+        limited = written.where(F.col(bucket.CLIENT).isNotNull() & placed)
         bucket.levels_after(limited).where(~drained).write.mode("overwrite").parquet(
             _batch_folder(self.folder, "levels", batch_id)
         )
