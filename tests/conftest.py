@@ -34,3 +34,12 @@ def rows():
         return sorted((tuple(r) for r in picked.collect()), key=repr)
 
     return collect
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Keep small test tables spread over several partitions, as large ones are."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    yield
+    spark.conf.set(setting, "true")
