@@ -1,0 +1,82 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from ordermill.operators import checks
+from ordermill.plans import snapshots
+from ordermill.session import folder_exists
+from tests.shop import ROWS, order, shop
+
+NOW = datetime(2024, 1, 15, 3, 4, 5)
+
+
+def test_snapshot_and_restore(spark, tmp_path, rows):
+    base, tables = str(tmp_path / "backups"), shop(spark)
+    name = snapshots.take_snapshot(spark, tables, base, "shop", NOW)
+    assert name == "shop_20240115_030405"
+    recorded = {r.table_name: r.rows for r in snapshots.manifest(spark, base).collect()}
+    assert recorded == {table: len(given) for table, given in ROWS.items()}
+    assert list((tmp_path / "backups" / name / "orders").glob("*.gz.parquet"))
+    restored = snapshots.restore(spark, base, name, str(tmp_path / "live"), NOW)
+    for table, df in tables.items():
+        assert restored[table].schema == df.schema
+        assert rows(restored[table]) == rows(df)
+
+
+def test_restore_refuses_damage(spark, tmp_path):
+    base = str(tmp_path)
+    name = snapshots.take_snapshot(spark, {"restaurants": shop(spark)["restaurants"]}, base, "shop", NOW)
+    shop(spark)["restaurants"].write.mode("append").parquet(f"{base}/{name}/restaurants")
+    with pytest.raises(snapshots.DamagedSnapshot, match="recorded 2 rows, found 4"):
+        snapshots.restore(spark, base, name, f"{base}/live", NOW)
+    with pytest.raises(snapshots.DamagedSnapshot, match="not recorded"):
+        snapshots.restore(spark, base, "shop_20000101_000000", f"{base}/live", NOW)
+
+
+def test_restore_refuses_broken_rules(spark, tmp_path):
+    base = str(tmp_path)
+    tables = shop(spark, orders=[*ROWS["orders"], order("OX", status="lost")])
+    name = snapshots.take_snapshot(spark, tables, base, "shop", NOW)
+    with pytest.raises(checks.BrokenRules, match="order_status"):
+        snapshots.restore(spark, base, name, f"{base}/live", NOW)
+    assert not folder_exists(spark, f"{base}/live")
+
+
+def test_retention_counts_whole_days(spark):
+    taken = [("a", datetime(2024, 1, 1, 1, 0)), ("b", datetime(2024, 1, 1, 0, 0)), ("c", datetime(2024, 1, 2))]
+    recorded = spark.createDataFrame(taken, "snapshot string, taken_at timestamp_ntz")
+    plan = {r.snapshot: (r.age_days, r.expired) for r in snapshots.retention(recorded, datetime(2024, 1, 9)).collect()}
+    # 7 days 23 hours stays, 8 days goes.
+    assert plan == {"a": (7, False), "b": (8, True), "c": (7, False)}
+
+
+def test_drop_expired_needs_a_good_snapshot(spark, tmp_path):
+    base, table = str(tmp_path), {"restaurants": shop(spark)["restaurants"]}
+    old = snapshots.take_snapshot(spark, table, base, "shop", datetime(2024, 1, 1))
+    now = datetime(2024, 1, 20)
+    with pytest.raises(snapshots.DamagedSnapshot):
+        snapshots.drop_expired(spark, base, "shop_20240120_000000", now)
+    assert folder_exists(spark, f"{base}/{old}")
+    new = snapshots.take_snapshot(spark, table, base, "shop", now)
+    assert snapshots.drop_expired(spark, base, new, now) == [old]
+    assert not folder_exists(spark, f"{base}/{old}") and folder_exists(spark, f"{base}/{new}")
+    assert snapshots.drop_expired(spark, base, new, now) == []
+
+
+def test_versions(spark, tmp_path, rows):
+    base = str(tmp_path)
+    one, two, three = (spark.range(a, b).select(F.col("id").cast("int").alias("k")) for a, b in ((0, 3), (3, 5), (9, 10)))
+    assert snapshots.publish(spark, one, base, "t", NOW) == 1
+    before = snapshots.current(spark, base, "t")
+    assert snapshots.publish(spark, two, base, "t", NOW, whole=False) == 2
+    assert rows(before) == [(0,), (1,), (2,)]
+    assert rows(snapshots.current(spark, base, "t")) == [(k,) for k in range(5)]
+    assert snapshots.publish(spark, three, base, "t", NOW) == 3
+    assert rows(snapshots.current(spark, base, "t")) == [(9,)]
+    # A table may be rewritten from its own current state.
+    grown = snapshots.current(spark, base, "t").unionByName(one)
+    snapshots.publish(spark, grown, base, "t", NOW)
+    assert rows(snapshots.current(spark, base, "t")) == [(0,), (1,), (2,), (9,)]
+    with pytest.raises(ValueError, match="never published"):
+        snapshots.current(spark, base, "u")
