@@ -16,12 +16,12 @@ to the level at its end, these few maps are chained, and a second pass decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ordermill.functions.expressions import micros
 from ordermill.operators.runs import RUN, range_runs
@@ -36,7 +36,8 @@ class Limit(NamedTuple):
 API_LIMIT = Limit(100_000, 20)
 AUTH_LIMIT = Limit(12_000_000, 3)
 
-CLIENT, TIME, ID, LEVEL, ADMITTED = "_client", "_time", "_id", "_level", "_admitted"
+# KIND numbers the limit that a request falls under; a client has one bucket per kind.
+KIND, CLIENT, TIME, ID, LEVEL, ADMITTED = "_kind", "_client", "_time", "_id", "_level", "_admitted"
 
 # Before all times: the level of a client without requests, and the time of a row
 # that carries a level from an earlier batch.
@@ -108,10 +109,10 @@ _PIECES = pa.list_(
 _PIECES_DDL = "array<struct<low: long, high: long, base: long, moving: boolean>>"
 
 
-def _summarise(limit: Limit):
-    """Per run: its first and last client, and the last client's level at the end.
+def _summarise(limits: Sequence[Limit]):
+    """Per run: its first and last bucket, and the last bucket's level at the end.
 
-    Only rows of the last client matter. If it is also the first one, the level at
+    Only rows of the last bucket matter. If it is also the first one, the level at
     the end depends on the level at the start, so a map is kept until it is constant.
     """
 
@@ -121,16 +122,19 @@ def _summarise(limit: Limit):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            clients = batch.column(CLIENT)
-            ending = clients[batch.num_rows - 1]
+            ending = batch.slice(batch.num_rows - 1).select([KIND, CLIENT])
+            kind = ending.column(KIND)[0]
+            limit = limits[kind.as_py()]
             if run is None:
-                run, first, last = batch.column(RUN)[:1], clients[:1], clients[:1]
-                pieces = every_start(batch.column(TIME)[0].as_py(), limit)
-            start = 0
-            if ending != last[0]:
-                start = pc.index(clients, ending).as_py()
-                last, pieces, level = clients[batch.num_rows - 1 :], [], NEVER
-            own = batch.slice(start)
+                run, first, last = batch.column(RUN)[:1], batch.slice(0, 1).select([KIND, CLIENT]), ending
+                if first.equals(ending):
+                    pieces = every_start(batch.column(TIME)[0].as_py(), limit)
+            elif ending != last:
+                pieces, level = [], NEVER
+            same = pc.and_(
+                pc.equal(batch.column(KIND), kind), pc.equal(batch.column(CLIENT), ending.column(CLIENT)[0])
+            )
+            last, own = ending, batch.slice(pc.index(same, True).as_py())
             for time, stored in zip(own.column(TIME).to_pylist(), own.column(LEVEL).to_pylist()):
                 if time == NEVER:
                     pieces, level = [], stored
@@ -144,85 +148,89 @@ def _summarise(limit: Limit):
             pieces = pieces or [Piece(NEVER, 1 << 62, level, False)]
             ends = pa.array([[piece._asdict() for piece in pieces]], _PIECES)
             yield pa.RecordBatch.from_arrays(
-                [run, first, last, ends], names=["run", "first_client", "last_client", "pieces"]
+                [run, *first.columns, *last.columns, ends],
+                names=["run", "first_kind", "first_client", "last_kind", "last_client", "pieces"],
             )
 
     return summarise
 
 
 def _start_levels(summaries: list[Row]) -> dict[int, int]:
-    """The level with which each run's first client enters the run.
+    """The level with which each run's first bucket enters the run.
 
     There is one short row per partition, however large the table is.
     """
     starts: dict[int, int] = {}
-    client, level = None, NEVER
+    bucket, level = None, NEVER
     for row in sorted(summaries, key=lambda summary: summary.run):
-        entering = level if row.first_client == client else NEVER
+        entering = level if (row.first_kind, row.first_client) == bucket else NEVER
         starts[row.run] = entering
-        client, level = row.last_client, apply_map([Piece(*p) for p in row.pieces], entering)
+        bucket = (row.last_kind, row.last_client)
+        level = apply_map([Piece(*p) for p in row.pieces], entering)
     return starts
 
 
-def _decide(limit: Limit, starts: dict[int, int]):
+def _decide(limits: Sequence[Limit], starts: dict[int, int]):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client, level = None, NEVER
+        bucket, level = None, NEVER
         for batch in batches:
             admitted, levels = [], []
-            columns = (batch.column(name).to_pylist() for name in (RUN, CLIENT, TIME, LEVEL))
-            for run, who, time, stored in zip(*columns):
-                if who != client:
-                    level = starts[run] if client is None else NEVER
-                    client = who
+            columns = (batch.column(name).to_pylist() for name in (RUN, KIND, CLIENT, TIME, LEVEL))
+            for run, kind, client, time, stored in zip(*columns):
+                if (kind, client) != bucket:
+                    level = starts[run] if bucket is None else NEVER
+                    bucket = (kind, client)
                 if time == NEVER:
                     level = stored
                     admitted.append(None)
                 else:
-                    before, level = level, next_level(level, time, limit)
+                    before, level = level, next_level(level, time, limits[kind])
                     admitted.append(level != before)
                 levels.append(level)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(CLIENT),
-                    batch.column(TIME),
-                    batch.column(ID),
+                    *(batch.column(name) for name in (KIND, CLIENT, TIME, ID)),
                     pa.array(admitted, pa.bool_()),
                     pa.array(levels, pa.int64()),
                 ],
-                names=[CLIENT, TIME, ID, ADMITTED, LEVEL],
+                names=[KIND, CLIENT, TIME, ID, ADMITTED, LEVEL],
             )
 
     return decide
 
 
-def run_bucket(requests: DataFrame, limit: Limit) -> DataFrame:
-    """Decide rows of ``_client, _time, _id, _level`` (none of the first two NULL).
+def run_bucket(requests: DataFrame, limits: Sequence[Limit]) -> DataFrame:
+    """Decide rows of ``_kind, _client, _time, _id, _level`` (none of the first three NULL).
 
-    A row with time ``NEVER`` is no request: it sets its client's level.
+    A row with time ``NEVER`` is no request: it sets the level of its bucket.
     """
-    runs = range_runs(requests, [CLIENT], [TIME, ID])
+    runs = range_runs(requests, [KIND, CLIENT], [TIME, ID])
     types = {field.name: field.dataType for field in runs.schema.fields}
     summary = (
         T.StructType()
         .add("run", types[RUN])
+        .add("first_kind", types[KIND])
         .add("first_client", types[CLIENT])
+        .add("last_kind", types[KIND])
         .add("last_client", types[CLIENT])
         .add("pieces", T.StructType.fromDDL(f"pieces {_PIECES_DDL}")["pieces"].dataType)
     )
     decided = (
         T.StructType()
+        .add(KIND, types[KIND])
         .add(CLIENT, types[CLIENT])
         .add(TIME, "long")
         .add(ID, types[ID])
         .add(ADMITTED, "boolean")
         .add(LEVEL, "long")
     )
-    starts = _start_levels(runs.mapInArrow(_summarise(limit), summary).collect())
-    return runs.mapInArrow(_decide(limit, starts), decided)
+    starts = _start_levels(runs.mapInArrow(_summarise(limits), summary).collect())
+    return runs.mapInArrow(_decide(limits, starts), decided)
 
 
-def as_requests(df: DataFrame, client: str, time: str, id: str) -> DataFrame:
+def as_requests(df: DataFrame, client: str, time: str, id: str, kind: Column | None = None) -> DataFrame:
     return df.select(
+        (F.lit(0) if kind is None else kind).cast("int").alias(KIND),
         F.col(client).alias(CLIENT),
         micros(F.col(time)).alias(TIME),
         F.col(id).alias(ID),
@@ -230,28 +238,36 @@ def as_requests(df: DataFrame, client: str, time: str, id: str) -> DataFrame:
     )
 
 
-def admit(df: DataFrame, client: str, time: str, id: str, limit: Limit) -> DataFrame:
-    """``client, id, admitted`` for every row of ``df``.
+def decide_requests(requests: DataFrame, limits: Sequence[Limit]) -> DataFrame:
+    """``_kind, _client, _id, _admitted`` for every request.
 
-    Only these three columns and the time are moved; join on ``id`` for the others.
-    ``id`` is unique and breaks ties of time. A row without a client is not limited;
-    a row without a time cannot be decided and gets NULL.
+    A row without a client is not limited; a row without a time cannot be decided and
+    gets NULL.
     """
     counted = F.col(CLIENT).isNotNull() & F.col(TIME).isNotNull()
-    requests = as_requests(df, client, time, id)
-    decided = run_bucket(requests.where(counted), limit).select(CLIENT, ID, ADMITTED)
+    decided = run_bucket(requests.where(counted), limits).select(KIND, CLIENT, ID, ADMITTED)
     others = requests.where(~counted).select(
-        CLIENT, ID, F.when(F.col(CLIENT).isNull(), F.lit(True)).alias(ADMITTED)
+        KIND, CLIENT, ID, F.when(F.col(CLIENT).isNull(), F.lit(True)).alias(ADMITTED)
     )
-    return decided.unionByName(others).select(
+    return decided.unionByName(others)
+
+
+def admit(df: DataFrame, client: str, time: str, id: str, limit: Limit) -> DataFrame:
+    """``client, id, admitted`` for every row of ``df`` under one limit.
+
+    Only these columns and the time are moved; join on ``id`` for the others. ``id``
+    is unique and breaks ties of time.
+    """
+    decided = decide_requests(as_requests(df, client, time, id), [limit])
+    return decided.select(
         F.col(CLIENT).alias(client), F.col(ID).alias(id), F.col(ADMITTED).alias("admitted")
     )
 
 
 def levels_after(decided: DataFrame) -> DataFrame:
-    """Each client's level at the end of a batch. Levels never fall, so it is the
+    """Each bucket's level at the end of a batch. Levels never fall, so it is the
     largest one, which combines before the shuffle."""
-    return decided.groupBy(CLIENT).agg(F.max(LEVEL).alias(LEVEL))
+    return decided.groupBy(KIND, CLIENT).agg(F.max(LEVEL).alias(LEVEL))
 
 
 def admission_counts(decided: DataFrame, client: str) -> DataFrame:

@@ -6,6 +6,7 @@ Every report has the columns ``table_name, rule, kind, violations``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 from typing import NamedTuple
 
@@ -44,8 +45,16 @@ def max_length(column: str, limit: int) -> Rule:
 
 
 def fits_decimal(column: str, precision: int, scale: int) -> Rule:
-    narrowed = F.col(column).try_cast(f"decimal({precision},{scale})")
-    return Rule(column, "numeric_fit", F.col(column).isNotNull() & narrowed.isNull())
+    """Whether the value, rounded to ``scale``, keeps within ``precision`` digits.
+
+    The value is compared with the first one that does not fit. Casting to the narrow
+    type instead would raise and catch an error for each row that does not fit.
+    """
+    value = F.col(column).try_cast("decimal(38,18)")
+    too_large = F.lit(Decimal(10) ** (precision - scale) - Decimal(5).scaleb(-scale - 1))
+    return Rule(
+        column, "numeric_fit", F.col(column).isNotNull() & (value.isNull() | (F.abs(value) >= too_large))
+    )
 
 
 def has_form(column: str, form: str) -> Rule:

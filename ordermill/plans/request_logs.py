@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ordermill.functions.routes import is_logged, route_class
-from ordermill.operators.admission import API_LIMIT, AUTH_LIMIT, Limit, admit
+from ordermill.operators.admission import (
+    ADMITTED,
+    API_LIMIT,
+    AUTH_LIMIT,
+    CLIENT,
+    ID,
+    KIND,
+    Limit,
+    as_requests,
+    decide_requests,
+)
+from ordermill.session import cut_lineage
 
 LIMITED_ROUTES: dict[str, Limit] = {"api": API_LIMIT, "auth": AUTH_LIMIT}
 
@@ -25,13 +36,19 @@ def unexpected_requests(routed: DataFrame) -> DataFrame:
 
 
 def replay_limits(routed: DataFrame, client: str, time: str, id: str) -> DataFrame:
-    """What each limit would have decided, per route that has one.
+    """What the limits would have decided, for the routes that have one.
 
     A replay is approximate: log times are whole seconds and are taken at the end of a
-    request, while the proxy decides at its start.
+    request, while the proxy decides at its start. The few columns needed are stored
+    first, so that lines are parsed once and not again for the range sample.
     """
-    parts = [
-        admit(routed.where(F.col("route") == route), client, time, id, limit).withColumn("route", F.lit(route))
-        for route, limit in LIMITED_ROUTES.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    routes = list(LIMITED_ROUTES)
+    limited = routed.where(F.col("route").isin(*routes))
+    kind = F.array_position(F.lit(routes), F.col("route")) - 1
+    requests = cut_lineage(as_requests(limited, client, time, id, kind))
+    return decide_requests(requests, list(LIMITED_ROUTES.values())).select(
+        F.element_at(F.lit(routes), F.col(KIND) + 1).alias("route"),
+        F.col(CLIENT).alias(client),
+        F.col(ID).alias(id),
+        F.col(ADMITTED).alias("admitted"),
+    )

@@ -117,14 +117,15 @@ class AdmissionStream:
         ready.where(time > horizon).write.mode("overwrite").parquet(
             _batch_folder(self.folder, "waiting", batch_id)
         )
-        level_columns = T.StructType([arrived.schema[bucket.CLIENT], arrived.schema[bucket.LEVEL]])
+        level_columns = T.StructType([arrived.schema[c] for c in (bucket.KIND, bucket.CLIENT, bucket.LEVEL)])
         levels = self._stored(spark, "levels", batch_id - 1, level_columns).select(
+            bucket.KIND,
             bucket.CLIENT,
             F.lit(bucket.NEVER).alias(bucket.TIME),
             F.lit(None).cast(arrived.schema[bucket.ID].dataType).alias(bucket.ID),
             bucket.LEVEL,
         )
-        decided = bucket.run_bucket(ready.where(time <= horizon).unionByName(levels), self.limit)
+        decided = bucket.run_bucket(ready.where(time <= horizon).unionByName(levels), [self.limit])
         undecided = arrived.where(~counted | (time < before)).withColumn(
             bucket.ADMITTED, F.when(F.col(bucket.CLIENT).isNull(), F.lit(True))
         )

@@ -116,7 +116,7 @@ def test_one_client_fills_every_partition(spark, many_partitions):
     df = spark.createDataFrame(
         [(c, START + timedelta(microseconds=t), i) for c, t, i in requests], "client string, at timestamp, id long"
     )
-    runs = bucket.range_runs(bucket.as_requests(df, "client", "at", "id"), [bucket.CLIENT], [bucket.TIME, bucket.ID])
+    runs = bucket.range_runs(bucket.as_requests(df, "client", "at", "id"), [bucket.KIND, bucket.CLIENT], [bucket.TIME, bucket.ID])
     assert runs.select(bucket.RUN).distinct().count() == 4
     for limit in (Limit(4, 6), Limit(5, 2), Limit(100, 1)):
         assert decide(spark, requests, limit) == plain_bucket(requests, limit)
@@ -139,12 +139,32 @@ def test_levels_carry_over(spark):
     first = spark.createDataFrame([r for r in requests if r[1] < 4], "c string, t long, i long")
     rest = spark.createDataFrame([r for r in requests if r[1] >= 4], "c string, t long, i long")
     columns = [bucket.CLIENT, bucket.TIME, bucket.ID]
-    one = bucket.run_bucket(first.toDF(*columns).withColumn(bucket.LEVEL, F.lit(0).cast("long")), limit)
-    levels = bucket.levels_after(one).select(
-        bucket.CLIENT, F.lit(bucket.NEVER).alias(bucket.TIME), F.lit(None).cast("long").alias(bucket.ID), bucket.LEVEL
-    )
-    two = bucket.run_bucket(
-        rest.toDF(*columns).withColumn(bucket.LEVEL, F.lit(0).cast("long")).unionByName(levels), limit
+
+    def requests_of(df):
+        return df.toDF(*columns).withColumns({bucket.KIND: F.lit(0), bucket.LEVEL: F.lit(0).cast("long")})
+
+    one = bucket.run_bucket(requests_of(first), [limit])
+    levels = bucket.levels_after(one).withColumns(
+        {bucket.TIME: F.lit(bucket.NEVER), bucket.ID: F.lit(None).cast("long")}
     )
+    two = bucket.run_bucket(requests_of(rest).unionByName(levels), [limit])
     found = {r[bucket.ID]: r[bucket.ADMITTED] for r in one.unionByName(two).collect() if r[bucket.ID] is not None}
     assert found == expected
+
+
+def test_kinds_have_buckets_of_their_own(spark, many_partitions):
+    source = random.Random(9)
+    limits = [Limit(20, 2), Limit(7, 5)]
+    requests, time = [], 0
+    for i in range(3000):
+        time += source.choice((0, 1, 6))
+        requests.append((source.randrange(2), "busy" if source.random() < 0.5 else f"c{source.randrange(50)}", time, i))
+    expected = {}
+    for kind, limit in enumerate(limits):
+        expected |= plain_bucket([(c, t, i) for k, c, t, i in requests if k == kind], limit)
+    df = spark.createDataFrame(
+        [(k, c, START + timedelta(microseconds=t), i) for k, c, t, i in requests],
+        "kind int, client string, at timestamp, id long",
+    )
+    decided = bucket.decide_requests(bucket.as_requests(df, "client", "at", "id", F.col("kind")), limits)
+    assert {r[bucket.ID]: r[bucket.ADMITTED] for r in decided.collect()} == expected
