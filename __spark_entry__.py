@@ -677,16 +677,23 @@ _ROUTE_SQL = """
 """
 
 
+_ROUTE_PREFIXES = ("", "/login", "/register", "/reset-password", "/.git", "/static", "/media", "/api", "/healthz", "x")
+
+
 @query(
     f"""
     SELECT page_id, path, {_ROUTE_SQL} AS route
-    FROM (SELECT page_id, split_part(regexp_replace(url, '^https?://[^/]*', ''), '?', 1) AS path FROM pages)
+    FROM (SELECT page_id, prefix || split_part(regexp_replace(url, '^https?://[^/]*', ''), '?', 1) AS path
+          FROM pages, (SELECT unnest([{", ".join(repr(prefix) for prefix in _ROUTE_PREFIXES)}]) AS prefix))
     """
 )
 def route_class(spark, sf_dir):
-    target = F.regexp_replace("url", "^https?://[^/]*", "")
-    pages = table(spark, sf_dir, "pages").select("page_id", path_of(target).alias("path"))
-    return request_logs.with_route(pages).select("page_id", "path", "route")
+    """Every page path as it is and below each prefix."""
+    below = path_of(F.regexp_replace("url", "^https?://[^/]*", ""))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", below.alias("below"), F.explode(F.lit(list(_ROUTE_PREFIXES))).alias("prefix")
+    )
+    return request_logs.with_route(pages.select("page_id", F.concat("prefix", "below").alias("path")))
 
 
 @query(
@@ -835,6 +842,20 @@ def latest_status(spark, sf_dir):
     return reports.latest_status(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
 
 
+@query(
+    """
+    SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest_status, max(ts) AS since
+    FROM events GROUP BY user_id
+    """
+)
+def stream_latest_status(spark, sf_dir):
+    """Changed users are stored after each micro-batch; their last state is read back."""
+    folder = scratch_dir(spark, "stream-status")
+    latest = reports.latest_status(_event_stream(spark, sf_dir), "user_id", "event_type", "ts", "event_id")
+    streams.store_changes(latest, f"{folder}/latest", f"{folder}/progress").awaitTermination()
+    return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema)
+
+
 @query(
     """
     SELECT user_id, event_id, event_type, ts, lead(ts) OVER w AS until,
@@ -842,8 +863,8 @@ def latest_status(spark, sf_dir):
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
     """
 )
-def time_in_status(spark, sf_dir):
-    return reports.time_in_status(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+def dwell_time(spark, sf_dir):
+    return reports.dwell_time(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
 
 
 @query(
@@ -854,10 +875,10 @@ def time_in_status(spark, sf_dir):
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
     """
 )
-def status_chain(spark, sf_dir):
+def chain_check(spark, sf_dir):
     old = F.when(F.col("value") < 50, "view").when(F.col("value") < 90, "click")
     history = table(spark, sf_dir, "events").withColumn("old_status", old)
-    return reports.status_chain(history, "user_id", "old_status", "event_type", "ts", "event_id")
+    return reports.chain_check(history, "user_id", "old_status", "event_type", "ts", "event_id")
 
 
 @query(

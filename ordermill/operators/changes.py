@@ -60,26 +60,26 @@ def _whole(keys: Sequence[str]) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``; rows with a NULL key part are all kept.
+    """One row per key, the first in ``order``.
 
     Spark keeps only the first row per key on the map side already, so a key with
     many rows does not travel whole.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.where(_whole(keys)).withColumn("_rank", F.row_number().over(window))
-    return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(df.where(~_whole(keys)))
+    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") == 1).drop("_rank")
 
 
 def absent_rows(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The incoming rows that an insert-if-absent adds: unknown keys, first row each.
 
-    A key with a NULL part clashes with nothing. The target is first reduced to the
-    incoming keys. With a small batch this semi join broadcasts the batch, so the
-    large target is scanned but not shuffled.
+    The target is first reduced to the incoming keys. With a small batch this semi
+    join broadcasts the batch, so the large target is scanned but not shuffled. A key
+    with a NULL part clashes with nothing; such rows pass by the joins.
     """
-    wanted = incoming.select(*keys).distinct()
-    held = target.select(*keys).join(wanted, list(keys), "left_semi")
-    return first_per_key(incoming, keys, order).join(held, list(keys), "left_anti")
+    keyed = incoming.where(_whole(keys))
+    held = target.select(*keys).join(keyed.select(*keys).distinct(), list(keys), "left_semi")
+    added = first_per_key(keyed, keys, order).join(held, list(keys), "left_anti")
+    return added.select(*incoming.columns).unionByName(incoming.where(~_whole(keys)))
 
 
 def insert_if_absent(

@@ -20,7 +20,7 @@ def latest_status(history: DataFrame, order: str, status: str, changed: str, id:
     )
 
 
-def time_in_status(history: DataFrame, order: str, status: str, changed: str, id: str) -> DataFrame:
+def dwell_time(history: DataFrame, order: str, status: str, changed: str, id: str) -> DataFrame:
     """Microseconds from each change to the next one of the order; NULL for the last."""
     following = previous_values(
         history.select(order, id, status, changed), [order], [changed, id], {"until": changed}, backwards=True
@@ -28,7 +28,7 @@ def time_in_status(history: DataFrame, order: str, status: str, changed: str, id
     return following.withColumn("micros_in_status", micros(F.col("until")) - micros(F.col(changed)))
 
 
-def status_chain(history: DataFrame, order: str, old: str, new: str, changed: str, id: str) -> DataFrame:
+def chain_check(history: DataFrame, order: str, old: str, new: str, changed: str, id: str) -> DataFrame:
     """Whether each change starts from the status that the change before it set."""
     linked = previous_values(
         history.select(order, id, old, new, changed), [order], [changed, id], {"previous_status": new}

@@ -62,6 +62,18 @@ def seed(
     return result
 
 
+def start_up(
+    tables: Mapping[str, DataFrame], guards: Mapping[str, IfAbsent | IfEmpty | IfFewer], now: datetime
+) -> dict[str, DataFrame]:
+    """What each start of the application does to the tables: seed, then purge sessions.
+
+    Ask ``purge_counts`` for the number of sessions that went.
+    """
+    result = seed(tables, guards, now)
+    result["user_sessions"] = changes.purge_expired(result["user_sessions"], "expires_at", now)
+    return result
+
+
 def numbering_column(table: str, rows: DataFrame) -> str:
     """A column that is present and unique, to number new rows by."""
     spec = schema.TABLES[table]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ordermill.operators import admission as bucket
-from ordermill.operators.changes import absent_rows
+from ordermill.operators.changes import absent_rows, first_per_key
 from ordermill.plans.reports import failed_logins
 from ordermill.session import remove_folder
 from ordermill.sources.access_logs import parse_proxy_lines
@@ -47,6 +47,29 @@ def append_available(stream: DataFrame, folder: str, checkpoint: str) -> Streami
     )
 
 
+def store_changes(aggregate: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Store, after each micro-batch, the groups of a running aggregate that changed."""
+
+    def step(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(_batch_folder(folder, "changes", batch_id))
+
+    return (
+        aggregate.writeStream.outputMode("update")
+        .foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_groups(spark: SparkSession, folder: str, keys: Sequence[str], columns: T.StructType) -> DataFrame:
+    """The last stored state of every group."""
+    numbered = T.StructType([*columns.fields, T.StructField(BATCH, T.IntegerType())])
+    stored = spark.read.schema(numbered).parquet(f"{folder}/changes")
+    newest = stored.withColumn("_age", -F.col(BATCH))
+    return first_per_key(newest, keys, ["_age"]).select(*columns.names)
+
+
 def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str, width: str, delay: str) -> DataFrame:
     """Closed time windows only. Watermarks need a zoned time, so the column is cast."""
     timed = attempts.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)

@@ -1,0 +1,76 @@
+from datetime import datetime
+from decimal import Decimal
+
+from ordermill.plans import reports
+from tests.shop import shop
+
+
+def at(minute):
+    return datetime(2024, 1, 1, 12, minute)
+
+
+HISTORY = "order_id string, old_status string, new_status string, changed_at timestamp_ntz, history_id int"
+
+
+def history(spark):
+    return spark.createDataFrame(
+        [
+            ("A", None, "pending", at(0), 1),
+            ("A", "pending", "confirmed", at(5), 2),
+            ("A", "ready", "delivered", at(5), 3),
+            ("B", None, "pending", at(7), 4),
+        ],
+        HISTORY,
+    )
+
+
+def test_latest_status_breaks_ties_by_id(spark):
+    found = reports.latest_status(history(spark), "order_id", "new_status", "changed_at", "history_id").collect()
+    assert {r.order_id: (r.latest_status, r.since) for r in found} == {"A": ("delivered", at(5)), "B": ("pending", at(7))}
+
+
+def test_dwell_time(spark):
+    found = reports.dwell_time(history(spark), "order_id", "new_status", "changed_at", "history_id").collect()
+    assert {r.history_id: r.micros_in_status for r in found} == {1: 300_000_000, 2: 0, 3: None, 4: None}
+
+
+def test_chain_check(spark):
+    found = reports.chain_check(history(spark), "order_id", "old_status", "new_status", "changed_at", "history_id")
+    assert {r.history_id: r.linked for r in found.collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_orders_by_day(spark):
+    orders = shop(spark)["orders"].where("restaurant_id IS NOT NULL AND created_at IS NOT NULL")
+    found = reports.orders_by_day(orders, "restaurant_id", "order_status", "created_at", "total_amount")
+    counts = {(r.order_status, str(r.day)): (r.orders, r.total) for r in found.collect()}
+    assert counts[("pending", "2024-01-10")] == (2, Decimal("22.00"))
+    assert counts[(None, "2024-01-10")] == (1, Decimal("11.00"))
+
+
+def test_failed_logins(spark):
+    attempts = spark.createDataFrame(
+        [(1, at(1), True), (1, at(9), True), (1, at(10), False), (2, at(3), False), (2, at(4), None)],
+        "user_id int, at timestamp_ntz, failed boolean",
+    )
+    found = reports.failed_logins(attempts, "user_id", "at", "failed", "10 minutes").collect()
+    assert {(r.user_id, r.window_start): (r.failures, r.attempts) for r in found} == {
+        (1, at(0)): (2, 2),
+        (1, at(10)): (0, 1),
+        (2, at(0)): (0, 2),
+    }
+
+
+def test_live_sessions_end_exclusively(spark):
+    sessions = spark.createDataFrame(
+        [(1, at(0), at(10)), (1, at(10), at(20)), (2, at(0), at(9))],
+        "user_id int, created_at timestamp_ntz, expires_at timestamp_ntz",
+    )
+    found = reports.live_sessions(sessions, "user_id", "created_at", "expires_at", at(10)).collect()
+    assert [(r.user_id, r.live_sessions) for r in found] == [(1, 1)]
+
+
+def test_item_sales(spark):
+    tables = shop(spark)
+    items = tables["menu_items"].withColumn("category", tables["menu_items"].name)
+    sold = reports.item_sales(tables["order_items"], items, "item_id", "item_id", "category", "quantity", "unit_price")
+    assert [(r.category, r.units, r.revenue) for r in sold.collect()] == [("Soup", Decimal(3), Decimal("13.5"))]

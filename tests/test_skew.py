@@ -1,0 +1,80 @@
+"""One key holds a third of the rows or more; results stay whole, work stays spread."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ordermill.operators import changes, checks
+from ordermill.plans import views
+
+
+@pytest.fixture
+def facts(spark):
+    """6000 rows, half of them of key 0, a few without a key."""
+    key = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") % 50)
+    return spark.range(6000).select("id", key.alias("k"), F.lit("x" * 200).alias("pad")).repartition(8)
+
+
+@pytest.fixture
+def sort_merge(spark):
+    """Small thresholds, so that small tables meet the plans of large ones."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_join_splits_the_busy_key(spark, facts, sort_merge):
+    dimension = spark.range(50).select(F.col("id").alias("d"), F.concat(F.lit("n"), "id").alias("name"))
+    joined = views.join_columns(facts, dimension, "k", "d", {"name": "label"})
+    assert "skew=true" in final_plan(joined)
+    assert joined.count() == facts.where("k IS NOT NULL").count()
+
+
+def test_cascade_and_orphans_split_the_busy_key(spark, facts, sort_merge):
+    deleted = spark.range(25).select(F.col("id").alias("d"))
+    left = changes.rows_left(facts, "k", deleted, "d")
+    taken = changes.rows_of(facts, "k", deleted, "d")
+    assert "skew=true" in final_plan(left) and "skew=true" in final_plan(taken)
+    assert left.count() + taken.count() == 6000
+    orphans = checks.orphan_rows(facts, "k", deleted, "d")
+    assert "skew=true" in final_plan(orphans)
+    counted = checks.orphan_keys(facts, "k", deleted, "d").agg(F.sum("child_rows")).first()[0]
+    assert orphans.count() == counted
+
+
+def test_first_rows_are_picked_before_the_shuffle(spark, facts):
+    first = changes.first_per_key(facts.where("k IS NOT NULL"), ["k"], ["id"])
+    plan = final_plan(first)
+    assert plan.count("WindowGroupLimit") >= 2
+    assert first.where("k = 0").first().id == 0
+    assert first.count() == facts.select("k").where("k IS NOT NULL").distinct().count()
+
+
+def test_batch_with_a_busy_key_and_missing_keys(spark, facts):
+    target = spark.range(10).select(F.col("id"), F.col("id").alias("k"), F.lit("old").alias("pad"))
+    result = changes.insert_if_absent(target, facts, ["k"], ["id"])
+    missing = facts.where("k IS NULL").count()
+    known = facts.select("k").where("k IS NOT NULL AND k >= 10").distinct().count()
+    assert result.count() == 10 + known + missing
+    assert result.where("pad = 'old'").count() == 10
+
+
+def test_key_counts_combine_before_the_shuffle(spark, facts):
+    plan = final_plan(checks.duplicate_keys(facts, ["k"]))
+    assert "partial_count" in plan
+    found = {r.k: r.copies for r in checks.duplicate_keys(facts, ["k"]).collect()}
+    assert found[0] == 3000 and None not in found

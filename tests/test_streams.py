@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ordermill.operators.admission import Limit, admit
 from ordermill.operators.changes import insert_if_absent
-from ordermill.plans.reports import failed_logins
+from ordermill.plans.reports import failed_logins, latest_status
 from ordermill.sources import access_logs
 from ordermill.streaming import streams
 from tests.test_logs import PROXY, TORN
@@ -132,3 +132,18 @@ def test_failed_login_stream_equals_closed_windows(spark, tmp_path, rows):
     closed = whole.where(F.col("window_end") <= F.lit(horizon).cast("timestamp_ntz"))
     as_batch = stored.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
     assert rows(as_batch) == rows(closed)
+
+
+def test_latest_status_stream_equals_batch(spark, tmp_path, rows):
+    columns = "order_id string, status string, at timestamp_ntz, id int"
+    source = random.Random(6)
+    history = [
+        (f"o{source.randrange(9)}", source.choice("abc"), START + timedelta(minutes=source.randrange(90)), i)
+        for i in range(200)
+    ]
+    stream = write_files(spark, str(tmp_path), columns, [history[:90], history[90:95], history[95:]])
+    latest = latest_status(stream, "order_id", "status", "at", "id")
+    streams.store_changes(latest, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    stored = streams.current_groups(spark, f"{tmp_path}/out", ["order_id"], latest.schema)
+    batch = latest_status(spark.createDataFrame(history, columns), "order_id", "status", "at", "id")
+    assert rows(stored) == rows(batch)
