@@ -42,15 +42,8 @@ KIND, CLIENT, TIME, ID, LEVEL, ADMITTED = "_kind", "_client", "_time", "_id", "_
 # Before all times: the level of a client without requests, and the time of a row
 # that carries a level from an earlier batch.
 NEVER = -(1 << 60)
-
-
-class Piece(NamedTuple):
-    """Start levels ``low..high``: they end at ``base``, or ``base`` higher if moving."""
-
-    low: int
-    high: int
-    base: int
-    moving: bool
+# After all times.
+UNBOUNDED = 1 << 60
 
 
 def next_level(level: int, time: int, limit: Limit) -> int:
@@ -60,53 +53,104 @@ def next_level(level: int, time: int, limit: Limit) -> int:
     return max(time, raised)
 
 
-def advance(pieces: list[Piece], time: int, limit: Limit) -> list[Piece]:
-    """Carry a map from start levels to current levels over one more request.
-
-    A moving piece splits where its current level lies: at or below ``drained`` it
-    becomes the request's time, up to ``full`` it rises by T, above it stays.
-    """
-    step = limit.micros_per_request
-    drained, full = time - step, time + (limit.burst - 1) * step
-    result: list[Piece] = []
-
-    def add(low: int, high: int, base: int, moving: bool) -> None:
-        if low > high:
-            return
-        if result and result[-1].base == base and result[-1].moving == moving:
-            low = result.pop().low
-        result.append(Piece(low, high, base, moving))
-
-    for low, high, base, moving in pieces:
-        if not moving:
-            add(low, high, next_level(base, time, limit), False)
-            continue
-        add(low, min(high, drained - base), time, False)
-        add(max(low, drained - base + 1), min(high, full - base), base + step, True)
-        add(max(low, full - base + 1), high, base, True)
-    return result
-
-
-def every_start(time: int, limit: Limit) -> list[Piece]:
-    """The unchanged map over all levels that a client can have by ``time``.
-
-    A level never exceeds its last request's time by more than the burst. The bound
-    keeps maps short: about burst + 3 pieces, however many requests follow.
-    """
-    return [Piece(NEVER, time + limit.burst * limit.micros_per_request, 0, True)]
-
+class LevelMap:
+    """The level after some requests of one bucket, for every level before them.
 
-def apply_map(pieces: list[Piece], level: int) -> int:
-    for low, high, base, moving in pieces:
-        if low <= level <= high:
-            return level + base if moving else base
-    raise ValueError(f"level {level} lies outside the map")
+    A start level is *free* as long as its bucket never ran empty. Each request raises
+    it by T or rejects, so it keeps its remainder modulo T, and after n requests it is
+    the largest value of that remainder up to ``min(start + n * T, ceiling)``, where
+    each request at time t sets ``ceiling = min(ceiling + T, t + b * T)``. All free
+    levels together thus cost two additions per request. A start level whose bucket
+    ran empty at time t is *fixed*: from there on it is one level, t at first, however
+    many start levels share it.
 
+    A level never exceeds its last request's time by more than the burst; this bounds
+    the start levels that need a place.
+    """
 
-_PIECES = pa.list_(
-    pa.struct([("low", pa.int64()), ("high", pa.int64()), ("base", pa.int64()), ("moving", pa.bool_())])
-)
-_PIECES_DDL = "array<struct<low: long, high: long, base: long, moving: boolean>>"
+    def __init__(self, first_time: int, limit: Limit):
+        self.limit = limit
+        self.free = [(NEVER, first_time + limit.burst * limit.micros_per_request)]
+        self.raised = 0
+        self.ceiling = UNBOUNDED
+        self.fixed: dict[int, list[tuple[int, int]]] = {}
+
+    def constant(self) -> int | None:
+        """The one level that all start levels lead to, if it is one."""
+        return next(iter(self.fixed)) if not self.free and len(self.fixed) == 1 else None
+
+    def extend(self, times: list[int]) -> int:
+        """Take in requests in order until the map is constant; gives how many."""
+        step, room = self.limit.micros_per_request, self.limit.burst * self.limit.micros_per_request
+        for taken, time in enumerate(times):
+            if self.constant() is not None:
+                return taken
+            emptied = []
+            if self.free:
+                lowest = self.free[0][0]
+                if lowest + self.raised <= time - step or self.ceiling < time:
+                    emptied = self._take_emptied(time - step)
+            moved: dict[int, list[tuple[int, int]]] = {}
+            for level, starts in self.fixed.items():
+                moved.setdefault(next_level(level, time, self.limit), []).extend(starts)
+            if emptied:
+                moved.setdefault(time, []).extend(emptied)
+            self.fixed = moved
+            self.ceiling = min(self.ceiling + step, time + room)
+            if self.free:
+                # Above the ceiling the exact height no longer matters.
+                self.raised = min(self.raised + step, self.ceiling - self.free[0][0] + 1)
+        return len(times)
+
+    def _take_emptied(self, drained: int) -> list[tuple[int, int]]:
+        """Remove and return the free start levels that have sunk to ``drained``.
+
+        Below the ceiling a level is its start, raised. At the ceiling it lies
+        ``(ceiling - start) % T`` under it, so the emptied ones repeat every T.
+        """
+        step, depth = self.limit.micros_per_request, self.ceiling - drained
+        kept: list[tuple[int, int]] = []
+        emptied: list[tuple[int, int]] = []
+
+        def put(intervals: list[tuple[int, int]], low: int, high: int) -> None:
+            if low <= high:
+                if intervals and intervals[-1][1] == low - 1:
+                    low = intervals.pop()[0]
+                intervals.append((low, high))
+
+        for low, high in self.free:
+            below = min(high, self.ceiling - self.raised)
+            put(emptied, low, min(below, drained - self.raised))
+            put(kept, max(low, drained - self.raised + 1), below)
+            low = max(low, below + 1)
+            while low <= high:
+                under = (self.ceiling - low) % step
+                gone = under >= depth
+                length = under - depth + 1 if gone else under + 1
+                end = min(high, low + length - 1)
+                put(emptied if gone else kept, low, end)
+                low = end + 1
+        self.free = kept
+        return emptied
+
+    def parts(self) -> list[tuple[int, int, int | None]]:
+        """Intervals of start levels with their level; None for free ones."""
+        fixed = [(low, high, level) for level, starts in self.fixed.items() for low, high in starts]
+        return fixed + [(low, high, None) for low, high in self.free]
+
+
+def level_after(start: int, parts: list, raised: int, ceiling: int, step: int) -> int:
+    """Look a start level up in the stored parts of a map."""
+    for low, high, level in parts:
+        if low <= start <= high:
+            if level is not None:
+                return level
+            return start + raised if start + raised <= ceiling else ceiling - (ceiling - start) % step
+    raise ValueError(f"level {start} lies outside the map")
+
+
+_PARTS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("level", pa.int64())]))
+_SUMMARY_DDL = "parts array<struct<low: long, high: long, level: long>>, raised long, ceiling long"
 
 
 def _summarise(limits: Sequence[Limit]):
@@ -117,8 +161,8 @@ def _summarise(limits: Sequence[Limit]):
     """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = first = last = None
-        pieces, level = [], NEVER
+        run = first = last = levels = None
+        level = NEVER
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -128,34 +172,49 @@ def _summarise(limits: Sequence[Limit]):
             if run is None:
                 run, first, last = batch.column(RUN)[:1], batch.slice(0, 1).select([KIND, CLIENT]), ending
                 if first.equals(ending):
-                    pieces = every_start(batch.column(TIME)[0].as_py(), limit)
-            elif ending != last:
-                pieces, level = [], NEVER
+                    levels = LevelMap(batch.column(TIME)[0].as_py(), limit)
+            elif not ending.equals(last):
+                levels, level = None, NEVER
             same = pc.and_(
                 pc.equal(batch.column(KIND), kind), pc.equal(batch.column(CLIENT), ending.column(CLIENT)[0])
             )
             last, own = ending, batch.slice(pc.index(same, True).as_py())
-            for time, stored in zip(own.column(TIME).to_pylist(), own.column(LEVEL).to_pylist()):
-                if time == NEVER:
-                    pieces, level = [], stored
-                elif not pieces:
-                    level = next_level(level, time, limit)
-                else:
-                    pieces = advance(pieces, time, limit)
-                    if len(pieces) == 1 and not pieces[0].moving:
-                        pieces, level = [], pieces[0].base
+            times = own.column(TIME).to_pylist()
+            if times[0] == NEVER:
+                levels, level, times = None, own.column(LEVEL)[0].as_py(), times[1:]
+            if levels is not None:
+                times = times[levels.extend(times) :]
+                if levels.constant() is not None:
+                    levels, level = None, levels.constant()
+            if levels is None:
+                level = _walk(level, times, limit)
         if run is not None:
-            pieces = pieces or [Piece(NEVER, 1 << 62, level, False)]
-            ends = pa.array([[piece._asdict() for piece in pieces]], _PIECES)
+            parts, raised, ceiling = [(NEVER, UNBOUNDED, level)], 0, 0
+            if levels is not None:
+                parts, raised, ceiling = levels.parts(), levels.raised, levels.ceiling
+            parts = [dict(zip(("low", "high", "level"), part)) for part in parts]
             yield pa.RecordBatch.from_arrays(
-                [run, *first.columns, *last.columns, ends],
-                names=["run", "first_kind", "first_client", "last_kind", "last_client", "pieces"],
+                [
+                    run,
+                    *first.columns,
+                    *last.columns,
+                    pa.array([parts], _PARTS),
+                    pa.array([raised], pa.int64()),
+                    pa.array([ceiling], pa.int64()),
+                ],
+                names=["run", "first_kind", "first_client", "last_kind", "last_client", "parts", "raised", "ceiling"],
             )
 
     return summarise
 
 
-def _start_levels(summaries: list[Row]) -> dict[int, int]:
+def _walk(level: int, times: list[int], limit: Limit) -> int:
+    for time in times:
+        level = next_level(level, time, limit)
+    return level
+
+
+def _start_levels(summaries: list[Row], limits: Sequence[Limit]) -> dict[int, int]:
     """The level with which each run's first bucket enters the run.
 
     There is one short row per partition, however large the table is.
@@ -166,25 +225,26 @@ def _start_levels(summaries: list[Row]) -> dict[int, int]:
         entering = level if (row.first_kind, row.first_client) == bucket else NEVER
         starts[row.run] = entering
         bucket = (row.last_kind, row.last_client)
-        level = apply_map([Piece(*p) for p in row.pieces], entering)
+        step = limits[row.last_kind].micros_per_request
+        level = level_after(entering, row.parts, row.raised, row.ceiling, step)
     return starts
 
 
 def _decide(limits: Sequence[Limit], starts: dict[int, int]):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, level = None, NEVER
+        bucket, limit, level = (None, None), None, NEVER
         for batch in batches:
             admitted, levels = [], []
             columns = (batch.column(name).to_pylist() for name in (RUN, KIND, CLIENT, TIME, LEVEL))
             for run, kind, client, time, stored in zip(*columns):
-                if (kind, client) != bucket:
-                    level = starts[run] if bucket is None else NEVER
-                    bucket = (kind, client)
+                if client != bucket[1] or kind != bucket[0]:
+                    level = starts[run] if bucket[0] is None else NEVER
+                    bucket, limit = (kind, client), limits[kind]
                 if time == NEVER:
                     level = stored
                     admitted.append(None)
                 else:
-                    before, level = level, next_level(level, time, limits[kind])
+                    before, level = level, next_level(level, time, limit)
                     admitted.append(level != before)
                 levels.append(level)
             yield pa.RecordBatch.from_arrays(
@@ -213,8 +273,8 @@ def run_bucket(requests: DataFrame, limits: Sequence[Limit]) -> DataFrame:
         .add("first_client", types[CLIENT])
         .add("last_kind", types[KIND])
         .add("last_client", types[CLIENT])
-        .add("pieces", T.StructType.fromDDL(f"pieces {_PIECES_DDL}")["pieces"].dataType)
     )
+    summary = T.StructType([*summary.fields, *T.StructType.fromDDL(_SUMMARY_DDL).fields])
     decided = (
         T.StructType()
         .add(KIND, types[KIND])
@@ -224,7 +284,7 @@ def run_bucket(requests: DataFrame, limits: Sequence[Limit]) -> DataFrame:
         .add(ADMITTED, "boolean")
         .add(LEVEL, "long")
     )
-    starts = _start_levels(runs.mapInArrow(_summarise(limits), summary).collect())
+    starts = _start_levels(runs.mapInArrow(_summarise(limits), summary).collect(), limits)
     return runs.mapInArrow(_decide(limits, starts), decided)
 
 

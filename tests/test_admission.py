@@ -36,24 +36,27 @@ def decide(spark, requests, limit):
 times = st.lists(st.integers(0, 400), min_size=1, max_size=40).map(sorted)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(before=times, after=times, period=st.integers(1, 25), burst=st.integers(0, 5))
 def test_map_equals_a_walk_from_any_level(before, after, period, burst):
     limit = Limit(period, burst)
     level = bucket.NEVER
     for time in before:
         level = bucket.next_level(level, time, limit)
-    shift = before[-1]
-    later = [shift + t for t in after]
-    pieces = bucket.every_start(later[0], limit)
-    for time in later:
-        pieces = bucket.advance(pieces, time, limit)
-    assert all(a.high + 1 == b.low for a, b in zip(pieces, pieces[1:]))
-    for start in (bucket.NEVER, level):
+    later = [before[-1] + t for t in after]
+    levels = bucket.LevelMap(later[0], limit)
+    taken = levels.extend(later)
+    if levels.constant() is None:
+        assert taken == len(later)
+    highest = later[0] + burst * period
+    spans = sorted((low, high) for low, high, _ in levels.parts())
+    assert spans[0][0] == bucket.NEVER and spans[-1][1] == highest
+    assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+    for start in {bucket.NEVER, level, *range(later[0] - 2 * period, highest + 1)}:
         end = start
-        for time in later:
+        for time in later[:taken]:
             end = bucket.next_level(end, time, limit)
-        assert bucket.apply_map(pieces, start) == end
+        assert bucket.level_after(start, levels.parts(), levels.raised, levels.ceiling, period) == end
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,12 +73,13 @@ def test_level_rule_equals_the_stated_rule(arrivals, period, burst):
 
 @pytest.mark.parametrize("mean", [1, 5, 20, 26, 30, 200])
 def test_maps_stay_short(mean):
-    limit, time, pieces = Limit(26_000, 20), 0, None
+    limit, time, levels = Limit(26_000, 20), 0, None
     source = random.Random(mean)
     for _ in range(3000):
         time += int(source.expovariate(1 / mean) * 1000)
-        pieces = bucket.advance(pieces or bucket.every_start(time, limit), time, limit)
-        assert len(pieces) <= 4 * (limit.burst + 3)
+        levels = levels or bucket.LevelMap(time, limit)
+        levels.extend([time])
+        assert len(levels.parts()) <= 4 * (limit.burst + 3)
 
 
 def test_api_limit_at_one_instant(spark):
