@@ -16,17 +16,23 @@ to the level at its end, these few maps are chained, and a second pass decides.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ordermill.functions.expressions import micros
 from ordermill.operators.runs import RUN, range_runs
 
 
+# Executors get this module's functions with the task, so they need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Limit(NamedTuple):
     micros_per_request: int
     burst: int

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -172,3 +175,18 @@ def test_kinds_have_buckets_of_their_own(spark, many_partitions):
     )
     decided = bucket.decide_requests(bucket.as_requests(df, "client", "at", "id", F.col("kind")), limits)
     assert {r[bucket.ID]: r[bucket.ADMITTED] for r in decided.collect()} == expected
+
+
+def test_executors_need_no_installed_copy(tmp_path):
+    """Python workers start in the driver's folder; here that is not the repository."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from ordermill.session import build_session
+from ordermill.operators.admission import API_LIMIT, admit
+spark = build_session(**{{"spark.master": "local[1]", "spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r}}})
+df = spark.range(30).selectExpr("id", "'a' AS client", "timestamp_seconds(0) AS at")
+assert admit(df, "client", "at", "id", API_LIMIT).where("admitted").count() == 21
+"""
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True, timeout=300)
