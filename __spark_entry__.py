@@ -958,6 +958,17 @@ def entry(spark: SparkSession) -> DataFrame:
     return active_orders(spark, "/root/testdata/sf0.001")
 
 
+# The operators for training text live in a folder of their own, which may be absent.
+try:
+    from ordermill.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("ordermill.llm", "ordermill.llm.queries"):
+        raise
+else:
+    _QUERIES.update(llm_queries.QUERIES)
+    _SQL.update(llm_queries.SQL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
