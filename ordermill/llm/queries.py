@@ -40,17 +40,17 @@ OP3_SQL = r"""
     ),
     sets AS (
         SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END)) AS shingle
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS shingle
         FROM words
     ),
     sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
     shared AS (
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
         GROUP BY a.doc_id, b.doc_id
     ),
     links AS (
         SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-        WHERE 100 * both >= 85 * (x.n + y.n - both)
+        WHERE 100 * common >= 85 * (x.n + y.n - common)
     ),
     reach(doc_id, other) AS (
         SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
@@ -108,13 +108,13 @@ def _lanes_sql(text: str) -> str:
         f"CAST('0x' || substr(h, {16 * i + 1}, 2) AS INTEGER) % 128 * 65536 + CAST('0x' || substr(h, {16 * i + 3}, 4) AS INTEGER)"
         for i in range(4)
     )
-    listed = f"flatten(list_transform(CASE WHEN {text} = '' THEN [] ELSE string_split({text}, chr(10)) END, p -> list_transform([sha256(p)], h -> [{touched}])[1]))"
-    return f"list_transform([{listed}], c -> list_transform(range(128), l -> CAST(coalesce(list_sum(list_transform(list_filter(c, x -> x // 65536 = l), x -> x % 65536)), 0) AS BIGINT) % 65536))[1]"
+    listed = f"flatten(list_transform(CASE WHEN {text} = '' THEN [] ELSE string_split({text}, chr(10)) END, lambda p: list_transform([sha256(p)], lambda h: [{touched}])[1]))"
+    return f"list_transform([{listed}], lambda c: list_transform(range(128), lambda l: CAST(coalesce(list_sum(list_transform(list_filter(c, lambda x: x // 65536 = l), lambda x: x % 65536)), 0) AS BIGINT) % 65536))[1]"
 
 
 def _likeness_sql(a: str, b: str) -> str:
-    used = f"len(list_filter(range(1, 129), i -> {a}[i] <> 0 OR {b}[i] <> 0))"
-    return f"CASE WHEN {used} = 0 THEN 1.0 ELSE CAST(len(list_filter(range(1, 129), i -> {a}[i] = {b}[i] AND {a}[i] <> 0)) AS DOUBLE) / {used} END"
+    used = f"len(list_filter(range(1, 129), lambda i: {a}[i] <> 0 OR {b}[i] <> 0))"
+    return f"CASE WHEN {used} = 0 THEN 1.0 ELSE CAST(len(list_filter(range(1, 129), lambda i: {a}[i] = {b}[i] AND {a}[i] <> 0)) AS DOUBLE) / {used} END"
 
 
 OP5_SQL = f"""
@@ -132,8 +132,8 @@ OP5_SQL = f"""
         FROM edited
     )
     SELECT doc_id, n_chars, edited_sha256,
-        array_to_string(list_transform(own, x -> lower(lpad(hex(x), 4, '0'))), '') AS fingerprint,
-        array_to_string(list_transform(other, x -> lower(lpad(hex(x), 4, '0'))), '') AS edited_fingerprint,
+        array_to_string(list_transform(own, lambda x: lower(lpad(hex(x), 4, '0'))), '') AS fingerprint,
+        array_to_string(list_transform(other, lambda x: lower(lpad(hex(x), 4, '0'))), '') AS edited_fingerprint,
         {_likeness_sql('own', 'other')} AS near_edited, {_likeness_sql('own', 'following')} AS near_next
     FROM lanes
 """
