@@ -33,21 +33,21 @@ def _masks(key: Column) -> list[Column]:
 
 def bloom_filter(keys: DataFrame, key: str) -> DataFrame:
     """The filter of a key column (nulls are left out): ``BLOCKS`` rows at most."""
-    bits = [mask.alias(f"_mask{i}") for i, mask in enumerate(_masks(F.col(key)))]
+    bits = [mask.alias(f"_llm_mask{i}") for i, mask in enumerate(_masks(F.col(key)))]
     return (
         keys.where(F.col(key).isNotNull())
-        .select(_block(F.col(key)).alias("_block"), *bits)
-        .groupBy("_block")
-        .agg(*(F.bit_or(f"_mask{i}").alias(f"_bits{i}") for i in range(WORDS)))
+        .select(_block(F.col(key)).alias("_llm_block"), *bits)
+        .groupBy("_llm_block")
+        .agg(*(F.bit_or(f"_llm_mask{i}").alias(f"_llm_bits{i}") for i in range(WORDS)))
     )
 
 
 def with_possible(df: DataFrame, key: str, filter_table: DataFrame, name: str) -> DataFrame:
     """Add a boolean column: may the key be among those of the filter? Null keys are not."""
-    asked = df.withColumn("_asked", _block(F.col(key)))
-    joined = asked.join(F.broadcast(filter_table), F.col("_asked") == F.col("_block"), "left")
-    held = F.col("_block").isNotNull() & F.col(key).isNotNull()
+    asked = df.withColumn("_llm_asked", _block(F.col(key)))
+    joined = asked.join(F.broadcast(filter_table), F.col("_llm_asked") == F.col("_llm_block"), "left")
+    held = F.col("_llm_block").isNotNull() & F.col(key).isNotNull()
     for i, mask in enumerate(_masks(F.col(key))):
-        held = held & (F.col(f"_bits{i}").bitwiseAND(mask) == mask)
+        held = held & (F.col(f"_llm_bits{i}").bitwiseAND(mask) == mask)
     own = [F.col(c) for c in df.columns if c != name]
     return joined.select(*own, F.coalesce(held, F.lit(False)).alias(name))

@@ -3,16 +3,19 @@
 Texts are sets of word shingles. Documents with equal sets are one class, and one
 representative of each class goes on. The join then works on groups:
 
-1. Partition: representatives that share one of a few min-hash marks are compared with
-   the smallest representative of that mark; those that link form groups.
-2. Matrix: for each group, the union of its members' tokens, kept as one row per token
-   and group. Only the tokens of a prefix are kept: under one order of all tokens, two
-   sets that link share at least ``ceil(reserve * n)`` tokens of their prefixes
-   of n - ceil(t * n) + ceil(reserve * n) tokens, n the set's size and t the threshold.
-3. Bound: a query document meets the groups that share its prefix tokens and whose
-   sizes allow a link. Groups with fewer shared tokens than the bound stay closed.
+1. Partition: each representative has a few min-hash marks. It is compared with one
+   leader per mark, the text with the smallest share of rare tokens; links found here join
+   them already. Its group is that of its most frequent mark; large groups are split.
+2. Matrix: for each group, the tokens of its members' prefixes, one row per token and
+   group, and the union of all its members' tokens. Under one order of all tokens, two
+   sets that link share at least ceil(0.03 * n) tokens of their prefixes of
+   n - ceil(t * n) + ceil(0.03 * n) tokens, n the set's size and t the threshold.
+3. Bound: a query document meets the groups that share its prefix tokens, whose sizes
+   allow a link and that hold members of other components. Its overlap with the group's whole union
+   bounds its overlap with any member; groups below the need stay closed.
 4. Open: the members of qualifying groups are compared with the query, exactly, on the
-   whole texts. The query's own group needs no opening: its links are known.
+   whole texts, unless links have joined them before. Of two components, members of
+   the smaller one ask.
 
 The token order puts tokens that many texts share last, so that common passages do not
 join their texts. Its counts are hashed into ``1 << COUNT_BITS`` counters over all texts; tasks report
@@ -43,10 +46,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNT_BITS = 20
 COMMON = 1 << 16  # counters kept for the token order at most
-MARKS = 4
+MARKS = 8
 RESERVE = 0.03
+# A group has about as many members and tokens at most.
+GROUP_MEMBERS = 64
+GROUP_TOKENS = 1 << 20
 
-_PROFILE = "n bigint, print string, prefix array<bigint>, marks array<bigint>"
+_PROFILE = "n bigint, rare double, print string, prefix array<bigint>, marks array<bigint>"
 
 
 def needed(size, percent: int):
@@ -138,7 +144,7 @@ def _profiles(width: int, percent: int, counters: np.ndarray, times: np.ndarray)
         load[counters] = times
         salts = mixed(np.arange(1, MARKS + 1, dtype=np.uint64))
         for texts in arrays:
-            sizes, prints, prefixes, marks = [], [], [], []
+            sizes, shares, prints, prefixes, marks = [], [], [], [], []
             for tokens in shingle_sets(texts, hasher, width):
                 n = len(tokens)
                 sizes.append(n)
@@ -146,13 +152,13 @@ def _profiles(width: int, percent: int, counters: np.ndarray, times: np.ndarray)
                 loads = load[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 taken = min(n, n - needed(n, percent) + reserve(n))
                 prefixes.append(tokens[np.argsort(loads, kind="stable")[:taken]].view(np.int64))
-                rare = tokens[loads == 0] if n and (loads == 0).any() else tokens
+                shares.append(float((loads == 0).mean()) if n else None)
                 marks.append(
-                    np.array([mixed(rare ^ s).min() ^ s for s in salts], np.uint64).view(np.int64) if n else np.zeros(0, np.int64)
+                    np.array([mixed(tokens ^ s).min() ^ s for s in salts], np.uint64).view(np.int64) if n else np.zeros(0, np.int64)
                 )
             yield pa.StructArray.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(prints, pa.string()), _lists(prefixes), _lists(marks)],
-                ["n", "print", "prefix", "marks"],
+                [pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(prints, pa.string()), _lists(prefixes), _lists(marks)],
+                ["n", "rare", "print", "prefix", "marks"],
             )
 
     return F.arrow_udf(profiled, f"struct<{_PROFILE.replace(' ', ':').replace(',:', ',')}>", F.ArrowUDFType.SCALAR_ITER)
@@ -185,13 +191,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (a, b) of representatives whose whole texts link."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    kept = with_possible(texts, "doc_id", bloom_filter(asked, "id"), "_asked_for").where("_asked_for")
+    kept = with_possible(texts, "doc_id", bloom_filter(asked, "id"), "_llm_asked").where("_llm_asked")
     one = kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(other, "b")
     return both.where(_linked(width, percent)("text_a", "text_b")).select("a", "b").distinct()
 
 
+def _unions(width: int):
+    def union(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Of the texts of one group each: the tokens, and which of them several members have."""
+        hasher = Hasher()
+        for groups in arrays:
+            tokens, several = [], []
+            for group in groups:
+                listed, counts = np.unique(np.concatenate(shingle_sets(group.values, hasher, width)), return_counts=True)
+                tokens.append(listed.view(np.int64))
+                several.append(listed[counts > 1].view(np.int64))
+            yield pa.StructArray.from_arrays([_lists(tokens), _lists(several)], ["tokens", "several"])
+
+    return F.arrow_udf(union, "struct<tokens:array<bigint>,several:array<bigint>>", F.ArrowUDFType.SCALAR_ITER)
+
+
+def _reaches(width: int, percent: int):
+    def bound(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        """Whether a text's overlap with a union is enough for a link with a member of ``least_n`` tokens or more."""
+        hasher = Hasher()
+        for texts, tokens, several, own, least_n in batches:
+            verdicts = []
+            for own_tokens, group, shared, is_own, least in zip(shingle_sets(texts, hasher, width), tokens, several, own, least_n):
+                # In its own group a document does not count for itself.
+                union = (shared if is_own.as_py() else group).values.to_numpy(zero_copy_only=False).view(np.uint64)
+                overlap = len(np.intersect1d(own_tokens, union, assume_unique=True))
+                size = max(least.as_py(), needed(len(own_tokens), percent), overlap)
+                verdicts.append(100 * overlap >= percent * (len(own_tokens) + size - overlap))
+            yield pa.array(verdicts, pa.bool_())
+
+    return F.arrow_udf(bound, "boolean", F.ArrowUDFType.SCALAR_ITER)
+
+
+def _qualifying(meeting: DataFrame, grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (doc_id, other) whose document reaches the need with the whole union of the group ``other``."""
+    asked = meeting.select(F.col("other").alias("group")).distinct()
+    members = grouped.select("doc_id", "n", "group").join(asked, "group", "left_semi")
+    ids = stored(members.select("doc_id").union(meeting.select("doc_id")).distinct(), "asked")
+    kept = with_possible(texts, "doc_id", bloom_filter(ids, "doc_id"), "_llm_asked").where("_llm_asked").select("doc_id", "text")
+    # Groups are split, so that one holds GROUP_MEMBERS texts or GROUP_TOKENS tokens, or about as many.
+    unions = members.join(kept, "doc_id").groupBy("group").agg(
+        F.collect_list("text").alias("texts"), F.min("n").alias("least_n")
+    ).select(F.col("group").alias("other"), "least_n", _unions(width)("texts").alias("u"))
+    unions = stored(unions, "unions")
+    asking = meeting.join(kept, "doc_id").join(grouped.select("doc_id", F.col("group").alias("own")), "doc_id")
+    bounded = asking.join(unions, "other").where(
+        _reaches(width, percent)("text", "u.tokens", "u.several", F.col("own") == F.col("other"), "least_n")
+    )
+    return stored(bounded.select("doc_id", "other").distinct(), "qualifying")
+
+
 def similar_documents(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Each row's doc_id, n_shingles and component_id.
 
@@ -214,37 +270,57 @@ def similar_documents(documents: DataFrame, width: int = 5, percent: int = 80) -
     lesser = copies.join(repeated, copies.a == repeated.doc_id, "left_anti").select(F.col("a").alias("doc_id"))
     heads = stored(known.join(lesser, "doc_id", "left_anti").dropDuplicates(["doc_id", "print"]), "heads")
 
-    marked = heads.select("doc_id", "n", F.explode("marks").alias("mark"))
+    marked = heads.select("doc_id", "n", "rare", F.explode("marks").alias("mark"))
+    # The fewest rare tokens: the text that the others of its mark were edited from, if it is there.
     leaders = marked.groupBy("mark").agg(
-        F.min(F.struct("doc_id", "n")).alias("leader"), F.count("*").alias("holders")
-    ).where("holders > 1").select("mark", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("leader_n"))
+        F.min(F.struct("rare", "doc_id", "n")).alias("leader"), F.count("*").alias("holders"), F.sum("n").alias("tokens")
+    ).where("holders > 1").select(
+        "mark", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("leader_n"), "holders",
+        F.ceil(F.greatest(F.col("holders") / GROUP_MEMBERS, F.col("tokens") / GROUP_TOKENS)).alias("parts"),
+    )
+    led = stored(marked.join(leaders, "mark"), "led")
     near = (
-        marked.join(leaders, "mark")
-        .where((F.col("doc_id") != F.col("leader")) & _sizes_allow("n", "leader_n", percent))
+        led.where((F.col("doc_id") != F.col("leader")) & _sizes_allow("n", "leader_n", percent))
         .select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     )
     first_links = stored(_verified(near, texts, width, percent), "first-links")
 
-    groups = stored(components(first_links), "groups")
-    grouped = heads.join(groups, heads.doc_id == groups.node, "left").select(
-        "doc_id", "n", F.coalesce("component", "doc_id").alias("group"), "prefix"
+    joined = stored(components(first_links), "joined")
+    sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
+    joined = joined.join(sizes, "component").select("node", F.struct("members", "component").alias("set"))
+    split = F.xxhash64("mark", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    groups = led.select("doc_id", F.struct("holders", "mark", split.alias("group")).alias("g"))
+    groups = groups.groupBy(F.col("doc_id").alias("_grouped")).agg(F.max("g").alias("g"))
+    alone = F.struct(F.lit(1).cast("bigint").alias("members"), F.col("doc_id").alias("component"))
+    grouped = heads.join(joined, heads.doc_id == joined.node, "left").join(groups, F.col("doc_id") == F.col("_grouped"), "left")
+    grouped = stored(
+        grouped.select(
+            "doc_id", "n", F.coalesce("set", alone).alias("set"), F.coalesce("g.group", F.xxhash64("doc_id", F.lit("alone"))).alias("group"),
+            "prefix",
+        ),
+        "grouped",
+    )
+
+    tokens = grouped.select("doc_id", "n", "set", "group", F.explode("prefix").alias("token"))
+    # Tokens of a single component open nothing.
+    shared = tokens.groupBy("token").agg(F.min("set.component").alias("low"), F.max("set.component").alias("high"))
+    queries = stored(tokens.join(shared.where("low <> high").select("token"), "token", "left_semi"), "shared-tokens")
+    matrix = queries.groupBy("token", F.col("group").alias("other")).agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("set").alias("most_set")
     )
-    tokens = grouped.select("doc_id", "n", "group", F.explode("prefix").alias("token"))
-    # Tokens of a single group open nothing.
-    shared = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    queries = stored(tokens.join(shared.select("token"), "token", "left_semi"), "shared-tokens")
-    matrix = queries.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     bound = F.least(F.ceil(F.min("n") * RESERVE), F.ceil(F.min("least_n") * RESERVE))
-    qualifying = (
-        queries.join(matrix.withColumnRenamed("group", "other"), "token")
-        .where(F.col("group") != F.col("other"))
+    meeting = (
+        queries.join(matrix, "token").where(F.col("set") < F.col("most_set"))
         .where((F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least_n") * percent))
-        .groupBy("doc_id", "other").agg(F.min("n").alias("n"), F.count("*").alias("overlap"), bound.alias("bound"))
-        .where("overlap >= bound").select("doc_id", "n", "other")
+        .groupBy("doc_id", "other").agg(F.count("*").alias("overlap"), bound.alias("bound"))
+        .where("overlap >= bound").select("doc_id", "other")
     )
-    members = grouped.select(F.col("doc_id").alias("member"), F.col("n").alias("member_n"), "group")
+    qualifying = _qualifying(stored(meeting, "meeting"), grouped, texts, width, percent)
+    members = grouped.select(F.col("doc_id").alias("member"), F.col("n").alias("member_n"), F.col("set").alias("member_set"), "group")
+    asking = qualifying.join(grouped.select("doc_id", "n", "set"), "doc_id")
     opened = (
-        qualifying.join(members, F.col("other") == F.col("group")).where(_sizes_allow("n", "member_n", percent))
+        asking.join(members, F.col("other") == F.col("group"))
+        .where((F.col("set") < F.col("member_set")) & _sizes_allow("n", "member_n", percent))
         .select(F.least("doc_id", "member").alias("a"), F.greatest("doc_id", "member").alias("b"))
     )
     second_links = _verified(opened, texts, width, percent)
@@ -262,12 +338,12 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80
     Columns are those given. Only the rows that a Bloom filter picks are shuffled.
     """
     sizes = similar_documents(documents, width, percent)
-    losers = sizes.where("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct()
-    twice = documents.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_loser")).count().where("count > 1")
+    losers = sizes.where("component_id <> doc_id").select(F.col("doc_id").alias("_llm_loser")).distinct()
+    twice = documents.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_llm_loser")).count().where("count > 1")
     losers = stored(losers, "losers")
-    suspects = losers.union(stored(twice.select("_loser"), "repeats"))
-    asked = with_possible(documents, "doc_id", bloom_filter(suspects, "_loser"), "_suspect")
-    clear = asked.where(~F.col("_suspect")).drop("_suspect")
-    careful = asked.where("_suspect").drop("_suspect")
-    stays = careful.join(losers, careful.doc_id == losers._loser, "left_anti").dropDuplicates(["doc_id", "text"])
+    suspects = losers.union(stored(twice.select("_llm_loser"), "repeats"))
+    asked = with_possible(documents, "doc_id", bloom_filter(suspects, "_llm_loser"), "_llm_suspect")
+    clear = asked.where(~F.col("_llm_suspect")).drop("_llm_suspect")
+    careful = asked.where("_llm_suspect").drop("_llm_suspect")
+    stays = careful.join(losers, careful.doc_id == losers._llm_loser, "left_anti").dropDuplicates(["doc_id", "text"])
     return clear.unionByName(stays.select(*clear.columns))

@@ -1,0 +1,83 @@
+import re
+
+from pyspark.sql import functions as F
+
+from ordermill.llm import licenses
+from tests.llm.conftest import ODD
+
+ROWS = ODD + [
+    (20, "Released under the MIT License."),
+    (21, "MIT-License mit  license; xmit license mit licenses MIT\nLICENSE"),
+    (22, "the GNU General Public License, Apache (License) and apache license 2"),
+    (23, "Licensd under teh Apache Licence, Version 2.0"),
+    (24, "Licensed under CC BY-NC 4.0. " * 3),
+    (25, "é" * 10 + " " + "word " * 50_000 + "Permission is hereby grantd, free of charge to any person obtaining a copy"),
+    (26, "émit license mit licenseé"),
+    (27, "mit license mit license license"),
+]
+
+
+def expected(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places, labels = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        for i in range(len(words)):
+            if words[i : i + len(parts)] == parts:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def scan(table):
+    return table.select("doc_id", "text", licenses.license_scan()("text").alias("f")).select("doc_id", "text", "f.*").collect()
+
+
+def test_base_columns_equal_brute_force(documents):
+    rows = scan(documents(ROWS))
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == expected(r.text)
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
+def test_fuzzy_notices_and_spans(documents):
+    rows = {r.doc_id: r for r in scan(documents(ROWS)) if r.doc_id}
+    assert rows[23].labels == "apache" and rows[23].n_base == 0 and 0 < rows[23].score < 1
+    assert rows[24].labels == "cc-by-nc" and len(rows[24].spans) == 3 and rows[24].score == 1.0
+    assert rows[25].labels == "mit"
+    span = rows[25].spans[0]
+    assert rows[25].text[span.start : span.end].startswith("Permission is hereby") and span.errors == 2
+
+
+def edit_distance(item, text):
+    """Least edits of the item against any part of the text."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, x in enumerate(item, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != c)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_every_notice_within_budget_is_found():
+    """Edits anywhere in a notice: found exactly when the edit distance allows it."""
+    import random
+
+    pick = random.Random(11)
+    searcher = licenses.Searcher(licenses.NOTICES)
+    for _ in range(150):
+        at = pick.randrange(len(licenses.NOTICES))
+        notice = licenses.NOTICES[at]
+        characters = list(notice.text)
+        for _ in range(pick.randrange(notice.errors + 3)):
+            place = pick.randrange(len(characters))
+            characters[place : place + pick.choice([0, 1])] = pick.choice(["", "q"])
+        text = "some words " + "".join(characters) + " and more"
+        near = edit_distance(notice.text, text) <= notice.errors
+        assert (at in {i for _, _, i, _ in searcher.spans(text)}) == near
