@@ -134,19 +134,20 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     keyed = base.select("doc_id", "text", key.alias("key"), F.length("text").cast("long").alias("n_chars"))
     links = stored(following(keyed), "following")
 
-    wanted = links.select(F.col("key").alias("to"), F.col("next_key").alias("from"), F.col("n_chars").alias("to_chars"))
-    sent = keyed.select(F.col("key").alias("from"), F.col("text").alias("sent")).join(wanted, "from")
-    cut = F.expr("substring(sent, 1, CAST(floor(to_chars / 3) AS INT))")
-    pieces = sent.select("to", cut.alias("piece"), fingerprint(F.col("sent")).alias("next_lanes"))
-    pieces = pieces.groupBy("to").agg(F.first("piece").alias("piece"), F.first("next_lanes").alias("next_lanes"))
+    # Both joins read the same columns by the same key, so that texts are shuffled once for both.
+    wanted = links.select(F.col("key").alias("to"), F.col("next_key"), F.col("n_chars").alias("to_chars"))
+    sent = keyed.join(wanted, F.col("key") == F.col("next_key"))
+    cut = F.expr("substring(text, 1, CAST(least(n_chars, floor(to_chars / 3)) AS INT))")
+    pieces = sent.select("to", F.struct(cut.alias("piece"), fingerprint(F.col("text")).alias("lanes"), F.col("doc_id").alias("id")).alias("next"))
+    pieces = pieces.groupBy("to").agg(F.first("next").alias("next"))
     joined = keyed.join(pieces, F.col("key") == F.col("to"))
-    edited = F.concat(F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 3) AS INT))"), F.col("piece"))
-    both = joined.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_lanes").select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("lanes"), fingerprint(F.col("edited")).alias("edited_lanes"), "next_lanes",
+    edited = F.concat(F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 3) AS INT))"), F.col("next.piece"))
+    both = joined.select("doc_id", "n_chars", "text", edited.alias("edited"), "next").select(
+        "doc_id", "n_chars", F.col("next.id").alias("next_id"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("text")).alias("lanes"), fingerprint(F.col("edited")).alias("edited_lanes"), F.col("next.lanes").alias("next_lanes"),
     )
     return both.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", "next_id", "edited_sha256",
         as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),

@@ -120,6 +120,7 @@ def _likeness_sql(a: str, b: str) -> str:
 OP5_SQL = f"""
     WITH ordered AS (
         SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
+            coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id,
             coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS after
         FROM documents
     ),
@@ -127,11 +128,11 @@ OP5_SQL = f"""
         SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(after, 1, n_chars // 3) AS changed FROM ordered
     ),
     lanes AS (
-        SELECT doc_id, n_chars, sha256(changed) AS edited_sha256, {_lanes_sql('text')} AS own, {_lanes_sql('changed')} AS other,
+        SELECT doc_id, n_chars, next_id, sha256(changed) AS edited_sha256, {_lanes_sql('text')} AS own, {_lanes_sql('changed')} AS other,
             {_lanes_sql('after')} AS following
         FROM edited
     )
-    SELECT doc_id, n_chars, edited_sha256,
+    SELECT doc_id, n_chars, next_id, edited_sha256,
         array_to_string(list_transform(own, lambda x: lower(lpad(hex(x), 4, '0'))), '') AS fingerprint,
         array_to_string(list_transform(other, lambda x: lower(lpad(hex(x), 4, '0'))), '') AS edited_fingerprint,
         {_likeness_sql('own', 'other')} AS near_edited, {_likeness_sql('own', 'following')} AS near_next

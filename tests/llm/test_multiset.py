@@ -29,12 +29,13 @@ def test_equals_brute_force(documents):
     for doc_id, text in rows:
         text = text or ""
         key = (doc_id is None, -(doc_id or 0), hashlib.md5(f"{'' if doc_id is None else doc_id}:{text}".encode()).hexdigest(), text)
-        after = distinct[(distinct.index(key) + 1) % len(distinct)][3]
+        following = distinct[(distinct.index(key) + 1) % len(distinct)]
+        after, next_id = following[3], None if following[0] else -following[1]
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
         own, changed = lanes(text), lanes(edited)
         expected.append(
-            (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:04x}" for x in own),
+            (doc_id, len(text), next_id, hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:04x}" for x in own),
              "".join(f"{x:04x}" for x in changed), likeness(own, changed), likeness(own, lanes(after)))
         )
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
