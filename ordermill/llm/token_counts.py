@@ -13,6 +13,7 @@ one token each, as the library treats them by default.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 HEAD = 1 << 18
-_FLUSH = 1 << 19
+_FLUSH = 1 << 18  # distinct pre-tokens that a task holds before it passes them on
 
 
 def pre_tokens(specials: list[str]):
@@ -52,6 +53,8 @@ def pre_tokens(specials: list[str]):
 
 
 def _load(path: str):
+    # One thread per task: Spark runs the tasks side by side.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
