@@ -4,7 +4,7 @@ The pages of a host are merged into one tree: a node is a path of presentations
 class) from the root. A node's content importance is one less the mean entropy
 of its texts over the pages that have it: ln(pages with the text) / ln(pages with the node),
 so a node whose texts recur on every page has none, and one with texts of its own on each page has
-1. Presentation sets the importance of nodes that name their purpose: article and main
+1. Presentation settles the importance of nodes that name their purpose: article and main
 text 1, menus, footers, adverts, forms and comments 0. Branches of low importance
 are removed from each page and the other blocks are joined in page order.
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ordermill.llm.bloom import bloom_filter, with_possible
+from ordermill.llm.stored import stored
 from ordermill.llm.url_filter import host_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -153,32 +155,43 @@ def _blocks():
     )
 
 
-def node_importance(blocks: DataFrame) -> DataFrame:
+def node_importance(nodes: DataFrame) -> DataFrame:
     """(host, path, importance, pages) of each node of the style trees; counts combine before each shuffle."""
-    texts = blocks.groupBy("host", "path", F.xxhash64("text").alias("content")).agg(
-        F.sum("new_text").alias("holders"), F.sum("new_path").alias("pages")
-    )
+    texts = nodes.groupBy("host", "path", "content").agg(F.sum("new_text").alias("holders"), F.sum("new_path").alias("pages"))
     spread = F.sum(F.col("holders") * F.log(F.col("holders").cast("double"))) / F.sum("holders")
-    nodes = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), spread.alias("spread"))
+    trees = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), spread.alias("spread"))
     importance = F.when(F.col("pages") > 1, 1 - F.col("spread") / F.log(F.col("pages").cast("double"))).otherwise(1.0)
-    return nodes.select("host", "path", importance.alias("importance"), "pages")
+    return trees.select("host", "path", importance.alias("importance"), "pages")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
-    parsed = pages.select(
-        F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(F.col("url")).alias("host"),
-        _blocks()("html").alias("blocks"),
+    """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
+
+    The trees need no texts, only hashes of them. Texts are shuffled for those pages
+    alone that lose a branch.
+    """
+    given = F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    keyed = pages.select("page_id", "url", "html", F.md5(given).alias("page"))
+    # Where the presentation settles a node's importance, its contents cannot change it.
+    blocks = keyed.select("page", host_of(F.col("url")).alias("host"), F.posexplode(_blocks()("html")).alias("place", "b"))
+    nodes = blocks.where(F.col("b.verdict") == OPEN).select(
+        "page", "host", "b.path", "place", F.xxhash64("b.text").alias("content"), "b.new_path", "b.new_text"
+    )
+    nodes = stored(nodes, "nodes")
+    low = node_importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    removed = nodes.select("host", "path", "page", "place").join(low.select("host", "path"), ["host", "path"])
+    removed = stored(removed.groupBy(F.col("page").alias("_page")).agg(F.collect_set("place").alias("removed")), "removed")
+
+    asked = with_possible(keyed, "page", bloom_filter(removed, "_page"), "loses")
+    whole = asked.where("NOT loses").select("page_id", "url", "html", F.array().cast("array<int>").alias("removed"))
+    cut = asked.where("loses").join(removed, F.col("page") == F.col("_page"), "left").select(
+        "page_id", "url", "html", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )
-    blocks = parsed.select("row", "page_id", "url", "host", F.posexplode_outer("blocks").alias("place", "b")).select(
-        "row", "page_id", "url", "host", "place", "b.*"
+    parsed = whole.unionByName(cut).select("page_id", "url", "removed", _blocks()("html").alias("blocks"))
+    kept = F.filter(
+        F.transform("blocks", lambda b, i: F.when(
+            (b["verdict"] == KEEP) | ((b["verdict"] == OPEN) & ~F.array_contains("removed", i)), b["text"]
+        )),
+        lambda text: text.isNotNull(),
     )
-    nodes = node_importance(blocks.where("path IS NOT NULL"))
-    low = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = low.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    judged = blocks.join(low, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    keep = (F.col("verdict") == KEEP) | ((F.col("verdict") == OPEN) & F.col("_path").isNull())
-    kept = F.collect_list(F.when(keep, F.struct("place", "text")))
-    whole = judged.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), kept.alias("kept"))
-    text = F.array_join(F.transform(F.array_sort("kept"), lambda b: b["text"]), "\n")
-    return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return parsed.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
