@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ordermill.functions.expressions import at, json_value, money, not_listed, snapshot_name, unless
+from ordermill import schema
+from ordermill.functions.expressions import at, json_value, micros, money, not_listed, snapshot_name, unless, well_formed
 from ordermill.functions.routes import path_of
 from ordermill.operators import changes, checks
 from ordermill.operators.admission import Limit, admission_counts, admit
 from ordermill.operators.runs import numbered_rows
-from ordermill.plans import reports, request_logs, snapshots, views
+from ordermill.plans import reports, request_logs, seeding, snapshots, views
 from ordermill.session import scratch_dir
 from ordermill.sources import access_logs
+from ordermill.sources.tables import conform, literal_rows
 from ordermill.streaming import streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,13 +103,13 @@ def conditional_value(spark, sf_dir):
     """
 )
 def count_guard(spark, sf_dir):
-    counts = [
-        table(spark, sf_dir, name).agg(F.count("*").alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count", (F.col("row_count") < 5000).alias("below_minimum")
+    tables = {name: table(spark, sf_dir, name) for name in ("customer", "orders", "part")}
+    return checks.union_all(
+        df.agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count", F.lit(views.fewer_than(df, 5000)).alias("below_minimum")
         )
-        for name in ("customer", "orders", "part")
-    ]
-    return checks.union_all(counts)
+        for name, df in tables.items()
+    )
 
 
 # ------------------------------------------------------------------ data-quality rules
@@ -395,12 +398,22 @@ def seed_when_empty(spark, sf_dir):
     )
 
 
-@query(_ORDERS_SQL)
+@query(
+    f"""
+    SELECT 'short' AS target, * FROM ({_ORDERS_SQL})
+    UNION ALL SELECT 'full', * FROM ({_ORDERS_SQL}) WHERE o_orderstatus <> 'P'
+    """
+)
 def seed_when_fewer(spark, sf_dir):
+    """One target below the minimum of three rows, one far above it."""
     orders = _orders(spark, sf_dir)
-    target = orders.where(F.col("o_orderstatus") == "P")
-    incoming = orders.where(F.col("o_orderstatus") != "P")
-    return changes.insert_if_fewer(target, incoming, 1 << 30, ["o_orderkey"])
+    full = orders.where(F.col("o_orderstatus") != "P")
+    short = orders.where(F.col("o_orderkey") < 0)
+    parts = (("short", short, orders), ("full", full, orders.where(F.col("o_orderstatus") == "P")))
+    return checks.union_all(
+        changes.insert_if_fewer(target, incoming, 3, ["o_orderkey"]).select(F.lit(name).alias("target"), "*")
+        for name, target, incoming in parts
+    )
 
 
 @query(
@@ -524,6 +537,184 @@ def delete_blockers(spark, sf_dir):
     )
 
 
+# ------------------------------------------------- declared tables, filled from the given ones
+
+_NOW = datetime(2024, 1, 15, 12, 30)
+_STATUS = {"F": "delivered", "O": "confirmed", "P": "pending"}
+
+
+def _declared(spark, sf_dir) -> dict[str, DataFrame]:
+    """The given tables as declared ones; columns without a counterpart are NULL."""
+
+    def named(prefix: str, column: str) -> Column:
+        return F.concat(F.lit(prefix), F.col(column))
+
+    status = F.lit(None)
+    for given, word in _STATUS.items():
+        status = F.when(F.col("o_orderstatus") == given, word).otherwise(status)
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    filled = {
+        "restaurants": table(spark, sf_dir, "nation").select(
+            named("R", "n_nationkey").alias("restaurant_id"), F.col("n_name").alias("name"), F.col("n_name").alias("address")
+        ),
+        "customers": customers.select(
+            named("C", "c_custkey").alias("customer_id"), F.col("c_name").alias("name"), named("+", "c_custkey").alias("phone_number")
+        ),
+        "orders": orders.select(
+            named("O", "o_orderkey").alias("order_id"), named("C", "o_custkey").alias("customer_id"), status.alias("order_status"),
+            F.col("o_totalprice").alias("subtotal"), F.col("o_totalprice").alias("total_amount"), F.col("o_orderdate").alias("created_at"),
+        ),
+        "order_items": table(spark, sf_dir, "lineitem").select(
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("order_item_id"), named("O", "l_orderkey").alias("order_id"),
+            F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("unit_price"),
+        ),
+        "order_status_history": orders.where(F.col("o_orderstatus") == "O").select(
+            F.col("o_orderkey").alias("history_id"), named("O", "o_orderkey").alias("order_id"), F.lit("confirmed").alias("new_status")
+        ),
+        "user_sessions": _sessions(spark, sf_dir).select(
+            named("S", "event_id").alias("session_id"), F.lit("t").alias("token"), "expires_at"
+        ),
+        "users": literal_rows(
+            spark, "users",
+            [{"user_id": i, "username": n, "email": f"{n}@x.example", "password_hash": "-"} for i, n in ((1, "ada"), (2, "ben"))],
+        ),
+    }
+    return {name: conform(df, schema.struct(name)) for name, df in filled.items()}
+
+
+_UPDATES_SQL = """
+    SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'lost' ELSE 'ready' END AS order_status,
+           o_totalprice - 100000 AS total_amount,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderpriority = '2-HIGH' THEN 'C-none'
+                ELSE 'C' || CAST(o_custkey AS VARCHAR) END AS customer_id
+    FROM orders WHERE o_orderstatus = 'P'
+"""
+
+
+@query(
+    f"""
+    WITH updates AS ({_UPDATES_SQL})
+    SELECT * FROM (
+        SELECT 'orders' AS table_name, 'order_status' AS rule, 'allowed_values' AS kind,
+               count(*) FILTER (WHERE order_status = 'lost') AS violations FROM updates
+        UNION ALL SELECT 'orders', 'total_amount', 'not_negative', count(*) FILTER (WHERE total_amount < 0) FROM updates
+        UNION ALL SELECT 'orders', 'customer_id -> customers.customer_id', 'reference',
+                         count(*) FILTER (WHERE customer_id = 'C-none') FROM updates
+    ) WHERE violations > 0
+    """
+)
+def update_checked(spark, sf_dir):
+    """What an update of all pending orders would break."""
+    pending = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    priority = F.col("o_orderpriority")
+    updates = pending.select(
+        F.concat(F.lit("O"), F.col("o_orderkey")).alias("order_id"),
+        F.when(F.col("o_totalprice") > 200000, "lost").otherwise("ready").alias("order_status"),
+        (F.col("o_totalprice") - 100000).alias("total_amount"),
+        F.when(priority == "1-URGENT", F.lit(None)).when(priority == "2-HIGH", "C-none")
+        .otherwise(F.concat(F.lit("C"), F.col("o_custkey"))).alias("customer_id"),
+    )
+    return checks.failures(changes.update_report(_declared(spark, sf_dir), "orders", updates, _NOW))
+
+
+@query(
+    """
+    SELECT 'orders' AS table_name, 'O' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus <> 'F'
+    UNION ALL
+    SELECT 'order_items', CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+    UNION ALL
+    SELECT 'blocked by order_status_history', CAST(count(*) AS VARCHAR) FROM orders WHERE o_orderstatus = 'O'
+    """
+)
+def delete_rows(spark, sf_dir):
+    """Both tables after delivered orders went, and what forbids deleting the confirmed ones."""
+    tables = _declared(spark, sf_dir)
+    changed = changes.delete_rows(tables, "orders", F.col("order_status") == "delivered")
+    blocking = changes.blocking_counts(tables, "orders", tables["orders"].where(F.col("order_status") == "confirmed"))
+    left = [
+        changed[name].select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("id"))
+        for name, key in (("orders", "order_id"), ("order_items", "order_item_id"))
+    ]
+    blocked = F.concat(F.lit("blocked by "), F.col("table_name")).alias("table_name")
+    return checks.union_all([*left, blocking.select(blocked, F.col("violations").cast("string").alias("id"))])
+
+
+@query(
+    f"""
+    SELECT 'customers' AS table_name, 'C' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer
+    UNION ALL SELECT 'customers', 'C-first', 'First'
+    UNION ALL SELECT 'restaurants', 'R' || CAST(n_nationkey AS VARCHAR), n_name FROM nation
+    UNION ALL SELECT 'menu_items', 'I1', 'seed'
+    UNION ALL SELECT 'user_sessions', 'S' || CAST(event_id AS VARCHAR), 't' FROM ({_SESSIONS_SQL})
+    WHERE expires_at >= TIMESTAMP '2024-01-15'
+    """
+)
+def start_up(spark, sf_dir):
+    """Seed with each guard, then purge sessions: a new and a known customer, a table with
+    enough rows, an empty table."""
+    tables = _declared(spark, sf_dir)
+    tables["menu_items"] = conform(tables["restaurants"].limit(0), schema.struct("menu_items"))
+    guards = {
+        "customers": seeding.IfAbsent(
+            literal_rows(
+                spark, "customers",
+                [
+                    {"customer_id": "C-first", "name": "First", "phone_number": "first"},
+                    {"customer_id": "C1", "name": "Not this one", "phone_number": "other"},
+                ],
+            ),
+            "customer_id",
+        ),
+        "restaurants": seeding.IfFewer(
+            literal_rows(spark, "restaurants", [{"restaurant_id": "R-more", "name": "n", "address": "a"}]), 3
+        ),
+        "menu_items": seeding.IfEmpty(
+            literal_rows(spark, "menu_items", [{"item_id": "I1", "name": "seed", "price": Decimal("2.00"), "restaurant_id": "R1"}])
+        ),
+    }
+    after = seeding.start_up(tables, guards, _PURGE_TIME)
+    shown = (
+        ("customers", "customer_id", "name"), ("restaurants", "restaurant_id", "name"), ("menu_items", "item_id", "name"),
+        ("user_sessions", "session_id", "token"),
+    )
+    return checks.union_all(
+        after[name].select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.col(value).alias("name"))
+        for name, key, value in shown
+    )
+
+
+def _new_users(spark, sf_dir) -> DataFrame:
+    """Suppliers inserted as users: generated keys and ids, defaults, all rules checked."""
+    incoming = table(spark, sf_dir, "supplier").select(
+        F.concat(F.col("s_name"), F.lit(" " * 60)).alias("username"),
+        F.concat(F.col("s_name"), F.lit("@x.example")).alias("email"), F.lit("-").alias("password_hash"),
+    )
+    return changes.insert_rows(_declared(spark, sf_dir), "users", incoming, _NOW, key_order=["username"])
+
+
+@query(
+    """
+    SELECT 1 AS user_id, 'ada' AS username, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS TIMESTAMP) AS created_at
+    UNION ALL SELECT 2, 'ben', NULL, NULL
+    UNION ALL SELECT CAST(2 + row_number() OVER (ORDER BY s_name) AS INTEGER), rpad(s_name, 50, ' '), 'employee', TIMESTAMP '2024-01-15 12:30:00'
+    FROM supplier
+    """
+)
+def insert_rows(spark, sf_dir):
+    return _new_users(spark, sf_dir).select("user_id", "username", "role", "created_at")
+
+
+@query("SELECT count(*) AS users, count(*) AS well_formed, count(DISTINCT s_name) AS different FROM supplier")
+def random_ids(spark, sf_dir):
+    """New users get ids of the right form, no two alike."""
+    new = _new_users(spark, sf_dir).where(F.col("public_id").isNotNull())
+    return new.agg(
+        F.count("*").alias("users"), F.count_if(well_formed(F.col("public_id"), "uuid")).alias("well_formed"),
+        F.count_distinct("public_id").alias("different"),
+    )
+
+
 # --------------------------------------------------------- snapshots and versioned tables
 
 
@@ -585,16 +776,16 @@ _LOG_SQL = """
 """
 
 
-def _log_lines(spark, sf_dir) -> DataFrame:
+def _log_lines(spark, sf_dir, client: Column | None = None, time: Column | None = None, events: DataFrame | None = None) -> DataFrame:
     """Events as proxy log lines; those of a value below 1 are torn off."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events") if events is None else events
     kind, path = F.col("event_type"), F.lit(None)
     for event_type, prefix in _REQUEST_PATHS.items():
         path = F.when(kind == event_type, F.lit(prefix)).otherwise(path)
     fields: dict[str, Column] = {
-        "remote_addr": F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.expr("user_id % 256")),
+        "remote_addr": F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.expr("user_id % 256")) if client is None else client,
         "remote_user": F.lit(None),
-        "time_local": F.col("ts"),
+        "time_local": F.col("ts") if time is None else time,
         "request": F.concat(F.lit("GET "), path, F.lit("?id="), F.col("event_id"), F.lit(" HTTP/1.1")),
         "status": F.when(kind == "error", 404).otherwise(200),
         "body_bytes_sent": F.when(kind != "signup", F.round(F.col("value") * 100).cast("long")),
@@ -760,47 +951,79 @@ def admission_by_client(spark, sf_dir):
     return admission_counts(decided, "user_id")
 
 
-_HOT_LIMIT = Limit(30_000_000, 20)
+_HOT_LIMIT = Limit(5 * 60 * 1_000_000, 20)
+_HOT_WALK = _bucket_sql(
+    "(SELECT 'all' AS client, event_id, ts FROM events)", "client", "epoch_us(ts)", "event_id", *_HOT_LIMIT
+)
 
 
-@query()
+@query(f"{_HOT_WALK} SELECT client, id AS event_id, admitted FROM walk")
 def admission_one_client(spark, sf_dir):
-    """All events as requests of one client, which then spreads over all partitions.
-
-    The recursive SQL takes one step per event here, so a test compares this with a
-    plain loop instead.
-    """
+    """All events as requests of one client, which then spreads over all partitions."""
     events = table(spark, sf_dir, "events").withColumn("client", F.lit("all"))
     return admit(events, "client", "ts", "event_id", _HOT_LIMIT)
 
 
+# Log times pressed together, and few clients, so that the real limits reject.
+_PRESSED, _CLIENTS = 50_000, 4
+
+
+def _pressed_sql(route: str, path: str, limit: Limit) -> str:
+    source = f"""(
+        SELECT event_id, '10.1.0.' || CAST(user_id % {_CLIENTS} AS VARCHAR) AS remote_addr,
+               epoch_us(time_local) // 1000000 // {_PRESSED} * 1000000 AS t
+        FROM (SELECT l.*, e.user_id FROM ({_LOG_SQL}) l JOIN events e ON e.event_id = l.event_id)
+        WHERE value >= 1 AND path = '{path}')"""
+    walk = _bucket_sql(source, "remote_addr", "t", "event_id", *limit)
+    return f"SELECT * FROM ({walk} SELECT '{route}' AS route, client AS remote_addr, id AS event_id, admitted FROM walk)"
+
+
 @query(
-    """
-    SELECT remote_addr, event_id, true AS admitted, route FROM (
-        SELECT *, CASE WHEN path = '/api/menu' THEN 'api' ELSE 'auth' END AS route FROM (""" + _LOG_SQL + """)
-        WHERE value >= 1 AND path IN ('/api/menu', '/register'))
-    """
+    _pressed_sql("api", "/api/menu", request_logs.LIMITED_ROUTES["api"])
+    + " UNION ALL "
+    + _pressed_sql("auth", "/register", request_logs.LIMITED_ROUTES["auth"])
 )
 def replay_limits(spark, sf_dir):
-    """No client of the given events is fast enough for the real limits to reject any."""
-    parsed = _parsed_requests(access_logs.parse_proxy_lines(_log_lines(spark, sf_dir)))
-    routed = request_logs.with_route(parsed)
-    return request_logs.replay_limits(routed, "remote_addr", "time_local", "event_id")
+    """The log of a busier shop: the same lines within seconds, from a few clients."""
+    lines = _log_lines(
+        spark, sf_dir,
+        client=F.concat(F.lit("10.1.0."), F.col("user_id") % _CLIENTS),
+        time=F.timestamp_seconds(F.floor(F.floor(micros(F.col("ts")) / 1_000_000) / _PRESSED)),
+    )
+    parsed = _parsed_requests(access_logs.parse_proxy_lines(lines))
+    return request_logs.replay_limits(request_logs.with_route(parsed), "remote_addr", "time_local", "event_id")
 
 
 # ------------------------------------------------------------------------------ streams
 
 
-def _event_stream(spark, sf_dir) -> DataFrame:
-    columns = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(columns).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+_SLICES = 4
+
+
+def _time_slices(events: DataFrame) -> list[DataFrame]:
+    """The events in equal spans of time, oldest first."""
+    times = micros(F.col("ts"))
+    first, last = events.agg(F.min(times), F.max(times)).first()
+    width = (last - first) // _SLICES + 1
+    starts = [first + i * width for i in range(_SLICES)]
+    return [events.where((times >= start) & (times < start + width)) for start in starts]
+
+
+def _event_stream(spark, sf_dir, folder: str) -> DataFrame:
+    """The events as they would arrive: slice after slice, each in files of its own, one file per micro-batch."""
+    events = table(spark, sf_dir, "events")
+    for i, part in enumerate(_time_slices(events)):
+        part.write.parquet(f"{folder}/arriving/slice={i}")
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{folder}/arriving")
 
 
 @query(_PARSED_SQL)
 def stream_log(spark, sf_dir):
     folder = scratch_dir(spark, "stream-log")
-    _log_lines(spark, sf_dir).write.text(f"{folder}/lines")
-    parsed = streams.log_stream(spark, f"{folder}/lines", "10 minutes")
+    for i, part in enumerate(_time_slices(table(spark, sf_dir, "events"))):
+        _log_lines(spark, sf_dir, events=part).write.mode("append").text(f"{folder}/lines")
+    parsed = streams.log_stream(spark, f"{folder}/lines", "10 minutes", files_per_batch=1)
     streams.ingest_log(parsed, f"{folder}/parsed", f"{folder}/progress").awaitTermination()
     stored = spark.read.schema(parsed.schema).parquet(f"{folder}/parsed")
     return _parsed_requests(stored)
@@ -810,7 +1033,7 @@ def stream_log(spark, sf_dir):
 def stream_admission(spark, sf_dir):
     folder = scratch_dir(spark, "stream-admission")
     job = streams.AdmissionStream("user_id", "ts", "event_id", _TWELVE_HOURS, folder)
-    job.start(_event_stream(spark, sf_dir), f"{folder}/progress").awaitTermination()
+    job.start(_event_stream(spark, sf_dir, folder), f"{folder}/progress").awaitTermination()
     return job.decisions(spark)
 
 
@@ -824,8 +1047,8 @@ def stream_admission(spark, sf_dir):
 def stream_insert_if_absent(spark, sf_dir):
     folder = scratch_dir(spark, "stream-insert")
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    job = streams.InsertStream(events.where(F.col("event_id") < 0), ["user_id"], ["ts", "event_id"], folder)
-    job.start(_event_stream(spark, sf_dir), f"{folder}/progress").awaitTermination()
+    job = streams.InsertStream(events.where(F.col("event_id") < 0), ["user_id"], ["ts", "event_id"], folder, compact_every=2)
+    job.start(_event_stream(spark, sf_dir, folder), f"{folder}/progress").awaitTermination()
     return job.table(spark)
 
 
@@ -851,9 +1074,10 @@ def latest_status(spark, sf_dir):
 def stream_latest_status(spark, sf_dir):
     """Changed users are stored after each micro-batch; their last state is read back."""
     folder = scratch_dir(spark, "stream-status")
-    latest = reports.latest_status(_event_stream(spark, sf_dir), "user_id", "event_type", "ts", "event_id")
-    streams.store_changes(latest, f"{folder}/latest", f"{folder}/progress").awaitTermination()
-    return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema)
+    latest = reports.latest_status(_event_stream(spark, sf_dir, folder), "user_id", "event_type", "ts", "event_id")
+    job = streams.store_changes(latest, ["user_id"], f"{folder}/latest", f"{folder}/progress", compact_every=2)
+    job.awaitTermination()
+    return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema, compact_every=2)
 
 
 @query(
@@ -916,9 +1140,9 @@ def stream_failed_logins(spark, sf_dir):
     """Windows that the watermark has closed; the last one is still open."""
     folder = scratch_dir(spark, "stream-logins")
     windows = streams.failed_login_stream(
-        _attempts(_event_stream(spark, sf_dir)), "user_id", "ts", "failed", "1 day", "0 seconds"
+        _attempts(_event_stream(spark, sf_dir, folder)), "user_id", "ts", "failed", "1 day", "0 seconds"
     )
-    streams.append_available(windows, f"{folder}/windows", f"{folder}/progress").awaitTermination()
+    streams.append_rows(windows, f"{folder}/windows", f"{folder}/progress").awaitTermination()
     stored = spark.read.schema(windows.schema).parquet(f"{folder}/windows")
     return stored.withColumns(
         {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}

@@ -66,5 +66,5 @@ def well_formed(column: Column, form: str) -> Column:
 
 
 def micros(column: Column) -> Column:
-    """Whole microseconds since 1970 in the session zone, which is UTC here."""
-    return F.unix_micros(column.cast("timestamp"))
+    """Whole microseconds from 1970 to a time without a zone, whatever the session zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column.cast("timestamp_ntz"))

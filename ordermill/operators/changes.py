@@ -18,6 +18,7 @@ from ordermill.functions.expressions import at
 from ordermill.operators import checks
 from ordermill.operators.runs import numbered_rows
 from ordermill.plans.views import fewer_than
+from ordermill.session import scratch_dir
 
 
 def with_defaults(df: DataFrame, columns: Mapping[str, str], defaults: Mapping[str, Column]) -> DataFrame:
@@ -51,6 +52,17 @@ def prepare(df: DataFrame, table: str, now: datetime, next_key: int = 1, key_ord
     return with_defaults(df, columns, defaults)
 
 
+def without_excess_blanks(df: DataFrame, table: str) -> DataFrame:
+    """Values that are too long by blanks at their end only, cut to the allowed length."""
+
+    def cut(column: str, limit: int) -> Column:
+        whole = F.col(column)
+        only_blanks = (F.char_length(whole) > limit) & (F.rtrim(F.substring(whole, limit + 1, 1 << 30)) == "")
+        return F.when(only_blanks, F.substring(whole, 1, limit)).otherwise(whole)
+
+    return df.withColumns({c: cut(c, n) for c, n in schema.lengths(table).items()})
+
+
 def next_key(df: DataFrame, key: str) -> int:
     return df.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).first()["last"] + 1
 
@@ -120,7 +132,11 @@ def insert_rows(
     """
     spec, target = schema.TABLES[table], tables[table]
     numbered = spec.serial and spec.key not in incoming.columns
-    new = prepare(incoming, table, now, next_key(target, spec.key) if numbered else 1, key_order)
+    prepared = prepare(incoming, table, now, next_key(target, spec.key) if numbered else 1, key_order)
+    # Stored once: every check and the write see the same keys and random ids.
+    path = scratch_dir(prepared.sparkSession, "incoming")
+    without_excess_blanks(prepared, table).write.parquet(path)
+    new = prepared.sparkSession.read.schema(prepared.schema).parquet(path)
     checks.require(
         checks.union_all(
             [
@@ -162,10 +178,11 @@ def update_with_stamp(
 ) -> DataFrame:
     """Replace values of matched rows and stamp them with the statement time.
 
-    ``updates`` has one row per key and any of the target's columns. A NULL in it is
-    a new value. The stamp is set even if nothing changed or ``updates`` names it;
-    tables without a stamp pass ``stamp=None``.
+    ``updates`` has any of the target's columns. A NULL in it is a new value. Two
+    updates of one key raise: neither may win by chance. The stamp is set even if
+    nothing changed or ``updates`` names it; tables without a stamp pass ``stamp=None``.
     """
+    checks.require(checks.check_unique(updates, "updates", keys))
     changed = [c for c in updates.columns if c in target.columns and c not in keys and c != stamp]
     new = updates.select(
         *(F.col(k).alias(f"_key_{k}") for k in keys),
@@ -188,10 +205,41 @@ def update_with_stamp(
     return joined.select(*(value(field) for field in target.schema.fields))
 
 
-def update_table(table: str, target: DataFrame, updates: DataFrame, now: datetime) -> DataFrame:
-    """Update a declared table; only some of the tables carry a stamp."""
+def touched_rows(table: str, target: DataFrame, updates: DataFrame, now: datetime) -> DataFrame:
+    """The rows of a declared table that an update matches, as they will be."""
+    spec = schema.TABLES[table]
+    matched = target.join(updates.select(spec.key), spec.key, "left_semi").select(*target.columns)
+    return update_with_stamp(matched, updates, [spec.key], now, "updated_at" if spec.stamped else None)
+
+
+def update_report(tables: Mapping[str, DataFrame], table: str, updates: DataFrame, now: datetime) -> DataFrame:
+    """What an update would break: every rule that its columns take part in.
+
+    Only touched rows are checked; a changed unique column is also compared with the
+    rows that stay.
+    """
+    spec, target = schema.TABLES[table], tables[table]
+    new = touched_rows(table, target, updates, now)
+    rest = target.join(updates.select(spec.key), spec.key, "left_anti").select(*target.columns)
+    changed = set(updates.columns) - {spec.key}
+    return checks.union_all(
+        [
+            checks.check_rows(new, table, checks.row_rules(table)),
+            *(clashes(rest, new, table, [column]) for column in spec.unique if column in changed),
+            *(
+                checks.check_reference(new, table, r.column, tables[r.parent], r.parent, r.parent_column)
+                for r in spec.references
+                if r.column in changed
+            ),
+        ]
+    )
+
+
+def update_table(tables: Mapping[str, DataFrame], table: str, updates: DataFrame, now: datetime) -> DataFrame:
+    """Update a declared table; raises if a touched row would break a rule."""
     spec = schema.TABLES[table]
-    return update_with_stamp(target, updates, [spec.key], now, "updated_at" if spec.stamped else None)
+    checks.require(update_report(tables, table, updates, now))
+    return update_with_stamp(tables[table], updates, [spec.key], now, "updated_at" if spec.stamped else None)
 
 
 def expired(column: str, now: datetime) -> Column:
@@ -200,8 +248,8 @@ def expired(column: str, now: datetime) -> Column:
 
 
 def purge_expired(df: DataFrame, column: str, now: datetime) -> DataFrame:
-    """The rows that stay."""
-    return df.where(~expired(column, now))
+    """The rows that stay. The filter reaches the scan."""
+    return df.where((F.col(column) >= at(now)) | F.col(column).isNull())
 
 
 def purge_counts(df: DataFrame, column: str, now: datetime) -> DataFrame:
@@ -254,11 +302,10 @@ def delete_rows(tables: Mapping[str, DataFrame], table: str, predicate: Column)
     the next state of every table that changes.
     """
     target = tables[table]
-    matches = F.coalesce(predicate, F.lit(False))
-    deleted = target.where(matches)
+    deleted = target.where(predicate)
     if any(not reference.cascade for _, reference in schema.children(table)):
         checks.require(blocking_counts(tables, table, deleted))
-    changed = {table: target.where(~matches)}
+    changed = {table: target.where(~predicate | predicate.isNull())}
     for child, reference in schema.children(table):
         if reference.cascade:
             changed[child] = rows_left(tables[child], reference.column, deleted, reference.parent_column)

@@ -8,11 +8,18 @@ of similar size, and only one row per run crosses a run's border.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ordermill.session import cut_lineage
+from ordermill.session import cut_lineage, scratch_dir
+
+# Executors get this module's functions with the task, so they need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RUN = "_run"
 POSITION = "_position"
@@ -22,107 +29,91 @@ POSITION = "_position"
 _ROW_BITS = 33
 
 
-def range_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def range_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], backwards: bool = False) -> DataFrame:
     """``df`` sorted by keys and order over all partitions, with run number and position.
 
     ``order`` must end in a unique column, so that no border falls inside a tie. The
     result is stored: a second job must see the same borders.
     """
-    columns = [*keys, *order]
-    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    row_id = F.monotonically_increasing_id()
-    return cut_lineage(
-        placed.withColumns(
-            {
-                RUN: F.shiftright(row_id, _ROW_BITS).cast("int"),
-                POSITION: row_id.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1,
-            }
-        )
-    )
+    return cut_lineage(_placed(df, [*keys, *order], backwards))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; reads only the key columns."""
-    row = df.groupBy(*keys).agg(F.count("*").alias("rows")).agg(F.max("rows").alias("rows")).first()
-    return row.rows or 0
+def _placed(df: DataFrame, columns: Sequence[str], backwards: bool = False) -> DataFrame:
+    directed = [F.col(c).desc_nulls_last() if backwards else F.col(c).asc_nulls_first() for c in columns]
+    placed = df.repartitionByRange(*directed).sortWithinPartitions(*directed)
+    row_id = F.monotonically_increasing_id()
+    return placed.withColumns(
+        {
+            RUN: F.shiftright(row_id, _ROW_BITS).cast("int"),
+            POSITION: row_id.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1,
+        }
+    )
 
 
 def previous_values(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, str],
-    max_group_rows: int = 1_000_000,
-    backwards: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], backwards: bool = False
 ) -> DataFrame:
     """Add, for each new name in ``values``, that column of the row before in the group.
 
-    ``backwards`` takes the row after instead. Groups up to ``max_group_rows`` use an
-    ordinary window. If any group is larger, the table is cut into runs; rows at the
-    start of a run take their value from the last row of the run before.
+    ``backwards`` takes the row after instead. There is one way for groups of any size:
+    the table is cut into runs that are stored in order, columns are shifted by one row
+    inside each run, and the first row of a run takes the last values of the run before.
     """
-    if largest_group(df, keys) <= max_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*_directed(order, backwards))
-        return df.withColumns({new: F.lag(old).over(window) for new, old in values.items()})
-    return _previous_over_runs(df, keys, order, values, backwards)
-
-
-def _directed(order: Sequence[str], backwards: bool) -> list[Column]:
-    return [F.col(c).desc_nulls_last() if backwards else F.col(c).asc_nulls_first() for c in order]
-
-
-def _previous_over_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], backwards: bool
-) -> DataFrame:
-    runs = range_runs(df, keys, order)
-    inside = Window.partitionBy(RUN, *keys).orderBy(*_directed(order, backwards))
-    taken = {f"_value_{i}": old for i, old in enumerate(values.values())}
-
-    # One row per run: its first and last row. There are as many as partitions, so
-    # they fit a broadcast and an unpartitioned window.
-    row = F.struct(*[*keys, *order], *(F.col(old).alias(f"_value_{i}") for i, old in enumerate(values.values())))
-    first, last = (F.max, F.min) if backwards else (F.min, F.max)
-    ends = runs.groupBy(RUN).agg(first(row).alias("_first"), last(row).alias("_last"))
-    run_order = F.col(RUN).desc() if backwards else F.col(RUN).asc()
-    borders = ends.withColumn("_before", F.lag("_last").over(Window.orderBy(run_order)))
-    same_key = [F.col(f"_before.{k}").eqNullSafe(F.col(f"_first.{k}")) for k in keys]
-    carried = borders.where(F.col("_before").isNotNull())
-    for condition in same_key:
-        carried = carried.where(condition)
-    carried = carried.select(
-        F.col(RUN).alias("_at_run"),
-        *(F.col(f"_first.{k}").alias(f"_at_{k}") for k in keys),
-        *(F.col(f"_before.{name}").alias(f"_carried{name}") for name in taken),
-    )
-
-    numbered = runs.withColumns(
-        {
-            "_rank": F.row_number().over(inside),
-            **{f"_inside{name}": F.lag(old).over(inside) for name, old in taken.items()},
-        }
+    runs = range_runs(df, keys, order, backwards)
+    taken = list(dict.fromkeys([*keys, *values.values()]))
+    # One row per run, so they fit a broadcast and an unpartitioned window.
+    last = F.max_by(F.struct(*taken), POSITION)
+    borders = runs.groupBy(RUN).agg(last.alias("_last")).select(
+        F.col(RUN).alias("_at_run"), F.lag("_last").over(Window.orderBy(RUN)).alias("_before")
     )
-    meets = F.col(RUN) == F.col("_at_run")
-    for k in keys:
-        meets = meets & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
-    joined = numbered.join(F.broadcast(carried), meets, "left")
-    return joined.select(
-        *df.columns,
-        *(
-            F.when(F.col("_rank") == 1, F.col(f"_carried{name}"))
-            .otherwise(F.col(f"_inside{name}"))
-            .alias(new)
-            for name, new in zip(taken, values)
-        ),
+    bordered = runs.join(F.broadcast(borders), F.col(RUN) == F.col("_at_run"), "left").select(
+        *df.columns, POSITION, F.when(F.col(POSITION) == 1, F.col("_before")).alias("_before")
     )
+    columns = T.StructType([*df.schema.fields, *(T.StructField(new, df.schema[old].dataType) for new, old in values.items())])
+    return bordered.mapInArrow(_shifted(df.columns, keys, values), columns)
+
+
+def _shifted(columns: list[str], keys: Sequence[str], values: dict[str, str]):
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[str, pa.Array] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = pc.equal(batch.column(POSITION), 1)
+            border = batch.column("_before")
+
+            def before(name: str) -> pa.Array:
+                """The value one row earlier, whichever run or batch holds it."""
+                own = batch.column(name)
+                head = carried.get(name, pa.nulls(1, own.type))
+                inside = pa.concat_arrays([head, own.slice(0, len(own) - 1)])
+                return pc.if_else(first, pc.struct_field(border, name), inside)
+
+            same = pa.array([True] * batch.num_rows)
+            for key in keys:
+                own, other = batch.column(key), before(key)
+                equal = pc.fill_null(pc.equal(own, other), False)
+                same = pc.and_(same, pc.or_(equal, pc.and_(pc.is_null(own), pc.is_null(other))))
+            # The very first row has nothing before it: its border is null as a whole.
+            same = pc.and_(same, pc.invert(pc.and_(first, pc.is_null(border))))
+            shifted = [pc.if_else(same, before(old), pa.scalar(None, batch.column(old).type)) for old in values.values()]
+            carried = {name: batch.column(name).slice(batch.num_rows - 1) for name in {*keys, *values.values()}}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *shifted], [*columns, *values])
+
+    return shift
 
 
 def numbered_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
     """Number all rows ``start + 1, start + 2, ...`` in the given order.
 
     Rows are counted inside their run as they are stored; each run then starts after
-    the rows of the runs before it. The data itself is shuffled once.
+    the rows of the runs before it. The data is shuffled once and stored by columns, so
+    counting reads the run numbers only.
     """
-    runs = range_runs(df, [], order)
+    path = scratch_dir(df.sparkSession, "numbered")
+    placed = _placed(df, order)
+    placed.write.parquet(path)
+    runs = df.sparkSession.read.schema(placed.schema).parquet(path)
     sizes = runs.groupBy(RUN).agg(F.count("*").alias("_rows"))
     before = Window.orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

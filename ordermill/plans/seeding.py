@@ -41,11 +41,12 @@ def with_workplace(users: DataFrame, restaurant: str) -> DataFrame:
     return users.withColumn("restaurant_id", unless(F.col("role"), "user", restaurant))
 
 
-def rows_to_insert(target: DataFrame, guard: IfAbsent | IfEmpty | IfFewer) -> DataFrame:
+def rows_to_insert(target: DataFrame, guard: IfAbsent | IfEmpty | IfFewer) -> DataFrame | None:
+    """The rows that the guard lets in; None if it keeps all of them out."""
     if isinstance(guard, IfAbsent):
         return changes.absent_rows(target, guard.rows, [guard.key], guard.order or guard.rows.columns)
     wanted = target.isEmpty() if isinstance(guard, IfEmpty) else fewer_than(target, guard.minimum)
-    return guard.rows if wanted else guard.rows.limit(0)
+    return guard.rows if wanted else None
 
 
 def seed(
@@ -58,6 +59,8 @@ def seed(
     result = dict(tables)
     for table, guard in guards.items():
         new = rows_to_insert(result[table], guard)
+        if new is None:
+            continue
         result[table] = changes.insert_rows(result, table, new, now, key_order=[numbering_column(table, new)])
     return result
 

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ordermill import schema
-from ordermill.functions.expressions import at
+from ordermill.functions.expressions import at, micros
 from ordermill.operators import checks
 from ordermill.session import folder_exists, remove_folder
 
@@ -64,8 +64,7 @@ def manifest(spark: SparkSession, base: str) -> DataFrame:
 
 def age_in_days(taken_at: Column, now: datetime) -> Column:
     """Whole days, rounded down: 7 days and 23 hours are 7."""
-    age = F.unix_micros(at(now).cast("timestamp")) - F.unix_micros(taken_at.cast("timestamp"))
-    return F.floor(age / F.lit(86_400_000_000))
+    return F.floor((micros(at(now)) - micros(taken_at)) / F.lit(86_400_000_000))
 
 
 def retention(recorded: DataFrame, now: datetime, days: int = RETENTION_DAYS) -> DataFrame:

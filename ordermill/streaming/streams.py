@@ -6,19 +6,28 @@ batch that is run again after a failure replaces what it wrote before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ordermill.operators import admission as bucket
 from ordermill.operators.changes import absent_rows, first_per_key
 from ordermill.plans.reports import failed_logins
-from ordermill.session import remove_folder
+from ordermill.session import folder_exists, remove_folder
 from ordermill.sources.access_logs import parse_proxy_lines
 
 BATCH = "batch"
 
+# A job of a scheduler takes what is there and stops; ``{"processingTime": "1 minute"}``
+# keeps it running.
+AVAILABLE_NOW = {"availableNow": True}
+Trigger = Mapping[str, object]
+
+
+def _start(writer: DataStreamWriter, checkpoint: str, trigger: Trigger) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
 
 def log_stream(spark: SparkSession, path: str, delay: str, files_per_batch: int = 1000) -> DataFrame:
     """Proxy log lines as they arrive, parsed, with a watermark on the request time."""
@@ -26,48 +35,77 @@ def log_stream(spark: SparkSession, path: str, delay: str, files_per_batch: int
     return parse_proxy_lines(lines).withWatermark("time_local", delay)
 
 
-def ingest_log(parsed: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def ingest_log(parsed: DataFrame, folder: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
     """Append parsed lines; those that were not understood go to a partition of their own."""
-    return (
-        parsed.writeStream.partitionBy("understood")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(parsed.writeStream.partitionBy("understood").option("path", folder), checkpoint, trigger)
+
+
+def append_rows(stream: DataFrame, folder: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
+    return _start(stream.writeStream.option("path", folder), checkpoint, trigger)
+
 
+def _numbered(columns: T.StructType) -> T.StructType:
+    return T.StructType([*columns.fields, T.StructField(BATCH, T.IntegerType())])
 
-def append_available(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append what is there now and stop."""
-    return (
-        stream.writeStream.option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+def _before(spark: SparkSession, folder: str, part: str, columns: T.StructType, batch_id: int, every: int) -> DataFrame:
+    """What batches below ``batch_id`` stored: the last whole version and the parts since.
 
-def store_changes(aggregate: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Store, after each micro-batch, the groups of a running aggregate that changed."""
+    A batch whose number ``every`` divides first stores a whole version of all parts below it.
+    """
+    whole = max(0, (batch_id - 1) // every * every)
+    paths = [_batch_folder(folder, part, i) for i in range(whole, batch_id)]
+    if whole:
+        paths.append(_batch_folder(folder, "whole", whole))
+    return spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)
+
+
+def store_changes(
+    aggregate: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
+    trigger: Trigger = AVAILABLE_NOW, compact_every: int = 50,
+) -> StreamingQuery:
+    """Store, after each micro-batch, the groups of a running aggregate that changed.
+
+    Every so many batches their last states are stored whole, so that a reader meets a
+    bounded number of folders and states.
+    """
+    columns = aggregate.schema
 
     def step(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(_batch_folder(folder, "changes", batch_id))
+        spark = changed.sparkSession
+        if batch_id and batch_id % compact_every == 0:
+            newest = _newest(_before(spark, folder, "changes", _numbered(columns), batch_id, compact_every), keys)
+            newest.write.mode("overwrite").parquet(_batch_folder(folder, "whole", batch_id))
+        changed.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").parquet(_batch_folder(folder, "changes", batch_id))
+        _note_batch(spark, folder, batch_id)
 
-    return (
-        aggregate.writeStream.outputMode("update")
-        .foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(aggregate.writeStream.outputMode("update").foreachBatch(step), checkpoint, trigger)
 
 
-def current_groups(spark: SparkSession, folder: str, keys: Sequence[str], columns: T.StructType) -> DataFrame:
+def _newest(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return first_per_key(stored.withColumn("_age", -F.col(BATCH)), keys, ["_age"]).drop("_age")
+
+
+def _note_batch(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Record the last batch, after all else that it wrote. A batch may run twice."""
+    last = max(batch_id, _last_batch(spark, folder))
+    spark.createDataFrame([(last,)], "last int").write.mode("overwrite").parquet(f"{folder}/last")
+
+
+def _last_batch(spark: SparkSession, folder: str) -> int:
+    if not folder_exists(spark, f"{folder}/last"):
+        return -1
+    row = spark.read.schema("last int").parquet(f"{folder}/last").first()
+    return row.last if row else -1
+
+
+def current_groups(
+    spark: SparkSession, folder: str, keys: Sequence[str], columns: T.StructType, compact_every: int = 50
+) -> DataFrame:
     """The last stored state of every group."""
-    numbered = T.StructType([*columns.fields, T.StructField(BATCH, T.IntegerType())])
-    stored = spark.read.schema(numbered).parquet(f"{folder}/changes")
-    newest = stored.withColumn("_age", -F.col(BATCH))
-    return first_per_key(newest, keys, ["_age"]).select(*columns.names)
+    last = _last_batch(spark, folder)
+    stored = _before(spark, folder, "changes", _numbered(columns), last + 1, compact_every)
+    return _newest(stored, keys).select(*columns.names)
 
 
 def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str, width: str, delay: str) -> DataFrame:
@@ -96,13 +134,8 @@ class AdmissionStream:
         self.folder = folder
         self.delay = delay_micros
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self.step)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+    def start(self, stream: DataFrame, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
+        return _start(stream.writeStream.foreachBatch(self.step), checkpoint, trigger)
 
     def _stored(self, spark: SparkSession, part: str, batch_id: int, columns: T.StructType) -> DataFrame:
         if batch_id < 0:
@@ -115,9 +148,15 @@ class AdmissionStream:
         return row.horizon if row else bucket.NEVER
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: decide what is due, keep the rest and the levels."""
+        """One micro-batch: decide what is due, keep the rest and the levels.
+
+        The micro-batch is evaluated one time, to store the columns that count.
+        """
         spark, (client, time, id) = batch.sparkSession, self.columns
-        arrived = bucket.as_requests(batch, client, time, id)
+        requests = bucket.as_requests(batch, client, time, id)
+        path = _batch_folder(self.folder, "arrived", batch_id)
+        requests.write.mode("overwrite").parquet(path)
+        arrived = spark.read.schema(requests.schema).parquet(path)
         before = self._horizon(spark, batch_id - 1)
         newest = arrived.agg(F.max(bucket.TIME).alias("newest")).first().newest
         horizon = before if newest is None else max(before, newest - self.delay)
@@ -152,7 +191,9 @@ class AdmissionStream:
         undecided = arrived.where(~counted | (time < before)).withColumn(
             bucket.ADMITTED, F.when(F.col(bucket.CLIENT).isNull(), F.lit(True))
         )
-        decided.unionByName(undecided).write.mode("overwrite").parquet(decisions)
+        # Rows that only carry a level lie in a folder of their own, which readers skip.
+        split = decided.unionByName(undecided).withColumn("carried", F.coalesce(time == bucket.NEVER, F.lit(False)))
+        split.write.mode("overwrite").partitionBy("carried").parquet(decisions)
 
         written = spark.read.schema(decided.schema).parquet(decisions)
         drained = F.col(bucket.LEVEL) + self.limit.micros_per_request <= horizon
@@ -165,13 +206,14 @@ class AdmissionStream:
             _batch_folder(self.folder, "horizon", batch_id)
         )
         if batch_id >= 2:
-            for part in ("waiting", "levels", "horizon"):
+            for part in ("arrived", "waiting", "levels", "horizon"):
                 remove_folder(spark, _batch_folder(self.folder, part, batch_id - 2))
+            remove_folder(spark, f"{_batch_folder(self.folder, 'decisions', batch_id - 2)}/carried=true")
 
     def decisions(self, spark: SparkSession) -> DataFrame:
         client, _, id = self.columns
         written = spark.read.parquet(f"{self.folder}/decisions")
-        return written.where(F.col(bucket.TIME).isNull() | (F.col(bucket.TIME) != bucket.NEVER)).select(
+        return written.where(~F.col("carried").cast("boolean")).select(
             F.col(bucket.CLIENT).alias(client),
             F.col(bucket.ID).alias(id),
             F.col(bucket.ADMITTED).alias("admitted"),
@@ -179,33 +221,35 @@ class AdmissionStream:
 
 
 class InsertStream:
-    """Insert-if-absent from a stream into a seed table; only added rows are written."""
+    """Insert-if-absent from a stream into a seed table; only added rows are written.
 
-    def __init__(self, seed: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str):
+    Every so many batches the rows added so far are stored whole, so that a step reads a
+    bounded number of folders.
+    """
+
+    def __init__(self, seed: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, compact_every: int = 50):
         self.seed = seed
         self.keys = list(keys)
         self.order = list(order)
         self.folder = folder
+        self.compact_every = compact_every
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self.step)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+    def start(self, stream: DataFrame, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
+        return _start(stream.writeStream.foreachBatch(self.step), checkpoint, trigger)
 
     def _added(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What lower-numbered batches added."""
-        columns = T.StructType([*self.seed.schema.fields, T.StructField(BATCH, T.IntegerType())])
-        stored = spark.read.schema(columns).parquet(f"{self.folder}/added")
-        return stored.where(F.col(BATCH) < batch_id).drop(BATCH)
+        return _before(spark, self.folder, "added", self.seed.schema, batch_id, self.compact_every)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = self.seed if batch_id == 0 else self.seed.unionByName(self._added(spark, batch_id))
+        if batch_id and batch_id % self.compact_every == 0:
+            added = self._added(spark, batch_id)
+            added.write.mode("overwrite").parquet(_batch_folder(self.folder, "whole", batch_id))
+        target = self.seed.unionByName(self._added(spark, batch_id)) if batch_id else self.seed
         added = absent_rows(target, batch, self.keys, self.order).select(*self.seed.columns)
         added.write.mode("overwrite").parquet(_batch_folder(self.folder, "added", batch_id))
+        _note_batch(spark, self.folder, batch_id)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return self.seed.unionByName(self._added(spark, 1 << 30))
+        return self.seed.unionByName(self._added(spark, _last_batch(spark, self.folder) + 1))

@@ -88,28 +88,92 @@ def test_insert_refuses_broken_rows(spark, table, row, rule):
 
 
 def test_update_stamps_matched_rows(spark):
-    orders = shop(spark)["orders"]
+    tables = shop(spark)
+    orders = tables["orders"]
     updates = spark.createDataFrame(
         [("O1", "confirmed", datetime(1999, 1, 1)), ("O7", None, None)],
         "order_id string, order_status string, updated_at timestamp_ntz",
     )
-    after = {r.order_id: r for r in changes.update_table("orders", orders, updates, NOW).collect()}
+    after = {r.order_id: r for r in changes.update_table(tables, "orders", updates, NOW).collect()}
     assert len(after) == 8
     assert (after["O1"].order_status, after["O1"].updated_at) == ("confirmed", NOW)
     assert (after["O7"].order_status, after["O7"].updated_at) == (None, NOW)
     assert (after["O2"].order_status, after["O2"].updated_at) == ("delivered", None)
-    same = changes.update_table("orders", orders, orders.select("order_id").where("order_id = 'O3'"), NOW)
+    same = changes.update_table(tables, "orders", orders.select("order_id").where("order_id = 'O3'"), NOW)
     assert same.where("order_id = 'O3'").first().updated_at == NOW
 
 
 def test_only_some_tables_are_stamped(spark):
-    restaurants = shop(spark)["restaurants"]
+    tables = shop(spark)
+    restaurants = tables["restaurants"]
     updates = spark.createDataFrame([("R1", "Uno")], "restaurant_id string, name string")
-    after = changes.update_table("restaurants", restaurants, updates, NOW)
+    after = changes.update_table(tables, "restaurants", updates, NOW)
     assert after.columns == restaurants.columns
     assert pairs(after, "restaurant_id", "name") == [("R1", "Uno"), ("R2", "Two")]
 
 
+def test_two_updates_of_one_key_are_refused(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    updates = spark.createDataFrame([("a", 5), ("a", 6)], "k string, v int")
+    with pytest.raises(checks.BrokenRules, match="unique k"):
+        changes.update_with_stamp(target, updates, ["k"], NOW, stamp=None)
+
+
+@pytest.mark.parametrize(
+    "table, columns, row, rule",
+    [
+        ("orders", "order_id string, order_status string", ("O1", "lost"), "order_status"),
+        ("orders", "order_id string, customer_id string", ("O1", "C9"), "customer_id"),
+        ("customers", "customer_id string, phone_number string", ("C1", "2"), "phone_number"),
+        ("customers", "customer_id string, name string", ("C1", None), "not_null name"),
+    ],
+)
+def test_update_refuses_broken_rows(spark, table, columns, row, rule):
+    tables = shop(spark)
+    updates = spark.createDataFrame([row], columns)
+    with pytest.raises(checks.BrokenRules, match=rule):
+        changes.update_table(tables, table, updates, NOW)
+
+
+def test_update_may_keep_a_unique_value(spark):
+    tables = shop(spark)
+    updates = spark.createDataFrame([("C1", "1"), ("C2", "3")], "customer_id string, phone_number string")
+    after = changes.update_table(tables, "customers", updates, NOW)
+    assert pairs(after, "customer_id", "phone_number") == [("C1", "1"), ("C2", "3")]
+
+
+def test_filter_of_purge_reaches_the_scan(spark, tmp_path):
+    shop(spark)["user_sessions"].write.parquet(f"{tmp_path}/user_sessions")
+    kept = changes.purge_expired(spark.read.parquet(f"{tmp_path}/user_sessions"), "expires_at", NOW)
+    assert "PushedFilters: [Or(" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blanks_beyond_the_length_are_cut(spark):
+    incoming = literal(spark, "customers", [{"customer_id": "C3", "name": "Eve" + " " * 120, "phone_number": "3"}])
+    after = changes.insert_rows(shop(spark), "customers", incoming, NOW)
+    assert after.where("customer_id = 'C3'").first().name == "Eve" + " " * 97
+
+
+def test_start_up_twice_changes_nothing_more(spark):
+    tables = shop(spark)
+    tables["menu_items"] = tables["menu_items"].limit(0)
+    guards = {
+        "customers": seeding.IfAbsent(
+            literal(spark, "customers", [{"customer_id": "C1", "name": "other", "phone_number": "8"}, {"customer_id": "C8", "name": "new", "phone_number": "9"}]),
+            "customer_id",
+        ),
+        "menu_items": seeding.IfEmpty(literal(spark, "menu_items", [{"item_id": "I7", "name": "Tea", "price": "2.00", "restaurant_id": "R1"}])),
+        "restaurants": seeding.IfFewer(literal(spark, "restaurants", [{"restaurant_id": "R7", "name": "n", "address": "a"}]), 2),
+    }
+    once = seeding.start_up(tables, guards, datetime(2024, 1, 10))
+    assert pairs(once["customers"], "customer_id", "name") == [("C1", "Cid"), ("C2", "Dot"), ("C8", "new")]
+    assert once["menu_items"].count() == 1 and once["restaurants"].count() == 2
+    assert [r.session_id for r in once["user_sessions"].collect()] == ["s1"]
+    twice = seeding.start_up(once, guards, datetime(2024, 1, 10))
+    for name in ("customers", "menu_items", "restaurants", "user_sessions"):
+        assert sorted(map(repr, twice[name].collect())) == sorted(map(repr, once[name].collect()))
+
+
 def test_purge_is_strict(spark):
     sessions = shop(spark)["user_sessions"]
     now = datetime(2024, 1, 10)

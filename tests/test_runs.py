@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ordermill.operators import runs
 
@@ -17,13 +17,28 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("backwards", [False, True])
-def test_runs_equal_a_window(spark, many_partitions, skewed, backwards, rows):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_runs_equal_a_window(spark, many_partitions, skewed, backwards, batch, rows):
     wanted = {"other_v": "v", "other_at": "at"}
-    args = (skewed, ["k"], ["at", "id"], wanted)
-    window = runs.previous_values(*args, backwards=backwards)
-    split = runs.previous_values(*args, max_group_rows=100, backwards=backwards)
-    assert split.columns == window.columns
-    assert rows(split) == rows(window)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        split = runs.previous_values(skewed, ["k"], ["at", "id"], wanted, backwards=backwards)
+        found = rows(split)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = [F.col(c).desc_nulls_last() if backwards else F.col(c).asc_nulls_first() for c in ("at", "id")]
+    window = Window.partitionBy("k").orderBy(*order)
+    expected = skewed.withColumns({new: F.lag(old).over(window) for new, old in wanted.items()})
+    assert split.columns == expected.columns
+    assert found == rows(expected)
+
+
+def test_rows_before_need_no_second_exchange(skewed):
+    split = runs.previous_values(skewed, ["k"], ["at", "id"], {"other_v": "v"})
+    plan = split._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Only the borders are combined: one row per run.
+    assert all(runs.RUN in line and "k#" not in line for line in wide)
 
 
 def test_runs_split_a_large_key(spark, many_partitions, skewed):
@@ -33,12 +48,6 @@ def test_runs_split_a_large_key(spark, many_partitions, skewed):
     assert split.where("k = 'hot'").select(runs.RUN).distinct().count() > 1
 
 
-def test_largest_group(spark, skewed):
-    expected = skewed.groupBy("k").count().agg(F.max("count")).first()[0]
-    assert runs.largest_group(skewed, ["k"]) == expected
-    assert runs.largest_group(skewed.limit(0), ["k"]) == 0
-
-
 def test_numbers_are_dense_and_ordered(spark, many_partitions, skewed):
     numbered = runs.numbered_rows(skewed, ["at", "id"], "n", start=10)
     found = sorted((r.n, r.at, r.id) for r in numbered.collect())

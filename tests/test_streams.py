@@ -96,7 +96,7 @@ def test_insert_stream_equals_batch(spark, tmp_path, rows):
     columns = "k string, v int, at int"
     seed = spark.createDataFrame([("a", 0)], "k string, v int")
     parts = [[("a", 1, 1), ("b", 2, 2), ("b", 3, 3)], [("b", 4, 4), ("c", 5, 5)], [("c", 6, 6), ("d", 7, 7)]]
-    job = streams.InsertStream(seed, ["k"], ["at"], f"{tmp_path}/out")
+    job = streams.InsertStream(seed, ["k"], ["at"], f"{tmp_path}/out", compact_every=2)
     job.start(write_files(spark, str(tmp_path), columns, parts), f"{tmp_path}/progress").awaitTermination()
     everything = spark.createDataFrame([row for part in parts for row in part], columns)
     batch = insert_if_absent(seed, everything, ["k"], ["at"])
@@ -125,7 +125,7 @@ def test_failed_login_stream_equals_closed_windows(spark, tmp_path, rows):
     parts = [all_rows[:120], all_rows[120:220], all_rows[220:]]
     stream = write_files(spark, str(tmp_path), columns, parts)
     windows = streams.failed_login_stream(stream, "user_id", "at", "failed", "1 hour", "5 minutes")
-    streams.append_available(windows, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    streams.append_rows(windows, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
     stored = spark.read.schema(windows.schema).parquet(f"{tmp_path}/out")
     whole = failed_logins(spark.createDataFrame(all_rows, columns), "user_id", "at", "failed", "1 hour")
     horizon = START + timedelta(minutes=299 - 5)
@@ -143,7 +143,7 @@ def test_latest_status_stream_equals_batch(spark, tmp_path, rows):
     ]
     stream = write_files(spark, str(tmp_path), columns, [history[:90], history[90:95], history[95:]])
     latest = latest_status(stream, "order_id", "status", "at", "id")
-    streams.store_changes(latest, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
-    stored = streams.current_groups(spark, f"{tmp_path}/out", ["order_id"], latest.schema)
+    streams.store_changes(latest, ["order_id"], f"{tmp_path}/out", f"{tmp_path}/progress", compact_every=2).awaitTermination()
+    stored = streams.current_groups(spark, f"{tmp_path}/out", ["order_id"], latest.schema, compact_every=2)
     batch = latest_status(spark.createDataFrame(history, columns), "order_id", "status", "at", "id")
     assert rows(stored) == rows(batch)
