@@ -75,26 +75,23 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def shingle_sets(texts: pa.Array, hasher: Hasher, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a batch."""
-    sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-    long_row, long_words = -1, []
+def shingle_sets(texts: pa.Array, hasher: Hasher, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a batch, one text at a time."""
+    parts: list[np.ndarray] = []  # the words so far of a text longer than a block
+    row = -1
     for block in blocks(texts, WHITE):
-        if block.whole is False and block.rows[0] == long_row:
-            long_words.append(_words(block, hasher)[0])
-            continue
-        if long_row >= 0:
-            sets[long_row], long_row = _shingles(np.concatenate(long_words), width), -1
+        if parts and (block.whole or block.rows[0] != row):
+            yield _shingles(np.concatenate(parts), width)
+            parts = []
         words, ends = _words(block, hasher)
         if block.whole:
-            for i, row in enumerate(block.rows):
-                if ends[i + 1] > ends[i]:
-                    sets[row] = _shingles(words[ends[i] : ends[i + 1]], width)
+            for start, end in zip(ends, ends[1:]):
+                yield _shingles(words[start:end], width)
         else:
-            long_row, long_words = int(block.rows[0]), [words]
-    if long_row >= 0:
-        sets[long_row] = _shingles(np.concatenate(long_words), width)
-    return sets
+            row = int(block.rows[0])
+            parts.append(words)
+    if parts:
+        yield _shingles(np.concatenate(parts), width)
 
 
 def _words(block: Block, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +202,7 @@ def _unions(width: int):
         for groups in arrays:
             tokens, several = [], []
             for group in groups:
-                listed, counts = np.unique(np.concatenate(shingle_sets(group.values, hasher, width)), return_counts=True)
+                listed, counts = np.unique(np.concatenate(list(shingle_sets(group.values, hasher, width))), return_counts=True)
                 tokens.append(listed.view(np.int64))
                 several.append(listed[counts > 1].view(np.int64))
             yield pa.StructArray.from_arrays([_lists(tokens), _lists(several)], ["tokens", "several"])
