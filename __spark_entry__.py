@@ -746,11 +746,13 @@ def snapshot_roundtrip(spark, sf_dir):
 def versioned_append(spark, sf_dir):
     base = scratch_dir(spark, "tables")
     orders = _orders(spark, sf_dir)
-    older = orders.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
-    snapshots.publish(spark, older, base, "sales", datetime(2024, 1, 15))
-    held = snapshots.current(spark, base, "sales")
-    added = changes.absent_rows(held, orders, ["o_orderkey"], ["o_orderdate"])
-    snapshots.publish(spark, added, base, "sales", datetime(2024, 1, 16), whole=False)
+    ordered = F.col("o_orderdate")
+    first, second = (F.lit(day).cast("timestamp_ntz") for day in ("1997-01-01", "1999-01-01"))
+    snapshots.publish(spark, orders.where(ordered < first), base, "sales", datetime(2024, 1, 15))
+    for hour, incoming in enumerate((orders.where(ordered < second), orders)):
+        held = snapshots.current(spark, base, "sales")
+        added = changes.absent_rows(held, incoming, ["o_orderkey"], ["o_orderdate"])
+        snapshots.publish(spark, added, base, "sales", datetime(2024, 1, 16, hour), whole=False)
     return snapshots.current(spark, base, "sales")
 
 

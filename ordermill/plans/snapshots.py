@@ -41,8 +41,9 @@ def write_counted(df: DataFrame, path: str) -> int:
     return rows
 
 
-def _append_log(spark: SparkSession, rows: list[tuple], ddl: str, path: str) -> None:
-    spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+def _append_log(spark: SparkSession, rows: list[tuple], ddl: str, path: str, by: str | None = None) -> None:
+    writer = spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(path)
 
 
 def take_snapshot(
@@ -54,7 +55,7 @@ def take_snapshot(
         (name, table, write_counted(df, f"{base}/{name}/{table}"), df.schema.json(), now)
         for table, df in tables.items()
     ]
-    _append_log(spark, recorded, MANIFEST, f"{base}/manifest")
+    _append_log(spark, recorded, MANIFEST, f"{base}/manifest", by="snapshot")
     return name
 
 
@@ -75,18 +76,36 @@ def retention(recorded: DataFrame, now: datetime, days: int = RETENTION_DAYS) ->
 
 
 def drop_expired(spark: SparkSession, base: str, good: str, now: datetime, days: int = RETENTION_DAYS) -> list[str]:
-    """Remove the folders of expired snapshots, once snapshot ``good`` is in place."""
+    """Remove expired snapshots and their records, once snapshot ``good`` is in place.
+
+    A snapshot that a restored table still reads is kept.
+    """
     known = manifest(spark, base)
     if known.where(F.col("snapshot") == good).isEmpty():
         raise DamagedSnapshot(f"snapshot {good} is not recorded; nothing was removed")
     # A list of snapshot names, one per backup run.
     names = [row.snapshot for row in retention(known, now, days).where("expired").collect()]
-    removed = [name for name in names if name != good and folder_exists(spark, f"{base}/{name}")]
+    removed = [name for name in names if name != good and not _in_use(spark, base, name)]
     for name in removed:
         remove_folder(spark, f"{base}/{name}")
+        for log in ("pins", "manifest"):
+            remove_folder(spark, f"{base}/{log}/snapshot={name}")
     return removed
 
 
+def _in_use(spark: SparkSession, base: str, name: str) -> bool:
+    pins = f"{base}/pins/snapshot={name}"
+    if not folder_exists(spark, pins):
+        return False
+    # One row per restored table.
+    restored = spark.read.schema("target string, table_name string").parquet(pins).distinct().collect()
+    return any(
+        version.path.startswith(f"{base}/{name}/")
+        for row in restored
+        for version in _live_versions(spark, row.target, row.table_name)
+    )
+
+
 def read_snapshot(spark: SparkSession, base: str, name: str) -> dict[str, DataFrame]:
     """The tables of a snapshot, with the types they had when it was taken."""
     # One row per table.
@@ -104,17 +123,31 @@ def read_snapshot(spark: SparkSession, base: str, name: str) -> dict[str, DataFr
     return tables
 
 
-def restore(spark: SparkSession, base: str, name: str, target: str, now: datetime) -> dict[str, DataFrame]:
+def restore(
+    spark: SparkSession, base: str, name: str, target: str, now: datetime, copy: bool = False
+) -> dict[str, DataFrame]:
     """Publish the tables of a snapshot as new versions below ``target``.
 
-    Row counts are checked against the record; if the declared tables are complete,
-    their rules are checked as well. Nothing is published unless all is well.
+    The versions point at the snapshot's files, which stay as long as a version in use
+    needs them; ``copy=True`` writes the rows anew. Row counts are checked against the record; if
+    the declared tables are complete, their rules are checked as well. Nothing is
+    published unless all is well.
     """
     tables = read_snapshot(spark, base, name)
     if set(schema.TABLES) <= set(tables):
         checks.require(checks.check_all(tables))
-    for table, df in tables.items():
-        publish(spark, df, target, table, now)
+    if copy:
+        for table, df in tables.items():
+            publish(spark, df, target, table, now)
+    else:
+        pins = [(name, target, table) for table in tables]
+        _append_log(spark, pins, "snapshot string, target string, table_name string", f"{base}/pins", by="snapshot")
+        recorded = {r.table_name: r.rows for r in manifest(spark, base).where(F.col("snapshot") == name).collect()}
+        pointers = [
+            (table, _next_version(_live_versions(spark, target, table)), f"{base}/{name}/{table}", True, recorded[table], now)
+            for table in tables
+        ]
+        _append_log(spark, pointers, VERSIONS, f"{target}/versions")
     return {table: current(spark, target, table, df.schema) for table, df in tables.items()}
 
 
@@ -126,10 +159,22 @@ def _live_versions(spark: SparkSession, base: str, table: str) -> list:
     """The log rows that make up a table now: its last whole version and later parts."""
     if not folder_exists(spark, f"{base}/versions"):
         return []
-    rows = versions(spark, base).where(F.col("table_name") == table).collect()
-    rows.sort(key=lambda row: row.version)
-    last_whole = max((i for i, row in enumerate(rows) if row.whole), default=0)
-    return rows[last_whole:]
+    known = versions(spark, base).where(F.col("table_name") == table)
+    last_whole = known.where("whole").agg(F.max("version").alias("version")).first().version or 0
+    # The last whole version and the parts since; ``compact`` bounds these.
+    return sorted(known.where(F.col("version") >= last_whole).collect(), key=lambda row: row.version)
+
+
+def _next_version(live: list) -> int:
+    return live[-1].version + 1 if live else 1
+
+
+def compact(spark: SparkSession, base: str, table: str, now: datetime, parts: int = 20) -> bool:
+    """Publish a table of more than ``parts`` parts as one whole version."""
+    if len(_live_versions(spark, base, table)) <= parts:
+        return False
+    publish(spark, current(spark, base, table), base, table, now)
+    return True
 
 
 def publish(
@@ -140,8 +185,7 @@ def publish(
     ``whole=False`` adds rows to the table without rewriting it, which is what an
     insert into a large table needs. One writer per table.
     """
-    live = _live_versions(spark, base, table)
-    version = live[-1].version + 1 if live else 1
+    version = _next_version(_live_versions(spark, base, table))
     path = f"{base}/{table}/version={version}-{now.strftime(NAME_FORMAT)}"
     rows = write_counted(df, path)
     _append_log(spark, [(table, version, path, whole, rows, now)], VERSIONS, f"{base}/versions")

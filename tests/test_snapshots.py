@@ -80,3 +80,26 @@ def test_versions(spark, tmp_path, rows):
     assert rows(snapshots.current(spark, base, "t")) == [(0,), (1,), (2,), (9,)]
     with pytest.raises(ValueError, match="never published"):
         snapshots.current(spark, base, "u")
+
+
+def test_a_restored_snapshot_stays_while_it_is_read(spark, tmp_path, rows):
+    base, live, tables = str(tmp_path / "backups"), str(tmp_path / "live"), {"restaurants": shop(spark)["restaurants"]}
+    old = snapshots.take_snapshot(spark, tables, base, "shop", datetime(2024, 1, 1))
+    restored = snapshots.restore(spark, base, old, live, NOW)["restaurants"]
+    assert rows(restored) == rows(tables["restaurants"])
+    now = datetime(2024, 1, 20)
+    new = snapshots.take_snapshot(spark, tables, base, "shop", now)
+    assert snapshots.drop_expired(spark, base, new, now) == []
+    snapshots.publish(spark, restored, live, "restaurants", now)
+    assert snapshots.drop_expired(spark, base, new, now) == [old]
+    assert {r.snapshot for r in snapshots.manifest(spark, base).collect()} == {new}
+
+
+def test_parts_are_compacted(spark, tmp_path, rows):
+    base = str(tmp_path)
+    for i in range(4):
+        snapshots.publish(spark, spark.createDataFrame([(i,)], "k int"), base, "t", NOW, whole=i == 0)
+    assert not snapshots.compact(spark, base, "t", NOW, parts=4)
+    assert snapshots.compact(spark, base, "t", NOW, parts=3)
+    assert rows(snapshots.current(spark, base, "t")) == [(k,) for k in range(4)]
+    assert len(snapshots._live_versions(spark, base, "t")) == 1
