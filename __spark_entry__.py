@@ -21,7 +21,7 @@ from ordermill.operators.admission import Limit, admission_counts, admit
 from ordermill.operators.runs import numbered_rows
 from ordermill.plans import reports, request_logs, seeding, snapshots, views
 from ordermill.session import scratch_dir
-from ordermill.sources import access_logs
+from ordermill.sources import access_logs, layout
 from ordermill.sources.tables import conform, literal_rows
 from ordermill.streaming import streams
 
@@ -490,7 +490,18 @@ _SESSIONS_SQL = "SELECT event_id, user_id, ts, ts + INTERVAL 7 DAY AS expires_at
 
 @query(f"SELECT * FROM ({_SESSIONS_SQL}) WHERE expires_at >= TIMESTAMP '2024-01-15'")
 def purge_expired(spark, sf_dir):
-    return changes.purge_expired(_sessions(spark, sf_dir), "expires_at", _PURGE_TIME)
+    """Sessions stored by day of expiry; the purge reads the days that are left."""
+    path = scratch_dir(spark, "sessions")
+    sessions = _sessions(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("session_id"), "user_id", F.lit("t").alias("token"), "expires_at",
+        F.col("ts").alias("created_at"),
+    )
+    layout.write_laid_out(conform(sessions, schema.struct("user_sessions")), "user_sessions", path)
+    kept = changes.purge_expired(layout.read_laid_out(spark, "user_sessions", path), "expires_at", _PURGE_TIME)
+    return kept.select(
+        F.col("session_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"),
+        F.col("created_at").alias("ts"), "expires_at",
+    )
 
 
 @query(

@@ -19,6 +19,7 @@ from ordermill.operators import checks
 from ordermill.operators.runs import numbered_rows
 from ordermill.plans.views import fewer_than
 from ordermill.session import scratch_dir
+from ordermill.sources.layout import DAY
 
 
 def with_defaults(df: DataFrame, columns: Mapping[str, str], defaults: Mapping[str, Column]) -> DataFrame:
@@ -248,8 +249,15 @@ def expired(column: str, now: datetime) -> Column:
 
 
 def purge_expired(df: DataFrame, column: str, now: datetime) -> DataFrame:
-    """The rows that stay. The filter reaches the scan."""
-    return df.where((F.col(column) >= at(now)) | F.col(column).isNull())
+    """The rows that stay. The filter reaches the scan.
+
+    A table read in its layout has the day of this time as a column: days that have passed
+    are folders that are not read.
+    """
+    stays = df.where((F.col(column) >= at(now)) | F.col(column).isNull())
+    if DAY not in df.columns:
+        return stays
+    return stays.where((F.col(DAY) >= F.lit(now.date())) | F.col(DAY).isNull())
 
 
 def purge_counts(df: DataFrame, column: str, now: datetime) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ordermill.operators import changes, checks
 from ordermill.plans import seeding
+from ordermill.sources.layout import read_laid_out, write_laid_out
 from tests.shop import ROWS, literal, shop
 
 NOW = datetime(2024, 1, 15, 12, 0, 0)
@@ -148,6 +149,15 @@ def test_filter_of_purge_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [Or(" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_purge_reads_the_days_that_are_left(spark, tmp_path):
+    sessions = shop(spark)["user_sessions"]
+    write_laid_out(sessions, "user_sessions", f"{tmp_path}/s")
+    kept = changes.purge_expired(read_laid_out(spark, "user_sessions", f"{tmp_path}/s"), "expires_at", datetime(2024, 1, 10))
+    assert [r.session_id for r in kept.collect()] == ["s1"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((day" in plan and "PushedFilters: [Or(" in plan
+
+
 def test_blanks_beyond_the_length_are_cut(spark):
     incoming = literal(spark, "customers", [{"customer_id": "C3", "name": "Eve" + " " * 120, "phone_number": "3"}])
     after = changes.insert_rows(shop(spark), "customers", incoming, NOW)

@@ -92,6 +92,21 @@ def test_drained_levels_are_dropped(spark, tmp_path):
     assert [r._client for r in levels.collect()] == ["b"]
 
 
+def test_a_micro_batch_is_evaluated_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(id):
+        seen.add(1)
+        return id
+
+    rows = requests(100, 3, 9)
+    job = streams.AdmissionStream("client", "at", "id", Limit(12, 3), f"{tmp_path}/out")
+    job.step(spark.createDataFrame(rows, COLUMNS).withColumn("id", counted("id")), 0)
+    assert seen.value == 100
+    assert len(decisions(job.decisions(spark))) == 100
+
+
 def test_insert_stream_equals_batch(spark, tmp_path, rows):
     columns = "k string, v int, at int"
     seed = spark.createDataFrame([("a", 0)], "k string, v int")
