@@ -13,9 +13,9 @@ representative of each class goes on. The join then works on groups:
 3. Bound: a query document meets the groups that share its prefix tokens, whose sizes
    allow a link and that hold members of other components. Its overlap with the group's whole union
    bounds its overlap with any member; groups below the need stay closed.
-4. Open: the members of qualifying groups are compared with the query, exactly, on the
-   whole texts, unless links have joined them before. Of two components, members of
-   the smaller one ask.
+4. Open: the members of qualifying groups are compared with the query, first by bitmaps of their
+   tokens, which bound the overlap of a pair, then exactly on the whole texts, unless
+   links have joined them before. Of two components, members of the smaller one ask.
 
 The token order puts tokens that many texts share last, so that common passages do not
 join their texts. Its counts are hashed into ``1 << COUNT_BITS`` counters over all texts; tasks report
@@ -51,8 +51,10 @@ RESERVE = 0.03
 # A group has about as many members and tokens at most.
 GROUP_MEMBERS = 64
 GROUP_TOKENS = 1 << 20
+# Tokens are also hashed to a bitmap per document, for a bound on single pairs.
+BITMAP_BITS = 10
 
-_PROFILE = "n bigint, rare double, print string, prefix array<bigint>, marks array<bigint>"
+_PROFILE = "n bigint, rare double, print string, prefix array<bigint>, marks array<bigint>, bits array<bigint>"
 
 
 def needed(size, percent: int):
@@ -141,7 +143,7 @@ def _profiles(width: int, percent: int, counters: np.ndarray, times: np.ndarray)
         load[counters] = times
         salts = mixed(np.arange(1, MARKS + 1, dtype=np.uint64))
         for texts in arrays:
-            sizes, shares, prints, prefixes, marks = [], [], [], [], []
+            sizes, shares, prints, prefixes, marks, bits = [], [], [], [], [], []
             for tokens in shingle_sets(texts, hasher, width):
                 n = len(tokens)
                 sizes.append(n)
@@ -153,9 +155,12 @@ def _profiles(width: int, percent: int, counters: np.ndarray, times: np.ndarray)
                 marks.append(
                     np.array([mixed(tokens ^ s).min() ^ s for s in salts], np.uint64).view(np.int64) if n else np.zeros(0, np.int64)
                 )
+                held = np.zeros(1 << BITMAP_BITS, bool)
+                held[tokens >> np.uint64(64 - BITMAP_BITS)] = True
+                bits.append(np.packbits(held).view(np.int64))
             yield pa.StructArray.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(prints, pa.string()), _lists(prefixes), _lists(marks)],
-                ["n", "rare", "print", "prefix", "marks"],
+                [pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(prints, pa.string()), _lists(prefixes), _lists(marks), _lists(bits)],
+                ["n", "rare", "print", "prefix", "marks", "bits"],
             )
 
     return F.arrow_udf(profiled, f"struct<{_PROFILE.replace(' ', ':').replace(',:', ',')}>", F.ArrowUDFType.SCALAR_ITER)
@@ -184,6 +189,17 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _bitmaps_allow(n: str, bits: str, other_n: str, other_bits: str, percent: int) -> Column:
+    """Each bit that one bitmap has and the other lacks stands for a token or more not shared."""
+
+    def most_shared(size: str, own: str, other: str) -> Column:
+        lacking = F.zip_with(own, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+        return F.col(size) - F.aggregate(lacking, F.lit(0), lambda total, x: total + x)
+
+    overlap = F.least(most_shared(n, bits, other_bits), most_shared(other_n, other_bits, bits))
+    return overlap * 100 >= (F.col(n) + F.col(other_n) - overlap) * percent
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives whose whole texts link."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
@@ -293,7 +309,7 @@ def similar_documents(documents: DataFrame, width: int = 5, percent: int = 80) -
     grouped = stored(
         grouped.select(
             "doc_id", "n", F.coalesce("set", alone).alias("set"), F.coalesce("g.group", F.xxhash64("doc_id", F.lit("alone"))).alias("group"),
-            "prefix",
+            "prefix", "bits",
         ),
         "grouped",
     )
@@ -313,11 +329,14 @@ def similar_documents(documents: DataFrame, width: int = 5, percent: int = 80) -
         .where("overlap >= bound").select("doc_id", "other")
     )
     qualifying = _qualifying(stored(meeting, "meeting"), grouped, texts, width, percent)
-    members = grouped.select(F.col("doc_id").alias("member"), F.col("n").alias("member_n"), F.col("set").alias("member_set"), "group")
-    asking = qualifying.join(grouped.select("doc_id", "n", "set"), "doc_id")
+    members = grouped.select(
+        F.col("doc_id").alias("member"), F.col("n").alias("member_n"), F.col("set").alias("member_set"), F.col("bits").alias("member_bits"), "group"
+    )
+    asking = qualifying.join(grouped.select("doc_id", "n", "set", "bits"), "doc_id")
     opened = (
         asking.join(members, F.col("other") == F.col("group"))
         .where((F.col("set") < F.col("member_set")) & _sizes_allow("n", "member_n", percent))
+        .where(_bitmaps_allow("n", "bits", "member_n", "member_bits", percent))
         .select(F.least("doc_id", "member").alias("a"), F.greatest("doc_id", "member").alias("b"))
     )
     second_links = _verified(opened, texts, width, percent)
