@@ -31,7 +31,7 @@ def test_ranges_give_each_item_its_place():
 def test_pieces_fill_bins_without_overlap(documents, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 5)
     pick = random.Random(8)
-    rows = [(i, "w " * pick.choice([1, 2, 30, 30, 30, 30, 64, 65, 200])) for i in range(150)] + ODD
+    rows = [(i + 1000, "w " * pick.choice([1, 2, 30, 30, 30, 30, 64, 65, 200])) for i in range(150)] + ODD
     got = packing.pack(documents(rows), capacities=(16, 32, 64)).collect()
     texts, bins = defaultdict(list), defaultdict(list)
     for r in got:
