@@ -156,7 +156,7 @@ def pack(
 ) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_capacity and bin_offset of every piece of every text.
 
-    ``length`` measures a text (words by default). ``start`` is the piece's place in its
+    ``length`` measures a text (by default its words between ASCII white space). ``start`` is the piece's place in its
     text and ``bin_offset`` its place in the bin, in the same unit.
     """
     most = max(capacities)
