@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,9 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared one; nothing else writes to it."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; nothing else writes to it.
+
+    Results may be read from it as long as the program runs; then it goes.
+    """
+    if not _scratch:
+        atexit.register(remove_scratch, spark)
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove this program's scratch folders. A session that has been stopped leaves them."""
+    if spark.sparkContext._jsc is None:
+        return
+    for path in _scratch:
+        remove_folder(spark, path)
+    _scratch.clear()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ordermill.operators import checks
 from ordermill.plans import snapshots
-from ordermill.session import folder_exists
+from ordermill.session import folder_exists, remove_scratch, scratch_dir
 from tests.shop import ROWS, order, shop
 
 NOW = datetime(2024, 1, 15, 3, 4, 5)
@@ -103,3 +103,10 @@ def test_parts_are_compacted(spark, tmp_path, rows):
     assert snapshots.compact(spark, base, "t", NOW, parts=3)
     assert rows(snapshots.current(spark, base, "t")) == [(k,) for k in range(4)]
     assert len(snapshots._live_versions(spark, base, "t")) == 1
+
+
+def test_scratch_folders_go(spark):
+    path = scratch_dir(spark, "test")
+    spark.range(3).write.parquet(path)
+    remove_scratch(spark)
+    assert not folder_exists(spark, path)
