@@ -67,13 +67,17 @@ def _present(block: Block, hasher: Hasher, wanted: np.ndarray | None, settings:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _keys(texts: pa.Array, hasher: Hasher, wanted: np.ndarray | None, settings: Settings) -> np.ndarray:
-    found, parts = [], []
+def _keys(texts: pa.Array, hasher: Hasher, wanted: np.ndarray | None, settings: Settings) -> Iterator[np.ndarray]:
+    """The distinct keys of a batch, block by block; none comes twice."""
+    parts = []
     for block in blocks(texts, CHARACTER, overlap=4 * (max(settings.orders) - 1)):
-        (found if block.whole else parts).append(_present(block, hasher, wanted, settings))
+        keys = _present(block, hasher, wanted, settings)
+        if block.whole:
+            yield keys
+        else:
+            parts.append(keys)
     if parts:  # parts of one text may hold the same n-gram
-        found.append(np.unique(np.concatenate(parts)))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        yield np.unique(np.concatenate(parts))
 
 
 def _count(settings: Settings):
@@ -82,11 +86,10 @@ def _count(settings: Settings):
         totals = np.zeros((2, size), np.int64)
         for batch in batches:
             toxic = np.asarray(batch.column("label")) > 0
-            keys = _keys(batch.column("text"), hasher, None, settings)
-            for side in (0, 1):
-                totals[side] += np.bincount(
-                    keys[toxic[keys >> settings.bucket_bits] == bool(side)] & (size - 1), minlength=size
-                )
+            for keys in _keys(batch.column("text"), hasher, None, settings):
+                of_toxic = toxic[keys >> settings.bucket_bits]
+                for side in (0, 1):
+                    totals[side] += np.bincount(keys[of_toxic == bool(side)] & (size - 1), minlength=size)
         seen = np.flatnonzero(totals.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array(totals[1][seen]), pa.array(totals[0][seen])], ["bucket", "yes", "no"]
@@ -101,7 +104,8 @@ def _features(settings: Settings, kept: np.ndarray):
         place = np.full(size, -1, np.int32)
         place[kept] = np.arange(len(kept))
         for texts in arrays:
-            keys = np.sort(_keys(texts, hasher, place >= 0, settings))
+            found = list(_keys(texts, hasher, place >= 0, settings))
+            keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
             ends = np.searchsorted(keys, np.arange(len(texts) + 1) << settings.bucket_bits)
             values = place[keys & (size - 1)]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
@@ -156,8 +160,9 @@ def _scored(model: Model):
         table = np.zeros(size)
         table[buckets] = weights
         for texts in arrays:
-            keys = _keys(texts, hasher, table != 0, settings)
-            sums = np.bincount(keys >> settings.bucket_bits, weights=table[keys & (size - 1)], minlength=len(texts))
+            sums = np.zeros(len(texts))
+            for keys in _keys(texts, hasher, table != 0, settings):
+                sums += np.bincount(keys >> settings.bucket_bits, weights=table[keys & (size - 1)], minlength=len(texts))
             yield pa.array(1 / (1 + np.exp(-np.clip(sums + intercept, -500, 500))), pa.float64())
 
     return F.arrow_udf(scores, "double", F.ArrowUDFType.SCALAR_ITER)
