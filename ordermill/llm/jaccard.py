@@ -27,7 +27,6 @@ link with nothing. Repeated rows each give a row.
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ordermill.llm.bloom import bloom_filter, with_possible
 from ordermill.llm.components import components
-from ordermill.llm.spans import LOWER, WHITE, Block, Hasher, blocks, mixed, part_of, word_places
+from ordermill.llm.spans import LOWER, WHITE, Block, Hasher, blocks, mixed, word_places
 from ordermill.llm.stored import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ordermill.llm.labelled import training_sample
 from ordermill.llm.spans import CHARACTER, LOWER, WHITE, Block, Hasher, blocks, mixed, part_of, word_places
+from ordermill.llm.stored import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -155,7 +156,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", setting
             size, np.concatenate([words, bins]), np.concatenate([counts * listed["value"], np.ones(len(bins))])
         )
 
-    training = sample.select("label", vector(_features(settings)("text")).alias("features"))
+    # Stored in between: a task then runs one Python function at a time.
+    listed = stored(sample.select("label", _features(settings)("text").alias("listed")), "features")
+    training = listed.select("label", vector("listed").alias("features"))
     training = training.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         classes = training.groupBy("label").count().collect()

@@ -66,6 +66,8 @@ def blocks(texts: pa.Array, cut: np.ndarray, overlap: int = 0, limit: int = BLOC
         else:
             yield from _parts(row, data[low:high], cut, overlap, limit)
         row = last
+    # Workers live on after a task: what earlier batches held goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def _parts(row: int, data: np.ndarray, cut: np.ndarray, overlap: int, limit: int) -> Iterator[Block]:

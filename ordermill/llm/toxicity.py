@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ordermill.llm.labelled import training_sample
 from ordermill.llm.spans import CHARACTER, LOWER, Block, Hasher, blocks, part_of
+from ordermill.llm.stored import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -145,7 +146,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", settings:
             places = sorted(places)
             return Vectors.sparse(len(ratios), places, ratios[places])
 
-        training = sample.select("label", scaled(_features(settings, kept)("text")).alias("features"))
+        # Stored in between: a task then runs one Python function at a time.
+        listed = stored(sample.select("label", _features(settings, kept)("text").alias("places")), "features")
+        training = listed.select("label", scaled("places").alias("features"))
         regression = LogisticRegression(maxIter=settings.rounds, regParam=settings.penalty, standardization=False).fit(training)
         return Model(settings, kept, regression.coefficients.toArray() * ratios, float(regression.intercept))
     finally:

@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 from ordermill.llm import licenses
 from tests.llm.conftest import ODD
 
