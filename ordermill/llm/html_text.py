@@ -1,12 +1,23 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree: a node is a path of presentations (tag and
-class) from the root. A node's content importance is one less the mean entropy
-of its texts over the pages that have it: ln(pages with the text) / ln(pages with the node),
-so a node whose texts recur on every page has none, and one with texts of its own on each page has
-1. Presentation settles the importance of nodes that name their purpose: article and main
-text 1, menus, footers, adverts, forms and comments 0. Branches of low importance
-are removed from each page and the other blocks are joined in page order.
+class) from the root, with the prior of its role. A block (a node's text) is judged by its importance:
+
+- content: 1 - ln(pages with the text) / ln(pages with the node), so a text that recurs on
+  every page has 0, one on a single page 1;
+- presentation: the entropy of the child sequences (tags and classes, repeats once) of the
+  block's container over the pages, from 0 (always built alike) to 1. The container is the element
+  that gives the role, else the parent;
+- tree = content * (1 - ``STYLE_SHARE`` * (1 - presentation));
+- prior: a role that a tag, class, id, role or itemprop names is worth ``PRIOR_WEIGHT`` trees: article and main
+  text 1, menus, footers, adverts, forms and comments 0. Importance is the weighted
+  mean of prior and tree, or the tree alone where nothing is named.
+
+So texts that recur go, and a named menu or advert stays out unless its texts are its own on each page and
+its structure varies as that of articles.
+
+Pages of a host with the same blocks count once in the tree. A text on fewer than ``LEAST_PAGES`` of them does not recur; with
+fewer pages a node's prior alone decides, and blocks without a prior stay.
 
 Null and empty html, and pages without kept blocks, give an empty text. Pages without a
 url form one site. Repeated rows give a row each.
@@ -17,11 +28,12 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ordermill.llm.bloom import bloom_filter, with_possible
 from ordermill.llm.stored import stored
@@ -31,6 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_IMPORTANCE = 0.5
 LEAST_PAGES = 3  # with fewer pages a node's texts say nothing about the site
+PRIOR_WEIGHT = 0.9
+STYLE_SHARE = 0.1
 
 # Elements by their part in a page.
 BLOCKS = frozenset(
@@ -44,52 +58,111 @@ FURNITURE = frozenset("nav footer aside form menu dialog".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb "
     "breadcrumbs footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing "
-    "social related recommended comment comments disqus reply replies respond widget pagination pager".split()
+    "social related recommended comment comments disqus reply replies respond widget pagination pager "
+    "ad-banner ad-container ad-slot ad-unit cookie-banner cookie-bar cookie-consent cookie-notice comment-list comments-area "
+    "complementary contentinfo main-menu main-nav main-navigation nav-bar nav-menu page-footer related-articles related-posts "
+    "share-buttons side-bar site-footer site-nav site-navigation social-links social-share".split()
 )
-HEADER_WORDS = frozenset("header masthead topbar".split())
+HEADER_WORDS = frozenset("header masthead topbar page-header site-header".split())
+NEVER_NAMED = frozenset("html body main article".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _WORDS = re.compile("[a-z0-9]+")
 _LISTS = frozenset("ul ol dl table article main section div body".split())
+_NAMING = frozenset("class id role itemprop".split())
+
+KEEP, DROP, OPEN = 1, 0, 2  # priors of a role: text, furniture, none
+
+
+class _Element:
+    """An open or closed element; ``names`` is what its tag and words say of its role."""
+
+    __slots__ = ("tag", "path", "above", "silent", "names", "children", "judged")
+
+    def __init__(self, tag, path, above, silent, names):
+        self.tag, self.path, self.above, self.silent, self.names = tag, path, above, silent, names
+        self.children, self.judged = None, None
 
-KEEP, DROP, OPEN = 1, 0, 2
+    def role(self) -> tuple[int, _Element | None]:
+        """The prior, and the element that gives it."""
+        if self.judged is None:
+            chain, at = [], self
+            while at is not None and at.judged is None:
+                chain.append(at)
+                at = at.above
+            judged = at.judged if at is not None else (OPEN, None)
+            for at in reversed(chain):
+                judged = at.judged = at.own_role(judged)
+        return self.judged
+
+    def own_role(self, above):
+        names = self.names
+        if not names or above[0] == DROP:
+            return above
+        if "furniture" in names or ("header" in names and above[0] != KEEP):
+            return DROP, self
+        return (KEEP, self) if "content" in names else above
+
+
+_NOTHING = frozenset()
+_NO_LABELS: list[str] = []
+
+
+def _names(tag: str, given: dict[str, str]) -> frozenset[str]:
+    words = frozenset(_WORDS.findall(" ".join(given.values()).lower())) if given else _NOTHING
+    names = []
+    if tag in FURNITURE or words & FURNITURE_WORDS:
+        names.append("furniture")
+    if tag == "header" or words & HEADER_WORDS:
+        names.append("header")
+    if tag in ARTICLE or given.get("role") == "main" or given.get("itemprop") == "articleBody":
+        names.append("content")
+    return frozenset(names) if names else _NOTHING
 
 
 class _Page(HTMLParser):
-    """Collects (path, verdict of the presentation, text) of each block."""
+    """Collects (element, text) of each block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int, bool]] = []  # tag, path, verdict, holds no text
+        self.stack: list[_Element] = []
         self.parts: list[str] = []
-        self.found: list[tuple[str, int, str]] = []
+        self.found: list[tuple[_Element, str]] = []
+        self.root = _Element("", "", None, False, _NOTHING)
+
+    def top(self) -> _Element:
+        return self.stack[-1] if self.stack else self.root
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, path, verdict, _ = self.stack[-1] if self.stack else ("", "", OPEN, False)
-                self.found.append((path, verdict, text))
+                self.found.append((self.top(), text))
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.flush()
             self.close_implied(tag)
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, path, verdict, silent = self.stack[-1] if self.stack else ("", "", OPEN, False)
-        names = {key: value or "" for key, value in attrs if key in ("class", "id", "role", "itemprop")}
-        words = set(_WORDS.findall(" ".join(names.values()).lower()))
-        if tag in BLOCKS:
-            path = f"{path}/{tag}" + "".join(f".{w}" for w in sorted(names.get("class", "").lower().split()))
-        if verdict != DROP:
-            if tag in FURNITURE or words & FURNITURE_WORDS or (verdict != KEEP and (tag == "header" or words & HEADER_WORDS)):
-                verdict = DROP
-            elif tag in ARTICLE or names.get("role") == "main" or names.get("itemprop") == "articleBody":
-                verdict = KEEP
-        self.stack.append((tag, path, verdict, silent or tag in NO_TEXT))
+        above = self.top()
+        given = {key: value or "" for key, value in attrs if key in _NAMING} if attrs else {}
+        names = _names(tag, given)
+        path = above.path
+        if block:
+            label = tag + "".join(f".{w}" for w in sorted(given.get("class", "").lower().split())) if given else tag
+            path = f"{path}/{label}"
+            parent = above
+            while parent.above is not None and parent.tag not in BLOCKS:
+                parent = parent.above
+            if parent.children is None:
+                parent.children = [label]
+            elif parent.children[-1] != label:
+                parent.children.append(label)
+        self.stack.append(_Element(tag, path, above, above.silent or tag in NO_TEXT, names))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -99,7 +172,7 @@ class _Page(HTMLParser):
     def close_implied(self, tag: str) -> None:
         closed = CLOSED_BY.get(tag, frozenset())
         for i in range(len(self.stack) - 1, -1, -1):
-            open_tag = self.stack[i][0]
+            open_tag = self.stack[i].tag
             if open_tag == "p" or open_tag in closed or (tag == "body" and open_tag == "head"):
                 del self.stack[i:]
                 return
@@ -110,88 +183,175 @@ class _Page(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 del self.stack[i:]
                 return
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][3]):
+        if not (self.stack and self.stack[-1].silent):
             self.parts.append(data)
 
 
-def page_blocks(html: str | None) -> list[tuple[str, int, str]]:
+def page_blocks(html: str | None) -> list[tuple[str, int, str, str]]:
+    """(path, prior, text, presentation of the container) of each block in page order."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
-    return page.found
-
+    blocks = []
+    for element, text in page.found:
+        prior, container = element.role()
+        if container is None:
+            container = element
+            while container.tag not in BLOCKS and container.above is not None:
+                container = container.above
+            container = container.above or container
+            while container.tag not in BLOCKS and container.above is not None:
+                container = container.above
+        blocks.append((element.path, prior, text, " ".join(container.children or _NO_LABELS)))
+    return blocks
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _hashed(host: bytes, html: str | None) -> list[tuple[int, int, int, str, str]]:
+    """(node, key, prior, text, presentation) of each block; the key stands for the node and its text."""
+    nodes, blocks = {}, []
+    for path, prior, text, style in page_blocks(html):
+        node = nodes.get((path, prior))
+        if node is None:
+            node = nodes[(path, prior)] = _hash(host, _bytes(path), b"%d" % prior)
+        blocks.append((node, _hash(b"%d" % node, _bytes(text)), prior, text, style))
+    return blocks
+
+
+def _copy(host: bytes, blocks: list[tuple[int, int, int, str, str]]) -> int:
+    """Equal for pages of a host with the same blocks, which count once."""
+    return _hash(host, *(b"%d" % key for _, key, _, _, _ in blocks))
+
+
+_NODES = pa.struct(
+    [
+        ("copy", pa.int64()),
+        ("texts", pa.list_(pa.struct([("node", pa.int64()), ("key", pa.int64()), ("prior", pa.int8())]))),
+        ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("prior", pa.int8()), ("page", pa.int8())]))),
+    ]
+)
 
-_BLOCK = [
-    ("path", pa.string()), ("verdict", pa.int32()), ("text", pa.string()), ("new_path", pa.int32()), ("new_text", pa.int32()),
-]
 
+def _page_nodes():
+    """Of each page: its copy hash, its distinct texts by node, and the distinct presentations of each node."""
 
-def _blocks():
-    def parse(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for pages in arrays:
+    def parse(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hosts, pages in arrays:
             rows = []
-            for value in pages:
-                paths, texts, listed = set(), set(), []
-                for path, verdict, text in page_blocks(value.as_py()):
-                    listed.append(
-                        {
-                            "path": path, "verdict": verdict, "text": text,
-                            "new_path": int(path not in paths), "new_text": int((path, text) not in texts),
-                        }
-                    )
-                    paths.add(path)
-                    texts.add((path, text))
-                rows.append(listed)
-            yield pa.array(rows, pa.list_(pa.struct(_BLOCK)))
+            for host, html in zip(hosts, pages):
+                name = _bytes(host.as_py() or "")
+                blocks = _hashed(name, html.as_py())
+                texts, styles, seen = {}, {}, set()
+                for node, key, prior, _, style in blocks:
+                    texts.setdefault(key, (node, key, prior))
+                    if (node, style) not in styles:
+                        styles[(node, style)] = (node, _hash(_bytes(style)), prior, int(node not in seen))
+                        seen.add(node)
+                rows.append((_copy(name, blocks), list(texts.values()), list(styles.values())))
+            yield pa.array(rows, _NODES)
 
     return F.arrow_udf(
-        parse, "array<struct<path:string,verdict:int,text:string,new_path:int,new_text:int>>", F.ArrowUDFType.SCALAR_ITER
+        parse,
+        "struct<copy:bigint,texts:array<struct<node:bigint,key:bigint,prior:tinyint>>,"
+        "styles:array<struct<node:bigint,style:bigint,prior:tinyint,page:tinyint>>>",
+        F.ArrowUDFType.SCALAR_ITER,
+    )
+
+
+def _kept_text():
+    """The blocks that stay: those with a prior of text or none, except where ``changed`` holds their key."""
+
+    def parse(arrays: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hosts, pages, listed in arrays:
+            texts = []
+            for host, html, keys in zip(hosts, pages, listed):
+                changed = set(keys.as_py() or ())
+                if changed:
+                    blocks = ((prior, key, text) for _, key, prior, text, _ in _hashed(_bytes(host.as_py() or ""), html.as_py()))
+                else:
+                    blocks = ((prior, None, text) for _, prior, text, _ in page_blocks(html.as_py()))
+                texts.append("\n".join(text for prior, key, text in blocks if (prior != DROP) != (key in changed)))
+            yield pa.array(texts, pa.string())
+
+    return F.arrow_udf(parse, "string", F.ArrowUDFType.SCALAR_ITER)
+
+
+def once(pages: DataFrame) -> DataFrame:
+    """One row (texts, styles) of each copy in ``pages`` (page, copy, texts, styles); only copies are shuffled."""
+    repeated = pages.groupBy("copy").count().where("count > 1").select(F.col("copy").alias("_copy"))
+    asked = with_possible(pages, "copy", bloom_filter(repeated, "_copy"), "repeats")
+    first = asked.where("repeats").groupBy("copy").agg(F.min_by(F.struct("texts", "styles"), "page").alias("first"))
+    return asked.where("NOT repeats").select("texts", "styles").unionByName(first.select("first.texts", "first.styles"))
+
+
+def style_nodes(pages: DataFrame) -> DataFrame:
+    """(node, prior, pages, presentation) of each node; counts combine before each shuffle."""
+    styles = pages.select(F.explode("styles").alias("s")).groupBy("s.node", "s.prior", "s.style")
+    styles = styles.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("s.page").alias("pages"))
+    trees = styles.groupBy("node", "prior").agg(
+        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("spread")
     )
+    entropy = F.when(F.col("n") > 1, 1 - F.col("spread") / F.col("n") / F.log("n")).otherwise(1.0)
+    return trees.select("node", "prior", "pages", entropy.alias("presentation"))
+
 
+def importance(prior: Column, holders: Column, pages: Column, presentation: Column) -> Column:
+    """Of a text on ``holders`` of the ``pages`` that have its node."""
+    content = F.when(pages > 1, 1 - F.log(holders.cast("double")) / F.log(pages.cast("double"))).otherwise(1.0)
+    tree = content * (1 - STYLE_SHARE * (1 - presentation))
+    return F.when(prior == OPEN, tree).otherwise((PRIOR_WEIGHT * prior + tree) / (PRIOR_WEIGHT + 1))
 
-def node_importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, importance, pages) of each node of the style trees; counts combine before each shuffle."""
-    texts = nodes.groupBy("host", "path", "content").agg(F.sum("new_text").alias("holders"), F.sum("new_path").alias("pages"))
-    spread = F.sum(F.col("holders") * F.log(F.col("holders").cast("double"))) / F.sum("holders")
-    trees = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), spread.alias("spread"))
-    importance = F.when(F.col("pages") > 1, 1 - F.col("spread") / F.log(F.col("pages").cast("double"))).otherwise(1.0)
-    return trees.select("host", "path", importance.alias("importance"), "pages")
+
+def changed_texts(pages: DataFrame) -> DataFrame:
+    """The keys whose importance gives another verdict than their prior (none: text)."""
+    nodes = stored(style_nodes(pages).where(F.col("pages") >= LEAST_PAGES), "nodes")
+    texts = pages.select(F.explode("texts").alias("t")).groupBy("t.node", "t.key").agg(
+        F.max("t.prior").alias("prior"), F.count(F.lit(1)).alias("holders")
+    )
+    # Furniture of which even a text on one page only would go cannot change; other texts only where they recur.
+    best = importance(F.col("prior"), F.lit(1), F.col("pages"), F.col("presentation"))
+    able = nodes.where((F.col("prior") == DROP) & (best >= LEAST_IMPORTANCE))
+    asked = with_possible(texts, "node", bloom_filter(able, "node"), "able")
+    asked = asked.where(F.when(F.col("prior") == DROP, F.col("able")).otherwise(F.col("holders") >= LEAST_PAGES))
+    judged = asked.join(nodes.select("node", "pages", "presentation"), "node")
+    stays = importance(F.col("prior"), F.col("holders"), F.col("pages"), F.col("presentation")) >= LEAST_IMPORTANCE
+    return judged.where(stays != (F.col("prior") != DROP)).select(F.col("key").alias("_key"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
 
     The trees need no texts, only hashes of them. Texts are shuffled for those pages
-    alone that lose a branch.
+    alone in which importance overrules a prior or removes a block that has none.
     """
     given = F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    keyed = pages.select("page_id", "url", "html", F.md5(given).alias("page"))
-    # Where the presentation settles a node's importance, its contents cannot change it.
-    blocks = keyed.select("page", host_of(F.col("url")).alias("host"), F.posexplode(_blocks()("html")).alias("place", "b"))
-    nodes = blocks.where(F.col("b.verdict") == OPEN).select(
-        "page", "host", "b.path", "place", F.xxhash64("b.text").alias("content"), "b.new_path", "b.new_text"
-    )
-    nodes = stored(nodes, "nodes")
-    low = node_importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    removed = nodes.select("host", "path", "page", "place").join(low.select("host", "path"), ["host", "path"])
-    removed = stored(removed.groupBy(F.col("page").alias("_page")).agg(F.collect_set("place").alias("removed")), "removed")
-
-    asked = with_possible(keyed, "page", bloom_filter(removed, "_page"), "loses")
-    whole = asked.where("NOT loses").select("page_id", "url", "html", F.array().cast("array<int>").alias("removed"))
-    cut = asked.where("loses").join(removed, F.col("page") == F.col("_page"), "left").select(
-        "page_id", "url", "html", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
-    )
-    parsed = whole.unionByName(cut).select("page_id", "url", "removed", _blocks()("html").alias("blocks"))
-    kept = F.filter(
-        F.transform("blocks", lambda b, i: F.when(
-            (b["verdict"] == KEEP) | ((b["verdict"] == OPEN) & ~F.array_contains("removed", i)), b["text"]
-        )),
-        lambda text: text.isNotNull(),
+    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.md5(given).alias("page"))
+    parsed = keyed.select("page", _page_nodes()("host", "html").alias("n")).select("page", "n.*")
+    parsed = stored(parsed, "parsed")
+    changed = stored(changed_texts(once(parsed)), "changed")
+    places = parsed.select("page", F.explode("texts.key").alias("key"))
+    asked = with_possible(places, "key", bloom_filter(changed, "_key"), "differs").where("differs")
+    changes = asked.join(changed, F.col("key") == F.col("_key")).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("changed"))
+    changes = stored(changes, "changes")
+
+    none = F.array().cast("array<bigint>")
+    asked = with_possible(keyed, "page", bloom_filter(changes, "_page"), "differs")
+    whole = asked.where("NOT differs").select("page_id", "url", "host", "html", none.alias("changed"))
+    cut = asked.where("differs").join(changes, F.col("page") == F.col("_page"), "left").select(
+        "page_id", "url", "host", "html", F.coalesce("changed", none).alias("changed")
     )
-    return parsed.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    texts = whole.unionByName(cut).select("page_id", "url", _kept_text()("host", "html", "changed").alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -56,3 +56,29 @@ def test_odd_pages(pages):
     assert got[2] == "plain text" and got[3] == "cut off &am" and got[4] == "a\nbc" and got[6] == "xy"
     assert got[8] == "\n".join(["long words"] * 50_000)
     assert html_text.main_texts(pages([])).collect() == []
+
+
+def numbered(i, words=3):
+    return " ".join(f"w{i * 31 + k}" for k in range(words))
+
+
+def test_named_nodes_reach_the_trees(pages):
+    """Importance overrules a name: a named node with own texts and varied structure stays, what recurs in articles goes."""
+    kinds = ["p", "h2", "blockquote", "pre", "h3", "ul"]
+    rows = []
+    for i in range(30):
+        body = "".join(f"<{kinds[(i >> k) % 6 if k else i % 6]}>{numbered(i * 9 + k)}</{kinds[(i >> k) % 6 if k else i % 6]}>" for k in range(4))
+        rows.append(("http://a.example/x", f"<div class=widget>{body}</div><nav><ul><li>{numbered(i + 900)}</ul></nav>"))
+        rows.append(("http://b.example/x", f"<nav>Menu</nav><article><p>{numbered(i)}</p><p>Read our terms</p></article>"))
+    got = texts(html_text.main_texts(pages(rows)))
+    for i in range(30):
+        assert got[2 * i] == "\n".join(numbered(i * 9 + k) for k in range(4))
+        assert got[2 * i + 1] == numbered(i)
+
+
+def test_presentations_have_an_entropy(pages):
+    rows = [("u", f"<article>{'<p>x</p>' if i % 2 else '<h2>x</h2>'}<p>y{i}</p></article>") for i in range(8)]
+    parsed = pages(rows).select(html_text._page_nodes()(html_text.F.lit(""), "html").alias("n")).select("n.*")
+    got = {(r.pages, round(r.presentation, 6)) for r in html_text.style_nodes(parsed).collect()}
+    # 8 pages, two styles of 4 pages each: ln 2 / ln 8; the h2 is on 4 pages of one style.
+    assert got == {(8, round(1 / 3, 6)), (4, 0.0)}
