@@ -14,7 +14,9 @@ class) from the root, with the prior of its role. A block (a node's text) is jud
   mean of prior and tree, or the tree alone where nothing is named.
 
 So texts that recur go, and a named menu or advert stays out unless its texts are its own on each page and
-its structure varies as that of articles.
+its structure varies as that of articles. Words count as whole tokens. They name neither html, body, main
+nor article, nor an ancestor of an article; an article inside furniture of another article (comments) belongs to
+that furniture.
 
 Pages of a host with the same blocks count once in the tree. A text on fewer than ``LEAST_PAGES`` of them does not recur; with
 fewer pages a node's prior alone decides, and blocks without a prior stay.
@@ -25,7 +27,6 @@ url form one site. Repeated rows give a row each.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -66,7 +67,6 @@ FURNITURE_WORDS = frozenset(
 HEADER_WORDS = frozenset("header masthead topbar page-header site-header".split())
 NEVER_NAMED = frozenset("html body main article".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_WORDS = re.compile("[a-z0-9]+")
 _LISTS = frozenset("ul ol dl table article main section div body".split())
 _NAMING = frozenset("class id role itemprop".split())
 
@@ -76,11 +76,11 @@ KEEP, DROP, OPEN = 1, 0, 2  # priors of a role: text, furniture, none
 class _Element:
     """An open or closed element; ``names`` is what its tag and words say of its role."""
 
-    __slots__ = ("tag", "path", "above", "silent", "names", "children", "judged")
+    __slots__ = ("tag", "path", "above", "silent", "names", "in_article", "holds_article", "children", "judged")
 
-    def __init__(self, tag, path, above, silent, names):
+    def __init__(self, tag, path, above, silent, names, in_article):
         self.tag, self.path, self.above, self.silent, self.names = tag, path, above, silent, names
-        self.children, self.judged = None, None
+        self.in_article, self.holds_article, self.children, self.judged = in_article, False, None, None
 
     def role(self) -> tuple[int, _Element | None]:
         """The prior, and the element that gives it."""
@@ -96,11 +96,16 @@ class _Element:
 
     def own_role(self, above):
         names = self.names
-        if not names or above[0] == DROP:
+        if not names:
             return above
-        if "furniture" in names or ("header" in names and above[0] != KEEP):
+        if "content" in names:
+            # An article brings text back from furniture, but not from that of another article or of a tag.
+            return above if above[0] == DROP and (self.in_article or above[1].tag in FURNITURE) else (KEEP, self)
+        if "furniture" in names and not (self.holds_article and self.tag not in FURNITURE - {"form"}):
             return DROP, self
-        return (KEEP, self) if "content" in names else above
+        if "header" in names and above[0] != KEEP and not self.holds_article:
+            return DROP, self
+        return above
 
 
 _NOTHING = frozenset()
@@ -108,14 +113,14 @@ _NO_LABELS: list[str] = []
 
 
 def _names(tag: str, given: dict[str, str]) -> frozenset[str]:
-    words = frozenset(_WORDS.findall(" ".join(given.values()).lower())) if given else _NOTHING
+    words = frozenset(" ".join(given.values()).lower().split()) if given else _NOTHING
     names = []
-    if tag in FURNITURE or words & FURNITURE_WORDS:
+    if tag in ARTICLE or given.get("role", "").lower() == "main" or given.get("itemprop") == "articleBody":
+        names.append("content")
+    elif tag in FURNITURE or (tag not in NEVER_NAMED and words & FURNITURE_WORDS):
         names.append("furniture")
-    if tag == "header" or words & HEADER_WORDS:
+    elif tag == "header" or (tag not in NEVER_NAMED and words & HEADER_WORDS):
         names.append("header")
-    if tag in ARTICLE or given.get("role") == "main" or given.get("itemprop") == "articleBody":
-        names.append("content")
     return frozenset(names) if names else _NOTHING
 
 
@@ -127,7 +132,7 @@ class _Page(HTMLParser):
         self.stack: list[_Element] = []
         self.parts: list[str] = []
         self.found: list[tuple[_Element, str]] = []
-        self.root = _Element("", "", None, False, _NOTHING)
+        self.root = _Element("", "", None, False, _NOTHING, False)
 
     def top(self) -> _Element:
         return self.stack[-1] if self.stack else self.root
@@ -162,7 +167,11 @@ class _Page(HTMLParser):
                 parent.children = [label]
             elif parent.children[-1] != label:
                 parent.children.append(label)
-        self.stack.append(_Element(tag, path, above, above.silent or tag in NO_TEXT, names))
+        in_article = above.in_article or above.tag == "article"
+        if "content" in names and not in_article:
+            for element in self.stack:
+                element.holds_article = True
+        self.stack.append(_Element(tag, path, above, above.silent or tag in NO_TEXT, names, in_article))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

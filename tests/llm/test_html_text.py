@@ -82,3 +82,19 @@ def test_presentations_have_an_entropy(pages):
     got = {(r.pages, round(r.presentation, 6)) for r in html_text.style_nodes(parsed).collect()}
     # 8 pages, two styles of 4 pages each: ln 2 / ln 8; the h2 is on 4 pages of one style.
     assert got == {(8, round(1 / 3, 6)), (4, 0.0)}
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ("<body class='single has-sidebar'><article>", "</article></body>"), ("<div id='page' class='no-ads'>", "</div>"),
+    ("<article class='post comments-open'>", "</article>"), ("<main class='related-layout'>", "</main>"),
+    ("<body class='sidebar'><main class=widget>", "</main></body>"), ("<div class=sidebar><article>", "</article></div>"),
+    ("<form id=aspnetForm><article>", "</article></form>"), ("<header><main>", "</main></header>"),
+])
+def test_a_word_drops_no_article(pages, opened, closed):
+    row = html_text.main_texts(pages([("http://a.example", f"{opened}<p>Own text</p>{closed}")])).first()
+    assert row.text == "Own text"
+
+
+def test_articles_in_furniture_of_an_article_go(pages):
+    html = "<article><p>Text</p><div class=comments><article class=comment>Nice</article></div></article><aside><article>Card</article></aside>"
+    assert html_text.main_texts(pages([("http://a.example", html)])).first().text == "Text"
