@@ -18,7 +18,8 @@ its structure varies as that of articles. Words count as whole tokens. They name
 nor article, nor an ancestor of an article; an article inside furniture of another article (comments) belongs to
 that furniture.
 
-Pages of a host with the same blocks count once in the tree. A text on fewer than ``LEAST_PAGES`` of them does not recur; with
+Copies of a page count once in the tree: pages of a host with the same article text, or without
+one the same text outside furniture. A text on fewer than ``LEAST_PAGES`` of them does not recur; with
 fewer pages a node's prior alone decides, and blocks without a prior stay.
 
 Null and empty html, and pages without kept blocks, give an empty text. Pages without a
@@ -241,8 +242,12 @@ def _hashed(host: bytes, html: str | None) -> list[tuple[int, int, int, str, str
 
 
 def _copy(host: bytes, blocks: list[tuple[int, int, int, str, str]]) -> int:
-    """Equal for pages of a host with the same blocks, which count once."""
-    return _hash(host, *(b"%d" % key for _, key, _, _, _ in blocks))
+    """Equal for pages of a host that count once: same article text, else same text outside furniture, else same text."""
+    for kept in ((KEEP,), (OPEN,), (DROP,)):
+        texts = [_bytes(text) for _, _, prior, text, _ in blocks if prior in kept]
+        if texts:
+            return _hash(host, b"%d" % kept, *texts)
+    return _hash(host)
 
 
 _NODES = pa.struct(

@@ -98,3 +98,18 @@ def test_a_word_drops_no_article(pages, opened, closed):
 def test_articles_in_furniture_of_an_article_go(pages):
     html = "<article><p>Text</p><div class=comments><article class=comment>Nice</article></div></article><aside><article>Card</article></aside>"
     assert html_text.main_texts(pages([("http://a.example", html)])).first().text == "Text"
+
+
+def test_copies_of_a_page_count_once_and_only_recurring_texts_go(pages):
+    copy = "<div class=content><p>Copied</p></div>"
+    rows = [("http://a.example/c", f"<div class=ad>Ad {i}</div>{copy}") for i in range(70)]
+    rows += [("http://a.example/o", f"<div class=content><p>{numbered(i)}</p></div>") for i in range(30)]
+    rows += [
+        ("http://b.example/o", "<div class=content>" + "".join(f"<p>{numbered(i * 10 + k)}</p>" for k in range(10)) + "<p>Sign in to reply</p></div>")
+        for i in range(30)
+    ]
+    got = texts(html_text.main_texts(pages(rows)))
+    assert {got[i] for i in range(70)} == {"Copied"}
+    for i in range(30):
+        assert got[70 + i] == numbered(i)
+        assert got[100 + i] == "\n".join(numbered(i * 10 + k) for k in range(10))
