@@ -3,13 +3,15 @@
 Exact phrases are runs of whole words. For fuzzy search each notice is split into one
 piece more than the errors it may have. A match with that many errors leaves
 one piece untouched, so exact hits of the pieces (one automaton for all notices) name every
-candidate place; the regex library then verifies the few characters around it with
-its bounded-error matching and gives the span. Only A-Z are lower-cased, so spans count
+candidate place; the regex library then verifies the few characters around each with
+its bounded-error matching and gives the span. Of spans of a notice that overlap, the one with fewest errors stays. Only A-Z are lower-cased, so spans count
 characters of the text as given. Null texts are empty: no words, no labels, score 0.0.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import sys
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -73,8 +75,8 @@ class Searcher:
             self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice, errors) of the best match of each candidate region."""
-        regions: dict[int, list[list[int]]] = {}
+        """(start, end, notice, errors) of each match, none over another of its notice; fewer errors go first."""
+        windows: dict[int, set[tuple[int, int]]] = {}
         if not self.notices:
             return []
         for last, (length, users) in self.automaton.iter(text):
@@ -82,18 +84,39 @@ class Searcher:
                 slack = self.notices[i].errors
                 start = max(0, last + 1 - length - place - slack)
                 end = min(len(text), last + 1 - length - place + len(self.notices[i].text) + slack)
-                listed = regions.setdefault(i, [])
-                if listed and start <= listed[-1][1]:
-                    listed[-1] = [min(listed[-1][0], start), max(listed[-1][1], end)]
-                else:
-                    listed.append([start, end])
-        found = []
-        for i, listed in regions.items():
-            for start, end in listed:
-                while match := self.patterns[i].search(text, start, end):
-                    found.append((match.start(), match.end(), i, sum(match.fuzzy_counts)))
-                    start = max(match.end(), start + 1)
-        return sorted(found)
+                windows.setdefault(i, set()).add((start, end))
+        return sorted((start, end, i, errors) for i, listed in windows.items() for start, end, errors in self.apart(i, text, listed))
+
+    def apart(self, i: int, text: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """The matches of one notice in its windows; what a match leaves of a window is searched again."""
+        least = max(1, len(self.notices[i].text) - self.notices[i].errors)
+        waiting: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int, int]] = []
+
+        def search(start: int, end: int) -> None:
+            if end - start >= least and (match := self.patterns[i].search(text, start, end)) and match.end() > match.start():
+                heapq.heappush(waiting, (sum(match.fuzzy_counts), match.start(), match.end(), start, end))
+
+        # Windows that touch are joined up to a bounded length, so that the work is in proportion to the text.
+        joined: list[tuple[int, int]] = []
+        for start, end in sorted(windows):
+            if joined and start <= joined[-1][1] and max(end, joined[-1][1]) - joined[-1][0] <= 2 * len(self.notices[i].text):
+                joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+            else:
+                joined.append((start, end))
+        for start, end in joined:
+            search(start, end)
+        while waiting:
+            errors, first, after, start, end = heapq.heappop(waiting)
+            at = bisect.bisect_left(taken, (first,))
+            if at and taken[at - 1][1] > first:
+                at -= 1
+            elif at == len(taken) or taken[at][0] >= after:
+                taken.insert(at, (first, after, errors))
+            # From the taken match that this one is or lies over, as far as the window goes.
+            search(start, taken[at][0])
+            search(taken[at][1], end)
+        return taken
 
 
 _SCAN = (

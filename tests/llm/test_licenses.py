@@ -79,3 +79,18 @@ def test_every_notice_within_budget_is_found():
         text = "some words " + "".join(characters) + " and more"
         near = edit_distance(notice.text, text) <= notice.errors
         assert (at in {i for _, _, i, _ in searcher.spans(text)}) == near
+
+
+def test_edited_notices_beside_exact_ones_keep_their_spans():
+    exact, edited, worse = "licensed under the apache license, version 2.0", "licensed undr the apahce license, version 2.0", "licnsd undr the apache license, version 2.0"
+    searcher = licenses.Searcher(licenses.NOTICES)
+    kinds = {exact: 0, edited: 3, worse: 3}
+    for lines in ([edited, exact], [edited, edited, exact], [exact, worse, edited, exact, edited], [worse] * 5, [edited] * 100):
+        for gap in ("\n", "", " and "):
+            text = gap.join(lines)
+            found = [(a, b, e) for a, b, i, e in searcher.spans(text) if licenses.NOTICES[i].label == "apache"]
+            assert [e for _, _, e in found] == [kinds[line] for line in lines]
+            assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+            if gap == "\n":
+                assert [text[a:b] for a, b, _ in found] == lines
+    assert searcher.spans("licensed under the " * 500) == []
