@@ -11,6 +11,8 @@ An empty or null text has the zero fingerprint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ordermill.llm.stored import stored
@@ -24,8 +26,7 @@ _MODULUS = 1 << 16
 def _contributions(text: Column) -> Column:
     """The lane * 2^16 + value of each touched lane of each paragraph, from its sha-256."""
 
-    def touched(paragraph: Column) -> list[Column]:
-        digest = F.sha2(paragraph, 256)
+    def touched(digest: Column) -> list[Column]:
         # Each lane takes 7 bits of one hex number and 16 bits of another.
         return [
             F.conv(F.substring(digest, 16 * i + 1, 2), 16, 10).cast("long") % LANES * _MODULUS
@@ -33,12 +34,36 @@ def _contributions(text: Column) -> Column:
             for i in range(TOUCHED)
         ]
 
+    return _of_paragraphs(text, touched)
+
+
+def _signs(text: Column) -> Column:
+    """As ``_contributions``, with +1 or -1 (modulo 2^16) as values, from other hex numbers of the sha-256."""
+
+    def touched(digest: Column) -> list[Column]:
+        drawn = [F.conv(F.substring(digest, 16 * i + 7, 2), 16, 10).cast("long") for i in range(TOUCHED)]
+        return [x % LANES * _MODULUS + F.when(x < LANES, F.lit(1)).otherwise(F.lit(_MODULUS - 1)) for x in drawn]
+
+    return _of_paragraphs(text, touched)
+
+
+def _of_paragraphs(text: Column, touched: Callable[[Column], list[Column]]) -> Column:
     lines = F.when(text != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(lines, lambda line: F.array(*touched(line))))
+    return F.flatten(F.transform(lines, lambda line: F.array(*touched(F.sha2(line, 256)))))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text as an array of ``LANES`` numbers below 2^16."""
+    return _lanes(_contributions(F.coalesce(text, F.lit(""))))
+
+
+def sketch(text: Column) -> Column:
+    """The sketch of a text for ``shared``: like a fingerprint, ``plus`` and ``minus`` included."""
+    return _lanes(_signs(F.coalesce(text, F.lit(""))))
+
+
+def _lanes(contributions: Column) -> Column:
+    """Sums by lane, modulo 2^16."""
 
     def lanes_of(group: Column, listed: Column) -> Column:
         return F.transform(
@@ -67,7 +92,7 @@ def fingerprint(text: Column) -> Column:
             )
         )
 
-    return F.element_at(F.transform(F.array(_contributions(F.coalesce(text, F.lit("")))), summed), 1)
+    return F.element_at(F.transform(F.array(contributions), summed), 1)
 
 
 def plus(one: Column, other: Column) -> Column:
@@ -93,6 +118,23 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(equal / used)
 
 
+def shared(one: Column, other: Column) -> Column:
+    """The shared share of the paragraphs of two sketched texts: sums of lesser counts over sums of greater ones.
+
+    The squares of a sketch's lanes add up to about ``TOUCHED`` times its number of paragraphs,
+    those of a difference to the paragraphs only one has. Exact for equal multisets; otherwise an
+    estimate whose error does not grow with the length, as long as few paragraphs repeat in a text.
+    1.0 for two empty texts.
+    """
+
+    def squares(lanes: Column) -> Column:
+        signed = F.transform(lanes, lambda x: F.when(x < _MODULUS // 2, x).otherwise(x - _MODULUS))
+        return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x * x).cast("double")
+
+    both, apart = squares(one) + squares(other), squares(minus(one, other))
+    return F.when(both + apart == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (both - apart) / (both + apart)))
+
+
 def following(documents: DataFrame) -> DataFrame:
     """(key, next_key, n_chars) of the distinct documents in descending doc_id, as a ring.
 

@@ -59,3 +59,21 @@ def test_every_document_has_its_neighbour_across_many_runs(spark, documents, man
     keyed = documents(rows).select("doc_id", F.col("text").alias("key"), F.lit(1).cast("bigint").alias("n_chars"))
     got = {r.key: r.next_key for r in multiset.following(keyed).collect()}
     assert got == {f"text {i}": f"text {(i - 1) % 500}" for i in range(500)}
+
+
+def test_shared_share_holds_at_every_length(spark):
+    rows = []
+    for size in (12, 51, 100, 200, 406, 3000):
+        lines = [f"{size} line {i}" for i in range(2 * size)]
+        rows.append((size, "\n".join(lines[:size]), "\n".join(lines[size // 3 : size + size // 3]), "\n".join(lines[size:]), "\n".join(lines[:size][::-1])))
+    table = spark.createDataFrame([*rows, (0, "", None, "x", "")], "size int, a string, cut string, other string, turned string")
+    of = {c: multiset.sketch(F.col(c)).alias(c) for c in ("a", "cut", "other", "turned")}
+    table = table.select("size", *of.values())
+    got = table.select("size", *(multiset.shared(F.col("a"), F.col(c)).alias(c) for c in of if c != "a")).collect()
+    for r in got:
+        assert r.turned == 1.0
+        if r.size:
+            assert abs(r.cut - 0.5) < 0.2 and r.other < 0.2
+    assert [(r.cut, r.other) for r in got if r.size == 0] == [(1.0, 0.0)]
+    same = table.select((multiset.minus(multiset.plus(F.col("a"), F.col("other")), F.col("other")) == F.col("a")).alias("same"))
+    assert all(r.same for r in same.collect())
