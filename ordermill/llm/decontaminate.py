@@ -1,13 +1,15 @@
 """Benchmark passages inside documents, with edits.
 
-A test item of m characters may have k = m * error_percent / 100 errors. It is split into
-k + 1 pieces; a copy with at most k edits leaves one piece untouched. An automaton
+A test item of m characters may have k errors: m * error_percent / 100 and those of an
+average word (``WORD``) more, where that is no more than an eighth of the item. It is split into
+k + 2 pieces (one if k is 0); a copy with at most k edits leaves two pieces untouched. An automaton
 finds the exact hits of all pieces in each whole text, and Myers' bit-parallel
-algorithm verifies the few characters around them. Texts and items are compared in
+algorithm verifies the few characters around two of them. Texts and items are compared in
 lower case with single spaces. The items go to the tasks in blocks of bounded
 size (``ITEM_BLOCK`` characters); a larger table takes one pass over the documents per block.
 
-Null and empty texts, and items without characters, match nothing.
+Null and empty texts, and items without characters, match nothing. Items without an id are
+searched like all others; their rows have a null item_id.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ERROR_PERCENT = 6
+WORD = 6  # an average word and a blank
 ITEM_BLOCK = 4_000_000
 
 
@@ -32,7 +35,8 @@ def plain(text: str | None) -> str:
 
 
 def budget(length: int, error_percent: int = ERROR_PERCENT) -> int:
-    return length * error_percent // 100
+    share = length * error_percent // 100
+    return max(share, min(share + WORD, length // 8)) if error_percent else 0
 
 
 def best_match(item: str, text: str) -> tuple[int, int]:
@@ -71,9 +75,12 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], error_percent: int) -> None:
         self.items, self.error_percent = items, error_percent
+        self.needed: list[int] = []  # of each item: how many of its pieces a match leaves untouched
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (_, item) in enumerate(items):
-            count = budget(len(item), error_percent) + 1
+            errors = budget(len(item), error_percent)
+            count = errors + 2 if errors and errors + 2 <= len(item) else errors + 1
+            self.needed.append(count - errors)
             edges = [len(item) * j // count for j in range(count + 1)]
             for a, b in zip(edges, edges[1:]):
                 seeds.setdefault(item[a:b], []).append((i, a))
@@ -84,7 +91,7 @@ class Matcher:
 
     def matches(self, text: str) -> dict[int, tuple[int, int]]:
         """Of each item found: the least distance and the end of that place in ``text``."""
-        regions: dict[int, list[list[int]]] = {}
+        regions: dict[int, list[list]] = {}  # start, end and the places of the pieces hit
         for last, (length, users) in self.automaton.iter(text):
             for i, place in users:
                 size = len(self.items[i][1])
@@ -93,13 +100,17 @@ class Matcher:
                 end = min(len(text), last + 1 - length - place + size + slack)
                 listed = regions.setdefault(i, [])
                 if listed and start <= listed[-1][1]:
-                    listed[-1] = [min(listed[-1][0], start), max(listed[-1][1], end)]
+                    region = listed[-1]
+                    region[0], region[1] = min(region[0], start), max(region[1], end)
+                    region[2].add(place)
                 else:
-                    listed.append([start, end])
+                    listed.append([start, end, {place}])
         found = {}
         for i, listed in regions.items():
             item = self.items[i][1]
-            for start, end in listed:
+            for start, end, places in listed:
+                if len(places) < self.needed[i]:
+                    continue
                 part = text[start:end]
                 exact = part.find(item)
                 distance, stop = (0, exact + len(item)) if exact >= 0 else best_match(item, part)
@@ -130,7 +141,7 @@ def _found(items: list[tuple[int, str]], error_percent: int):
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         item = plain(row.text)
         if not item:
             continue

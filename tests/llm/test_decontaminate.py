@@ -66,3 +66,15 @@ def test_items_in_blocks_and_empty_tables(documents, benchmark, monkeypatch):
     assert decontaminate.contaminated(documents(rows), nothing).collect() == []
     assert decontaminate.drop_contaminated(documents(rows), nothing).count() == 3
     assert decontaminate.contaminated(documents([]), benchmark).collect() == []
+
+
+def test_items_without_id_and_a_word_more_or_less_in_a_short_item(documents, benchmark):
+    short = ITEMS[0][1]
+    rows = [
+        (1, "here is An item without id and more"), (2, short.replace("seven ", "")), (3, short.replace("while", "while again")),
+        (4, "a text of its own"), (5, short.replace("quick brown fox jumps", "slow grey cat sleeps")),
+    ]
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(documents(rows), benchmark).collect()}
+    assert got == {(1, None): 0, (2, 1): 6, (3, 1): 6}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(documents(rows), benchmark).collect()) == [4, 5]
+    assert decontaminate.budget(1000, 0) == 0 and decontaminate.budget(10) == 1
