@@ -13,16 +13,16 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """Texts and labels (0.0 or 1.0) of up to ``rows`` labelled documents outside the held-out fold.
 
-    The documents with the smallest hashes of their id are taken, so that the sample
-    is the same in every run. It is bounded, hence may be broadcast; no text is
-    shuffled. Null labels are left out; of several labels of an id the largest counts.
+    Of the ids that ``documents`` holds, those with the smallest hashes are taken, so that the
+    sample is the same in every run. It is bounded, hence may be broadcast; only texts of the sample are
+    shuffled. Null labels are left out; of several labels of an id the largest counts, of several texts
+    the first in byte order.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = (
-        known.groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max(F.col(label).cast("double")).alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
-    )
+    outside = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    known = labels.where(F.col(label).isNotNull() & outside)
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("double")).alias("label"))
+    held = documents.where(outside).select(F.col("doc_id").alias("_id")).distinct()
+    chosen = known.join(held, "_id").orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = documents.select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), texts.doc_id == chosen._id).select("text", "label")
+    sample = texts.join(F.broadcast(chosen), texts.doc_id == chosen._id)
+    return sample.groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")

@@ -6,8 +6,9 @@ shares of toxic and other training texts that hold it; a logistic regression is
 fitted on the scaled features. Training uses a bounded sample of labelled texts
 (``sample_rows``); scoring reads every byte of every text, in blocks.
 
-Null and empty texts score the intercept alone. Without training rows of both
-classes every score is 0.0. A column with the name of the score is replaced.
+Null and empty texts score the intercept alone. Where no n-gram reaches the least gain, as in
+a small sample, the best of those that tell the classes apart at all are kept. Without any, or without
+training rows of both classes, every score is 0.0. A column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -133,9 +134,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", settings:
         # One row per kept bucket comes to the driver: settings.features at most.
         best = (
             counts.select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
-            .where(F.col("gain") >= settings.least_gain)
+            .where(F.col("gain") > 0)
             .orderBy(F.col("gain").desc(), "bucket").limit(settings.features).collect()
         )
+        best = [row for row in best if row.gain >= settings.least_gain] or best
         if not best:
             return untrained
         kept = np.array([row.bucket for row in best], np.int64)

@@ -120,3 +120,19 @@ def test_sample_is_bounded_and_outside_the_fold(documents, labels):
     rows, marks = corpus(insulting)
     sample = training_sample(documents(rows), labels(marks), "toxic", 50)
     assert sample.count() == 50
+
+
+def test_sample_is_filled_from_ids_that_documents_hold_and_has_one_text_of_each(documents, labels):
+    rows, marks = corpus(insulting)
+    kept = [row for row in rows if row[0] % 3 == 0]
+    inside = len({i for i, _ in kept} & {r.doc_id for r in documents(kept).where(~held_out(F.col("doc_id"))).collect()})
+    sample = training_sample(documents(kept + [(i, f"{t} again") for i, t in kept]), labels(marks), "toxic", inside)
+    assert sample.count() == inside
+
+
+def test_a_small_labelled_set_trains(documents, labels):
+    rows = [(i, f"{WORDS[i % 16]} {'vile scumbag' if i % 2 else 'garden paper'} {WORDS[i % 7]}") for i in range(14)]
+    table = documents(rows)
+    model = toxicity.fit(table, labels([(i, 1, i % 2) for i, _ in rows]))
+    scores = {r.doc_id: r.s for r in table.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    assert model.trained and all((s >= 0.5) == bool(i % 2) for i, s in scores.items())
