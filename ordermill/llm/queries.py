@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ordermill.llm import decontaminate, html_text, jaccard, licenses, multiset, packing, quality, token_counts, toxicity, url_filter
+from ordermill.llm import decontaminate, fill_in_middle, html_text, jaccard, licenses, multiset, packing, quality, token_counts, toxicity, url_filter
 from ordermill.llm.labelled import held_out
 
 
@@ -165,6 +165,43 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+    WITH given AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    cut AS (
+        SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+            CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+            CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+        FROM given
+    ),
+    formed AS (
+        SELECT *, CAST(len(units) AS BIGINT) AS n, CASE
+            WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+            WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM cut
+    ),
+    parts AS (
+        SELECT *, coalesce(array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], ''), '') AS pre,
+            coalesce(array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], ''), '') AS mid,
+            coalesce(array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], ''), '') AS suf
+        FROM formed
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM parts
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -175,7 +212,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_toxicity, op2_license_scan, op3_ngram_jaccard, op4_url_filter, op5_multiset_fingerprint, op6_best_fit_packing,
-        op7_quality, op8_html_text, op9_token_counts, op10_decontaminate, pipeline,
+        op7_quality, op8_html_text, op9_token_counts, op10_decontaminate, op13_fill_in_middle, pipeline,
     )
 }
-SQL = {"op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_multiset_fingerprint": OP5_SQL}
+SQL = {"op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_multiset_fingerprint": OP5_SQL, "op13_fill_in_middle": OP13_SQL}
