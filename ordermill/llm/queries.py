@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ordermill.llm import decontaminate, fill_in_middle, html_text, jaccard, licenses, multiset, packing, quality, token_counts, toxicity, url_filter
+from ordermill.llm import decontaminate, fill_in_middle, html_text, jaccard, licenses, multiset, packing, quality, token_counts, toxicity, url_filter, whitening
 from ordermill.llm.labelled import held_out
 
 
@@ -165,6 +165,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -212,7 +216,8 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_toxicity, op2_license_scan, op3_ngram_jaccard, op4_url_filter, op5_multiset_fingerprint, op6_best_fit_packing,
-        op7_quality, op8_html_text, op9_token_counts, op10_decontaminate, op13_fill_in_middle, pipeline,
+        op7_quality, op8_html_text, op9_token_counts, op10_decontaminate, op11_whitening,
+        op13_fill_in_middle, pipeline,
     )
 }
 SQL = {"op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_multiset_fingerprint": OP5_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -1,0 +1,155 @@
+import math
+import random
+from decimal import Decimal
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from ordermill.llm import charpoly, whitening
+
+
+@pytest.fixture
+def embeddings(spark):
+    """An embeddings table with extra columns of clashing names."""
+
+    def build(rows, kind="float"):
+        full = [(i, v, 1, 2, 3, 0.5, 9) for i, v in rows]
+        return spark.createDataFrame(
+            full, f"vec_id bigint, embedding array<{kind}>, n bigint, component int, x int, whitened double, place bigint"
+        ).repartition(3)
+
+    return build
+
+
+def exact_polynomial(matrix):
+    """Faddeev-LeVerrier in fractions, constant first."""
+    size = len(matrix)
+    c, m = [Fraction(1)], [[Fraction(0)] * size for _ in range(size)]
+    for k in range(1, size + 1):
+        m = [[sum(matrix[i][l] * m[l][j] for l in range(size)) + (c[-1] if i == j else 0) for j in range(size)] for i in range(size)]
+        am = [[sum(matrix[i][l] * m[l][j] for l in range(size)) for j in range(size)] for i in range(size)]
+        c.append(-sum(am[i][i] for i in range(size)) / k)
+    return [int(v) for v in reversed(c)]
+
+
+def gram(size, rows, seed, most=50):
+    pick = np.random.default_rng(seed)
+    a = pick.integers(-most, most, (rows, size))
+    return (a.T @ a).tolist()
+
+
+@pytest.mark.parametrize("matrix", [
+    gram(7, 20, 1), gram(6, 3, 2), gram(5, 9, 3, 10**6), [[0]], [[5]], [[2, 0, 0], [0, 2, 0], [0, 0, 7]], [[0] * 4] * 4, [[1] * 5] * 5,
+    [[0, 0, 3], [0, 1, 0], [3, 0, 9]],
+])
+def test_polynomial_equals_exact_fractions(spark, matrix):
+    assert whitening.characteristic_polynomial(spark, matrix) == exact_polynomial(matrix)
+
+
+def test_primes():
+    got = charpoly.largest_primes(50)
+    assert got[0] == 2**31 - 1 and got == sorted(set(got), reverse=True)
+    assert all(p % q for p in got for q in range(2, 46341))
+
+
+@pytest.mark.parametrize("matrix", [gram(7, 20, 1), gram(6, 3, 2), gram(12, 40, 5, 10**6)])
+def test_roots_and_vectors(matrix):
+    roots = charpoly.largest_roots(exact_polynomial(matrix), 5)
+    expected = np.linalg.eigvalsh(np.array(matrix, float))[::-1][:5]
+    assert np.allclose([float(r) for r, _ in roots], np.maximum(expected, 0), rtol=1e-12, atol=1e-9 * expected[0])
+    root = roots[0][0]
+    vector = charpoly.null_vectors(matrix, root, 1)[0]
+    rest = [sum(Decimal(v) * x for v, x in zip(row, vector)) - root * vector[i] for i, row in enumerate(matrix)]
+    assert max(map(abs, rest)) < root * Decimal("1e-20")
+
+
+def test_equal_and_close_roots():
+    # Roots 9, 4, 4, 4, 1 and 0; then two that differ in the twentieth digit.
+    turn = np.array([[3, 4], [-4, 3]])
+    matrix = np.zeros((6, 6), int)
+    matrix[:2, :2] = turn.T @ np.diag([4 * 25, 9 * 25]) @ turn // 25
+    matrix[2, 2], matrix[3, 3], matrix[4, 4] = 4 * 25, 4 * 25, 25
+    polynomial = exact_polynomial(matrix.tolist())
+    roots = charpoly.largest_roots(polynomial, 6)
+    assert [round(float(r) / 25, 20) for r, _ in roots] == [9, 4, 4, 4, 1, 0]
+    assert [g for _, g in roots] == [0, 1, 1, 1, 4, 5]
+    vectors = np.array([[float(v) for v in x] for x in charpoly.null_vectors(matrix.tolist(), roots[1][0], 3)])
+    assert np.allclose(vectors @ vectors.T, np.eye(3), atol=1e-15) and np.allclose(matrix @ vectors.T, 100 * vectors.T, atol=1e-12)
+    close = charpoly.largest_roots(exact_polynomial([[10**20 + 1, 0], [0, 10**20]]), 2)
+    assert [round(r) for r, _ in close] == [10**20 + 1, 10**20]
+
+
+def by_hand(rows, count=4):
+    """The contract in numpy, one row after another."""
+    kept = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    size = max(len(x) for _, x in kept)
+    kept = [(i, tuple(x) + (0,) * (size - len(x))) for i, x in kept]
+    fit = np.array(sorted({x for _, x in kept}), float)
+    n, sums = len(fit), fit.sum(axis=0)
+    covariance = np.cov(fit.T, bias=True).reshape(size, size)
+    values, vectors = np.linalg.eigh(covariance)
+    out = []
+    for i, x in kept:
+        deviation = sum((n * int(a) - int(s)) ** 2 for a, s in zip(x, sums))
+        for k in range(min(count, size)):
+            e = values[-1 - k]
+            w = (np.array(x) - sums / n) @ vectors[:, -1 - k] / math.sqrt(e) if e > 1e-9 else None
+            out.append((i, k + 1, n, deviation, w, e / covariance.trace()))
+    return out
+
+
+def same(got, expected):
+    got = sorted(got, key=lambda r: (r.component, repr(r.vec_id), r.deviation, abs(r.whitened or 0)))
+    expected = sorted(expected, key=lambda r: (r[1], repr(r[0]), r[3], abs(r[4] or 0)))
+    assert [(r.vec_id, r.component, r.n, r.deviation) for r in got] == [r[:4] for r in expected]
+    for component in {r.component for r in got}:
+        a = [(r.whitened, e[4]) for r, e in zip(got, expected) if r.component == component]
+        if a[0][1] is None:
+            assert all(x is None for x, _ in a)
+            continue
+        sign = 1 if sum(x * y for x, y in a) > 0 else -1
+        assert np.allclose([sign * x for x, _ in a], [y for _, y in a], rtol=0, atol=1e-8)
+    assert np.allclose([r.explained for r in got], [e[5] for e in expected], rtol=1e-9, atol=1e-12)
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-9
+
+
+def test_equals_numpy(embeddings):
+    pick = random.Random(3)
+    rows = [(i, [pick.gauss(0, 0.2 + j / 20) for j in range(12)]) for i in range(200)]
+    rows += [(1000 + i, rows[i % 3][1]) for i in range(50)] + [(7, rows[7][1]), (None, rows[9][1])]
+    rows += [(2000, None), (2001, [None] + [0.5] * 11), (2002, [float("nan")] * 12), (2003, [float("-inf")] + [0.0] * 11)]
+    for kind in ("float", "double"):
+        values = [(i, v and [c if c is None else float(np.float32(c)) if kind == "float" else c for c in v]) for i, v in rows]
+        same(whitening.whitened(embeddings(rows, kind)).collect(), by_hand(values))
+
+
+def test_few_dimensions_and_zero_eigenvalues(embeddings):
+    rows = [(1, [0.5, 0.25]), (2, [1.0, 0.5]), (3, [-0.5, -0.25]), (3, [-0.5, -0.25])]
+    got = whitening.whitened(embeddings(rows)).collect()
+    assert len(got) == 8 and {r.whitened is None for r in got if r.component == 2} == {True}
+    same(got, by_hand(rows))
+    alone = whitening.whitened(embeddings([(1, [0.5, 0.25, 1.0]), (2, [0.5, 0.25, 1.0])])).collect()
+    assert {(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in alone} == {(1, 0, None, None, 0.0)} and len(alone) == 6
+
+
+def test_odd_tables(embeddings):
+    columns = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    for rows in ([], [(1, None), (2, [None])], [(1, [])]):
+        empty = whitening.whitened(embeddings(rows))
+        assert empty.columns == columns and empty.collect() == []
+    padded = [(1, [0.5, 1.5]), (2, [1.0]), (3, [0.25, 0.75, 2.0]), (4, []), (5, [2.0, -1.0, 0.125])]
+    same(whitening.whitened(embeddings(padded)).collect(), by_hand(padded))
+
+
+def test_large_entries_stay_exact(embeddings):
+    rows = [(i, [float(i * 10**5 + j), float((i * i) % 7 * 10**5), 0.5 * j]) for i in range(5) for j in range(4)]
+    same(whitening.whitened(embeddings(rows, "double")).collect(), by_hand(rows))
+    huge = whitening.whitened(embeddings([(1, [1e12, 0.0]), (2, [0.0, 1.0]), (3, [1e30, -1e30])], "double")).collect()
+    assert {r.deviation for r in huge} == {None} and all(math.isfinite(r.whitened) for r in huge)
+
+
+def test_long_vectors(embeddings):
+    pick = np.random.default_rng(5)
+    rows = [(i, pick.normal(0, 1, 96).tolist()) for i in range(150)]
+    same(whitening.whitened(embeddings(rows, "double")).collect(), by_hand(rows))
