@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ordermill.llm import decontaminate, fill_in_middle, html_text, jaccard, licenses, multiset, packing, quality, token_counts, toxicity, url_filter, whitening
+from ordermill.llm import decontaminate, fill_in_middle, html_text, jaccard, licenses, multiset, ngram_lm, packing
+from ordermill.llm import quality, token_counts, toxicity, url_filter, whitening
 from ordermill.llm.labelled import held_out
 
 
@@ -169,6 +170,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    # A null id counts as ''.
+    outside = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    model = ngram_lm.fit(documents.where(~outside))
+    scored = ngram_lm.score(model, documents)
+    return scored.select(
+        "doc_id", outside.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score", "perplexity",
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -217,7 +230,7 @@ QUERIES = {
     for q in (
         op1_toxicity, op2_license_scan, op3_ngram_jaccard, op4_url_filter, op5_multiset_fingerprint, op6_best_fit_packing,
         op7_quality, op8_html_text, op9_token_counts, op10_decontaminate, op11_whitening,
-        op13_fill_in_middle, pipeline,
+        op12_kneser_ney, op13_fill_in_middle, pipeline,
     )
 }
 SQL = {"op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_multiset_fingerprint": OP5_SQL, "op13_fill_in_middle": OP13_SQL}

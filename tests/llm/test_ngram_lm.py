@@ -1,0 +1,141 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from ordermill.llm import ngram_lm, spans
+from tests.llm.conftest import ODD
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)) + ["</s>"]
+
+
+class ByHand:
+    """The model in dictionaries of word tuples."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.words = Counter(t for text in texts for t in tokens(text))
+        self.counts = {m: Counter() for m in range(1, order + 1)}
+        for text in texts:
+            sequence = ["<s>", *tokens(text)]
+            for i in range(1, len(sequence)):
+                if i + 1 >= order:
+                    self.counts[order][tuple(sequence[i + 1 - order : i + 1])] += 1
+                else:
+                    self.counts[i + 1][tuple(sequence[: i + 1])] += 1
+        for m in range(order - 1, 0, -1):
+            for gram in self.counts[m + 1]:
+                self.counts[m][gram[1:]] += 1
+        self.discounts, self.follow = {}, {m: defaultdict(lambda: [0, 0, 0, 0]) for m in self.counts}
+        for m, counts in self.counts.items():
+            self.discounts[m] = ngram_lm.discounts([sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)])
+            for gram, c in counts.items():
+                about = self.follow[m][gram[:-1]]
+                about[0] += c
+                about[min(c, 3)] += 1
+
+    def p(self, word, context):
+        m = len(context) + 1
+        lower = self.p(word, context[1:]) if context else 1 / (len(self.words) + 1)
+        if any(w not in self.words and w != "<s>" for w in context) or context not in self.follow[m]:
+            return lower
+        total, *n = self.follow[m][context]
+        c = self.counts[m][context + (word,)]
+        d = self.discounts[m]
+        return ((c - d[min(c, 3) - 1] if c else 0) + sum(x * y for x, y in zip(d, n)) * lower) / total
+
+    def score(self, text):
+        sequence = ["<s>", *tokens(text)]
+        return sum(
+            math.log10(self.p(sequence[i], tuple(sequence[max(0, i + 1 - self.order) : i]))) for i in range(1, len(sequence))
+        )
+
+    def base(self, text):
+        n, v = sum(self.words.values()), len(self.words)
+        return sum(math.log10((self.words[t] + 1) / (n + v + 1)) for t in tokens(text))
+
+
+def sentences(count, seed, words=60, longest=30):
+    pick = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(words)]
+    return [" ".join(pick.choice(vocabulary[: 1 + int(words * pick.random() ** 3)]) for _ in range(pick.randrange(0, longest))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_equals_the_model_by_hand(documents, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 64)
+    monkeypatch.setattr(ngram_lm, "FLUSH", 200)
+    training = sentences(150, 1) + ["Repeated ROW of words", "Repeated ROW of words", None, "", " \t\n"]
+    tested = training[:20] + sentences(30, 2, 90) + ["never seen before", None, "", "Ünïcödé w1 w2"]
+    model = ngram_lm.fit(documents([(i, t) for i, t in enumerate(training)]), order)
+    hand = ByHand(training, order)
+    assert (model.words, model.tokens) == (len(hand.words), sum(hand.words.values())) and model.shards > 16
+    assert np.allclose(model.discounts, [hand.discounts[m] for m in range(1, order + 1)])
+    got = {r.doc_id: r for r in ngram_lm.score(model, documents([(i, t) for i, t in enumerate(tested)])).collect()}
+    for i, text in enumerate(tested):
+        known = sum(t in hand.words for t in tokens(text))
+        assert (got[i].n_tokens, got[i].n_known) == (len(tokens(text)), known)
+        assert math.isclose(got[i].base_score, hand.base(text), abs_tol=1e-9)
+        assert math.isclose(got[i].score, hand.score(text), abs_tol=1e-9)
+        assert math.isclose(got[i].perplexity, 10 ** (-got[i].score / got[i].n_tokens))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_of_a_context_sum_to_one(documents, order):
+    training = sentences(80, 3)
+    model = ngram_lm.fit(documents([(i, t) for i, t in enumerate(training)]), order)
+    words = sorted({t for text in training for t in tokens(text)} - {"</s>"})
+    for context in ("w0", "w3 w1", "w0 w0 w2", "unknown", "w1 unknown", "w2 unknown w1", ""):
+        rows = [(0, context)] + [(i, f"{context} {w}") for i, w in enumerate(words + ["strange"], 1)]
+        scored = {r.doc_id: r.score for r in ngram_lm.score(model, documents(rows)).collect()}
+        store, hasher = ngram_lm.Store(model), spans.Hasher()
+        total = 0.0
+        for _, text in rows:
+            runs = list(ngram_lm._runs(model, pa.array([text]), hasher, store))
+            p = np.concatenate([ngram_lm.probabilities(model, store, ids, columns, there) for _, ids, _, columns, there in runs])
+            total += p[-1] if text == context else p[-2]  # the end after the context, or the word after it
+        assert math.isclose(total, 1.0, rel_tol=1e-9) and len(scored) == len(rows)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_texts_in_parts(documents, monkeypatch, order):
+    """Texts longer than a block are read in parts, and score as in one piece."""
+    training = sentences(60, 5) + [" ".join(sentences(1, 6, longest=400)), "  " * 90 + "w1 w2  " + " " * 130 + "w3"]
+    tested = training + ["w1 " * 300 + "x" * 500, " " * 500, "\t" * 200 + "w1"]
+    rows, asked = documents([(i, t) for i, t in enumerate(training)]), documents([(i, t) for i, t in enumerate(tested)])
+    whole = {r.doc_id: r.score for r in ngram_lm.score(ngram_lm.fit(rows, order), asked).collect()}
+    monkeypatch.setattr(ngram_lm, "blocks", lambda texts, cut: spans.blocks(texts, cut, limit=64))
+    parts = {r.doc_id: r.score for r in ngram_lm.score(ngram_lm.fit(rows, order), asked).collect()}
+    hand = ByHand(training, order)
+    for i, text in enumerate(tested):
+        assert math.isclose(whole[i], hand.score(text), abs_tol=1e-8) and math.isclose(parts[i], whole[i], abs_tol=1e-9)
+
+
+def test_odd_rows_and_empty_tables(documents, spark):
+    empty = ngram_lm.fit(documents([]))
+    got = ngram_lm.score(empty, documents([(1, "a b"), (2, None)])).collect()
+    assert {(r.n_tokens, r.n_known, r.base_score, r.score, r.perplexity) for r in got} == {(3, 0, 0.0, 0.0, 1.0), (1, 0, 0.0, 0.0, 1.0)}
+    model = ngram_lm.fit(documents(ODD))
+    scored = ngram_lm.score(model, documents(ODD))
+    assert scored.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"]
+    hand = ByHand([t for _, t in ODD], 2)
+    expected = sorted((repr(d), len(tokens(t)), round(hand.score(t), 9)) for d, t in ODD)
+    assert sorted((repr(r.doc_id), r.n_tokens, round(r.score, 9)) for r in scored.collect()) == expected
+    assert ngram_lm.score(model, documents([])).collect() == []
+    with pytest.raises(ValueError):
+        ngram_lm.fit(documents(ODD), 1)
+
+
+def test_discounts_fall_back():
+    assert ngram_lm.discounts([0, 3, 2, 1]) == ngram_lm.discounts([1, 1, 9, 9]) == ngram_lm.SMALL_CORPUS
+    d = ngram_lm.discounts([100, 40, 20, 12])
+    y = 100 / 180
+    assert d == (1 - 2 * y * 40 / 100, 2 - 3 * y * 20 / 40, 3 - 4 * y * 12 / 20)
