@@ -52,7 +52,7 @@ END = np.uint64(0x5D588B656C078965)  # stands for the hash of the end of a text
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 FLUSH = 1 << 21  # tokens that a task holds before it passes their counts on
 SHARD_TOKENS = 1 << 21  # tokens of text for which there is one shard
-DENSE = 1 << 20  # ids per shard of the one-word level
+DENSE = 1 << 17  # ids per shard of the one-word level
 MAPPED = 256  # files that a task keeps open
 NOTHING = -2  # in place of an id, before the beginning of a text; -1 is an unknown word
 _COUNTS = 5  # below the highest order: count, total as context, words that follow it 1, 2, and 3 or more times
