@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ordermill import schema
 from ordermill.functions.expressions import at, json_value, micros, money, not_listed, snapshot_name, unless, well_formed
 from ordermill.functions.routes import path_of
-from ordermill.operators import changes, checks
+from ordermill.operators import changes, checks, partitions
 from ordermill.operators.admission import Limit, admission_counts, admit
 from ordermill.operators.runs import numbered_rows
 from ordermill.plans import reports, request_logs, seeding, snapshots, views
@@ -651,6 +651,65 @@ def delete_rows(spark, sf_dir):
     return checks.union_all([*left, blocking.select(blocked, F.col("violations").cast("string").alias("id"))])
 
 
+def _by_month(spark, sf_dir) -> tuple[str, str]:
+    """Orders and their items, stored in one folder per month of the order."""
+    folder, tables = scratch_dir(spark, "months"), _declared(spark, sf_dir)
+    month = F.date_trunc("month", F.col("created_at")).cast("timestamp_ntz")
+    orders = tables["orders"].withColumn("created_at", month)
+    items = tables["order_items"].drop("created_at").join(orders.select("order_id", "created_at"), "order_id")
+    paths = f"{folder}/orders", f"{folder}/order_items"
+    layout.write_laid_out(orders, "orders", paths[0])
+    layout.write_laid_out(items.select(*tables["order_items"].columns), "order_items", paths[1])
+    return paths
+
+
+@query(
+    """
+    SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,
+           CASE WHEN hit THEN 'ready' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'confirmed' ELSE 'pending' END AS order_status,
+           CASE WHEN hit AND o_orderpriority = '1-URGENT' THEN TIMESTAMP '1990-01-01' ELSE CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) END AS created_at,
+           CASE WHEN hit THEN TIMESTAMP '2024-01-15 12:30:00' END AS updated_at
+    FROM (SELECT *, coalesce(o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-02-01' AND o_orderdate < TIMESTAMP '1995-08-01', false) AS hit FROM orders)
+    """
+)
+def update_partitions(spark, sf_dir):
+    """Pending orders of half a year change, the urgent ones also their month; other folders stay."""
+    path, _ = _by_month(spark, sf_dir)
+    first, last = (F.lit(day).cast("timestamp_ntz") for day in ("1995-02-01", "1995-08-01"))
+    given, day = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    updates = given.where((F.col("o_orderstatus") == "P") & (day >= first) & (day < last)).select(
+        F.concat(F.lit("O"), "o_orderkey").alias("order_id"), F.lit("ready").alias("order_status"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("1990-01-01").cast("timestamp_ntz"))
+        .otherwise(F.date_trunc("month", day).cast("timestamp_ntz")).alias("created_at"),
+    )
+    partitions.update_partitions(spark, "orders", path, updates, _NOW)
+    stored = layout.read_laid_out(spark, "orders", path)
+    return stored.select("order_id", "total_amount", "order_status", "created_at", "updated_at")
+
+
+_GONE = "o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-08-01' AND o_orderpriority = '1-URGENT'"
+
+
+@query(
+    f"""
+    SELECT 'orders' AS table_name, 'O' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE NOT ({_GONE})
+    UNION ALL
+    SELECT 'order_items', CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT ({_GONE})
+    """
+)
+def delete_partitions(spark, sf_dir):
+    """Urgent orders of three months go with their items; only these months are rewritten."""
+    orders, items = _by_month(spark, sf_dir)
+    gone = table(spark, sf_dir, "orders").where(_GONE.replace("TIMESTAMP", "TIMESTAMP_NTZ")).select(F.concat(F.lit("O"), "o_orderkey").alias("order_id"))
+    others = {"order_status_history": spark.createDataFrame([], schema.struct("order_status_history"))}
+    partitions.delete_with_children(spark, {"orders": orders, "order_items": items}, others, "orders", gone)
+    left = [("orders", orders, "order_id"), ("order_items", items, "order_item_id")]
+    return checks.union_all(
+        layout.read_laid_out(spark, name, path).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("id"))
+        for name, path, key in left
+    )
+
+
 @query(
     f"""
     SELECT 'customers' AS table_name, 'C' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer
@@ -749,22 +808,47 @@ def snapshot_roundtrip(spark, sf_dir):
     base = scratch_dir(spark, "snapshots")
     taken = {"orders": _orders(spark, sf_dir), "customer": table(spark, sf_dir, "customer")}
     name = snapshots.take_snapshot(spark, taken, base, "shop", datetime(2024, 1, 15, 3, 0, 0))
-    restored = snapshots.restore(spark, base, name, f"{base}/live", datetime(2024, 1, 16))
+    restored = snapshots.restore(spark, base, name, f"{base}/live")
     return restored["orders"].select(F.lit("orders").alias("table_name"), "*")
 
 
+_CONTENT = {"o_orderkey": "o_orderkey", "o_orderstatus": "o_orderstatus", "total_amount": "CAST(o_totalprice AS DECIMAL(10,2))",
+            "o_orderdate": "o_orderdate", "o_orderpriority": "nullif(o_orderpriority, '5-LOW')"}
+
+
+def _content_sql(names: tuple[str, ...]) -> str:
+    texts = [f"coalesce('=' || CAST({_CONTENT[n]} AS VARCHAR), '-')" for n in names]
+    row = " || ".join(f"CAST(length({t}) AS VARCHAR) || {t}" for t in texts)
+    return (
+        f"SELECT '{', '.join(names)}' AS columns, count(*) AS rows, "
+        f"CAST(sum(CAST('0x' || substr(md5({row}), 1, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS checksum FROM orders"
+    )
+
+
+@query(" UNION ALL ".join(_content_sql(names) for names in [tuple(_CONTENT), *((n,) for n in _CONTENT)]))
+def snapshot_checksum(spark, sf_dir):
+    """Checksums of a restored table: of whole rows, and of each column."""
+    base = scratch_dir(spark, "checksums")
+    orders = _orders(spark, sf_dir).withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    name = snapshots.take_snapshot(spark, {"orders": orders}, base, "shop", datetime(2024, 1, 15, 3, 0, 0))
+    restored = snapshots.restore(spark, base, name, f"{base}/live")["orders"]
+    return snapshots.content_sums(restored, [list(_CONTENT), *([n] for n in _CONTENT)])
+
+
 @query(_ORDERS_SQL)
 def versioned_append(spark, sf_dir):
-    base = scratch_dir(spark, "tables")
+    """New rows come in two appends, of which the second also brings later states of rows that are there."""
+    path = f"{scratch_dir(spark, 'tables')}/sales"
     orders = _orders(spark, sf_dir)
     ordered = F.col("o_orderdate")
     first, second = (F.lit(day).cast("timestamp_ntz") for day in ("1997-01-01", "1999-01-01"))
-    snapshots.publish(spark, orders.where(ordered < first), base, "sales", datetime(2024, 1, 15))
-    for hour, incoming in enumerate((orders.where(ordered < second), orders)):
-        held = snapshots.current(spark, base, "sales")
-        added = changes.absent_rows(held, incoming, ["o_orderkey"], ["o_orderdate"])
-        snapshots.publish(spark, added, base, "sales", datetime(2024, 1, 16, hour), whole=False)
-    return snapshots.current(spark, base, "sales")
+    early = orders.where(ordered < first).withColumn("total_amount", money(F.col("total_amount") / 2))
+    snapshots.append_rows(early, path, 1)
+    for version, incoming in enumerate((orders.where(ordered < second), orders), 2):
+        held = snapshots.newest_rows(spark, path, orders.schema, ["o_orderkey"])
+        snapshots.append_rows(changes.absent_rows(held, incoming, ["o_orderkey"], ["o_orderdate"]), path, version)
+    snapshots.append_rows(orders.where(ordered < first), path, 4)
+    return snapshots.newest_rows(spark, path, orders.schema, ["o_orderkey"])
 
 
 # ------------------------------------------------------------------------- request logs

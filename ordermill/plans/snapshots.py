@@ -1,13 +1,13 @@
-"""Table versions, and snapshots of all tables with retention and restore.
+"""Snapshots of all tables with checksums, retention and restore, and tables that only grow.
 
-Spark writes are atomic per folder, not over several tables. A version or snapshot
-counts only once its row in the log is there, and that row is written last.
+Spark writes are atomic per folder, not over several tables. A snapshot
+counts only once its rows in the manifest are there, and these are written last.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -15,35 +15,78 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ordermill import schema
 from ordermill.functions.expressions import at, micros
 from ordermill.operators import checks
-from ordermill.session import folder_exists, remove_folder
+from ordermill.operators.changes import first_per_key
+from ordermill.session import remove_folder
 
 # Snapshots older than this many whole days go; how their names are dated.
 RETENTION_DAYS = 7
 NAME_FORMAT = "%Y%m%d_%H%M%S"
 
-MANIFEST = "snapshot string, table_name string, rows long, columns string, taken_at timestamp_ntz"
-VERSIONS = "table_name string, version int, path string, whole boolean, rows long, published_at timestamp_ntz"
+MANIFEST = "snapshot string, table_name string, rows long, checksum long, columns string, taken_at timestamp_ntz"
+
+VERSION = "_version"
 
 
 class DamagedSnapshot(ValueError):
     """Raised where stored tables differ from what was recorded about them."""
 
 
-def write_counted(df: DataFrame, path: str) -> int:
-    """Write gzip Parquet, counting the rows in the same pass, and check the files."""
-    counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.option("compression", "gzip").parquet(path)
-    rows = counted.get["rows"]
-    # Counting stored rows reads file footers only.
-    stored = df.sparkSession.read.schema(df.schema).parquet(path).count()
-    if stored != rows:
-        raise DamagedSnapshot(f"{path}: wrote {rows} rows, found {stored}")
-    return rows
+def _as_text(field: T.StructField) -> Column:
+    """A value as text that tells equal from different values; NULL differs from all."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, T.BinaryType):
+        value = F.hex(value)
+    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        value = F.to_json(value)
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
+
+
+def content_sum(columns: Sequence[T.StructField]) -> Column:
+    """An aggregate that is the same for the same rows in any order, and differs if any value does.
+
+    Each row counts as a number of 60 bits, the first 15 digits of the md5 of its values with their lengths; the
+    numbers are added up modulo 2^60. So it combines before any shuffle, and repeated rows count
+    as often as they occur.
+    """
+    texts = [_as_text(field) for field in columns]
+    row = F.concat(*(F.concat(F.char_length(t).cast("string"), t) for t in texts)) if texts else F.lit("")
+    number = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)")) % F.lit(1 << 60).cast("decimal(38,0)")
+
+
+def content_sums(df: DataFrame, column_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """One row per set of columns (columns, rows, checksum), from one scan.
+
+    Sets of single columns show where two tables differ.
+    """
+    fields = {field.name: field for field in df.schema.fields}
+    sums = [content_sum([fields[c] for c in names]).cast("bigint").alias(f"_sum{i}") for i, names in enumerate(column_sets)]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    listed = F.array(
+        *(F.struct(F.lit(", ".join(names)).alias("columns"), F.col(f"_sum{i}").alias("checksum")) for i, names in enumerate(column_sets))
+    )
+    return found.select("rows", F.explode(listed).alias("s")).select("s.columns", "rows", "s.checksum")
+
+
+def _contents(df: DataFrame) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), content_sum(df.schema.fields).cast("bigint").alias("checksum")]
+
 
+def write_checked(df: DataFrame, path: str) -> tuple[int, int]:
+    """Write gzip Parquet, with row count and checksum from the same pass, and compare the files with them."""
+    seen = Observation()
+    df.observe(seen, *_contents(df)).write.option("compression", "gzip").parquet(path)
+    given = seen.get["rows"], seen.get["checksum"]
+    _compare(df.sparkSession.read.schema(df.schema).parquet(path), given, path)
+    return given
 
-def _append_log(spark: SparkSession, rows: list[tuple], ddl: str, path: str, by: str | None = None) -> None:
-    writer = spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+
+def _compare(df: DataFrame, recorded: tuple[int, int], what: str) -> None:
+    found = df.agg(*_contents(df)).first()
+    if found.rows != recorded[0]:
+        raise DamagedSnapshot(f"{what}: recorded {recorded[0]} rows, found {found.rows}")
+    if found.checksum != recorded[1]:
+        raise DamagedSnapshot(f"{what}: the checksum is {found.checksum}, recorded was {recorded[1]}")
 
 
 def take_snapshot(
@@ -52,10 +95,10 @@ def take_snapshot(
     """Write every table below ``base/<database>_<time>`` and record it; gives the name."""
     name = f"{database}_{now.strftime(NAME_FORMAT)}"
     recorded = [
-        (name, table, write_counted(df, f"{base}/{name}/{table}"), df.schema.json(), now)
+        (name, table, *write_checked(df, f"{base}/{name}/{table}"), df.schema.json(), now)
         for table, df in tables.items()
     ]
-    _append_log(spark, recorded, MANIFEST, f"{base}/manifest", by="snapshot")
+    spark.createDataFrame(recorded, MANIFEST).coalesce(1).write.mode("append").partitionBy("snapshot").parquet(f"{base}/manifest")
     return name
 
 
@@ -76,128 +119,66 @@ def retention(recorded: DataFrame, now: datetime, days: int = RETENTION_DAYS) ->
 
 
 def drop_expired(spark: SparkSession, base: str, good: str, now: datetime, days: int = RETENTION_DAYS) -> list[str]:
-    """Remove expired snapshots and their records, once snapshot ``good`` is in place.
-
-    A snapshot that a restored table still reads is kept.
-    """
+    """Remove expired snapshots and their records, once snapshot ``good`` is in place."""
     known = manifest(spark, base)
     if known.where(F.col("snapshot") == good).isEmpty():
         raise DamagedSnapshot(f"snapshot {good} is not recorded; nothing was removed")
     # A list of snapshot names, one per backup run.
     names = [row.snapshot for row in retention(known, now, days).where("expired").collect()]
-    removed = [name for name in names if name != good and not _in_use(spark, base, name)]
+    removed = [name for name in names if name != good]
     for name in removed:
         remove_folder(spark, f"{base}/{name}")
-        for log in ("pins", "manifest"):
-            remove_folder(spark, f"{base}/{log}/snapshot={name}")
+        remove_folder(spark, f"{base}/manifest/snapshot={name}")
     return removed
 
 
-def _in_use(spark: SparkSession, base: str, name: str) -> bool:
-    pins = f"{base}/pins/snapshot={name}"
-    if not folder_exists(spark, pins):
-        return False
-    # One row per restored table.
-    restored = spark.read.schema("target string, table_name string").parquet(pins).distinct().collect()
-    return any(
-        version.path.startswith(f"{base}/{name}/")
-        for row in restored
-        for version in _live_versions(spark, row.target, row.table_name)
-    )
-
-
 def read_snapshot(spark: SparkSession, base: str, name: str) -> dict[str, DataFrame]:
-    """The tables of a snapshot, with the types they had when it was taken."""
+    """The tables of a snapshot, with the types they had when it was taken.
+
+    Raises unless every table holds the very rows that were recorded.
+    """
     # One row per table.
     recorded = manifest(spark, base).where(F.col("snapshot") == name).collect()
     if not recorded:
         raise DamagedSnapshot(f"snapshot {name} is not recorded")
     tables = {}
     for row in recorded:
-        columns = T.StructType.fromJson(json.loads(row.columns))
-        df = spark.read.schema(columns).parquet(f"{base}/{name}/{row.table_name}")
-        stored = df.count()
-        if stored != row.rows:
-            raise DamagedSnapshot(f"{name}/{row.table_name}: recorded {row.rows} rows, found {stored}")
+        df = spark.read.schema(T.StructType.fromJson(json.loads(row.columns))).parquet(f"{base}/{name}/{row.table_name}")
+        _compare(df, (row.rows, row.checksum), f"{name}/{row.table_name}")
         tables[row.table_name] = df
     return tables
 
 
-def restore(
-    spark: SparkSession, base: str, name: str, target: str, now: datetime, copy: bool = False
-) -> dict[str, DataFrame]:
-    """Publish the tables of a snapshot as new versions below ``target``.
+def restore(spark: SparkSession, base: str, name: str, target: str) -> dict[str, DataFrame]:
+    """Write the tables of a snapshot below ``target``, each in the place of what was there.
 
-    The versions point at the snapshot's files, which stay as long as a version in use
-    needs them; ``copy=True`` writes the rows anew. Row counts are checked against the record; if
-    the declared tables are complete, their rules are checked as well. Nothing is
-    published unless all is well.
+    Contents are checked against the record; if the declared tables are complete, their rules are checked
+    as well. Nothing is written unless all is well. What was written is compared with the record again.
     """
     tables = read_snapshot(spark, base, name)
     if set(schema.TABLES) <= set(tables):
         checks.require(checks.check_all(tables))
-    if copy:
-        for table, df in tables.items():
-            publish(spark, df, target, table, now)
-    else:
-        pins = [(name, target, table) for table in tables]
-        _append_log(spark, pins, "snapshot string, target string, table_name string", f"{base}/pins", by="snapshot")
-        recorded = {r.table_name: r.rows for r in manifest(spark, base).where(F.col("snapshot") == name).collect()}
-        pointers = [
-            (table, _next_version(_live_versions(spark, target, table)), f"{base}/{name}/{table}", True, recorded[table], now)
-            for table in tables
-        ]
-        _append_log(spark, pointers, VERSIONS, f"{target}/versions")
-    return {table: current(spark, target, table, df.schema) for table, df in tables.items()}
-
-
-def versions(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(VERSIONS).parquet(f"{base}/versions")
-
-
-def _live_versions(spark: SparkSession, base: str, table: str) -> list:
-    """The log rows that make up a table now: its last whole version and later parts."""
-    if not folder_exists(spark, f"{base}/versions"):
-        return []
-    known = versions(spark, base).where(F.col("table_name") == table)
-    last_whole = known.where("whole").agg(F.max("version").alias("version")).first().version or 0
-    # The last whole version and the parts since; ``compact`` bounds these.
-    return sorted(known.where(F.col("version") >= last_whole).collect(), key=lambda row: row.version)
-
-
-def _next_version(live: list) -> int:
-    return live[-1].version + 1 if live else 1
-
-
-def compact(spark: SparkSession, base: str, table: str, now: datetime, parts: int = 20) -> bool:
-    """Publish a table of more than ``parts`` parts as one whole version."""
-    if len(_live_versions(spark, base, table)) <= parts:
-        return False
-    publish(spark, current(spark, base, table), base, table, now)
-    return True
-
-
-def publish(
-    spark: SparkSession, df: DataFrame, base: str, table: str, now: datetime, whole: bool = True
-) -> int:
-    """Write the next version of a table and point to it; gives the version number.
-
-    ``whole=False`` adds rows to the table without rewriting it, which is what an
-    insert into a large table needs. One writer per table.
+    sums = {r.table_name: (r.rows, r.checksum) for r in manifest(spark, base).where(F.col("snapshot") == name).collect()}
+    restored = {}
+    for table, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{target}/{table}")
+        restored[table] = spark.read.schema(df.schema).parquet(f"{target}/{table}")
+        _compare(restored[table], sums[table], f"{target}/{table}")
+    return restored
+
+
+def append_rows(df: DataFrame, path: str, version: int) -> None:
+    """Add rows to a table that only grows: new rows, and later states of rows that are there.
+
+    A call that is repeated with its version changes nothing for readers.
     """
-    version = _next_version(_live_versions(spark, base, table))
-    path = f"{base}/{table}/version={version}-{now.strftime(NAME_FORMAT)}"
-    rows = write_counted(df, path)
-    _append_log(spark, [(table, version, path, whole, rows, now)], VERSIONS, f"{base}/versions")
-    return version
-
-
-def current(spark: SparkSession, base: str, table: str, columns: T.StructType | None = None) -> DataFrame:
-    """The table as last published."""
-    live = _live_versions(spark, base, table)
-    if not live:
-        raise ValueError(f"table {table} was never published below {base}")
-    if columns is None and table in schema.TABLES:
-        columns = schema.struct(table)
-    reader = spark.read if columns is None else spark.read.schema(columns)
-    return reader.parquet(*(row.path for row in live))
+    df.withColumn(VERSION, F.lit(version)).write.mode("append").parquet(path)
+
+
+def newest_rows(spark: SparkSession, path: str, columns: T.StructType, keys: Sequence[str], as_of: int | None = None) -> DataFrame:
+    """The last state of every key, up to version ``as_of`` if given; one shuffle, one row per key and task."""
+    stored = spark.read.schema(T.StructType([*columns.fields, T.StructField(VERSION, T.IntegerType())])).parquet(path)
+    if as_of is not None:
+        stored = stored.where(F.col(VERSION) <= as_of)
+    latest_first = stored.withColumn("_age", -F.col(VERSION))
+    return first_per_key(latest_first, keys, ["_age"]).select(*columns.names)

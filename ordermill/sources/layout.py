@@ -6,9 +6,10 @@ for columns of few values, and Bloom filters for single keys.
 
 from __future__ import annotations
 
+from datetime import date
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from ordermill import schema
 
@@ -32,18 +33,15 @@ LAYOUTS: dict[str, Layout] = {
     "menu_items": Layout(clustered=("restaurant_id", "category")),
     "users": Layout(clustered=("role",), looked_up=("username", "email")),
     "orders": Layout("created_at", ("restaurant_id", "order_status"), ("customer_id",)),
-    "order_items": Layout(clustered=("order_id",), looked_up=("item_id",)),
+    "order_items": Layout("created_at", ("order_id",), ("item_id",)),
     "login_attempts": Layout("attempted_at", ("user_id",)),
     "user_sessions": Layout("expires_at", ("user_id",)),
 }
 
 
-def write_laid_out(df: DataFrame, table: str, path: str) -> None:
-    """Write a declared table in its layout.
-
-    Rows are spread by day and key first, so that one day is neither one task nor one
-    file per task; Spark splits or merges what comes out too large or too small.
-    """
+def _writer(df: DataFrame, table: str) -> DataFrameWriter:
+    """Rows are spread by day and key first, so that one day is neither one task nor one
+    file per task; Spark splits or merges what comes out too large or too small."""
     layout, key = LAYOUTS.get(table, Layout()), schema.TABLES[table].key
     ordered = [*layout.clustered, key]
     if layout.day_of:
@@ -53,7 +51,23 @@ def write_laid_out(df: DataFrame, table: str, path: str) -> None:
         writer = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).write
     for column in (key, *layout.looked_up):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    return writer
+
+
+def write_laid_out(df: DataFrame, table: str, path: str) -> None:
+    """Write a declared table in its layout."""
+    _writer(df, table).parquet(path)
+
+
+def overwrite_days(df: DataFrame, table: str, path: str) -> None:
+    """Replace the day folders that ``df`` has rows for; all others stay as they are."""
+    if not LAYOUTS.get(table, Layout()).day_of:
+        raise ValueError(f"{table} has no day folders")
+    _writer(df, table).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def day_folder(path: str, day: date | None) -> str:
+    return f"{path}/{DAY}={'__HIVE_DEFAULT_PARTITION__' if day is None else day.isoformat()}"
 
 
 def read_laid_out(spark: SparkSession, table: str, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_snapshot_and_restore(spark, tmp_path, rows):
     recorded = {r.table_name: r.rows for r in snapshots.manifest(spark, base).collect()}
     assert recorded == {table: len(given) for table, given in ROWS.items()}
     assert list((tmp_path / "backups" / name / "orders").glob("*.gz.parquet"))
-    restored = snapshots.restore(spark, base, name, str(tmp_path / "live"), NOW)
+    restored = snapshots.restore(spark, base, name, str(tmp_path / "live"))
     for table, df in tables.items():
         assert restored[table].schema == df.schema
         assert rows(restored[table]) == rows(df)
@@ -29,9 +29,9 @@ def test_restore_refuses_damage(spark, tmp_path):
     name = snapshots.take_snapshot(spark, {"restaurants": shop(spark)["restaurants"]}, base, "shop", NOW)
     shop(spark)["restaurants"].write.mode("append").parquet(f"{base}/{name}/restaurants")
     with pytest.raises(snapshots.DamagedSnapshot, match="recorded 2 rows, found 4"):
-        snapshots.restore(spark, base, name, f"{base}/live", NOW)
+        snapshots.restore(spark, base, name, f"{base}/live")
     with pytest.raises(snapshots.DamagedSnapshot, match="not recorded"):
-        snapshots.restore(spark, base, "shop_20000101_000000", f"{base}/live", NOW)
+        snapshots.restore(spark, base, "shop_20000101_000000", f"{base}/live")
 
 
 def test_restore_refuses_broken_rules(spark, tmp_path):
@@ -39,7 +39,7 @@ def test_restore_refuses_broken_rules(spark, tmp_path):
     tables = shop(spark, orders=[*ROWS["orders"], order("OX", status="lost")])
     name = snapshots.take_snapshot(spark, tables, base, "shop", NOW)
     with pytest.raises(checks.BrokenRules, match="order_status"):
-        snapshots.restore(spark, base, name, f"{base}/live", NOW)
+        snapshots.restore(spark, base, name, f"{base}/live")
     assert not folder_exists(spark, f"{base}/live")
 
 
@@ -64,45 +64,55 @@ def test_drop_expired_needs_a_good_snapshot(spark, tmp_path):
     assert snapshots.drop_expired(spark, base, new, now) == []
 
 
-def test_versions(spark, tmp_path, rows):
-    base = str(tmp_path)
-    one, two, three = (spark.range(a, b).select(F.col("id").cast("int").alias("k")) for a, b in ((0, 3), (3, 5), (9, 10)))
-    assert snapshots.publish(spark, one, base, "t", NOW) == 1
-    before = snapshots.current(spark, base, "t")
-    assert snapshots.publish(spark, two, base, "t", NOW, whole=False) == 2
-    assert rows(before) == [(0,), (1,), (2,)]
-    assert rows(snapshots.current(spark, base, "t")) == [(k,) for k in range(5)]
-    assert snapshots.publish(spark, three, base, "t", NOW) == 3
-    assert rows(snapshots.current(spark, base, "t")) == [(9,)]
-    # A table may be rewritten from its own current state.
-    grown = snapshots.current(spark, base, "t").unionByName(one)
-    snapshots.publish(spark, grown, base, "t", NOW)
-    assert rows(snapshots.current(spark, base, "t")) == [(0,), (1,), (2,), (9,)]
-    with pytest.raises(ValueError, match="never published"):
-        snapshots.current(spark, base, "u")
-
-
-def test_a_restored_snapshot_stays_while_it_is_read(spark, tmp_path, rows):
-    base, live, tables = str(tmp_path / "backups"), str(tmp_path / "live"), {"restaurants": shop(spark)["restaurants"]}
-    old = snapshots.take_snapshot(spark, tables, base, "shop", datetime(2024, 1, 1))
-    restored = snapshots.restore(spark, base, old, live, NOW)["restaurants"]
-    assert rows(restored) == rows(tables["restaurants"])
-    now = datetime(2024, 1, 20)
-    new = snapshots.take_snapshot(spark, tables, base, "shop", now)
-    assert snapshots.drop_expired(spark, base, new, now) == []
-    snapshots.publish(spark, restored, live, "restaurants", now)
-    assert snapshots.drop_expired(spark, base, new, now) == [old]
-    assert {r.snapshot for r in snapshots.manifest(spark, base).collect()} == {new}
+def test_restore_refuses_a_changed_value(spark, tmp_path):
+    base, orders = str(tmp_path / "base"), shop(spark)["orders"]
+    name = snapshots.take_snapshot(spark, {"orders": orders}, base, "shop", NOW)
+    changed = orders.withColumn("payment_method", F.when(F.col("order_id") == "O3", "cash").otherwise(F.col("payment_method")))
+    changed.write.mode("overwrite").parquet(f"{base}/{name}/orders")
+    with pytest.raises(snapshots.DamagedSnapshot, match="checksum"):
+        snapshots.restore(spark, base, name, str(tmp_path / "live"))
+    assert not folder_exists(spark, str(tmp_path / "live"))
 
 
-def test_parts_are_compacted(spark, tmp_path, rows):
-    base = str(tmp_path)
-    for i in range(4):
-        snapshots.publish(spark, spark.createDataFrame([(i,)], "k int"), base, "t", NOW, whole=i == 0)
-    assert not snapshots.compact(spark, base, "t", NOW, parts=4)
-    assert snapshots.compact(spark, base, "t", NOW, parts=3)
-    assert rows(snapshots.current(spark, base, "t")) == [(k,) for k in range(4)]
-    assert len(snapshots._live_versions(spark, base, "t")) == 1
+ODD = [(1, "a", None), (1, "a", None), (2, None, "a"), (3, "", "x"), (4, "ab", ""), (5, "a", "b"), (None, None, None)]
+
+
+def sums(spark, given, sets=(("k", "a", "b"), ("a",))):
+    df = spark.createDataFrame(given, "k int, a string, b string")
+    return {r.columns: (r.rows, r.checksum) for r in snapshots.content_sums(df, [list(names) for names in sets]).collect()}
+
+
+def test_checksum_sees_every_value_and_no_order(spark):
+    whole = sums(spark, ODD)
+    assert sums(spark, ODD[::-1]) == whole
+    assert whole["k, a, b"][0] == 7
+    for i, row in enumerate(ODD):
+        for j in range(3):
+            other = [*ODD]
+            other[i] = tuple((99 if j == 0 else "other") if k == j else v for k, v in enumerate(row))
+            found = sums(spark, other)
+            assert found["k, a, b"] != whole["k, a, b"] and (found["a"] != whole["a"]) == (j == 1)
+    assert sums(spark, ODD[1:])["k, a, b"] != whole["k, a, b"]
+    # What one column loses another does not make up for.
+    moved = [(1, "ab", "c"), (1, "a", "bc"), (1, None, "-"), (1, "-", None)]
+    assert len({sums(spark, [row])["k, a, b"] for row in moved}) == 4
+    assert sums(spark, []) == {"k, a, b": (0, 0), "a": (0, 0)}
+
+
+def test_checksum_of_other_types(spark):
+    df = spark.sql("SELECT X'00FF' AS b, array(1, NULL) AS l, named_struct('x', 1.5D) AS s, parse_json('{\"a\": 1}') AS v, map('k', 1) AS m")
+    assert snapshots.content_sums(df, [df.columns]).first().rows == 1
+
+
+def test_appended_rows_show_their_last_state(spark, tmp_path, rows):
+    path, columns = str(tmp_path / "t"), spark.createDataFrame([], "k int, v string").schema
+    for version, given in enumerate(([(1, "a"), (2, "b")], [(3, "c")], [(2, "later"), (4, None)]), 1):
+        snapshots.append_rows(spark.createDataFrame(given, columns), path, version)
+    assert rows(snapshots.newest_rows(spark, path, columns, ["k"])) == [(1, "a"), (2, "later"), (3, "c"), (4, None)]
+    assert rows(snapshots.newest_rows(spark, path, columns, ["k"], as_of=2)) == [(1, "a"), (2, "b"), (3, "c")]
+    # A call that is made again changes nothing.
+    snapshots.append_rows(spark.createDataFrame([(2, "later"), (4, None)], columns), path, 3)
+    assert rows(snapshots.newest_rows(spark, path, columns, ["k"])) == [(1, "a"), (2, "later"), (3, "c"), (4, None)]
 
 
 def test_scratch_folders_go(spark):
