@@ -1126,12 +1126,17 @@ def stream_log(spark, sf_dir):
     return _parsed_requests(stored)
 
 
+def _written(spark, stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream has appended when all that is there was read."""
+    streams.append_rows(stream, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 @query(f"{_EVENT_WALK} SELECT client AS user_id, id AS event_id, admitted FROM walk")
 def stream_admission(spark, sf_dir):
     folder = scratch_dir(spark, "stream-admission")
-    job = streams.AdmissionStream("user_id", "ts", "event_id", _TWELVE_HOURS, folder)
-    job.start(_event_stream(spark, sf_dir, folder), f"{folder}/progress").awaitTermination()
-    return job.decisions(spark)
+    decided = streams.admission_stream(_event_stream(spark, sf_dir, folder), "user_id", "ts", "event_id", _TWELVE_HOURS)
+    return _written(spark, decided, folder)
 
 
 @query(
@@ -1143,10 +1148,27 @@ def stream_admission(spark, sf_dir):
 )
 def stream_insert_if_absent(spark, sf_dir):
     folder = scratch_dir(spark, "stream-insert")
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    job = streams.InsertStream(events.where(F.col("event_id") < 0), ["user_id"], ["ts", "event_id"], folder, compact_every=2)
-    job.start(_event_stream(spark, sf_dir, folder), f"{folder}/progress").awaitTermination()
-    return job.table(spark)
+    arriving = _event_stream(spark, sf_dir, folder)
+    held = table(spark, sf_dir, "events").where("event_id < 0")
+    added = streams.first_rows(arriving, ["user_id"], ["ts", "event_id"], held)
+    return held.unionByName(_written(spark, added, folder)).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """
+    SELECT event_id, user_id, ts, event_type FROM events
+    """
+)
+def stream_distinct_events(spark, sf_dir):
+    """Every slice of the events is delivered twice, the second time after the next slice has come."""
+    folder = scratch_dir(spark, "stream-distinct")
+    slices = _time_slices(table(spark, sf_dir, "events"))
+    for i, part in enumerate(slices):
+        again = slices[i - 1].withColumn("event_type", F.lit("again")) if i else part
+        part.unionByName(again).coalesce(1).write.parquet(f"{folder}/arriving/slice={i}")
+    reader = spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    distinct = streams.distinct_rows(reader.parquet(f"{folder}/arriving"), ["event_id"], "ts", "365 days")
+    return _written(spark, distinct, folder).select("event_id", "user_id", "ts", "event_type")
 
 
 # ------------------------------------------------------------------------------ reports
@@ -1172,9 +1194,8 @@ def stream_latest_status(spark, sf_dir):
     """Changed users are stored after each micro-batch; their last state is read back."""
     folder = scratch_dir(spark, "stream-status")
     latest = reports.latest_status(_event_stream(spark, sf_dir, folder), "user_id", "event_type", "ts", "event_id")
-    job = streams.store_changes(latest, ["user_id"], f"{folder}/latest", f"{folder}/progress", compact_every=2)
-    job.awaitTermination()
-    return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema, compact_every=2)
+    streams.store_changes(latest, f"{folder}/latest", f"{folder}/progress").awaitTermination()
+    return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema)
 
 
 @query(

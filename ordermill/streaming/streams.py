@@ -1,7 +1,8 @@
-"""Streaming forms of log ingest, admission and insert-if-absent.
+"""Streaming forms of log ingest, admission, insert-if-absent and running reports.
 
-Each micro-batch writes under its own number and reads only lower numbers, so a
-batch that is run again after a failure replaces what it wrote before.
+What has to be remembered between micro-batches lies in Spark's own state, and what has been
+written is known from the file sink's own log; both belong to the checkpoint folder. A batch
+that is run again after a failure so changes nothing.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ordermill.operators import admission as bucket
-from ordermill.operators.changes import absent_rows, first_per_key
+from ordermill.operators.admission import Limit
+from ordermill.plans import snapshots
 from ordermill.plans.reports import failed_logins
-from ordermill.session import folder_exists, remove_folder
 from ordermill.sources.access_logs import parse_proxy_lines
+from ordermill.streaming.processors import Admission, FirstOfKey
 
-BATCH = "batch"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # A job of a scheduler takes what is there and stops; ``{"processingTime": "1 minute"}``
 # keeps it running.
@@ -25,6 +27,11 @@ AVAILABLE_NOW = {"availableNow": True}
 Trigger = Mapping[str, object]
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Processors with keyed state need the state store that lies on disk."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+
+
 def _start(writer: DataStreamWriter, checkpoint: str, trigger: Trigger) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -44,68 +51,18 @@ def append_rows(stream: DataFrame, folder: str, checkpoint: str, trigger: Trigge
     return _start(stream.writeStream.option("path", folder), checkpoint, trigger)
 
 
-def _numbered(columns: T.StructType) -> T.StructType:
-    return T.StructType([*columns.fields, T.StructField(BATCH, T.IntegerType())])
-
-
-def _before(spark: SparkSession, folder: str, part: str, columns: T.StructType, batch_id: int, every: int) -> DataFrame:
-    """What batches below ``batch_id`` stored: the last whole version and the parts since.
-
-    A batch whose number ``every`` divides first stores a whole version of all parts below it.
-    """
-    whole = max(0, (batch_id - 1) // every * every)
-    paths = [_batch_folder(folder, part, i) for i in range(whole, batch_id)]
-    if whole:
-        paths.append(_batch_folder(folder, "whole", whole))
-    return spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)
-
-
-def store_changes(
-    aggregate: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
-    trigger: Trigger = AVAILABLE_NOW, compact_every: int = 50,
-) -> StreamingQuery:
-    """Store, after each micro-batch, the groups of a running aggregate that changed.
-
-    Every so many batches their last states are stored whole, so that a reader meets a
-    bounded number of folders and states.
-    """
-    columns = aggregate.schema
+def store_changes(aggregate: DataFrame, folder: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
+    """Append, after each micro-batch, the groups of a running aggregate that changed, under the batch's number."""
 
     def step(changed: DataFrame, batch_id: int) -> None:
-        spark = changed.sparkSession
-        if batch_id and batch_id % compact_every == 0:
-            newest = _newest(_before(spark, folder, "changes", _numbered(columns), batch_id, compact_every), keys)
-            newest.write.mode("overwrite").parquet(_batch_folder(folder, "whole", batch_id))
-        changed.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").parquet(_batch_folder(folder, "changes", batch_id))
-        _note_batch(spark, folder, batch_id)
+        snapshots.append_rows(changed, folder, batch_id)
 
     return _start(aggregate.writeStream.outputMode("update").foreachBatch(step), checkpoint, trigger)
 
 
-def _newest(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return first_per_key(stored.withColumn("_age", -F.col(BATCH)), keys, ["_age"]).drop("_age")
-
-
-def _note_batch(spark: SparkSession, folder: str, batch_id: int) -> None:
-    """Record the last batch, after all else that it wrote. A batch may run twice."""
-    last = max(batch_id, _last_batch(spark, folder))
-    spark.createDataFrame([(last,)], "last int").write.mode("overwrite").parquet(f"{folder}/last")
-
-
-def _last_batch(spark: SparkSession, folder: str) -> int:
-    if not folder_exists(spark, f"{folder}/last"):
-        return -1
-    row = spark.read.schema("last int").parquet(f"{folder}/last").first()
-    return row.last if row else -1
-
-
-def current_groups(
-    spark: SparkSession, folder: str, keys: Sequence[str], columns: T.StructType, compact_every: int = 50
-) -> DataFrame:
+def current_groups(spark: SparkSession, folder: str, keys: Sequence[str], columns: T.StructType) -> DataFrame:
     """The last stored state of every group."""
-    last = _last_batch(spark, folder)
-    stored = _before(spark, folder, "changes", _numbered(columns), last + 1, compact_every)
-    return _newest(stored, keys).select(*columns.names)
+    return snapshots.newest_rows(spark, folder, columns, keys)
 
 
 def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str, width: str, delay: str) -> DataFrame:
@@ -114,142 +71,54 @@ def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str,
     return failed_logins(timed, user, time, failed, width)
 
 
-def _batch_folder(folder: str, part: str, batch_id: int) -> str:
-    return f"{folder}/{part}/{BATCH}={batch_id}"
+def admission_stream(stream: DataFrame, client: str, time: str, id: str, limit: Limit, delay: str = "0 seconds") -> DataFrame:
+    """``client, id, admitted`` of each request, equal to the batch decisions.
 
-
-class AdmissionStream:
-    """Admission decisions over a stream, equal to the batch ones.
-
-    A request is decided once the newest time seen, less ``delay``, has reached it;
-    until then it waits in a stored table, and so do the clients' levels. A request
-    that comes after its time was decided gets NULL: it has no place in the order any
-    more. Every micro-batch runs the batch operator, so a busy client spreads over
-    partitions here too. Levels that have drained are dropped: they act like none.
+    A request waits in its client's state until the newest time seen, less ``delay``, has reached it; a
+    timer in event time then decides all that is due, in order. A request that comes after a later one of
+    its client was decided gets NULL: it has no place in the order any more. A drained level is
+    removed by a timer as well, so state is kept for clients with recent requests only; a request that is
+    later than that counts as the client's first. Requests without a client are not limited, those without a time get NULL.
     """
+    keyed_state(stream.sparkSession)
+    zoned = stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", delay)
+    # The time goes on as a number: late requests then are rows like others and not dropped.
+    requests = zoned.select(F.col(client).alias("client"), F.unix_micros("_at").alias("time"), F.col(id).alias("id"))
+    counted = F.col("client").isNotNull() & F.col("time").isNotNull()
+    types = {name: stream.schema[column].dataType.simpleString() for name, column in (("client", client), ("id", id))}
+    decided = requests.where(counted).groupBy("client").transformWithStateInPandas(
+        Admission(limit, types["id"]), f"client {types['client']}, id {types['id']}, admitted boolean", "Append", "EventTime"
+    )
+    others = requests.where(~counted).select("client", "id", F.when(F.col("client").isNull(), F.lit(True)).alias("admitted"))
+    return decided.unionByName(others).select(F.col("client").alias(client), F.col("id").alias(id), "admitted")
+
+
+def first_rows(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], held: DataFrame | None = None, keep_hours: float | None = None
+) -> DataFrame:
+    """The rows that an insert-if-absent adds: of each new key the first row of the first micro-batch that has one.
 
-    def __init__(self, client: str, time: str, id: str, limit: bucket.Limit, folder: str, delay_micros: int = 0):
-        self.columns = (client, time, id)
-        self.limit = limit
-        self.folder = folder
-        self.delay = delay_micros
-
-    def start(self, stream: DataFrame, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
-        return _start(stream.writeStream.foreachBatch(self.step), checkpoint, trigger)
-
-    def _stored(self, spark: SparkSession, part: str, batch_id: int, columns: T.StructType) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], columns)
-        return spark.read.schema(columns).parquet(_batch_folder(self.folder, part, batch_id))
-
-    def _horizon(self, spark: SparkSession, batch_id: int) -> int:
-        columns = T.StructType().add("horizon", "long")
-        row = self._stored(spark, "horizon", batch_id, columns).first()
-        return row.horizon if row else bucket.NEVER
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: decide what is due, keep the rest and the levels.
-
-        The micro-batch is evaluated one time, to store the columns that count.
-        """
-        spark, (client, time, id) = batch.sparkSession, self.columns
-        requests = bucket.as_requests(batch, client, time, id)
-        path = _batch_folder(self.folder, "arrived", batch_id)
-        requests.write.mode("overwrite").parquet(path)
-        arrived = spark.read.schema(requests.schema).parquet(path)
-        before = self._horizon(spark, batch_id - 1)
-        newest = arrived.agg(F.max(bucket.TIME).alias("newest")).first().newest
-        horizon = before if newest is None else max(before, newest - self.delay)
-        self._decide(spark, arrived, batch_id, before, horizon)
-
-    def finish(self, spark: SparkSession, last_batch_id: int) -> None:
-        """Decide what still waits when the stream has ended."""
-        before = self._horizon(spark, last_batch_id)
-        waiting = self._stored(spark, "waiting", last_batch_id, self._request_columns(spark))
-        self._decide(spark, waiting.limit(0), last_batch_id + 1, before, 1 << 62)
-
-    def _request_columns(self, spark: SparkSession) -> T.StructType:
-        return spark.read.parquet(f"{self.folder}/waiting").drop(BATCH).schema
-
-    def _decide(self, spark: SparkSession, arrived: DataFrame, batch_id: int, before: int, horizon: int) -> None:
-        time, decisions = F.col(bucket.TIME), _batch_folder(self.folder, "decisions", batch_id)
-        counted = F.col(bucket.CLIENT).isNotNull() & time.isNotNull()
-        ready = arrived.where(counted & (time >= before))
-        ready = ready.unionByName(self._stored(spark, "waiting", batch_id - 1, arrived.schema))
-        ready.where(time > horizon).write.mode("overwrite").parquet(
-            _batch_folder(self.folder, "waiting", batch_id)
-        )
-        level_columns = T.StructType([arrived.schema[c] for c in (bucket.KIND, bucket.CLIENT, bucket.LEVEL)])
-        levels = self._stored(spark, "levels", batch_id - 1, level_columns).select(
-            bucket.KIND,
-            bucket.CLIENT,
-            F.lit(bucket.NEVER).alias(bucket.TIME),
-            F.lit(None).cast(arrived.schema[bucket.ID].dataType).alias(bucket.ID),
-            bucket.LEVEL,
-        )
-        decided = bucket.run_bucket(ready.where(time <= horizon).unionByName(levels), [self.limit])
-        undecided = arrived.where(~counted | (time < before)).withColumn(
-            bucket.ADMITTED, F.when(F.col(bucket.CLIENT).isNull(), F.lit(True))
-        )
-        # Rows that only carry a level lie in a folder of their own, which readers skip.
-        split = decided.unionByName(undecided).withColumn("carried", F.coalesce(time == bucket.NEVER, F.lit(False)))
-        split.write.mode("overwrite").partitionBy("carried").parquet(decisions)
-
-        written = spark.read.schema(decided.schema).parquet(decisions)
-        drained = F.col(bucket.LEVEL) + self.limit.micros_per_request <= horizon
-        placed = (time == bucket.NEVER) | F.col(bucket.ADMITTED).isNotNull()
-        limited = written.where(F.col(bucket.CLIENT).isNotNull() & placed)
-        bucket.levels_after(limited).where(~drained).write.mode("overwrite").parquet(
-            _batch_folder(self.folder, "levels", batch_id)
-        )
-        spark.createDataFrame([(horizon,)], "horizon long").write.mode("overwrite").parquet(
-            _batch_folder(self.folder, "horizon", batch_id)
-        )
-        if batch_id >= 2:
-            for part in ("arrived", "waiting", "levels", "horizon"):
-                remove_folder(spark, _batch_folder(self.folder, part, batch_id - 2))
-            remove_folder(spark, f"{_batch_folder(self.folder, 'decisions', batch_id - 2)}/carried=true")
-
-    def decisions(self, spark: SparkSession) -> DataFrame:
-        client, _, id = self.columns
-        written = spark.read.parquet(f"{self.folder}/decisions")
-        return written.where(~F.col("carried").cast("boolean")).select(
-            F.col(bucket.CLIENT).alias(client),
-            F.col(bucket.ID).alias(id),
-            F.col(bucket.ADMITTED).alias("admitted"),
-        )
-
-
-class InsertStream:
-    """Insert-if-absent from a stream into a seed table; only added rows are written.
-
-    Every so many batches the rows added so far are stored whole, so that a step reads a
-    bounded number of folders.
+    ``held`` are the rows that are there already; their keys count as seen from the start. Keys are remembered for
+    ``keep_hours`` after their row, or for ever. Rows with a NULL key clash with nothing and all go through.
     """
-
-    def __init__(self, seed: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, compact_every: int = 50):
-        self.seed = seed
-        self.keys = list(keys)
-        self.order = list(order)
-        self.folder = folder
-        self.compact_every = compact_every
-
-    def start(self, stream: DataFrame, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
-        return _start(stream.writeStream.foreachBatch(self.step), checkpoint, trigger)
-
-    def _added(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """What lower-numbered batches added."""
-        return _before(spark, self.folder, "added", self.seed.schema, batch_id, self.compact_every)
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id and batch_id % self.compact_every == 0:
-            added = self._added(spark, batch_id)
-            added.write.mode("overwrite").parquet(_batch_folder(self.folder, "whole", batch_id))
-        target = self.seed.unionByName(self._added(spark, batch_id)) if batch_id else self.seed
-        added = absent_rows(target, batch, self.keys, self.order).select(*self.seed.columns)
-        added.write.mode("overwrite").parquet(_batch_folder(self.folder, "added", batch_id))
-        _note_batch(spark, self.folder, batch_id)
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        return self.seed.unionByName(self._added(spark, _last_batch(spark, self.folder) + 1))
+    keyed_state(stream.sparkSession)
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    initial = None if held is None else held.where(whole).select(*keys).groupBy(*keys)
+    mode = "None" if keep_hours is None else "ProcessingTime"
+    added = stream.where(whole).groupBy(*keys).transformWithStateInPandas(
+        FirstOfKey(tuple(order), keep_hours), stream.schema, "Append", mode, initial
+    )
+    return added.unionByName(stream.where(~whole))
+
+
+def distinct_rows(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+    """Rows of a source that may deliver a row more than once: one row per key within ``delay``.
+
+    A row is forgotten once the newest time seen is more than ``delay`` after it; rows that are older than that
+    when they come are dropped. Of rows with one key in one micro-batch Spark keeps any, so
+    repeated rows are taken to be equal.
+    """
+    timed = stream.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).drop("_at")

@@ -32,92 +32,109 @@ def requests(count, clients, seed):
     return result
 
 
-def run_admission(spark, folder, parts, limit, delay=0):
-    job = streams.AdmissionStream("client", "at", "id", limit, f"{folder}/out", delay)
-    job.start(write_files(spark, folder, COLUMNS, parts), f"{folder}/progress").awaitTermination()
-    return job
+def run_admission(spark, folder, parts, limit, delay="0 seconds"):
+    decided = streams.admission_stream(write_files(spark, folder, COLUMNS, parts), "client", "at", "id", limit, delay)
+    return run(spark, decided, folder)
+
+
+def run(spark, stream, folder):
+    streams.append_rows(stream, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def decisions(df):
-    return {r.id: r.admitted for r in df.collect()}
+    found = [(r.id, r.admitted) for r in df.collect()]
+    assert len({id for id, _ in found}) == len(found)
+    return dict(found)
+
+
+def after(micros):
+    return START + timedelta(microseconds=micros)
 
 
 def test_admission_equals_batch(spark, tmp_path):
     rows, limit = requests(400, 4, 1), Limit(12, 3)
-    job = run_admission(spark, str(tmp_path), [rows[:150], rows[150:151], rows[151:]], limit)
+    found = run_admission(spark, str(tmp_path), [rows[:150], rows[150:151], rows[151:]], limit)
     batch = admit(spark.createDataFrame(rows, COLUMNS), "client", "at", "id", limit)
-    assert decisions(job.decisions(spark)) == decisions(batch)
+    assert decisions(found) == decisions(batch)
 
 
-def test_out_of_order_requests_wait_for_the_delay(spark, tmp_path):
-    rows, limit = requests(300, 3, 2), Limit(12, 3)
+def test_out_of_order_requests_wait_for_the_delay_over_restarts(spark, tmp_path):
+    # Limits in milliseconds, as the watermark counts them.
+    limit, source, time, rows = Limit(12_000, 3), random.Random(2), 0, []
+    for i in range(300):
+        time += source.choice((0, 1, 4, 9)) * 1000 + source.randrange(3)
+        rows.append((f"c{source.randrange(3)}", after(time), i))
     mixed = rows[:]
     for i in range(0, 290, 10):
         chunk = mixed[i : i + 10]
         random.Random(i).shuffle(chunk)
         mixed[i : i + 10] = chunk
-    job = run_admission(spark, str(tmp_path), [mixed[:105], mixed[105:203], mixed[203:]], limit, delay=200)
-    waiting = spark.read.parquet(f"{tmp_path}/out/waiting/batch=2").count()
-    assert waiting > 0
-    assert len(decisions(job.decisions(spark))) == 300 - waiting
-    job.finish(spark, 2)
+    first = run_admission(spark, str(tmp_path), [mixed[:105], mixed[105:203]], limit, "200 milliseconds")
+    some = len(decisions(first))
+    assert 0 < some < 203
+    # What waited is still there when the stream starts again; a row without a client moves the time on.
+    last = mixed[203:] + [(None, after(time + 10_000_000), 999)]
+    spark.createDataFrame(last, COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/in/part=9")
+    stream = spark.readStream.schema(COLUMNS).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = run(spark, streams.admission_stream(stream, "client", "at", "id", limit, "200 milliseconds"), str(tmp_path))
     batch = admit(spark.createDataFrame(rows, COLUMNS), "client", "at", "id", limit)
-    assert decisions(job.decisions(spark)) == decisions(batch)
+    assert decisions(found) == {**decisions(batch), 999: True}
 
 
 def test_requests_after_the_horizon_are_undecided(spark, tmp_path):
-    def at(micros):
-        return START + timedelta(microseconds=micros)
-
-    parts = [[("a", at(100), 1), (None, at(100), 2)], [("a", at(50), 3), ("a", at(150), 4)]]
-    job = run_admission(spark, str(tmp_path), parts, Limit(10, 0))
-    assert decisions(job.decisions(spark)) == {1: True, 2: True, 3: None, 4: True}
-
-
-def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    rows, limit = requests(200, 2, 5), Limit(12, 3)
-    job = run_admission(spark, str(tmp_path), [rows[:80], rows[80:]], limit)
-    before = decisions(job.decisions(spark))
-    job.step(spark.createDataFrame(rows[80:], COLUMNS), 1)
-    assert decisions(job.decisions(spark)) == before
+    parts = [
+        [("a", after(100_000), 1), (None, after(100_000), 2), ("a", None, 5)],
+        [("a", after(150_000), 4)],
+        [("a", after(50_000), 3), ("a", after(200_000), 7), ("b", after(50_000), 6)],
+    ]
+    found = run_admission(spark, str(tmp_path), parts, Limit(100_000, 1))
+    # Client b has no decided request that the late one could have changed.
+    assert decisions(found) == {1: True, 2: True, 3: None, 4: True, 5: None, 6: True, 7: True}
 
 
 def test_drained_levels_are_dropped(spark, tmp_path):
-    def at(micros):
-        return START + timedelta(microseconds=micros)
-
-    parts = [[("a", at(0), 1), ("b", at(0), 2)], [("b", at(1000), 3)]]
+    parts = [[("a", after(0), 1), ("b", after(0), 2)], [("b", after(1_000_000), 3)], [("c", after(9_000_000), 4)]]
     run_admission(spark, str(tmp_path), parts, Limit(10, 3))
-    levels = spark.read.parquet(f"{tmp_path}/out/levels/batch=1")
-    assert [r._client for r in levels.collect()] == ["b"]
-
-
-def test_a_micro_batch_is_evaluated_once(spark, tmp_path):
-    seen = spark.sparkContext.accumulator(0)
-
-    @F.udf("long")
-    def counted(id):
-        seen.add(1)
-        return id
-
-    rows = requests(100, 3, 9)
-    job = streams.AdmissionStream("client", "at", "id", Limit(12, 3), f"{tmp_path}/out")
-    job.step(spark.createDataFrame(rows, COLUMNS).withColumn("id", counted("id")), 0)
-    assert seen.value == 100
-    assert len(decisions(job.decisions(spark))) == 100
+    state = spark.read.format("statestore").option("stateVarName", "level").load(f"{tmp_path}/progress")
+    assert {r.key.client for r in state.select("key").collect()} <= {"c"}
 
 
 def test_insert_stream_equals_batch(spark, tmp_path, rows):
     columns = "k string, v int, at int"
-    seed = spark.createDataFrame([("a", 0)], "k string, v int")
-    parts = [[("a", 1, 1), ("b", 2, 2), ("b", 3, 3)], [("b", 4, 4), ("c", 5, 5)], [("c", 6, 6), ("d", 7, 7)]]
-    job = streams.InsertStream(seed, ["k"], ["at"], f"{tmp_path}/out", compact_every=2)
-    job.start(write_files(spark, str(tmp_path), columns, parts), f"{tmp_path}/progress").awaitTermination()
-    everything = spark.createDataFrame([row for part in parts for row in part], columns)
-    batch = insert_if_absent(seed, everything, ["k"], ["at"])
-    assert rows(job.table(spark)) == rows(batch)
-    job.step(spark.createDataFrame(parts[1], columns), 1)
-    assert rows(job.table(spark)) == rows(batch)
+    seed = spark.createDataFrame([("a", 0, 0), (None, 9, 9)], columns)
+    parts = [
+        [("a", 1, 1), ("b", 3, 3), ("b", 2, 2), (None, 1, 1)],
+        [("b", 4, 0), ("c", 5, 5), ("c", 5, 5)],
+        [("c", 6, 6), ("d", 7, 7), (None, 1, 1)],
+    ]
+    added = streams.first_rows(write_files(spark, str(tmp_path), columns, parts[:2]), ["k"], ["at", "v"], seed)
+    run(spark, added, str(tmp_path))
+    spark.createDataFrame(parts[2], columns).coalesce(1).write.parquet(f"{tmp_path}/in/part=9")
+    stream = spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = run(spark, streams.first_rows(stream, ["k"], ["at", "v"], seed), str(tmp_path))
+    table = seed
+    for part in parts:
+        table = insert_if_absent(table, spark.createDataFrame(part, columns), ["k"], ["at", "v"])
+    assert rows(seed.unionByName(found)) == rows(table)
+
+
+def test_repeated_and_late_rows_of_a_source(spark, tmp_path, rows):
+    columns = "id long, at timestamp_ntz, v int"
+
+    def row(id, minute, v=0):
+        return (id, START + timedelta(minutes=minute), v)
+
+    parts = [
+        [row(1, 0), row(1, 0), row(2, 1)],
+        [row(2, 1, 7), row(3, 30), row(1, 0, 7)],
+        [row(4, 100), row(5, 99)],
+        [row(8, 101)],
+        [row(6, 20), row(4, 100, 7), row(7, 95)],
+    ]
+    found = run(spark, streams.distinct_rows(write_files(spark, str(tmp_path), columns, parts), ["id"], "at", "1 hour"), str(tmp_path))
+    # The first of a key counts; row 6 comes more than an hour after the newest time.
+    assert rows(found) == sorted([row(1, 0), row(2, 1), row(3, 30), row(4, 100), row(5, 99), row(7, 95), row(8, 101)], key=repr)
 
 
 def test_log_stream_equals_batch(spark, tmp_path, rows):
@@ -158,7 +175,7 @@ def test_latest_status_stream_equals_batch(spark, tmp_path, rows):
     ]
     stream = write_files(spark, str(tmp_path), columns, [history[:90], history[90:95], history[95:]])
     latest = latest_status(stream, "order_id", "status", "at", "id")
-    streams.store_changes(latest, ["order_id"], f"{tmp_path}/out", f"{tmp_path}/progress", compact_every=2).awaitTermination()
-    stored = streams.current_groups(spark, f"{tmp_path}/out", ["order_id"], latest.schema, compact_every=2)
+    streams.store_changes(latest, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    stored = streams.current_groups(spark, f"{tmp_path}/out", ["order_id"], latest.schema)
     batch = latest_status(spark.createDataFrame(history, columns), "order_id", "status", "at", "id")
     assert rows(stored) == rows(batch)
