@@ -1,35 +1,41 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of presentations (tag and
-class) from the root, with the prior of its role. A block (a node's text) is judged by its importance:
-
-- content: 1 - ln(pages with the text) / ln(pages with the node), so a text that recurs on
-  every page has 0, one on a single page 1;
-- presentation: the entropy of the child sequences (tags and classes, repeats once) of the
-  block's container over the pages, from 0 (always built alike) to 1. The container is the element
-  that gives the role, else the parent;
-- tree = content * (1 - ``STYLE_SHARE`` * (1 - presentation));
-- prior: a role that a tag, class, id, role or itemprop names is worth ``PRIOR_WEIGHT`` trees: article and main
-  text 1, menus, footers, adverts, forms and comments 0. Importance is the weighted
-  mean of prior and tree, or the tree alone where nothing is named.
-
-So texts that recur go, and a named menu or advert stays out unless its texts are its own on each page and
-its structure varies as that of articles. Words count as whole tokens. They name neither html, body, main
-nor article, nor an ancestor of an article; an article inside furniture of another article (comments) belongs to
-that furniture.
-
-Copies of a page count once in the tree: pages of a host with the same article text, or without
-one the same text outside furniture. A text on fewer than ``LEAST_PAGES`` of them does not recur; with
-fewer pages a node's prior alone decides, and blocks without a prior stay.
-
-Null and empty html, and pages without kept blocks, give an empty text. Pages without a
-url form one site. Repeated rows give a row each.
+The pages of a host are merged into one tree. A node is a path of presentations (tag and class) from
+the root; its styles are the sequences of child presentations of the branch that its text lies in.
+A block (the text of one node on one page) has an importance from 0 to 1:
+
+- content: 1 - ln(pages with the text) / ln(pages with the node + ``SMOOTHING``). A text on one page has
+  1, one on every page of a large host 0. On hosts with few pages the same share of pages says
+  less: a text on both of two pages stays above one half;
+- presentation: the entropy of the styles over the pages, from 0 (always built alike) to 1;
+- importance = content * (1 - ``STYLE_SHARE`` * (1 - presentation)).
+
+Branches, not blocks, go: a branch is an element that divides a page (div, section, ...), with the text that
+belongs to it and to no branch inside it, lists and tables included. It goes if none of its blocks reaches
+``LEAST_IMPORTANCE``. It stays whatever the importance of its own blocks
+
+- inside a branch that itself holds at least half of the important text below it (an article), or
+- if most branches beside it, of the same presentation and style, are important (parts of an article).
+
+So a line that recurs in articles stays in them. Names decide before the tree: text inside an article or main
+element stays, and named menus, headers, footers, adverts, notices, forms and comments go, as
+their texts are often their own on each page. Words of class, id, role and itemprop count as whole tokens. They name
+neither html, body, main nor article, nor an ancestor of an article; an article inside furniture of another article
+(comments) belongs to that furniture. The tree is built from all blocks; ``verdicts`` counts where it and the names differ.
+
+Pages with the same article count once in the tree, also if they differ in some lines: the
+longest block of the branch with most text stands for the article. On a host with one such page nothing recurs.
+
+Null and empty html, and pages without kept blocks, give an empty text. Pages without a url form one
+site. Repeated rows give a row each. Elements may be nested to any depth: each holds a running hash of its
+path. Columns other than page_id, url and html are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -44,8 +50,7 @@ from ordermill.llm.url_filter import host_of
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_IMPORTANCE = 0.5
-LEAST_PAGES = 3  # with fewer pages a node's texts say nothing about the site
-PRIOR_WEIGHT = 0.9
+SMOOTHING = 3
 STYLE_SHARE = 0.1
 
 # Elements by their part in a page.
@@ -71,58 +76,86 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _LISTS = frozenset("ul ol dl table article main section div body".split())
 _NAMING = frozenset("class id role itemprop".split())
 
-KEEP, DROP, OPEN = 1, 0, 2  # priors of a role: text, furniture, none
+# Elements that divide a page into branches.
+BRANCHES = frozenset("html body article main section div header footer nav aside form fieldset dialog details".split())
+WHOLE_PAGE = frozenset(["", "html", "body"])
 
+KEEP, DROP, OPEN = 1, 0, 2  # what names say of a block: text, furniture, nothing
+_NOTHING = frozenset()
+_WORD = (1 << 64) - 1
 
-class _Element:
-    """An open or closed element; ``names`` is what its tag and words say of its role."""
 
-    __slots__ = ("tag", "path", "above", "silent", "names", "in_article", "holds_article", "children", "judged")
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
-    def __init__(self, tag, path, above, silent, names, in_article):
-        self.tag, self.path, self.above, self.silent, self.names = tag, path, above, silent, names
-        self.in_article, self.holds_article, self.children, self.judged = in_article, False, None, None
 
-    def role(self) -> tuple[int, _Element | None]:
-        """The prior, and the element that gives it."""
-        if self.judged is None:
-            chain, at = [], self
-            while at is not None and at.judged is None:
-                chain.append(at)
-                at = at.above
-            judged = at.judged if at is not None else (OPEN, None)
-            for at in reversed(chain):
-                judged = at.judged = at.own_role(judged)
-        return self.judged
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+@lru_cache(1 << 14)
+def _label(tag: str, classes: str) -> int:
+    return _hash(_bytes(".".join([tag, *sorted(classes.lower().split())])))
+
+
+def _chained(before: int, label: int) -> int:
+    """A running 64-bit hash, as a signed number."""
+    mixed = ((before ^ (before >> 29) & _WORD) * 0x9E3779B97F4A7C15 + label) & _WORD
+    mixed = ((mixed ^ mixed >> 32) * 0xD6E8FEB86659FD93) & _WORD
+    return mixed - (1 << 64) if mixed >> 63 else mixed
+
 
-    def own_role(self, above):
+class _Element:
+    """An open or closed element. ``names`` is what its tag and words say; ``branch`` and ``block`` are the
+    innermost elements of these kinds around its text, itself included."""
+
+    __slots__ = (
+        "tag", "path", "above", "silent", "names", "in_article", "holds_article", "judged", "block", "branch", "label", "style", "last", "number",
+    )
+
+    def __init__(self, tag, above, label, names):
+        self.tag, self.above, self.label, self.names = tag, above, label, names
+        self.holds_article, self.judged, self.style, self.last, self.number = False, None, 0, 0, -1
+        block = tag in BLOCKS or above is None
+        self.block = self if block else above.block
+        self.branch = self if tag in BRANCHES or above is None else above.branch
+        self.path = 0 if above is None else _chained(above.path, label) if block else above.path
+        self.silent = above is not None and (above.silent or tag in NO_TEXT)
+        self.in_article = above is not None and (above.in_article or above.tag == "article")
+
+    def role(self) -> int:
+        """What the names say of the text of this element."""
+        chain, at = [], self
+        while at is not None and at.judged is None:
+            chain.append(at)
+            at = at.above
+        judged = at.judged if at is not None else (OPEN, "")
+        for at in reversed(chain):
+            judged = at.judged = at.own_role(*judged)
+        return self.judged[0]
+
+    def own_role(self, above: int, giver: str) -> tuple[int, str]:
+        """The role here, and the tag of the element that gives it."""
         names = self.names
-        if not names:
-            return above
         if "content" in names:
             # An article brings text back from furniture, but not from that of another article or of a tag.
-            return above if above[0] == DROP and (self.in_article or above[1].tag in FURNITURE) else (KEEP, self)
+            return (above, giver) if above == DROP and (self.in_article or giver in FURNITURE) else (KEEP, self.tag)
         if "furniture" in names and not (self.holds_article and self.tag not in FURNITURE - {"form"}):
-            return DROP, self
-        if "header" in names and above[0] != KEEP and not self.holds_article:
-            return DROP, self
-        return above
-
-
-_NOTHING = frozenset()
-_NO_LABELS: list[str] = []
+            return DROP, self.tag
+        if "header" in names and above != KEEP and not self.holds_article:
+            return DROP, self.tag
+        return above, giver
 
 
 def _names(tag: str, given: dict[str, str]) -> frozenset[str]:
     words = frozenset(" ".join(given.values()).lower().split()) if given else _NOTHING
-    names = []
     if tag in ARTICLE or given.get("role", "").lower() == "main" or given.get("itemprop") == "articleBody":
-        names.append("content")
-    elif tag in FURNITURE or (tag not in NEVER_NAMED and words & FURNITURE_WORDS):
-        names.append("furniture")
-    elif tag == "header" or (tag not in NEVER_NAMED and words & HEADER_WORDS):
-        names.append("header")
-    return frozenset(names) if names else _NOTHING
+        return frozenset(["content"])
+    if tag in FURNITURE or (tag not in NEVER_NAMED and words & FURNITURE_WORDS):
+        return frozenset(["furniture"])
+    if tag == "header" or (tag not in NEVER_NAMED and words & HEADER_WORDS):
+        return frozenset(["header"])
+    return _NOTHING
 
 
 class _Page(HTMLParser):
@@ -131,9 +164,10 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[_Element] = []
+        self.open: dict[str, int] = {}  # how many elements of a tag are open
         self.parts: list[str] = []
         self.found: list[tuple[_Element, str]] = []
-        self.root = _Element("", "", None, False, _NOTHING, False)
+        self.root = _Element("", None, 0, _NOTHING)
 
     def top(self) -> _Element:
         return self.stack[-1] if self.stack else self.root
@@ -145,6 +179,11 @@ class _Page(HTMLParser):
             if text:
                 self.found.append((self.top(), text))
 
+    def close_from(self, place: int) -> None:
+        for element in self.stack[place:]:
+            self.open[element.tag] -= 1
+        del self.stack[place:]
+
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCKS
         if block:
@@ -156,23 +195,18 @@ class _Page(HTMLParser):
             return
         above = self.top()
         given = {key: value or "" for key, value in attrs if key in _NAMING} if attrs else {}
-        names = _names(tag, given)
-        path = above.path
+        element = _Element(tag, above, _label(tag, given.get("class", "")) if block else 0, _names(tag, given))
         if block:
-            label = tag + "".join(f".{w}" for w in sorted(given.get("class", "").lower().split())) if given else tag
-            path = f"{path}/{label}"
-            parent = above
-            while parent.above is not None and parent.tag not in BLOCKS:
-                parent = parent.above
-            if parent.children is None:
-                parent.children = [label]
-            elif parent.children[-1] != label:
-                parent.children.append(label)
-        in_article = above.in_article or above.tag == "article"
-        if "content" in names and not in_article:
-            for element in self.stack:
-                element.holds_article = True
-        self.stack.append(_Element(tag, path, above, above.silent or tag in NO_TEXT, names, in_article))
+            parent = above.block
+            if parent.last != element.label:  # repeats count once
+                parent.style, parent.last = _chained(parent.style, element.label), element.label
+        if "content" in element.names and not element.in_article:
+            at = above
+            while at is not None and not at.holds_article:
+                at.holds_article = True
+                at = at.above
+        self.stack.append(element)
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -180,11 +214,13 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def close_implied(self, tag: str) -> None:
-        closed = CLOSED_BY.get(tag, frozenset())
+        closed = CLOSED_BY.get(tag, _NOTHING)
+        if not (self.open.get("p") or (tag == "body" and self.open.get("head")) or any(self.open.get(c) for c in closed)):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             open_tag = self.stack[i].tag
             if open_tag == "p" or open_tag in closed or (tag == "body" and open_tag == "head"):
-                del self.stack[i:]
+                self.close_from(i)
                 return
             if open_tag in _LISTS:
                 return
@@ -192,9 +228,11 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self.close_from(i)
                 return
 
     def handle_data(self, data):
@@ -202,109 +240,146 @@ class _Page(HTMLParser):
             self.parts.append(data)
 
 
-def page_blocks(html: str | None) -> list[tuple[str, int, str, str]]:
-    """(path, prior, text, presentation of the container) of each block in page order."""
+def page_blocks(html: str | None) -> list[tuple[_Element, int, str]]:
+    """(element, role, text) of each block in page order."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
-    blocks = []
-    for element, text in page.found:
-        prior, container = element.role()
-        if container is None:
-            container = element
-            while container.tag not in BLOCKS and container.above is not None:
-                container = container.above
-            container = container.above or container
-            while container.tag not in BLOCKS and container.above is not None:
-                container = container.above
-        blocks.append((element.path, prior, text, " ".join(container.children or _NO_LABELS)))
-    return blocks
-
-
-def _hash(*parts: bytes) -> int:
-    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
-
-
-def _bytes(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
-
-
-def _hashed(host: bytes, html: str | None) -> list[tuple[int, int, int, str, str]]:
-    """(node, key, prior, text, presentation) of each block; the key stands for the node and its text."""
-    nodes, blocks = {}, []
-    for path, prior, text, style in page_blocks(html):
-        node = nodes.get((path, prior))
-        if node is None:
-            node = nodes[(path, prior)] = _hash(host, _bytes(path), b"%d" % prior)
-        blocks.append((node, _hash(b"%d" % node, _bytes(text)), prior, text, style))
-    return blocks
-
-
-def _copy(host: bytes, blocks: list[tuple[int, int, int, str, str]]) -> int:
-    """Equal for pages of a host that count once: same article text, else same text outside furniture, else same text."""
-    for kept in ((KEEP,), (OPEN,), (DROP,)):
-        texts = [_bytes(text) for _, _, prior, text, _ in blocks if prior in kept]
-        if texts:
-            return _hash(host, b"%d" % kept, *texts)
-    return _hash(host)
-
-
-_NODES = pa.struct(
+    return [(element, element.role(), text) for element, text in page.found]
+
+
+def _branches(blocks: list[tuple[_Element, int, str]]) -> list[_Element]:
+    """The branches of the open blocks and those around them, outer ones first; each gets its number."""
+    chains: list[_Element] = []
+    for element, role, _ in blocks:
+        at, chain = element.branch, []
+        while role == OPEN and at is not None and at.number < 0:
+            at.number = 0
+            chain.append(at)
+            at = at.above.branch if at.above is not None else None
+        chains += reversed(chain)
+    for number, branch in enumerate(chains):
+        branch.number = number
+    return chains
+
+
+def _article(host: bytes, blocks: list[tuple[_Element, int, str]]) -> int:
+    """Equal for pages of a host that count once: the longest block of the branch with most text, furniture left out."""
+    sizes: dict[_Element, int] = {}
+    for element, role, text in blocks:
+        if role != DROP:
+            sizes[element.branch] = sizes.get(element.branch, 0) + len(text)
+    if not sizes:
+        return _hash(host, *(_bytes(text) for _, _, text in blocks))
+    largest = max(sizes, key=sizes.get)  # of several the first
+    longest = max((text for element, role, text in blocks if role != DROP and element.branch is largest), key=len)
+    return _hash(host, b"article", _bytes(longest))
+
+
+_PARSED = pa.struct(
     [
         ("copy", pa.int64()),
-        ("texts", pa.list_(pa.struct([("node", pa.int64()), ("key", pa.int64()), ("prior", pa.int8())]))),
-        ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("prior", pa.int8()), ("page", pa.int8())]))),
+        ("texts", pa.list_(pa.struct([("node", pa.int64()), ("key", pa.int64()), ("role", pa.int8()), ("blocks", pa.int32())]))),
+        ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("page", pa.int8())]))),
+        ("lines", pa.list_(pa.struct([("text", pa.string()), ("key", pa.int64()), ("branch", pa.int32())]))),
+        ("branches", pa.list_(pa.struct([("above", pa.int32()), ("label", pa.int64()), ("style", pa.int64()), ("whole", pa.bool_())]))),
     ]
 )
+_PARSED_DDL = (
+    "struct<copy:bigint,texts:array<struct<node:bigint,key:bigint,role:tinyint,blocks:int>>,"
+    "styles:array<struct<node:bigint,style:bigint,page:tinyint>>,lines:array<struct<text:string,key:bigint,branch:int>>,"
+    "branches:array<struct<above:int,label:bigint,style:bigint,whole:boolean>>>"
+)
 
 
-def _page_nodes():
-    """Of each page: its copy hash, its distinct texts by node, and the distinct presentations of each node."""
+def parsed_page(host: bytes, html: str | None) -> tuple:
+    """What is kept of a page: its article's hash, its distinct texts and styles by node, and the lines that may stay.
 
+    A line's branch is -1 where names keep it. Open lines carry their key and the number of their branch.
+    """
+    blocks = page_blocks(html)
+    texts, styles, lines, nodes = {}, {}, [], {}
+    branches = _branches(blocks)
+    for element, role, text in blocks:
+        path = element.path, role
+        node = nodes.get(path)
+        if node is None:
+            node = nodes[path] = _hash(host, b"%d %d" % path)
+        key = _hash(b"%d" % node, _bytes(text))
+        texts[key] = (node, key, role, texts[key][3] + 1 if key in texts else 1)
+        style = element.branch.style
+        if (node, style) not in styles:
+            styles[(node, style)] = (node, style, 0)
+        if role != DROP:
+            lines.append((text, key, element.branch.number if role == OPEN else -1))
+    seen = set()
+    for pair, (node, style, _) in styles.items():
+        styles[pair] = (node, style, int(node not in seen))
+        seen.add(node)
+    listed = [
+        (b.above.branch.number if b.above is not None else -1, b.label, b.style, b.tag in WHOLE_PAGE) for b in branches
+    ]
+    return _article(host, blocks), list(texts.values()), list(styles.values()), lines, listed
+
+
+def kept_branches(lines: list[tuple[str, int, int]], branches: list[tuple[int, int, int, bool]], low: set[int]) -> list[bool]:
+    """Whether the own lines of each branch stay, given the keys of unimportant texts."""
+    count = len(branches)
+    own, size, important = [False] * count, [0] * count, [False] * count
+    for text, key, branch in lines:
+        if branch >= 0:
+            own[branch] = True
+            if key not in low:
+                important[branch] = True
+                size[branch] += len(text)
+    below = size[:]
+    for i in range(count - 1, -1, -1):  # inner branches come after outer ones
+        if branches[i][0] >= 0:
+            below[branches[i][0]] += below[i]
+    alike: dict[tuple, list[int]] = {}
+    for i, branch in enumerate(branches):
+        if own[i]:
+            tally = alike.setdefault(branch[:3], [0, 0])
+            tally[0] += 1
+            tally[1] += important[i]
+    inside, kept = [False] * count, [False] * count
+    for i, (above, label, style, _) in enumerate(branches):
+        if above >= 0:
+            holder = not branches[above][3] and size[above] > 0 and 2 * size[above] >= below[above]
+            inside[i] = inside[above] or holder
+        if own[i]:
+            tally = alike[(above, label, style)]
+            kept[i] = important[i] or inside[i] or 2 * tally[1] > tally[0]
+    return kept
+
+
+def _parsed():
     def parse(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, pages in arrays:
-            rows = []
-            for host, html in zip(hosts, pages):
-                name = _bytes(host.as_py() or "")
-                blocks = _hashed(name, html.as_py())
-                texts, styles, seen = {}, {}, set()
-                for node, key, prior, _, style in blocks:
-                    texts.setdefault(key, (node, key, prior))
-                    if (node, style) not in styles:
-                        styles[(node, style)] = (node, _hash(_bytes(style)), prior, int(node not in seen))
-                        seen.add(node)
-                rows.append((_copy(name, blocks), list(texts.values()), list(styles.values())))
-            yield pa.array(rows, _NODES)
-
-    return F.arrow_udf(
-        parse,
-        "struct<copy:bigint,texts:array<struct<node:bigint,key:bigint,prior:tinyint>>,"
-        "styles:array<struct<node:bigint,style:bigint,prior:tinyint,page:tinyint>>>",
-        F.ArrowUDFType.SCALAR_ITER,
-    )
+            rows = [parsed_page(_bytes(host.as_py() or ""), html.as_py()) for host, html in zip(hosts, pages)]
+            yield pa.array(rows, _PARSED)
+
+    return F.arrow_udf(parse, _PARSED_DDL, F.ArrowUDFType.SCALAR_ITER)
 
 
 def _kept_text():
-    """The blocks that stay: those with a prior of text or none, except where ``changed`` holds their key."""
+    """The lines that stay, where some texts of the page are unimportant."""
 
-    def parse(arrays: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for hosts, pages, listed in arrays:
+    def join(arrays: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lines, branches, low in arrays:
             texts = []
-            for host, html, keys in zip(hosts, pages, listed):
-                changed = set(keys.as_py() or ())
-                if changed:
-                    blocks = ((prior, key, text) for _, key, prior, text, _ in _hashed(_bytes(host.as_py() or ""), html.as_py()))
-                else:
-                    blocks = ((prior, None, text) for _, prior, text, _ in page_blocks(html.as_py()))
-                texts.append("\n".join(text for prior, key, text in blocks if (prior != DROP) != (key in changed)))
+            for own, around, keys in zip(lines, branches, low):
+                own = [tuple(line.values()) for line in own.as_py()]
+                kept = kept_branches(own, [tuple(b.values()) for b in around.as_py()], set(keys.as_py()))
+                texts.append("\n".join(text for text, _, branch in own if branch < 0 or kept[branch]))
             yield pa.array(texts, pa.string())
 
-    return F.arrow_udf(parse, "string", F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(join, "string", F.ArrowUDFType.SCALAR_ITER)
 
 
 def once(pages: DataFrame) -> DataFrame:
-    """One row (texts, styles) of each copy in ``pages`` (page, copy, texts, styles); only copies are shuffled."""
+    """One row (texts, styles) of each article in ``pages`` (page, copy, texts, styles); only copies are shuffled."""
     repeated = pages.groupBy("copy").count().where("count > 1").select(F.col("copy").alias("_copy"))
     asked = with_possible(pages, "copy", bloom_filter(repeated, "_copy"), "repeats")
     first = asked.where("repeats").groupBy("copy").agg(F.min_by(F.struct("texts", "styles"), "page").alias("first"))
@@ -312,60 +387,67 @@ def once(pages: DataFrame) -> DataFrame:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(node, prior, pages, presentation) of each node; counts combine before each shuffle."""
-    styles = pages.select(F.explode("styles").alias("s")).groupBy("s.node", "s.prior", "s.style")
+    """(node, pages, presentation) of each node; counts combine before each shuffle."""
+    styles = pages.select(F.explode("styles").alias("s")).groupBy("s.node", "s.style")
     styles = styles.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("s.page").alias("pages"))
-    trees = styles.groupBy("node", "prior").agg(
+    trees = styles.groupBy("node").agg(
         F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("spread")
     )
     entropy = F.when(F.col("n") > 1, 1 - F.col("spread") / F.col("n") / F.log("n")).otherwise(1.0)
-    return trees.select("node", "prior", "pages", entropy.alias("presentation"))
+    return trees.select("node", "pages", entropy.alias("presentation"))
 
 
-def importance(prior: Column, holders: Column, pages: Column, presentation: Column) -> Column:
+def importance(holders: Column, pages: Column, presentation: Column) -> Column:
     """Of a text on ``holders`` of the ``pages`` that have its node."""
-    content = F.when(pages > 1, 1 - F.log(holders.cast("double")) / F.log(pages.cast("double"))).otherwise(1.0)
-    tree = content * (1 - STYLE_SHARE * (1 - presentation))
-    return F.when(prior == OPEN, tree).otherwise((PRIOR_WEIGHT * prior + tree) / (PRIOR_WEIGHT + 1))
+    content = 1 - F.log(holders.cast("double")) / F.log(pages.cast("double") + SMOOTHING)
+    return content * (1 - STYLE_SHARE * (1 - presentation))
 
 
-def changed_texts(pages: DataFrame) -> DataFrame:
-    """The keys whose importance gives another verdict than their prior (none: text)."""
-    nodes = stored(style_nodes(pages).where(F.col("pages") >= LEAST_PAGES), "nodes")
+def judged_texts(pages: DataFrame) -> DataFrame:
+    """(node, key, role, holders, importance) of the texts on two or more pages; all others are important."""
+    nodes = stored(style_nodes(pages).where(F.col("pages") > 1), "nodes")
     texts = pages.select(F.explode("texts").alias("t")).groupBy("t.node", "t.key").agg(
-        F.max("t.prior").alias("prior"), F.count(F.lit(1)).alias("holders")
+        F.max("t.role").alias("role"), F.count(F.lit(1)).alias("holders")
     )
-    # Furniture of which even a text on one page only would go cannot change; other texts only where they recur.
-    best = importance(F.col("prior"), F.lit(1), F.col("pages"), F.col("presentation"))
-    able = nodes.where((F.col("prior") == DROP) & (best >= LEAST_IMPORTANCE))
-    asked = with_possible(texts, "node", bloom_filter(able, "node"), "able")
-    asked = asked.where(F.when(F.col("prior") == DROP, F.col("able")).otherwise(F.col("holders") >= LEAST_PAGES))
-    judged = asked.join(nodes.select("node", "pages", "presentation"), "node")
-    stays = importance(F.col("prior"), F.col("holders"), F.col("pages"), F.col("presentation")) >= LEAST_IMPORTANCE
-    return judged.where(stays != (F.col("prior") != DROP)).select(F.col("key").alias("_key"))
+    judged = texts.where(F.col("holders") > 1).join(nodes, "node")
+    return judged.select("node", "key", "role", "holders", importance(F.col("holders"), F.col("pages"), F.col("presentation")).alias("importance"))
+
+
+def _given(pages: DataFrame) -> DataFrame:
+    """The pages, parsed once and stored."""
+    text = F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page_id", "url", "html")))
+    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.md5(text).alias("page"))
+    return stored(keyed.select("page_id", "url", "page", _parsed()("host", "html").alias("p")).select("page_id", "url", "page", "p.*"), "parsed")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
 
-    The trees need no texts, only hashes of them. Texts are shuffled for those pages
-    alone in which importance overrules a prior or removes a block that has none.
+    Each page is parsed once. The trees need hashes only; lines are shuffled for those pages alone that
+    hold an unimportant text no name decides on.
     """
-    given = F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.md5(given).alias("page"))
-    parsed = keyed.select("page", _page_nodes()("host", "html").alias("n")).select("page", "n.*")
-    parsed = stored(parsed, "parsed")
-    changed = stored(changed_texts(once(parsed)), "changed")
-    places = parsed.select("page", F.explode("texts.key").alias("key"))
-    asked = with_possible(places, "key", bloom_filter(changed, "_key"), "differs").where("differs")
-    changes = asked.join(changed, F.col("key") == F.col("_key")).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("changed"))
+    parsed = _given(pages)
+    low = judged_texts(once(parsed)).where((F.col("role") == OPEN) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = stored(low.select(F.col("key").alias("_key")), "low")
+    places = parsed.select("page", F.explode("texts").alias("t")).where(F.col("t.role") == OPEN).select("page", "t.key")
+    asked = with_possible(places, "key", bloom_filter(low, "_key"), "held").where("held")
+    changes = asked.join(low, F.col("key") == F.col("_key")).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("low"))
     changes = stored(changes, "changes")
 
+    asked = with_possible(parsed.select("page_id", "url", "page", "lines", "branches"), "page", bloom_filter(changes, "_page"), "differs")
+    whole = F.array_join(F.transform("lines", lambda line: line["text"]), "\n")
+    same = asked.where("NOT differs").select("page_id", "url", whole.alias("text"))
     none = F.array().cast("array<bigint>")
-    asked = with_possible(keyed, "page", bloom_filter(changes, "_page"), "differs")
-    whole = asked.where("NOT differs").select("page_id", "url", "host", "html", none.alias("changed"))
     cut = asked.where("differs").join(changes, F.col("page") == F.col("_page"), "left").select(
-        "page_id", "url", "host", "html", F.coalesce("changed", none).alias("changed")
+        "page_id", "url", _kept_text()("lines", "branches", F.coalesce("low", none)).alias("text")
     )
-    texts = whole.unionByName(cut).select("page_id", "url", _kept_text()("host", "html", "changed").alias("text"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    return same.unionByName(cut).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def verdicts(pages: DataFrame) -> DataFrame:
+    """How many blocks the names keep, drop or leave open (role), and how the tree judges them (important)."""
+    parsed = _given(pages)
+    low = judged_texts(once(parsed)).where(F.col("importance") < LEAST_IMPORTANCE).select(F.col("key").alias("_key"))
+    blocks = parsed.select(F.explode("texts").alias("t")).select("t.key", "t.role", "t.blocks")
+    judged = blocks.groupBy("key", "role").agg(F.sum("blocks").alias("blocks")).join(low, F.col("key") == F.col("_key"), "left")
+    return judged.groupBy("role", F.col("_key").isNull().alias("important")).agg(F.sum("blocks").alias("blocks"))
