@@ -49,7 +49,7 @@ def test_finds_what_brute_force_finds(documents, benchmark):
             item, plain = decontaminate.plain(item), decontaminate.plain(text)
             distance = edit_distance(item, plain)
             if distance <= decontaminate.budget(len(item)):
-                expected[(doc_id, item_id)] = distance
+                expected[(doc_id, item_id)] = distance  # no edit here joins words at the borders
     expected[(900, 1)] = 0
     assert got == expected
     clean = decontaminate.drop_contaminated(documents(rows), benchmark)
@@ -77,4 +77,34 @@ def test_items_without_id_and_a_word_more_or_less_in_a_short_item(documents, ben
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(documents(rows), benchmark).collect()}
     assert got == {(1, None): 0, (2, 1): 6, (3, 1): 6}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(documents(rows), benchmark).collect()) == [4, 5]
-    assert decontaminate.budget(1000, 0) == 0 and decontaminate.budget(10) == 1
+    assert decontaminate.budget(1000, 0) == 0 and decontaminate.budget(39) == 0 and decontaminate.budget(40) == 5
+
+
+SHORT = [("a", "4"), ("b", "yes"), ("c", "the answer is 4"), ("d", "Yes"), (None, "???"), ("e", "x" * 39), ("f", "y" * 30 + " " + "z" * 30)]
+
+
+def test_short_items_are_whole_words_without_edits(documents, spark):
+    benchmark = spark.createDataFrame(SHORT, "item_id string, text string")
+    texts = [
+        "Yesterday was the day", "Yes, of course", "the answer is 42", "So the answer is  4.", "14 40 x4 4x", "4", "what???", "the answers is 4",
+        "x" * 39, "x" * 40, "xx " + "x" * 38 + "y", f"{'y' * 30}  {'z' * 30}", f"a{'y' * 30} {'z' * 30}b", f"{'y' * 29} {'z' * 30}", f"q{'y' * 30} {'z' * 28}", None, "",
+        "yes", "yes",
+    ]
+    got = sorted((r.doc_id, r.item_id or "-", r.distance) for r in decontaminate.contaminated(documents(list(enumerate(texts))), benchmark).collect())
+    hits = {
+        1: "bd", 3: "ac", 5: "a", 6: "-", 7: "a", 8: "e", 11: "f", 12: "f", 13: "f", 14: "f", 17: "bd", 18: "bd",
+    }
+    assert [(d, i) for d, i, _ in got] == [(d, i) for d, items in hits.items() for i in items]
+    assert {d: n for d, i, n in got if i == "f"} == {11: 0, 12: 2, 13: 1, 14: 3}
+    kept = decontaminate.drop_contaminated(documents(list(enumerate(texts))), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if i not in hits]
+
+
+def test_repeated_items_and_ties(documents, spark):
+    item = "one passage of the test that is long enough to be found with edits"
+    benchmark = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, item.upper(), 0)], "item_id bigint, text string, doc_id int")
+    rows = [(1, f"{item} and {item}"), (2, f"x{item[1:]} then {item[:-1]}x"), (2, f"x{item[1:]} then {item[:-1]}x")]
+    got = [(r.doc_id, r.item_id, r.distance, r.end_at) for r in decontaminate.contaminated(documents(rows), benchmark).collect()]
+    size = len(item)
+    # Of equal places the first counts.
+    assert sorted(got) == [(1, 1, 0, size)] * 2 + [(1, 2, 0, size)] + [(2, 1, 1, size)] * 4 + [(2, 2, 1, size)] * 2
