@@ -6,9 +6,12 @@ shares of toxic and other training texts that hold it; a logistic regression is
 fitted on the scaled features. Training uses a bounded sample of labelled texts
 (``sample_rows``); scoring reads every byte of every text, in blocks.
 
-Null and empty texts score the intercept alone. Where no n-gram reaches the least gain, as in
-a small sample, the best of those that tell the classes apart at all are kept. Without any, or without
-training rows of both classes, every score is 0.0. A column with the name of the score is replaced.
+Of the n-grams that tell the classes apart at all, the ``features`` best by chi-squared are kept, at every
+size of the sample; of equal ones those with the smaller hash. Different n-grams may share one of the 2^``bucket_bits`` hashes.
+
+Null and empty texts score the intercept alone. Without n-grams, or without training rows of both classes,
+every score is 0.0. Repeated rows of ``documents`` are scored each for itself and train once per id; long texts
+are read whole, in blocks. ``score`` is a column and touches no other; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ class Settings:
     orders: tuple[int, ...] = (3, 4, 5)
     bucket_bits: int = 20
     features: int = 1 << 13  # n-gram buckets kept at most, those that tell the classes apart best
-    least_gain: float = 20.0  # of a kept bucket: chi-squared of its presence against the label
     sample_rows: int = 16_384  # bound of the training sample
     penalty: float = 1e-3
     rounds: int = 40
@@ -115,6 +117,22 @@ def _features(settings: Settings, kept: np.ndarray):
     return F.arrow_udf(listed, "array<int>", F.ArrowUDFType.SCALAR_ITER)
 
 
+def log_count_ratios(sample: DataFrame, yes: int, no: int, settings: Settings = Settings()) -> DataFrame:
+    """(bucket, ratio, gain) of every n-gram of ``sample`` (text, label) with ``yes`` and ``no`` texts of each class.
+
+    The ratio is the logarithm of the smoothed share of texts that hold it, toxic against other; the
+    gain is chi-squared of its presence against the label, from the same shares.
+    """
+    counts = (
+        sample.mapInArrow(_count(settings), "bucket bigint, yes bigint, no bigint")
+        .groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    )
+    p, q = (F.col("yes") + 1) / F.lit(yes + 2.0), (F.col("no") + 1) / F.lit(no + 2.0)
+    middle = (F.col("yes") + F.col("no") + 1) / F.lit(yes + no + 2.0)
+    gain = F.lit(yes * no / (yes + no)) * (p - q) * (p - q) / (middle * (1 - middle))
+    return counts.select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Model:
     """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, ``label``)."""
     sample = training_sample(documents, labels, label, settings.sample_rows).persist(StorageLevel.MEMORY_AND_DISK)
@@ -124,20 +142,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", settings:
         untrained = Model(settings, np.zeros(0, np.int64), np.zeros(0), 0.0, trained=False)
         if not yes or not no:
             return untrained
-        counts = (
-            sample.mapInArrow(_count(settings), "bucket bigint, yes bigint, no bigint")
-            .groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-        )
-        p, q = (F.col("yes") + 1) / F.lit(yes + 2.0), (F.col("no") + 1) / F.lit(no + 2.0)
-        middle = (F.col("yes") + F.col("no") + 1) / F.lit(yes + no + 2.0)
-        gain = F.lit(yes * no / (yes + no)) * (p - q) * (p - q) / (middle * (1 - middle))
         # One row per kept bucket comes to the driver: settings.features at most.
-        best = (
-            counts.select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
-            .where(F.col("gain") > 0)
-            .orderBy(F.col("gain").desc(), "bucket").limit(settings.features).collect()
-        )
-        best = [row for row in best if row.gain >= settings.least_gain] or best
+        found = log_count_ratios(sample, yes, no, settings).where(F.col("gain") > 0)
+        best = found.orderBy(F.col("gain").desc(), "bucket").limit(settings.features).collect()
         if not best:
             return untrained
         kept = np.array([row.bucket for row in best], np.int64)

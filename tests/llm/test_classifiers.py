@@ -136,3 +136,54 @@ def test_a_small_labelled_set_trains(documents, labels):
     model = toxicity.fit(table, labels([(i, 1, i % 2) for i, _ in rows]))
     scores = {r.doc_id: r.s for r in table.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
     assert model.trained and all((s >= 0.5) == bool(i % 2) for i, s in scores.items())
+
+
+def test_ngrams_equal_brute_force(documents, labels, spark):
+    """Counts, log-count ratios, chi-squared, the choice of the best, and the score, n-gram by n-gram."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ordermill.llm.spans import Hasher
+
+    settings = toxicity.Settings(features=200, bucket_bits=24, rounds=20)
+    rows, marks = corpus(insulting)
+    rows = [(i, t.title() if i % 3 else t + " übel 日本語") for i, t in rows[:120]]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def grams(text):
+        text = (text or "").translate(lower)
+        return {text[i : i + n] for n in settings.orders for i in range(len(text) - n + 1)}
+
+    texts = [(t, float(marks[i][2])) for i, t in rows]
+    yes, no = sum(y for _, y in texts), sum(1 - y for _, y in texts)
+    hasher, bucket_of = Hasher(), {}
+    for gram in set().union(*(grams(t) for t, _ in texts)):
+        exact = toxicity.Settings(orders=(len(gram),), bucket_bits=settings.bucket_bits)
+        (keys,) = toxicity._keys(pa.array([gram]), hasher, None, exact)
+        bucket_of[gram] = int(keys[0])
+    assert len(set(bucket_of.values())) == len(bucket_of)  # no two n-grams share a bucket here
+    expected = {}
+    for gram, bucket in bucket_of.items():
+        a = sum(y for t, y in texts if gram in grams(t))
+        b = sum(1 - y for t, y in texts if gram in grams(t))
+        p, q, m = (a + 1) / (yes + 2), (b + 1) / (no + 2), (a + b + 1) / (yes + no + 2)
+        expected[bucket] = (math.log(p / q), yes * no / (yes + no) * (p - q) ** 2 / (m * (1 - m)))
+    sample = spark.createDataFrame(texts, "text string, label double").repartition(3)
+    got = {r.bucket: (r.ratio, r.gain) for r in toxicity.log_count_ratios(sample, int(yes), int(no), settings).collect()}
+    assert set(got) == set(expected)
+    assert all(np.allclose(got[b], expected[b], rtol=1e-12, atol=1e-12) for b in got)
+
+    model = toxicity.fit(documents(rows), labels(marks), "toxic", settings)
+    inside = {r.text for r in training_sample(documents(rows), labels(marks), "toxic", settings.sample_rows).collect()}
+    trained = [(t, y) for t, y in texts if t in inside]
+    ty, tn = int(sum(y for _, y in trained)), int(sum(1 - y for _, y in trained))
+    part = spark.createDataFrame(trained, "text string, label double")
+    ranked = sorted(toxicity.log_count_ratios(part, ty, tn, settings).collect(), key=lambda r: (-r.gain, r.bucket))
+    assert list(model.buckets) == [r.bucket for r in ranked[: settings.features]]
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    scored = {r.doc_id: r.s for r in documents(rows).select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    for i, text in rows:
+        total = model.intercept + sum(weight.get(bucket_of[g], 0.0) for g in grams(text))
+        assert math.isclose(scored[i], 1 / (1 + math.exp(-total)), rel_tol=1e-9, abs_tol=1e-12)
