@@ -28,7 +28,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ordermill.llm.labelled import training_sample
-from ordermill.llm.spans import CHARACTER, LOWER, Block, Hasher, blocks, part_of
+from ordermill.llm.spans import CHARACTER, LOWER, Block, Hasher, blocks, mixed, part_of
 from ordermill.llm.stored import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,7 +63,7 @@ def _present(block: Block, hasher: Hasher, wanted: np.ndarray | None, settings:
         if len(starts) <= order:
             continue
         first, after = starts[:-order], starts[order:]
-        buckets = (hasher.runs(sums, first, after) >> shift).astype(np.int64)
+        buckets = (mixed(hasher.runs(sums, first, after)) >> shift).astype(np.int64)
         keep = np.arange(len(buckets)) if wanted is None else np.flatnonzero(wanted[buckets])
         part = part_of(block, first[keep])
         inside = after[keep] <= block.bounds[part + 1]

@@ -163,11 +163,12 @@ def test_ngrams_equal_brute_force(documents, labels, spark):
         exact = toxicity.Settings(orders=(len(gram),), bucket_bits=settings.bucket_bits)
         (keys,) = toxicity._keys(pa.array([gram]), hasher, None, exact)
         bucket_of[gram] = int(keys[0])
-    assert len(set(bucket_of.values())) == len(bucket_of)  # no two n-grams share a bucket here
+    assert len(set(bucket_of.values())) > 0.99 * len(bucket_of)  # few n-grams share a bucket here
+    held = {t: {bucket_of[g] for g in grams(t)} for t, _ in texts}
     expected = {}
-    for gram, bucket in bucket_of.items():
-        a = sum(y for t, y in texts if gram in grams(t))
-        b = sum(1 - y for t, y in texts if gram in grams(t))
+    for bucket in set(bucket_of.values()):
+        a = sum(y for t, y in texts if bucket in held[t])
+        b = sum(1 - y for t, y in texts if bucket in held[t])
         p, q, m = (a + 1) / (yes + 2), (b + 1) / (no + 2), (a + b + 1) / (yes + no + 2)
         expected[bucket] = (math.log(p / q), yes * no / (yes + no) * (p - q) ** 2 / (m * (1 - m)))
     sample = spark.createDataFrame(texts, "text string, label double").repartition(3)
@@ -185,5 +186,5 @@ def test_ngrams_equal_brute_force(documents, labels, spark):
     weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
     scored = {r.doc_id: r.s for r in documents(rows).select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
     for i, text in rows:
-        total = model.intercept + sum(weight.get(bucket_of[g], 0.0) for g in grams(text))
+        total = model.intercept + sum(weight.get(bucket, 0.0) for bucket in held[text])
         assert math.isclose(scored[i], 1 / (1 + math.exp(-total)), rel_tol=1e-9, abs_tol=1e-12)
