@@ -381,7 +381,7 @@ def _kept_text():
 def once(pages: DataFrame) -> DataFrame:
     """One row (texts, styles) of each article in ``pages`` (page, copy, texts, styles); only copies are shuffled."""
     repeated = pages.groupBy("copy").count().where("count > 1").select(F.col("copy").alias("_copy"))
-    asked = with_possible(pages, "copy", bloom_filter(repeated, "_copy"), "repeats")
+    asked = with_possible(pages, "copy", bloom_filter(repeated, "_copy", at_most=pages.count()), "repeats")
     first = asked.where("repeats").groupBy("copy").agg(F.min_by(F.struct("texts", "styles"), "page").alias("first"))
     return asked.where("NOT repeats").select("texts", "styles").unionByName(first.select("first.texts", "first.styles"))
 

@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (a, b) of representatives whose whole texts link."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    kept = with_possible(texts, "doc_id", bloom_filter(asked, "id"), "_llm_asked").where("_llm_asked")
+    kept = with_possible(texts, "doc_id", bloom_filter(asked, "id", at_most=2 * pairs.count()), "_llm_asked").where("_llm_asked")
     one = kept.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = kept.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(other, "b")

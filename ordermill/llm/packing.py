@@ -8,8 +8,9 @@ each bin shrinks to the smallest permitted length that holds its contents. The r
 is a table of ranges: the items of one length, in rank order, fill the bins of one
 pattern. Items are then ranked in parallel and look up their bin.
 
-A text longer than the largest length is cut into pieces. Texts without length get one
-row with null bin. Repeated rows are packed each for itself.
+A text longer than the largest length is cut into pieces. Null and empty texts, and others without length, get one
+row with null bin. Repeated rows and rows without id are packed each for itself. Columns other than doc_id and those that
+``length`` names are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,16 +55,17 @@ def pack_counts(
 ) -> list[Bins]:
     """Pack ``counts`` items of each length; no length is above the largest capacity."""
     capacities = sorted(capacities)
-    room: dict[int, list[Bins]] = {}
-    rooms: list[int] = []
+    # Open bins by what fits in and their capacity: of bins with equal room the smaller goes first.
+    room: dict[tuple[int, int], list[Bins]] = {}
+    rooms: list[tuple[int, int]] = []
     tokens_left = sum(length * count for length, count in counts.items())
 
     def put(bins: Bins) -> None:
-        left = bins.capacity - bins.filled()
-        if left not in room:
-            room[left] = []
-            insort(rooms, left)
-        room[left].append(bins)
+        kind = bins.capacity - bins.filled(), bins.capacity
+        if kind not in room:
+            room[kind] = []
+            insort(rooms, kind)
+        room[kind].append(bins)
 
     def add(bins: Bins, length: int, items: int, count: int) -> None:
         put(Bins(bins.capacity, (*bins.runs, (length, items)), count))
@@ -87,12 +89,13 @@ def pack_counts(
         waiting = counts[length]
         tokens_left -= length * waiting
         while waiting:
-            at = bisect_left(rooms, length)
+            at = bisect_left(rooms, (length, 0))
             if at < len(rooms):
-                left = rooms[at]
-                bins = room[left].pop()
-                if not room[left]:
-                    del room[left]
+                kind = rooms[at]
+                left = kind[0]
+                bins = room[kind].pop()
+                if not room[kind]:
+                    del room[kind]
                     rooms.pop(at)
             else:
 
@@ -166,7 +169,8 @@ def pack(
         "doc_id", "piece", (F.col("piece") * most).alias("start"),
         F.least(F.col("size") - F.col("piece") * most, F.lit(most)).cast("bigint").alias("length"),
     )
-    items = stored(items, "items")
+    # A number of its own spreads repeated rows; it is stored, so it stays the same whatever is run again.
+    items = stored(items.withColumn("own", (F.rand() * (1 << 30)).cast("int")), "items")
     # One row per length: the largest capacity bounds them.
     sized = items.where("length > 0").groupBy("length").count().collect()
     packed = pack_counts({row.length: row["count"] for row in sized}, capacities, cost)
@@ -175,7 +179,7 @@ def pack(
         [(row.length, -(-row["count"] // RANKED_TOGETHER)) for row in sized], "sized bigint, groups bigint"
     )
     spread = items.join(F.broadcast(groups), F.col("length") == F.col("sized")).withColumn(
-        "slot", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.col("groups"))
+        "slot", F.pmod(F.xxhash64("doc_id", "piece", "own"), F.col("groups"))
     )
     slots = spread.groupBy("length", "slot").count()
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

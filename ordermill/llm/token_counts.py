@@ -7,12 +7,14 @@ once. A second pass takes the pre-token frequencies of each text and joins them
 the counts: the ``head`` most frequent pre-tokens are a bounded table that every task
 gets, all others are joined by shuffle. No token ids are kept.
 
-Null and empty texts have no tokens. Special strings of the tokenizer inside a text are
+Only byte-level BPE files are taken whose pre-tokens are those of ``PRE_TOKENS`` (``check_covered``); any other is refused. Null
+and empty texts have no tokens. Columns other than doc_id and text are left out, whatever their names. Special strings of the tokenizer inside a text are
 one token each, as the library treats them by default.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 from collections import Counter
@@ -60,6 +62,32 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+class NotCovered(ValueError):
+    """Raised for a tokenizer file whose tokens are not those that this module would count."""
+
+
+def check_covered(path: str) -> None:
+    """Refuse a file unless its pieces stay inside the pre-tokens of ``PRE_TOKENS``."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    refused = {
+        "a normaliser": spec.get("normalizer") is not None,
+        "a model that is no BPE": model.get("type", "BPE") != "BPE",
+        "dropout": bool(model.get("dropout")),
+        "marks inside or at the end of words": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        "a pre-tokenizer other than byte-level": split.get("type") != "ByteLevel",
+        "a pre-tokenizer without the pattern": not split.get("use_regex", True),
+        "a blank before the text": bool(split.get("add_prefix_space", True)),
+        "truncation or padding": bool(spec.get("truncation") or spec.get("padding")),
+        "special strings that take blanks or words with them": any(
+            token.get("lstrip") or token.get("rstrip") or token.get("single_word") for token in spec.get("added_tokens") or ()
+        ),
+    }
+    if found := [what for what, held in refused.items() if held]:
+        raise NotCovered(f"{path} has {', '.join(found)}")
+
+
 def special_strings(path: str) -> list[str]:
     """The strings that the tokenizer takes out of a text before all else."""
     return [token.content for token in _load(path).get_added_tokens_decoder().values()]
@@ -134,6 +162,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, head: int = HEAD) ->
     ``tokenizer_path`` names a byte-level BPE file that every executor has. Rows that
     repeat a doc_id are counted each for itself.
     """
+    check_covered(tokenizer_path)
     specials = special_strings(tokenizer_path)
     texts = documents.select("doc_id", "text")
     words = texts.select("text").mapInArrow(_vocabulary(specials), "word string, times bigint")

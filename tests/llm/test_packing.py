@@ -72,3 +72,47 @@ def test_bins_are_filled_well():
     packed = packing.pack_counts(dict(counts))
     used = sum(b.capacity * b.count for b in packed)
     assert sum(n * c for n, c in counts.items()) / used > 0.97
+
+
+def one_by_one(counts, capacities, cost):
+    """Best fit in the plain way: item after item, longest first. The size of new bins is chosen once per length."""
+    bins, left = [], sum(length * n for length, n in counts.items())
+    for length in sorted(counts, reverse=True):
+        left -= length * counts[length]
+        chosen = None
+        for placed in range(counts[length]):
+            fitting = [b for b in bins if b[0] - sum(b[1]) >= length]
+            if fitting:
+                best = min(fitting, key=lambda b: (b[0] - sum(b[1]), b[0]))
+            else:
+                if chosen is None:
+                    waiting = counts[length] - placed
+
+                    def price(capacity):
+                        each = capacity // length
+                        return cost(capacity) / (each * length + min(capacity - each * length, left / -(-waiting // each)))
+
+                    chosen = min((c for c in sorted(capacities) if c >= length), key=lambda c: (price(c), c))
+                best = (chosen, [])
+                bins.append(best)
+            best[1].append(length)
+    return sorted((min(c for c in capacities if c >= sum(items)), sorted(items)) for _, items in bins)
+
+
+def test_equals_best_fit_one_by_one():
+    pick = random.Random(12)
+    for _ in range(150):
+        capacities = pick.choice([(8,), (4, 8, 16), (16, 64), (10, 25, 60)])
+        counts = {n: pick.randrange(1, 25) for n in pick.sample(range(1, capacities[-1] + 1), min(pick.randrange(1, 9), capacities[-1]))}
+        got = []
+        for b in packing.pack_counts(counts, capacities):
+            got += [(b.capacity, sorted(n for n, times in b.runs for _ in range(times)))] * b.count
+        # Bins of one size with equal room are alike to best fit: what is compared are the sizes and how full they are.
+        plain = one_by_one(counts, capacities, packing.sequence_cost)
+        assert sorted((c, sum(items)) for c, items in got) == sorted((c, sum(items)) for c, items in plain)
+
+
+def test_repeated_rows_are_spread(documents, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 10)
+    got = packing.pack(documents([(5, "a b c")] * 100), capacities=(4, 8)).collect()
+    assert len({(r.bin_id, r.bin_offset) for r in got}) == 100 and {r.length for r in got} == {3}

@@ -1,3 +1,5 @@
+import json
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -29,3 +31,25 @@ def test_equals_the_library(documents, head):
 
 def test_empty_table(documents):
     assert token_counts.count_tokens(documents([]), PATH).collect() == []
+
+
+@pytest.mark.parametrize("change, said", [
+    ({"normalizer": {"type": "Lowercase"}}, "normaliser"), ({"pre_tokenizer": {"type": "Whitespace"}}, "byte-level"), ({"pre_tokenizer": None}, "byte-level"),
+    ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, "blank before"),
+    ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}}, "without the pattern"),
+    ({"model": {"type": "WordPiece"}}, "no BPE"), ({"model": {"type": "BPE", "dropout": 0.1}}, "dropout"),
+    ({"added_tokens": [{"content": "<x>", "lstrip": True}]}, "special strings"), ({"truncation": {"max_length": 8}}, "truncation"),
+])
+def test_other_tokenizers_are_refused(documents, tmp_path, change, said):
+    given = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE"}, "added_tokens": []}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(given | change))
+    with pytest.raises(token_counts.NotCovered, match=said):
+        token_counts.check_covered(str(path))
+    path.write_text(json.dumps(given))
+    token_counts.check_covered(str(path))
+
+
+def test_the_file_of_words_is_refused(documents):
+    with pytest.raises(token_counts.NotCovered):
+        token_counts.count_tokens(documents(ROWS), public_tokenizers.path("word_bpe_49k.json"))

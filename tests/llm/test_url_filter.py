@@ -47,14 +47,26 @@ def test_empty_tables(spark, pages):
     assert got == {i: judged(u, set())[3] for i, u in enumerate(URLS)}
 
 
-@pytest.mark.parametrize("blocks", [1, 64, bloom.BLOCKS])
-def test_filter_never_loses_a_key(spark, monkeypatch, blocks):
-    monkeypatch.setattr(bloom, "BLOCKS", blocks)
+@pytest.mark.parametrize("broadcast", [1, bloom.BROADCAST_BLOCKS])
+@pytest.mark.parametrize("per_block", [16, 4000])
+def test_filter_never_loses_a_key(spark, monkeypatch, broadcast, per_block):
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", broadcast)
+    monkeypatch.setattr(bloom, "KEYS_PER_BLOCK", per_block)
+    monkeypatch.setattr(bloom, "LEAST_BLOCKS", 1)
     keys = spark.range(0, 2000).select((F.col("id") * 7).alias("k"), F.lit(1).alias("_block"))
-    table = bloom.bloom_filter(keys, "k")
-    assert table.count() <= blocks
-    asked = bloom.with_possible(spark.range(0, 14000).select(F.col("id").alias("k"), F.lit(2).alias("_block")), "k", table, "possible")
+    made = bloom.bloom_filter(keys, "k")
+    assert made.blocks == (128 if per_block == 16 else 1) and made.table.count() <= made.blocks
+    asked = bloom.with_possible(spark.range(0, 14000).select(F.col("id").alias("k"), F.lit(2).alias("_block")), "k", made, "possible")
     assert asked.where((F.col("k") % 7 == 0) & ~F.col("possible")).count() == 0
     passed = asked.where((F.col("k") % 7 != 0) & F.col("possible")).count()
-    assert passed < 600 if blocks == bloom.BLOCKS and blocks > 64 else passed >= 0
+    assert passed < 600 if per_block == 16 else passed >= 0
     assert asked.columns == ["k", "_block", "possible"]
+
+
+def test_five_million_keys_pass_few_strangers(spark):
+    made = bloom.bloom_filter(spark.range(0, 5_000_000), "id")
+    assert made.blocks > bloom.BROADCAST_BLOCKS
+    strangers = bloom.with_possible(spark.range(5_000_000, 5_200_000), "id", made, "possible")
+    assert strangers.where("possible").count() < 0.05 * 200_000
+    held = bloom.with_possible(spark.range(0, 5_000_000, 97), "id", made, "possible")
+    assert held.where("NOT possible").count() == 0
