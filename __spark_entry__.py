@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ordermill import schema
-from ordermill.functions.expressions import at, json_value, micros, money, not_listed, snapshot_name, unless, well_formed
+from ordermill.functions.expressions import at, json_value, micros, money, not_listed, snapshot_name, unless, variant_field, well_formed
 from ordermill.functions.routes import path_of
 from ordermill.operators import changes, checks, partitions
 from ordermill.operators.admission import Limit, admission_counts, admit
@@ -1277,6 +1277,144 @@ def live_sessions(spark, sf_dir):
     return reports.live_sessions(_sessions(spark, sf_dir), "user_id", "ts", "expires_at", _PURGE_TIME)
 
 
+_STAGED_ORDERS = """
+    SELECT o_orderpriority, o_orderdate, o_orderstatus, CAST(o_totalprice AS DECIMAL(10,2)) AS total FROM orders
+"""
+
+
+@query(
+    f"""
+    WITH first AS (
+        SELECT o_orderpriority, o_orderdate, total,
+               CASE WHEN o_orderstatus = 'P' AND year(o_orderdate) = 1995 THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM ({_STAGED_ORDERS})
+    ),
+    second AS (
+        SELECT o_orderpriority, o_orderstatus, CASE WHEN hit THEN TIMESTAMP '1990-01-01' ELSE o_orderdate END AS o_orderdate,
+               CASE WHEN hit THEN CAST(total - 100000 AS DECIMAL(10,2)) ELSE total END AS total
+        FROM (SELECT *, o_orderstatus = 'O' AND total > 200000 AS hit FROM first)
+    ),
+    third AS (SELECT * FROM second WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW'))
+    SELECT o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS day, count(*) AS orders, CAST(sum(total) AS DECIMAL(20,2)) AS total
+    FROM third GROUP BY ALL
+    """
+)
+def orders_by_day_incremental(spark, sf_dir):
+    """The report is stored once; three batches of changes then cost as much as they touch."""
+    path = f"{scratch_dir(spark, 'report')}/sums"
+    names = ("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "total_amount")
+    state = _orders(spark, sf_dir).select(*names)
+
+    def record(before: DataFrame, after: DataFrame) -> None:
+        deltas = reports.order_deltas(before, after, *names[1:])
+        deltas.write.mode("append").parquet(path)
+
+    record(state.where("false"), state)
+    status, total = F.col("o_orderstatus"), F.col("total_amount")
+    batches = [
+        ((status == "P") & (F.year("o_orderdate") == 1995), {"o_orderstatus": F.lit("O")}),
+        ((status == "O") & (total > 200000), {"o_orderdate": F.lit("1990-01-01").cast("timestamp_ntz"), "total_amount": money(total - 100000)}),
+        ((status == "F") & (F.col("o_orderpriority") == "5-LOW"), None),
+    ]
+    for hit, changed in batches:
+        before = state.where(hit)
+        after = before.where("false") if changed is None else before.withColumns(changed)
+        record(before, after)
+        state = state.where(~hit).unionByName(after)
+    stored = spark.read.parquet(path)
+    merged = reports.merge_deltas(stored, stored.where("false"), ["o_orderpriority", "o_orderstatus", "day"])
+    return reports.report_of(merged).withColumn("total", F.col("total").cast("decimal(20,2)"))
+
+
+@query(
+    f"""
+    WITH steps AS (
+        SELECT user_id, ts AS moment, 1 AS step, event_id AS id FROM ({_SESSIONS_SQL})
+        UNION ALL SELECT user_id, expires_at, -1, event_id FROM ({_SESSIONS_SQL})
+    ),
+    live AS (
+        SELECT user_id, moment, step, sum(step) OVER (PARTITION BY user_id ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING) AS n FROM steps
+        UNION ALL SELECT NULL, moment, step, sum(step) OVER (ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING) FROM steps
+    ),
+    best AS (SELECT user_id, max(n) AS most FROM live GROUP BY user_id)
+    SELECT b.user_id, CAST(b.most AS BIGINT) AS peak_sessions, min(l.moment) AS peak_at
+    FROM best b JOIN live l ON l.user_id IS NOT DISTINCT FROM b.user_id AND l.n = b.most AND l.step = 1 GROUP BY b.user_id, b.most
+    """
+)
+def session_peaks(spark, sf_dir):
+    return reports.session_peaks(_sessions(spark, sf_dir), "user_id", "event_id", "ts", "expires_at")
+
+
+_BURST_SQL = """
+    SELECT user_id, min(ts) AS first_failure, max(ts) AS last_failure, count(*) AS failures FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+            SELECT user_id, ts, event_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh
+            FROM events WHERE event_type = 'error')
+    ) GROUP BY user_id, burst HAVING count(*) >= 2
+"""
+
+
+@query(_BURST_SQL)
+def failure_bursts(spark, sf_dir):
+    return reports.failure_bursts(_attempts(table(spark, sf_dir, "events")), "user_id", "ts", "failed", "2 days", 2)
+
+
+@query(f"SELECT * FROM ({_BURST_SQL}) WHERE last_failure + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+def stream_failure_bursts(spark, sf_dir):
+    """Bursts that are over; slices of the events end inside others."""
+    folder = scratch_dir(spark, "stream-bursts")
+    bursts = streams.failure_burst_stream(_attempts(_event_stream(spark, sf_dir, folder)), "user_id", "ts", "failed", "2 days", 2, "0 seconds")
+    return _written(spark, bursts, folder).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_failure", "last_failure")})
+
+
+_RANKS = (0.1, 0.5, 0.9, 0.99)
+
+
+@query(
+    f"""
+    SELECT event_type, CAST(rank AS DOUBLE) AS rank, count(*) AS changes, true AS within_bound
+    FROM (SELECT event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events), (VALUES {', '.join(f'({r})' for r in _RANKS)}) v(rank)
+    WHERE until IS NOT NULL GROUP BY event_type, rank
+    """
+)
+def dwell_quantiles(spark, sf_dir):
+    """Quantiles from one sketch per status and day, and whether their true ranks keep the bound."""
+    path = f"{scratch_dir(spark, 'dwell')}/sketches"
+    dwells = reports.dwell_time(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+    reports.dwell_sketches(dwells, "event_type", "ts", "micros_in_status").write.parquet(path)
+    found = reports.dwell_quantiles(spark.read.parquet(path), "event_type", _RANKS)
+    values = dwells.where("micros_in_status IS NOT NULL").groupBy("event_type", F.col("micros_in_status").alias("value")).count()
+    least = values.join(found, "event_type").groupBy("event_type", "rank", "changes").agg(
+        (F.coalesce(F.sum(F.when(F.col("value") < F.col("micros_in_status"), F.col("count"))), F.lit(0)) / F.first("changes")).alias("below"),
+        (F.coalesce(F.sum(F.when(F.col("value") <= F.col("micros_in_status"), F.col("count"))), F.lit(0)) / F.first("changes")).alias("up_to"),
+    )
+    inside = (F.col("below") <= F.col("rank") + 0.001) & (F.col("up_to") >= F.col("rank") - 0.001)
+    return least.select("event_type", "rank", "changes", inside.alias("within_bound"))
+
+
+@query(
+    """
+    SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST(event_id AS INTEGER) ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+           false AS rejected FROM events WHERE event_id % 11 <> 0
+    UNION ALL SELECT event_id, NULL, true FROM events WHERE event_id % 11 = 0
+    """
+)
+def stored_json(spark, sf_dir):
+    """JSON stored as VARIANT and read by path: a repeated key keeps its last value, broken texts are rejects."""
+    path = scratch_dir(spark, "variants")
+    number, text = F.col("event_id"), F.col("props")
+    given = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(number % 11 == 0, F.concat(F.lit("{"), text))
+        .when(number % 7 == 0, F.concat(F.lit('{"k": 0, "k": '), number.cast("string"), F.lit("}"))).otherwise(text).alias("customizations"),
+    )
+    layout.store_variants(given, "customizations", f"{path}/rows", f"{path}/rejects")
+    rows = spark.read.schema("event_id long, customizations variant").parquet(f"{path}/rows")
+    rejects = spark.read.schema("event_id long, customizations string").parquet(f"{path}/rejects")
+    return rows.select("event_id", variant_field(F.col("customizations"), "$.k", "int").alias("k"), F.lit(False).alias("rejected")).unionByName(
+        rejects.select("event_id", F.lit(None).cast("int").alias("k"), F.lit(True).alias("rejected"))
+    )
+
+
 @query(
     """
     SELECT p_type, CAST(sum(CAST(l_quantity AS DECIMAL(10,2))) AS DECIMAL(30,2)) AS units,

@@ -68,3 +68,13 @@ def well_formed(column: Column, form: str) -> Column:
 def micros(column: Column) -> Column:
     """Whole microseconds from 1970 to a time without a zone, whatever the session zone is."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
+
+
+def as_variant(column: Column) -> Column:
+    """JSON text as VARIANT, to be stored; NULL where it is not well formed. The last of repeated keys counts."""
+    return F.try_parse_json(column)
+
+
+def variant_field(column: Column, path: str, kind: str) -> Column:
+    """One field of a stored VARIANT; NULL where it is missing or of another kind."""
+    return F.try_variant_get(column, path, kind)

@@ -103,6 +103,37 @@ def _shifted(columns: list[str], keys: Sequence[str], values: dict[str, str]):
     return shift
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group up to each row, groups of any size.
+
+    Inside a run a window adds up what the run itself holds of a group. Only the group that a run
+    starts with can have begun before it; what it brings along is the sum of the
+    runs before, of which there is one row each.
+    """
+    runs = range_runs(df, keys, order)
+    whole = F.struct(*(F.col(k) for k in keys))
+    inside = Window.partitionBy(RUN, *keys).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    # Of each run: its first and last group, and the sum over the last one.
+    groups = runs.groupBy(RUN, *keys).agg(F.sum(value).alias("_sum"), F.min(POSITION).alias("_from"))
+    ends = groups.groupBy(RUN).agg(
+        F.min_by(F.struct(whole.alias("group"), F.col("_sum").alias("sum")), "_from").alias("first"),
+        F.max_by(F.struct(whole.alias("group"), F.col("_sum").alias("sum")), "_from").alias("last"),
+        F.count(F.lit(1)).alias("groups"),
+    )
+    # A group that goes on through whole runs: their sums add up since the run in which it began.
+    by_run = Window.orderBy(RUN)
+    linked = ends.withColumns({"_before": F.lag("last").over(by_run), "_single": F.coalesce(F.lag("groups").over(by_run) == 1, F.lit(False))})
+    goes_on = F.col("_before").isNotNull() & F.col("_before.group").eqNullSafe(F.col("first.group"))
+    linked = linked.withColumns({"_goes_on": goes_on, "_brings": F.when(goes_on, F.col("_before.sum")).otherwise(0)})
+    # A new chain starts where the group before does not go on, or began inside the run before.
+    chained = linked.withColumn("_chain", F.sum((~(F.col("_goes_on") & F.col("_single"))).cast("int")).over(by_run))
+    carried = F.sum("_brings").over(Window.partitionBy("_chain").orderBy(RUN))
+    carry = chained.select(F.col(RUN).alias("_at_run"), F.col("first.group").alias("_first"), carried.alias("_carry"))
+    joined = runs.join(F.broadcast(carry), F.col(RUN) == F.col("_at_run"))
+    brought = F.when(whole.eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(0)
+    return joined.select(*df.columns, (F.sum(value).over(inside) + brought).alias(name))
+
+
 def numbered_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
     """Number all rows ``start + 1, start + 2, ...`` in the given order.
 

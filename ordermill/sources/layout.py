@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from ordermill import schema
+from ordermill.functions.expressions import as_variant
 
 DAY = "day"
 
@@ -79,3 +80,17 @@ def read_laid_out(spark: SparkSession, table: str, path: str) -> DataFrame:
     if LAYOUTS.get(table, Layout()).day_of:
         columns = T.StructType([*columns.fields, T.StructField(DAY, T.DateType())])
     return spark.read.schema(columns).parquet(path)
+
+
+def store_variants(df: DataFrame, column: str, rows: str, rejects: str) -> None:
+    """Write a table whose JSON texts become VARIANT, and the rows with broken texts as they are.
+
+    The text is parsed once, when it is stored; readers take fields by path. The last of repeated keys counts. A NULL is no
+    broken text.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    parsed = df.withColumn("_parsed", as_variant(F.col(column)))
+    broken = F.col(column).isNotNull() & F.col("_parsed").isNull()
+    names = [F.col("_parsed").alias(c) if c == column else F.col(c) for c in df.columns]
+    parsed.where(~broken).select(*names).write.parquet(rows)
+    parsed.where(broken).select(*df.columns).write.parquet(rejects)

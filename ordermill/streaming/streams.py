@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ordermill.operators.admission import Limit
 from ordermill.plans import snapshots
-from ordermill.plans.reports import failed_logins
+from ordermill.plans.reports import failed_logins, failure_bursts
 from ordermill.sources.access_logs import parse_proxy_lines
 from ordermill.streaming.processors import Admission, FirstOfKey
 
@@ -71,6 +71,12 @@ def failed_login_stream(attempts: DataFrame, user: str, time: str, failed: str,
     return failed_logins(timed, user, time, failed, width)
 
 
+def failure_burst_stream(attempts: DataFrame, user: str, time: str, failed: str, gap: str, least: int, delay: str) -> DataFrame:
+    """Bursts of failures that are over; one that goes on over micro-batches stays in Spark's state."""
+    timed = attempts.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    return failure_bursts(timed, user, time, failed, gap, least)
+
+
 def admission_stream(stream: DataFrame, client: str, time: str, id: str, limit: Limit, delay: str = "0 seconds") -> DataFrame:
     """``client, id, admitted`` of each request, equal to the batch decisions.
 
