@@ -370,6 +370,11 @@ _ORDERS_SQL = (
     """
 )
 def insert_if_absent(spark, sf_dir):
+    target, incoming = _inserted(spark, sf_dir)
+    return changes.insert_if_absent(target, incoming, ["o_orderkey"], ["arrival"])
+
+
+def _inserted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     orders = _orders(spark, sf_dir)
     target = orders.where(F.col("o_orderstatus").isin("F", "P"))
     batch = orders.where(F.col("o_orderstatus").isin("O", "P"))
@@ -378,7 +383,21 @@ def insert_if_absent(spark, sf_dir):
         raised = money(F.col("total_amount") + extra)
         return batch.withColumns({"total_amount": raised, "arrival": F.lit(arrival)})
 
-    return changes.insert_if_absent(target, arriving(1, 2).unionByName(arriving(2, 1)), ["o_orderkey"], ["arrival"])
+    return target, arriving(1, 2).unionByName(arriving(2, 1))
+
+
+@query(_SQL["insert_if_absent"])
+def insert_into_buckets(spark, sf_dir):
+    """The same insert into a table in buckets of the key; only added rows are written."""
+    path, held = scratch_dir(spark, "buckets"), scratch_dir(spark, "added")
+    name, keys, buckets = f"orders_{path.rsplit('-', 1)[1]}", ["o_orderkey"], 8
+    target, incoming = _inserted(spark, sf_dir)
+    layout.write_buckets(target, name, path, keys, buckets)
+    added = changes.absent_from_buckets(spark, name, incoming, keys, ["arrival"], buckets).select(*target.columns)
+    # Stored first: a table cannot grow while it is read.
+    added.write.parquet(held)
+    layout.write_buckets(spark.read.schema(target.schema).parquet(held), name, path, keys, buckets)
+    return spark.table(name)
 
 
 @query(

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ordermill import schema
 from ordermill.functions.expressions import at
@@ -107,10 +107,20 @@ def insert_if_absent(
     Only ``keys`` is forgiving: a clash on one of ``other_unique`` raises.
     """
     added = absent_rows(target, incoming, keys, order).select(*target.columns)
-    result = target.unionByName(added)
     for unique in other_unique:
-        checks.require(checks.check_unique(result, "target", unique))
-    return result
+        checks.require(clashes(target, added, "target", unique))  # the target itself was checked when its rows came
+    return target.unionByName(added)
+
+
+def absent_from_buckets(
+    spark: SparkSession, name: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int
+) -> DataFrame:
+    """The rows that an insert-if-absent adds to a table in buckets of its keys.
+
+    For batches too large to broadcast: they are dealt into as many buckets, and each meets its
+    bucket of the table, which is read as it lies, without a shuffle.
+    """
+    return absent_rows(spark.table(name), incoming.repartition(buckets, *keys), keys, order)
 
 
 def clashes(target: DataFrame, new: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ for columns of few values, and Bloom filters for single keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from typing import NamedTuple
 
@@ -94,3 +95,12 @@ def store_variants(df: DataFrame, column: str, rows: str, rejects: str) -> None:
     names = [F.col("_parsed").alias(c) if c == column else F.col(c) for c in df.columns]
     parsed.where(~broken).select(*names).write.parquet(rows)
     parsed.where(broken).select(*df.columns).write.parquet(rejects)
+
+
+def write_buckets(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Write a table in buckets of its keys, or append to it; one file per bucket and call.
+
+    The catalog knows the buckets, so a join on the keys takes the table as it lies.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("append").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).saveAsTable(name)

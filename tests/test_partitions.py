@@ -119,3 +119,41 @@ def test_purge_drops_past_folders(spark, stored):
     assert {r.session_id for r in read_laid_out(spark, "user_sessions", path).collect()} == {"s3", "s4"}
     assert files(path)["day=2024-01-16"] == before["day=2024-01-16"]
     assert schema.TABLES["user_sessions"].key == "session_id"
+
+
+def test_a_table_in_buckets_is_not_shuffled(spark, tmp_path, rows):
+    from ordermill.operators.changes import absent_from_buckets, insert_if_absent
+    from ordermill.sources.layout import write_buckets
+
+    columns, path, buckets = "k long, v string, n int", str(tmp_path / "t"), 4
+    target = spark.createDataFrame([(i, "old", i) for i in range(50)] + [(None, "old", 1)], columns)
+    batch = spark.createDataFrame([(i, f"new{j}", j) for i in range(40, 70) for j in (2, 1)] + [(None, "new", 2)], columns)
+    write_buckets(target, "bucketed", path, ["k"], buckets)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        added = absent_from_buckets(spark, "bucketed", batch, ["k"], ["n"], buckets)
+        stored = added.select(*target.columns).collect()
+        plan = added._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line or "Scan parquet" in line]
+        assert scans and all("bucket" in line.lower() for line in scans)
+        # Every exchange deals the batch; none stands above the table's scan.
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        lines = plan.split("== Initial Plan ==")[0].splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange" in line and "hashpartitioning" in line:
+                below = []
+                for other in lines[i + 1 :]:
+                    if depth(other) <= depth(line):
+                        break
+                    below.append(other)
+                assert not any("bucketed" in other for other in below)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    new = spark.createDataFrame(stored, columns)
+    expected = rows(insert_if_absent(target, batch, ["k"], ["n"]))
+    write_buckets(new, "bucketed", path, ["k"], buckets)
+    assert rows(spark.table("bucketed")) == expected
+    # A second insert of the same batch adds rows without a key only.
+    again = absent_from_buckets(spark, "bucketed", batch, ["k"], ["n"], buckets)
+    assert [r.k for r in again.collect()] == [None]
+    spark.sql("DROP TABLE bucketed")
