@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -93,7 +92,6 @@ def _hash(*parts: bytes) -> int:
     return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-@lru_cache(1 << 14)
 def _label(tag: str, classes: str) -> int:
     return _hash(_bytes(".".join([tag, *sorted(classes.lower().split())])))
 
@@ -166,12 +164,18 @@ class _Page(HTMLParser):
         self.stack: list[_Element] = []
         self.open: dict[str, int] = {}  # how many elements of a tag are open
         self.parts: list[str] = []
+        self.labels: dict[tuple[str, str], int] = {}
         self.found: list[tuple[_Element, str]] = []
         self.root = _Element("", None, 0, _NOTHING)
 
     def top(self) -> _Element:
         return self.stack[-1] if self.stack else self.root
 
+    def label(self, tag: str, classes: str) -> int:
+        if (tag, classes) not in self.labels:
+            self.labels[tag, classes] = _label(tag, classes)
+        return self.labels[tag, classes]
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -195,7 +199,7 @@ class _Page(HTMLParser):
             return
         above = self.top()
         given = {key: value or "" for key, value in attrs if key in _NAMING} if attrs else {}
-        element = _Element(tag, above, _label(tag, given.get("class", "")) if block else 0, _names(tag, given))
+        element = _Element(tag, above, self.label(tag, given.get("class", "")) if block else 0, _names(tag, given))
         if block:
             parent = above.block
             if parent.last != element.label:  # repeats count once
