@@ -22,7 +22,8 @@ join their texts. Its counts are hashed into ``1 << COUNT_BITS`` counters over a
 the counters above their mean. The order affects cost only, never the result.
 
 Rows with one doc_id are one document for the components. Rows without doc_id or words
-link with nothing. Repeated rows each give a row.
+link with nothing. Repeated rows each give a row. Columns other than doc_id and text are left out by
+``similar_documents`` and kept by ``drop_near_duplicates``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ piece more than the errors it may have. A match with that many errors leaves
 one piece untouched, so exact hits of the pieces (one automaton for all notices) name every
 candidate place; the regex library then verifies the few characters around each with
 its bounded-error matching and gives the span. Of spans of a notice that overlap, the one with fewest errors stays. Only A-Z are lower-cased, so spans count
-characters of the text as given. Null texts are empty: no words, no labels, score 0.0.
+characters of the text as given. Null and empty texts have no words, no labels, score 0.0; long
+texts are searched whole. The scan is a column over a text, so repeated rows are scanned each for itself and other columns stay as they are.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ paragraphs' vectors: order does not matter, and a paragraph is added or taken aw
 adding or subtracting its vector. Equal multisets have equal fingerprints; the lanes on
 which two fingerprints agree tell how many paragraphs they share. SQL functions throughout.
 
-An empty or null text has the zero fingerprint.
+An empty or null text has the zero fingerprint. Long texts are hashed whole, paragraph by paragraph. Repeated rows
+give a row each, rows without id come last in the order of ids; columns other than doc_id and text are left out, whatever
+their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations

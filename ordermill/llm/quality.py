@@ -8,7 +8,8 @@ low-rank interactions of all pairs, computed in linear time as
 
 It is fitted on a bounded sample of labelled texts (``sample_rows``); scoring reads
 every byte of every text, in blocks. Null and empty texts have no words and fall into
-the lowest bins. Without training rows of both classes every score is 1.0.
+the lowest bins. Without training rows of both classes every score is 1.0. Repeated rows of ``documents`` are scored each
+for itself and train once per id. ``score`` is a column and touches no other; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
