@@ -1,4 +1,11 @@
-"""A training corpus from ``documents``: five stages, each over all that the one before kept."""
+"""A training corpus from ``documents``: five stages, each over all that the one before kept.
+
+Columns of ``documents`` other than doc_id and text go through the first four stages as they are, whatever their names, nulls
+included. Null and empty texts have the quality of a text without words, and are neither toxic, alike nor contaminated. Rows that
+repeat a doc_id and its text are one document for the near duplicates, of which one row stays; all other stages judge
+each row for itself. Texts of any length are judged whole. Without labels of both classes no document goes for its
+quality or toxicity; without test items none for contamination. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
