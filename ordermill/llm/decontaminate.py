@@ -4,7 +4,10 @@ A test item of m characters may have k errors: m * error_percent / 100 and those
 average word (``WORD``) more, where that is no more than an eighth of the item. It is split into
 k + 1 pieces, of which a copy with at most k edits leaves one untouched. An automaton
 finds the exact hits of all pieces in each whole text, and Myers' bit-parallel
-algorithm verifies the few characters around each. Texts and items are compared in
+algorithm verifies the few characters around each. The pieces lie in groups of two, the last of three if
+their number is odd: some group of g pieces has fewer than g errors, so beside its untouched piece another one has
+at most one error and half of it untouched. Hits without such a half at its place need no verification, and no match is
+lost by that. Texts and items are compared in
 lower case with single spaces. Items under ``LEAST_FUZZY`` characters are found without edits only, as one
 character would change what they say.
 
@@ -98,18 +101,39 @@ def _split_words(text: str, start: int, end: int) -> int:
     return _in_word(text, start) + _in_word(text, end)
 
 
+def grouped(count: int) -> list[range]:
+    """The numbers of ``count`` pieces in groups of two, the last one of three if need be."""
+    if count < 2:
+        return [range(count)]
+    starts = list(range(0, count - count % 2, 2))
+    return [range(a, b) for a, b in zip(starts, [*starts[1:], count])]
+
+
+def companions(item: str, edges: list[int]) -> list[list[tuple[int, str, int]]]:
+    """Of each piece: (place from the piece's start, text, how far it may be moved) of the halves of the others of its group."""
+    listed: list[list[tuple[int, str, int]]] = [[] for _ in edges[1:]]
+    for group in grouped(len(edges) - 1):
+        for piece in group:
+            for other in group:
+                if other != piece:
+                    a, b = edges[other], edges[other + 1]
+                    middle = (a + b) // 2
+                    listed[piece] += [(x - edges[piece], item[x:y], len(group) - 1) for x, y in ((a, middle), (middle, b))]
+    return listed
+
+
 class Matcher:
     """All items of one block; built once per task."""
 
     def __init__(self, items: list[tuple[object, str]], error_percent: int) -> None:
         self.items = items
         self.budgets = [budget(len(item), error_percent) for _, item in items]
-        seeds: dict[str, list[tuple[int, int]]] = {}
+        seeds: dict[str, list[tuple[int, int, list]]] = {}
         for i, (_, item) in enumerate(items):
             count = self.budgets[i] + 1
             edges = [len(item) * j // count for j in range(count + 1)]
-            for a, b in zip(edges, edges[1:]):
-                seeds.setdefault(item[a:b], []).append((i, a))
+            for a, b, halves in zip(edges, edges[1:], companions(item, edges)):
+                seeds.setdefault(item[a:b], []).append((i, a, halves))
         self.automaton = ahocorasick.Automaton()
         for piece, users in seeds.items():
             self.automaton.add_word(piece, (len(piece), users))
@@ -120,10 +144,18 @@ class Matcher:
         found: dict[int, tuple[int, int]] = {}
         regions: dict[int, list[list[int]]] = {}
         for last, (length, users) in self.automaton.iter(text):
-            for i, place in users:
+            hit = last + 1 - length
+            for i, place, halves in users:
                 size, slack = len(self.items[i][1]), self.budgets[i]
-                at = last + 1 - length - place
-                if not slack:  # the one piece is the whole item
+                at = hit - place
+                if slack:
+                    for offset, half, moved in halves:
+                        low = hit + offset - moved
+                        if text.find(half, low if low > 0 else 0, hit + offset + len(half) + moved) >= 0:
+                            break
+                    else:
+                        continue
+                else:  # the one piece is the whole item
                     if i not in found and not _split_words(text, at, at + size):
                         found[i] = (0, at + size)
                     continue

@@ -108,3 +108,32 @@ def test_repeated_items_and_ties(documents, spark):
     size = len(item)
     # Of equal places the first counts.
     assert sorted(got) == [(1, 1, 0, size)] * 2 + [(1, 2, 0, size)] + [(2, 1, 1, size)] * 4 + [(2, 2, 1, size)] * 2
+
+
+def test_groups_cover_all_pieces():
+    for count in range(1, 12):
+        groups = decontaminate.grouped(count)
+        assert [n for g in groups for n in g] == list(range(count))
+        assert all(len(g) == 2 for g in groups[:-1]) and len(groups[-1]) in ((1,) if count == 1 else (2, 3))
+
+
+def test_random_edits_are_all_found():
+    """Every text within the budget, wherever its edits lie, is found with its least distance."""
+    pick = random.Random(21)
+    for _ in range(300):
+        item = " ".join("".join(pick.choice("abcde") for _ in range(pick.randrange(1, 8))) for _ in range(pick.randrange(9, 22)))
+        if len(item) < decontaminate.LEAST_FUZZY:
+            continue
+        matcher = decontaminate.Matcher([(1, item)], decontaminate.ERROR_PERCENT)
+        budget, characters = matcher.budgets[0], list(item)
+        spots = [pick.randrange(len(item)) for _ in range(budget)] if pick.random() < 0.5 else [pick.randrange(8) + pick.randrange(len(item) - 8)] * budget
+        for spot in spots[: pick.randrange(budget + 1)]:
+            spot = min(spot, len(characters) - 1)
+            characters[spot : spot + pick.choice([0, 1, 1])] = pick.choice(["", "q", "z"])
+        text = f"one two {''.join(characters)} three"
+        distance = edit_distance(item, text)
+        if distance <= budget:
+            found = matcher.matches(text)
+            assert 0 in found and found[0][0] >= distance
+        else:
+            assert not matcher.matches(text)
