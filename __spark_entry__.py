@@ -12,6 +12,7 @@ from datetime import datetime
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ordermill import schema
 from ordermill.functions.expressions import at, json_value, micros, money, not_listed, snapshot_name, unless, variant_field, well_formed
@@ -1125,37 +1126,48 @@ def _time_slices(events: DataFrame) -> list[DataFrame]:
     return [events.where((times >= start) & (times < start + width)) for start in starts]
 
 
-def _event_stream(spark, sf_dir, folder: str) -> DataFrame:
-    """The events as they would arrive: slice after slice, each in files of its own, one file per micro-batch."""
-    events = table(spark, sf_dir, "events")
-    for i, part in enumerate(_time_slices(events)):
+def _event_slices(spark, sf_dir) -> list[DataFrame]:
+    return _time_slices(table(spark, sf_dir, "events"))
+
+
+def _slice_stream(spark, slices: list[DataFrame], folder: str) -> DataFrame:
+    """The slices as they arrive in a folder; ``_deliver`` puts them there."""
+    return spark.readStream.schema(slices[0].schema).parquet(f"{folder}/arriving/slice=*")
+
+
+def _deliver(slices: list[DataFrame], folder: str, run: Callable[[], StreamingQuery]) -> None:
+    """Slice after slice arrives, and each time a run of the stream takes what is there.
+
+    A slice has as many files as tasks wrote it, not in order of time among themselves, and is one micro-batch.
+    """
+    for i, part in enumerate(slices):
         part.write.parquet(f"{folder}/arriving/slice={i}")
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    return reader.parquet(f"{folder}/arriving")
+        run().awaitTermination()
 
 
 @query(_PARSED_SQL)
 def stream_log(spark, sf_dir):
     folder = scratch_dir(spark, "stream-log")
-    for i, part in enumerate(_time_slices(table(spark, sf_dir, "events"))):
-        _log_lines(spark, sf_dir, events=part).write.mode("append").text(f"{folder}/lines")
-    parsed = streams.log_stream(spark, f"{folder}/lines", "10 minutes", files_per_batch=1)
-    streams.ingest_log(parsed, f"{folder}/parsed", f"{folder}/progress").awaitTermination()
+    parsed = streams.log_stream(spark, f"{folder}/lines/slice=*", "10 minutes")
+    for i, part in enumerate(_event_slices(spark, sf_dir)):
+        _log_lines(spark, sf_dir, events=part).write.text(f"{folder}/lines/slice={i}")
+        streams.ingest_log(parsed, f"{folder}/parsed", f"{folder}/progress").awaitTermination()
     stored = spark.read.schema(parsed.schema).parquet(f"{folder}/parsed")
     return _parsed_requests(stored)
 
 
-def _written(spark, stream: DataFrame, folder: str) -> DataFrame:
-    """What a stream has appended when all that is there was read."""
-    streams.append_rows(stream, f"{folder}/out", f"{folder}/progress").awaitTermination()
+def _written(spark, stream: DataFrame, slices: list[DataFrame], folder: str) -> DataFrame:
+    """What a stream has appended when all slices have arrived."""
+    _deliver(slices, folder, lambda: streams.append_rows(stream, f"{folder}/out", f"{folder}/progress"))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @query(f"{_EVENT_WALK} SELECT client AS user_id, id AS event_id, admitted FROM walk")
 def stream_admission(spark, sf_dir):
-    folder = scratch_dir(spark, "stream-admission")
-    decided = streams.admission_stream(_event_stream(spark, sf_dir, folder), "user_id", "ts", "event_id", _TWELVE_HOURS)
-    return _written(spark, decided, folder)
+    folder, slices = scratch_dir(spark, "stream-admission"), _event_slices(spark, sf_dir)
+    arriving = _slice_stream(spark, slices, folder)
+    decided = streams.admission_stream(arriving, "user_id", "ts", "event_id", _TWELVE_HOURS)
+    return _written(spark, decided, slices, folder)
 
 
 @query(
@@ -1166,11 +1178,11 @@ def stream_admission(spark, sf_dir):
     """
 )
 def stream_insert_if_absent(spark, sf_dir):
-    folder = scratch_dir(spark, "stream-insert")
-    arriving = _event_stream(spark, sf_dir, folder)
+    folder, slices = scratch_dir(spark, "stream-insert"), _event_slices(spark, sf_dir)
+    arriving = _slice_stream(spark, slices, folder)
     held = table(spark, sf_dir, "events").where("event_id < 0")
     added = streams.first_rows(arriving, ["user_id"], ["ts", "event_id"], held)
-    return held.unionByName(_written(spark, added, folder)).select("user_id", "event_id", "event_type")
+    return held.unionByName(_written(spark, added, slices, folder)).select("user_id", "event_id", "event_type")
 
 
 @query(
@@ -1181,13 +1193,12 @@ def stream_insert_if_absent(spark, sf_dir):
 def stream_distinct_events(spark, sf_dir):
     """Every slice of the events is delivered twice, the second time after the next slice has come."""
     folder = scratch_dir(spark, "stream-distinct")
-    slices = _time_slices(table(spark, sf_dir, "events"))
-    for i, part in enumerate(slices):
-        again = slices[i - 1].withColumn("event_type", F.lit("again")) if i else part
-        part.unionByName(again).coalesce(1).write.parquet(f"{folder}/arriving/slice={i}")
-    reader = spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    distinct = streams.distinct_rows(reader.parquet(f"{folder}/arriving"), ["event_id"], "ts", "365 days")
-    return _written(spark, distinct, folder).select("event_id", "user_id", "ts", "event_type")
+    slices = _event_slices(spark, sf_dir)
+    twice = [slices[0].unionByName(slices[0])]
+    for before, part in zip(slices, slices[1:]):
+        twice.append(part.unionByName(before.withColumn("event_type", F.lit("again"))))
+    distinct = streams.distinct_rows(_slice_stream(spark, twice, folder), ["event_id"], "ts", "365 days")
+    return _written(spark, distinct, twice, folder).select("event_id", "user_id", "ts", "event_type")
 
 
 # ------------------------------------------------------------------------------ reports
@@ -1211,9 +1222,9 @@ def latest_status(spark, sf_dir):
 )
 def stream_latest_status(spark, sf_dir):
     """Changed users are stored after each micro-batch; their last state is read back."""
-    folder = scratch_dir(spark, "stream-status")
-    latest = reports.latest_status(_event_stream(spark, sf_dir, folder), "user_id", "event_type", "ts", "event_id")
-    streams.store_changes(latest, f"{folder}/latest", f"{folder}/progress").awaitTermination()
+    folder, slices = scratch_dir(spark, "stream-status"), _event_slices(spark, sf_dir)
+    latest = reports.latest_status(_slice_stream(spark, slices, folder), "user_id", "event_type", "ts", "event_id")
+    _deliver(slices, folder, lambda: streams.store_changes(latest, f"{folder}/latest", f"{folder}/progress"))
     return streams.current_groups(spark, f"{folder}/latest", ["user_id"], latest.schema)
 
 
@@ -1275,13 +1286,10 @@ def failed_logins(spark, sf_dir):
 @query(f"SELECT * FROM ({_FAILED_SQL}) WHERE window_end <= (SELECT max(ts) FROM events)")
 def stream_failed_logins(spark, sf_dir):
     """Windows that the watermark has closed; the last one is still open."""
-    folder = scratch_dir(spark, "stream-logins")
-    windows = streams.failed_login_stream(
-        _attempts(_event_stream(spark, sf_dir, folder)), "user_id", "ts", "failed", "1 day", "0 seconds"
-    )
-    streams.append_rows(windows, f"{folder}/windows", f"{folder}/progress").awaitTermination()
-    stored = spark.read.schema(windows.schema).parquet(f"{folder}/windows")
-    return stored.withColumns(
+    folder, slices = scratch_dir(spark, "stream-logins"), _event_slices(spark, sf_dir)
+    attempts = _attempts(_slice_stream(spark, slices, folder))
+    windows = streams.failed_login_stream(attempts, "user_id", "ts", "failed", "1 day", "0 seconds")
+    return _written(spark, windows, slices, folder).withColumns(
         {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
     )
 
@@ -1380,9 +1388,10 @@ def failure_bursts(spark, sf_dir):
 @query(f"SELECT * FROM ({_BURST_SQL}) WHERE last_failure + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
 def stream_failure_bursts(spark, sf_dir):
     """Bursts that are over; slices of the events end inside others."""
-    folder = scratch_dir(spark, "stream-bursts")
-    bursts = streams.failure_burst_stream(_attempts(_event_stream(spark, sf_dir, folder)), "user_id", "ts", "failed", "2 days", 2, "0 seconds")
-    return _written(spark, bursts, folder).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_failure", "last_failure")})
+    folder, slices = scratch_dir(spark, "stream-bursts"), _event_slices(spark, sf_dir)
+    attempts = _attempts(_slice_stream(spark, slices, folder))
+    bursts = streams.failure_burst_stream(attempts, "user_id", "ts", "failed", "2 days", 2, "0 seconds")
+    return _written(spark, bursts, slices, folder).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_failure", "last_failure")})
 
 
 _RANKS = (0.1, 0.5, 0.9, 0.99)

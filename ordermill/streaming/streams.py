@@ -92,9 +92,11 @@ def admission_stream(stream: DataFrame, client: str, time: str, id: str, limit:
     requests = zoned.select(F.col(client).alias("client"), F.unix_micros("_at").alias("time"), F.col(id).alias("id"))
     counted = F.col("client").isNotNull() & F.col("time").isNotNull()
     types = {name: stream.schema[column].dataType.simpleString() for name, column in (("client", client), ("id", id))}
-    decided = requests.where(counted).groupBy("client").transformWithStateInPandas(
-        Admission(limit, types["id"]), f"client {types['client']}, id {types['id']}, admitted boolean", "Append", "EventTime"
+    # Rows, not pandas: a frame per client costs far more than its few requests.
+    answers = requests.where(counted).groupBy("client").transformWithState(
+        Admission(limit, types["id"]), f"client {types['client']}, ids array<{types['id']}>, admitted array<boolean>", "Append", "EventTime"
     )
+    decided = answers.select("client", F.inline(F.arrays_zip(F.col("ids").alias("id"), "admitted")))
     others = requests.where(~counted).select("client", "id", F.when(F.col("client").isNull(), F.lit(True)).alias("admitted"))
     return decided.unionByName(others).select(F.col("client").alias(client), F.col("id").alias(id), "admitted")
 

@@ -1,13 +1,17 @@
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Row, functions as F
 
+import __spark_entry__ as contract
 from ordermill.operators.admission import Limit, admit
 from ordermill.operators.changes import insert_if_absent
 from ordermill.plans.reports import failed_logins, latest_status
 from ordermill.sources import access_logs
 from ordermill.streaming import streams
+from ordermill.streaming.processors import Admission
 from tests.test_logs import PROXY, TORN
 
 START = datetime(2024, 1, 1)
@@ -100,6 +104,88 @@ def test_drained_levels_are_dropped(spark, tmp_path):
     assert {r.key.client for r in state.select("key").collect()} <= {"c"}
 
 
+def test_many_requests_of_one_client_equal_batch(spark, tmp_path):
+    rows, limit = requests(25_000, 1, 3), Limit(5, 3)
+    found = run_admission(spark, str(tmp_path), [rows], limit)
+    batch = admit(spark.createDataFrame(rows, COLUMNS), "client", "at", "id", limit)
+    assert decisions(found) == decisions(batch)
+
+
+def test_requests_without_id_are_decided_first_of_their_time(spark, tmp_path):
+    parts = [[("a", after(0), 3), ("a", after(0), None), ("a", after(0), 1), ("a", after(0), None)]]
+    found = run_admission(spark, str(tmp_path), parts, Limit(100, 2))
+    assert sorted((r.id is not None, r.id, r.admitted) for r in found.collect()) == [
+        (False, None, True), (False, None, True), (True, 1, True), (True, 3, False),
+    ]
+
+
+def test_a_client_costs_few_state_calls():
+    calls, waiting, level = [], [], []
+
+    def state(held, **methods):
+        return SimpleNamespace(**{name: lambda *a, f=f, name=name: (calls.append(name), f(held, *a))[1] for name, f in methods.items()})
+
+    handle = SimpleNamespace(
+        getListState=lambda *a: state(
+            waiting, get=lambda held: iter(held[:]), appendValue=lambda held, value: held.append(value),
+            appendList=lambda held, values: held.extend(values), exists=lambda held: bool(held), clear=lambda held: held.clear(),
+        ),
+        getValueState=lambda *a: state(
+            level, get=lambda held: held[0], update=lambda held, value: held.__setitem__(slice(None), [value]),
+            exists=lambda held: bool(held), clear=lambda held: held.clear(),
+        ),
+        registerTimer=lambda at: calls.append("registerTimer"),
+    )
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 999)
+    bucket = Admission(Limit(100_000_000, 1), "bigint")
+    bucket.init(handle)
+    rows = [Row(client="a", time=2_000_000 + i, id=i) for i in range(50)]
+    assert list(bucket.handleInputRows(("a",), iter(rows), clock)) == []
+    assert calls == ["appendValue", "registerTimer"]
+    calls.clear()
+    clock.getCurrentWatermarkInMs = lambda: 5_000
+    answers = [list(bucket.handleExpiredTimer(("a",), clock, None)) for _ in range(2)]
+    assert [[(list(row.ids), row.admitted) for row in rows] for rows in answers] == [[(list(range(50)), [True] * 2 + [False] * 48)], []]
+    assert calls == ["get", "exists", "clear", "update", "registerTimer"]
+
+
+@pytest.fixture(scope="module")
+def wide_events(spark, tmp_path_factory):
+    """Events in eight files, each of which goes over the whole time, so that every slice has many files, too."""
+    folder, source = str(tmp_path_factory.mktemp("wide")), random.Random(8)
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    kinds = ("view", "click", "error", "signup", "purchase")
+    rows = [
+        (i, START + timedelta(minutes=source.randrange(20 * 1440)), source.randrange(20), source.choice(kinds), source.randrange(400) / 4, "{}")
+        for i in range(1600)
+    ]
+    for i in range(8):
+        spark.createDataFrame(rows[i::8], columns).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stream_admission", "stream_insert_if_absent", "stream_failed_logins", "stream_failure_bursts"])
+def test_streams_of_many_files_equal_batch(spark, wide_events, rows, name, monkeypatch):
+    folders, make = [], contract.scratch_dir
+    monkeypatch.setattr(contract, "scratch_dir", lambda *a: folders.append(make(*a)) or folders[-1])
+    found = contract.queries()[name](spark, wide_events)
+    last = spark.read.parquet(f"{wide_events}/events.parquet").agg(F.max("ts")).first()[0]
+    if name == "stream_admission":
+        assert rows(found, "event_id", "admitted") == rows(contract.admission(spark, wide_events), "event_id", "admitted")
+    elif name == "stream_insert_if_absent":
+        earliest = spark.read.parquet(f"{wide_events}/events.parquet").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")))
+        assert rows(found, "user_id", "event_id") == rows(earliest)
+    elif name == "stream_failed_logins":
+        whole = contract.failed_logins(spark, wide_events).select(*found.columns)
+        assert rows(found) == rows(whole.where(F.col("window_end") <= F.lit(last)))
+    else:
+        whole = contract.failure_bursts(spark, wide_events).select(*found.columns)
+        assert rows(found) == rows(whole.where(F.col("last_failure") + F.expr("INTERVAL 2 DAY") <= F.lit(last)))
+    # Four slices, and after each at most one batch without rows, however many files there are.
+    batches = spark.read.text(f"{folders[0]}/progress/commits").select(F.input_file_name()).distinct().count()
+    assert batches <= 8
+
+
 def test_insert_stream_equals_batch(spark, tmp_path, rows):
     columns = "k string, v int, at int"
     seed = spark.createDataFrame([("a", 0, 0), (None, 9, 9)], columns)
