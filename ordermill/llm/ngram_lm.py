@@ -4,10 +4,11 @@ Tokens are runs of characters other than ASCII white space, A-Z lower-cased, the
 context is what stands before it in its text, at most order - 1 tokens; the first token follows a mark
 of the beginning, which is never predicted.
 
-Counting. Tasks sort the 64-bit hashes of a stretch of tokens, count equal ones and pass them on in
-sorted arrays, one row per shard of the hash space; equal n-grams so combine before each shuffle. A shard's
+Counting. Tasks sort the 64-bit hashes of each block of tokens, count equal ones, merge the blocks of a stretch and pass
+them on in sorted arrays, rows of one shard of the hash space each; equal n-grams so combine before each shuffle. A shard's
 arrays are merged in one task; shards follow the amount of text, so that each stays of one size, and
-hashes deal the n-grams out evenly whatever word is frequent. The words come first: their place in
+hashes deal the n-grams out evenly whatever word is frequent. All merges go slice by slice of the hash space, so that a
+task holds its arrays and the temporary arrays of one slice, and no row is larger than a slice. The words come first: their place in
 the sorted order is their id. Then come n-grams from the highest order down. Below the highest, an n-gram's
 count is the number of different words before it (its occurrences where it starts a text), as a by-product of
 the level above. The same pass gives each context its total and how many words follow it
@@ -52,7 +53,8 @@ END = np.uint64(0x5D588B656C078965)  # stands for the hash of the end of a text
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 FLUSH = 1 << 21  # tokens that a task holds before it passes their counts on
 SHARD_TOKENS = 1 << 21  # tokens of text for which there is one shard
-DENSE = 1 << 17  # ids per shard of the one-word level
+SLICE = 1 << 15  # n-grams that are merged at a time, about
+DENSE = 1 << 15  # ids per shard of the one-word level
 MAPPED = 256  # files that a task keeps open
 NOTHING = -2  # in place of an id, before the beginning of a text; -1 is an unknown word
 _COUNTS = 5  # below the highest order: count, total as context, words that follow it 1, 2, and 3 or more times
@@ -75,7 +77,7 @@ class Model:
         return np.uint32 if self.words < (1 << 32) - 2 else np.uint64
 
     def count_type(self) -> type:
-        """Of the highest order, whose counts alone are stored."""
+        """Of counts on their way, and of the files of the highest order."""
         return np.uint32 if self.tokens < 1 << 32 else np.int64
 
 
@@ -119,10 +121,8 @@ def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-def _by_shard(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch | None:
+def _by_shard(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
     """One row per shard; ``shards`` rises. ``counts`` has a row per n-gram."""
-    if not len(shards):
-        return None
     edges = np.flatnonzero(np.diff(shards, prepend=-1))
     parts = list(zip(edges, np.append(edges[1:], len(shards))))
     return pa.RecordBatch.from_arrays(
@@ -138,16 +138,50 @@ def _by_shard(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray)
 _CHUNKS = "shard bigint, grams binary, counts binary"
 
 
-def _merged(chunks: pa.Table, width: int, kind: type, values: int, key) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted distinct keys of a shard, the ids of their words, and the sums of their counts."""
-    parts = [np.frombuffer(v, kind).reshape(width, -1) for v in chunks.column("grams").to_pylist()]
-    grams = np.concatenate(parts, axis=1)
-    counts = np.concatenate([np.frombuffer(v, np.int64).reshape(-1, values) for v in chunks.column("counts").to_pylist()])
-    keys = key(list(grams))
+Run = tuple[np.ndarray, list[np.ndarray], np.ndarray]  # rising keys of n-grams, the ids of their words, a row of counts for each
+
+
+def _reduced(keys: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Run:
+    """Distinct keys, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], list(grams[:, order[first]]), np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    sums = np.add.reduceat(counts[order], first, axis=0, dtype=np.int64) if len(first) else counts.astype(np.int64)
+    return keys[first], [c[order[first]] for c in columns], sums
+
+
+def _counted(keys: np.ndarray, columns: list[np.ndarray], values: int, kind: type) -> Run:
+    """Distinct keys and how often they occur, the first of ``values`` counts."""
+    keys, first, times = np.unique(keys, return_index=True, return_counts=True)
+    counts = np.zeros((len(keys), values), kind)
+    counts[:, 0] = times
+    return keys, [c[first] for c in columns], counts
+
+
+def _merged(runs: list[Run]) -> Iterator[Run]:
+    """The runs as one, in order, by slices of the keys' range that hold about ``SLICE`` n-grams each."""
+    runs = [run for run in runs if len(run[0])]
+    if not runs:
+        return
+    low, high = min(int(keys[0]) for keys, _, _ in runs), max(int(keys[-1]) for keys, _, _ in runs)
+    slices = -(-sum(len(keys) for keys, _, _ in runs) // SLICE)
+    inner = np.array([low + (high - low) * i // slices for i in range(1, slices)], np.uint64)
+    edges = [[0, *np.searchsorted(keys, inner).tolist(), len(keys)] for keys, _, _ in runs]
+    for i in range(slices):
+        here = [(run, slice(e[i], e[i + 1])) for run, e in zip(runs, edges) if e[i] < e[i + 1]]
+        if here:
+            columns = zip(*([c[part] for c in run[1]] for run, part in here))
+            keys, counts = (np.concatenate([run[place][part] for run, part in here]) for place in (0, 2))
+            yield _reduced(keys, [np.concatenate(c) for c in columns], counts)
+
+
+def _received(chunks: pa.Table, width: int, kind: type, values: int, count_kind: type, key) -> list[Run]:
+    """The rows of a shard, as they lie in the table's memory."""
+    runs = []
+    for grams, counts in zip(chunks.column("grams"), chunks.column("counts")):
+        columns = list(np.frombuffer(grams.as_buffer(), kind).reshape(width, -1))
+        runs.append((key(columns), columns, np.frombuffer(counts.as_buffer(), count_kind).reshape(-1, values)))
+    return runs
 
 
 # ------------------------------------------------------------------- files
@@ -217,12 +251,12 @@ class Store:
         out = np.zeros((len(ids), _COUNTS), np.int64)
         unique, back = np.unique(ids, return_inverse=True)
         rows = np.zeros((len(unique), _COUNTS), np.int64)
-        known = unique >= 0
-        shards = np.where(known, unique // DENSE, -1)
-        for shard in np.unique(shards[known]):
-            data, entries = self.file(1, int(shard), 8 * _COUNTS)
-            at = np.flatnonzero(shards == shard)
-            rows[at] = data.view(np.int64).reshape(entries, _COUNTS)[unique[at] - shard * DENSE]
+        shards = np.where(unique >= 0, unique // DENSE, -1)
+        edges = np.flatnonzero(np.diff(shards, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(unique))):
+            shard = int(shards[a])
+            data, entries = self.file(1, shard, 8 * _COUNTS)
+            rows[a:b] = data.view(np.int64).reshape(entries, _COUNTS)[unique[a:b] - shard * DENSE]
         return rows[back] if len(ids) else out
 
 
@@ -234,19 +268,19 @@ def _count_words(shards: int):
         hasher, held, size = Hasher(), [], 0
 
         def out():
-            unique, counts = np.unique(np.concatenate(held), return_counts=True)
+            for keys, _, counts in _merged(held):
+                yield _by_shard(_shard_of(keys, shards), [keys], counts.astype(np.uint32))
             held.clear()
-            return _by_shard(_shard_of(unique, shards), [unique], counts.astype(np.int64))
 
         for batch in batches:
             for _, tokens, _ in token_runs(batch.column(0), hasher):
-                held.append(tokens)
+                held.append(_counted(tokens, [], 1, np.uint32))
                 size += len(tokens)
                 if size >= FLUSH:
                     size = 0
-                    yield out()
+                    yield from out()
         if size:
-            yield out()
+            yield from out()
 
     return counted
 
@@ -254,9 +288,9 @@ def _count_words(shards: int):
 def _word_files(folder: str):
     def write(chunks: pa.Table) -> pa.Table:
         shard = chunks.column("shard")[0].as_py()
-        keys, _, counts = _merged(chunks, 1, np.uint64, 1, lambda columns: columns[0])
-        _write(_file(folder, 0, shard), keys, counts)
-        return pa.table({"shard": [shard], "words": [len(keys)], "tokens": [int(counts.sum())]})
+        keys, _, counts = zip(*_merged(_received(chunks, 1, np.uint64, 1, np.uint32, lambda columns: columns[0])))
+        _write(_file(folder, 0, shard), *keys, *counts)
+        return pa.table({"shard": [shard], "words": [sum(map(len, keys))], "tokens": [sum(int(c.sum()) for c in counts)]})
 
     return write
 
@@ -305,34 +339,25 @@ def _count_grams(model: Model, level: int):
         values = 1 if level == model.order else _COUNTS
 
         def out():
-            columns = [np.concatenate(c) for c in zip(*held)]
+            for keys, columns, counts in _merged(held):
+                yield _by_shard(_shard_of(keys, model.shards), columns, counts.astype(model.count_type()))
             held.clear()
-            keys, first, times = np.unique(gram_keys(columns), return_index=True, return_counts=True)
-            counts = np.zeros((len(keys), values), np.int64)
-            counts[:, 0] = times
-            return _by_shard(_shard_of(keys, model.shards), [c[first] for c in columns], counts)
 
         for batch in batches:
             for _, _, _, columns, context in _runs(model, batch.column(0), hasher, store):
                 chosen = context >= level - 1 if level == model.order else (context == level - 1) & (columns[-level] == model.words)
-                held.append([c[chosen].astype(model.id_type()) for c in columns[-level:]])
-                size += int(chosen.sum())
+                grams = [c[chosen].astype(model.id_type()) for c in columns[-level:]]
+                held.append(_counted(gram_keys(grams), grams, values, model.count_type()))
+                size += len(grams[0])
                 if size >= FLUSH:
                     size = 0
-                    yield out()
+                    yield from out()
         if size:
-            yield out()
+            yield from out()
 
     return counted
 
 
-def _reduced(keys: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], [c[order[first]] for c in columns], np.add.reduceat(counts[order], first, axis=0)
-
-
 def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
@@ -346,26 +371,32 @@ def _gram_files(model: Model, level: int):
 
     def write(chunks: pa.Table) -> pa.Table:
         shard = chunks.column("shard")[0].as_py()
-        keys, columns, counts = _merged(chunks, level, model.id_type(), values, gram_keys)
-        top = counts[:, 0]
-        # Contexts alone (such as the beginning of a text) are in the file, yet are no n-grams of this level.
-        _write(_file(model.folder, level, shard), keys, counts.astype(model.count_type()) if level == model.order else counts)
-        real = top > 0
-        own = top[real]
-        columns = [c[real] for c in columns]
-        context = np.zeros((len(own), _COUNTS), np.int64)
-        context[:, 1], context[:, 2], context[:, 3], context[:, 4] = own, own == 1, own == 2, own > 2
-        suffix = np.zeros((len(own), _COUNTS), np.int64)
-        suffix[:, 0] = 1
-        below = [np.concatenate([a, b]) for a, b in zip(columns[:-1], columns[1:])]
-        both = np.concatenate([context, suffix])
-        if not len(both):
-            return pa.Table.from_arrays([pa.array([], f.type) for f in _PARTIAL], schema=_PARTIAL)
-        key = below[0].astype(np.uint64) if level == 2 else gram_keys(below)
-        key, below, both = _reduced(key, below, both)
-        batch = _by_shard((key // np.uint64(DENSE)).astype(np.int64) if level == 2 else _shard_of(key, model.shards), below, both)
-        notes = [_of_counts(own)] + [None] * (batch.num_rows - 1)
-        return pa.Table.from_arrays([*batch.columns, pa.array(notes, pa.list_(pa.int64()))], schema=_PARTIAL)
+        runs = _received(chunks, level, model.id_type(), values, model.count_type(), gram_keys)
+        stored_keys, stored_counts, below, of_counts = [], [], [], np.zeros(4, np.int64)
+        for keys, columns, counts in _merged(runs):
+            # Contexts alone (such as the beginning of a text) are in the file, yet are no n-grams of this level.
+            stored_keys.append(keys)
+            stored_counts.append(counts.astype(model.count_type()) if level == model.order else counts)
+            real = counts[:, 0] > 0
+            own = counts[real, 0]
+            of_counts += _of_counts(own)
+            columns = [c[real] for c in columns]
+            context = np.zeros((len(own), _COUNTS), np.int64)
+            context[:, 1], context[:, 2], context[:, 3], context[:, 4] = own, own == 1, own == 2, own > 2
+            suffix = np.zeros((len(own), _COUNTS), np.int64)
+            suffix[:, 0] = 1
+            both = [np.concatenate([a, b]) for a, b in zip(columns[:-1], columns[1:])]
+            key = both[0].astype(np.uint64) if level == 2 else gram_keys(both)
+            key, both, sums = _reduced(key, both, np.concatenate([context, suffix]))
+            below.append((key, both, sums.astype(model.count_type())))
+        _write(_file(model.folder, level, shard), *stored_keys, *stored_counts)
+        batches = []
+        for key, both, sums in _merged(below):
+            shards = (key // np.uint64(DENSE)).astype(np.int64) if level == 2 else _shard_of(key, model.shards)
+            batch = _by_shard(shards, both, sums.astype(model.count_type()))
+            notes = [None if batches else of_counts.tolist()] + [None] * (batch.num_rows - 1)
+            batches.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(notes, pa.list_(pa.int64()))], schema=_PARTIAL))
+        return pa.Table.from_batches(batches, _PARTIAL)
 
     return write
 
@@ -373,15 +404,18 @@ def _gram_files(model: Model, level: int):
 def _first_files(model: Model):
     """Writes the one-word level by id; gives its counts of counts and totals."""
 
-    def write(chunks: pa.Table) -> pa.Table:
-        shard = chunks.column("shard")[0].as_py()
-        ids, _, counts = _merged(chunks, 1, model.id_type(), _COUNTS, lambda columns: columns[0].astype(np.uint64))
-        low = shard * DENSE
-        rows = np.zeros((min(DENSE, model.words + 1 - low), _COUNTS), np.int64)
-        rows[ids.astype(np.int64) - low] = counts
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = rows = None
+        for batch in batches:
+            if rows is None:
+                shard = batch.column("shard")[0].as_py()
+                rows = np.zeros((min(DENSE, model.words + 1 - shard * DENSE), _COUNTS), np.int64)
+            # The ids of one row of the table are distinct.
+            for ids, _, counts in _received(batch, 1, model.id_type(), _COUNTS, model.count_type(), lambda columns: columns[0].astype(np.int64)):
+                rows[ids - shard * DENSE] += counts
         _write(_file(model.folder, 1, shard), rows)
         own = rows[:, 0]
-        return pa.table({"of_counts": [[*_of_counts(own), int((own > 2).sum()), int(own.sum())]]})
+        yield pa.record_batch({"of_counts": [[*_of_counts(own), int((own > 2).sum()), int(own.sum())]]})
 
     return write
 
@@ -409,7 +443,7 @@ def fit(training: DataFrame, order: int = 2) -> Model:
     # The size sets the number of shards alone; a word takes six bytes or so.
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     shards = 1 << max(0, (size // 6 // SHARD_TOKENS).bit_length())
-    word_shards = max(1, shards >> 4)  # words are fewer, and the driver sees a row of each
+    word_shards = max(1, shards >> 2)  # words are fewer, and the driver sees a row of each
     words = texts.mapInArrow(_count_words(word_shards), _CHUNKS).groupBy("shard").applyInArrow(
         _word_files(folder), "shard bigint, words bigint, tokens bigint"
     )

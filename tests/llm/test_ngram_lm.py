@@ -1,6 +1,8 @@
 import math
+import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -139,3 +141,54 @@ def test_discounts_fall_back():
     d = ngram_lm.discounts([100, 40, 20, 12])
     y = 100 / 180
     assert d == (1 - 2 * y * 40 / 100, 2 - 3 * y * 20 / 40, 3 - 4 * y * 12 / 20)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_merges_in_many_slices(documents, monkeypatch, order):
+    """Slices of a few n-grams and shards of a few ids give the model by hand."""
+    for name, value in {"SHARD_TOKENS": 512, "FLUSH": 200, "SLICE": 8, "DENSE": 16}.items():
+        monkeypatch.setattr(ngram_lm, name, value)
+    training = sentences(120, 11, 90) + [None, "", "w1 w2 w1 w2"]
+    tested = training[:20] + sentences(10, 12, 120)
+    model = ngram_lm.fit(documents([(i, t) for i, t in enumerate(training)]), order)
+    hand = ByHand(training, order)
+    assert model.words == len(hand.words) > 3 * ngram_lm.DENSE and model.shards > 1
+    assert np.allclose(model.discounts, [hand.discounts[m] for m in range(1, order + 1)])
+    got = {r.doc_id: r for r in ngram_lm.score(model, documents([(i, t) for i, t in enumerate(tested)])).collect()}
+    for i, text in enumerate(tested):
+        assert math.isclose(got[i].base_score, hand.base(text), abs_tol=1e-9) and math.isclose(got[i].score, hand.score(text), abs_tol=1e-9)
+
+
+def peak(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task(tmp_path):
+    """A task holds its n-grams once, with what it needs for one slice; rows that it passes on are small."""
+    tokens = 1_500_000
+    drawn = np.random.default_rng(13).integers(0, 200_000, (tokens // 1000, 1000))
+    texts = pa.array([" ".join(f"w{w}" for w in row) for row in drawn.tolist()])
+    batches = [pa.record_batch({"text": texts})]
+    words, used = peak(lambda: pa.Table.from_batches(list(ngram_lm._count_words(1)(iter(batches)))))
+    assert used < 80e6
+    sizes = ngram_lm._word_files(str(tmp_path))(words).to_pylist()[0]
+    assert (sizes["words"], sizes["tokens"]) == (len(np.unique(drawn)) + 1, tokens + len(texts))
+    model = ngram_lm.Model(str(tmp_path), 2, 1, (0,), sizes["words"], sizes["tokens"], (ngram_lm.SMALL_CORPUS,) * 2, 0, 1.0)
+    grams, used = peak(lambda: pa.Table.from_batches(list(ngram_lm._count_grams(model, 2)(iter(batches)))))
+    assert used < 100e6
+    below, used = peak(lambda: ngram_lm._gram_files(model, 2)(grams))
+    assert used < 200e6
+    for rows in (words, grams, below):
+        assert max(len(v.as_buffer()) for name in ("grams", "counts") for v in rows.column(name)) < 500e3
+    assert os.path.getsize(tmp_path / "2" / "00000000") == 12 * len(set(zip(*_pairs(drawn))))
+
+
+def _pairs(drawn):
+    """Before and after: the words of rows with a mark at both ends."""
+    before = np.pad(drawn, ((0, 0), (1, 0)), constant_values=-1)
+    after = np.pad(drawn, ((0, 0), (0, 1)), constant_values=-2)
+    return before.ravel().tolist(), after.ravel().tolist()
